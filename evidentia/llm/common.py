@@ -39,7 +39,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """How many hash blocks the rows should form: grows with the input, at least the shuffle partitions."""
     held = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = planned if planned < 1 << 60 else 0
     return max(int(held), math.ceil(known / bytes_each))
 
