@@ -25,6 +25,20 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import store_payloads, tiff_files
+
+    read = tiff_files(store_payloads(table(spark, sf_dir, "documents")))
+    payload = F.expr("aggregate(pages, X'', (all, p) -> concat(all, p.data))")
+    read = read.select("*", payload.alias("payload"))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.expr("array_join(transform(pages, p -> p.feature), ' ')").alias("feature"),
+        F.size("pages").alias("n_pages"), "error",
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +59,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sp_sampling import decode_pieces, sample_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    sampled = sample_pieces(docs, model, theta=1.0, seed=0)
+    out = decode_pieces(sampled.withColumn("ids_crc32", F.crc32("ids")), model)
+    return out.select("doc_id", "n_bytes", "n_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +92,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_ppm_scores, op4_exact_dedup, op5_hilbert_shards, op6_quality, op8_best_fit_packing, op9_language_id, op10_near_dedup)
+    f.__name__: f for f in (op1_tiff_pages, op2_token_counts, op3_ppm_scores, op4_exact_dedup, op5_hilbert_shards, op6_quality, op7_sampled_pieces, op8_best_fit_packing, op9_language_id, op10_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
