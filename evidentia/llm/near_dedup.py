@@ -17,8 +17,10 @@ from .components import components
 CHUNK = 5
 #: Symbols of the whole signature; those outside the chunks (8 bits each) only refine the distance.
 WIDE = 256
-#: Members a comparison block of one key holds at about most.
-BLOCK = 512
+#: Members a comparison block of one key holds at about most; two blocks meet in a task.
+BLOCK = 256
+#: Pairs of two blocks that go on as rows; of more, the two blocks' sets are brought together once.
+FEW = 64
 
 
 @dataclass(frozen=True)
@@ -167,8 +169,9 @@ def _block_pairs(index: Index):
 
     def run(batches):
         for pdf in batches:
-            a_out, b_out = [], []
-            for key, i, j, lead, members in zip(pdf["key"], pdf["i"], pdf["j"], pdf["lead"], pdf["members"], strict=True):
+            rows = []
+            for key, lead, parts, i, j, members in zip(pdf["key"], pdf["lead"], pdf["parts"], pdf["i"], pdf["j"], pdf["members"], strict=True):
+                a_out, b_out = [], []
                 m = np.frombuffer(b"".join(members), record)
                 m = m[np.argsort(m["cid"], kind="stable")]
                 cid, label, n = (m[c].astype(np.int64) for c in ("cid", "label", "n"))
@@ -199,12 +202,27 @@ def _block_pairs(index: Index):
                     at = at[(first == chunk) & (out_at == left_out)]
                     a_out.append(np.full(len(at), cid[r]))
                     b_out.append(cid[at])
-            if a_out:
-                yield pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
+                if a_out:
+                    found = np.stack([np.concatenate(a_out), np.concatenate(b_out)], axis=1)
+                    if len(found):
+                        rows.append((lead, parts, i, j, len(found), found.tobytes()))
+            yield pd.DataFrame(rows, columns=["lead", "parts", "i", "j", "n", "pairs"])
 
     return run
 
 
+def _pair_rows(batches):
+    for pdf in batches:
+        pairs = np.frombuffer(b"".join(pdf["pairs"]), np.int64).reshape(-1, 2)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _pair_members(batches):
+    for pdf in batches:
+        for lead, parts, i, j, raw in zip(pdf["lead"], pdf["parts"], pdf["i"], pdf["j"], pdf["pairs"], strict=True):
+            yield pd.DataFrame({"cid": np.unique(np.frombuffer(raw, np.int64))}).assign(lead=lead, parts=parts, i=i, j=j)[["lead", "parts", "i", "j", "cid"]]
+
+
 def _full_sets(width: int):
     def run(batches):
         for pdf in batches:
@@ -213,32 +231,74 @@ def _full_sets(width: int):
     return run
 
 
+def _alike(a: np.ndarray, b: np.ndarray, index: Index) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return index.threshold_den * both >= index.threshold_num * (len(a) + len(b) - both)
+
+
 def _confirm(index: Index):
     def run(batches):
         for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for r, (x, y) in enumerate(zip(pdf["full_a"], pdf["full_b"], strict=True)):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                keep[r] = index.threshold_den * both >= index.threshold_num * (len(a) + len(b) - both)
-            yield pdf.loc[keep, ["a", "b"]]
+            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), index) for x, y in zip(pdf["full_a"], pdf["full_b"], strict=True)]
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    return run
+
+
+def _confirm_blocks(index: Index):
+    """Of two blocks' pairs those alike, leaving out pairs that the links found so far already join."""
+
+    def run(batches):
+        for pdf in batches:
+            for cids, fulls, lists in zip(pdf["cids"], pdf["fulls"], pdf["lists"], strict=True):
+                sets = {int(c): np.frombuffer(f, np.uint64) for c, f in zip(cids, fulls, strict=True)}
+                root = {c: c for c in sets}
+
+                def find(x, root=root):
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                links = []
+                for a, b in np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2).tolist():
+                    if (x := find(a)) != (y := find(b)) and _alike(sets[a], sets[b], index):
+                        root[max(x, y)] = min(x, y)
+                        links.append((a, b))
+                yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, index: Index) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets, made again from the whole texts, are similar enough."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_full_sets(width), "cid long, full binary")
-    sets = cut_lineage(sets)
+def _made_sets(needed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The full shingle sets of the ids needed, made again from the whole texts."""
+    sets = texts.join(needed.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return cut_lineage(sets.mapInPandas(_full_sets(width), "cid long, full binary"))
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("full").alias("full_a")), "a")
     both = both.join(sets.select(F.col("cid").alias("b"), F.col("full").alias("full_b")), "b")
     return cut_lineage(both.mapInPandas(_confirm(index), "a long, b long"))
 
 
+def _confirmed_blocks(blocks: DataFrame, members: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
+    """The same for blocks' pair lists: a set is brought once to each two blocks, not once to each pair."""
+    place = ["lead", "parts", "i", "j"]
+    held = members.join(sets, "cid").groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("cid", "full"))).alias("held"))
+    held = held.select(*place, F.col("held.cid").alias("cids"), F.col("held.full").alias("fulls"))
+    both = held.join(blocks.groupBy(*place).agg(F.collect_list("pairs").alias("lists")), place)
+    return cut_lineage(both.mapInPandas(_confirm_blocks(index), "a long, b long"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similar: tuple[int, int] = (80, 100), miss: float = 1e-6
 ) -> DataFrame:
@@ -259,7 +319,8 @@ def near_duplicates(
        components of the links confirmed on full sets settle most keys.
     4. Keys whose members still are in several components are compared in full, in blocks of bounded size,
        leaving out what shares a component; only pairs within the signature distance leave a block, each
-       under one key, and are confirmed on full sets.
+       under one key, and are confirmed on full sets. A crowd of alike texts has many such pairs: there each
+       two blocks of the crowd meet in one task, with each set once.
     """
     index = Index.plan(*similar, miss=miss)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -276,7 +337,8 @@ def near_duplicates(
     pairs = members.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = pairs.join(reps.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = pairs.join(reps.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    links = _confirmed(cut_lineage(pairs.mapInPandas(_close(index), "a long, b long")), texts, width, index)
+    pairs = cut_lineage(pairs.mapInPandas(_close(index), "a long, b long"))
+    links = _confirmed(pairs, _made_sets(_ids(pairs), texts, width), index)
     settled = cut_lineage(components(links, "a", "b"))
 
     label = F.coalesce(F.col("component"), F.col("cid"))
@@ -288,12 +350,16 @@ def near_duplicates(
     big_endian = [F.unhex(F.lpad(F.hex(F.col(c)), 16, "0")) for c in ("cid", "label", "n")]
     rest = rest.withColumn("member", F.concat(*big_endian, F.unhex(F.lpad(F.hex("part"), 8, "0")), "sig"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = rest.groupBy("key", "lead", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    blocks = rest.groupBy("key", "lead", "parts", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     blocks = blocks.agg(F.collect_list("member").alias("members"))
-    more = cut_lineage(blocks.mapInPandas(_block_pairs(index), "a long, b long"))
-    more = _confirmed(more, texts, width, index)
-
-    edges = settled.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    found = cut_lineage(blocks.mapInPandas(_block_pairs(index), "lead long, parts int, i int, j int, n int, pairs binary"))
+    pairs = found.where(F.col("n") <= FEW).mapInPandas(_pair_rows, "a long, b long")
+    many = found.where(F.col("n") > FEW)
+    crowd = cut_lineage(many.mapInPandas(_pair_members, "lead long, parts int, i int, j int, cid long").distinct())
+    sets = _made_sets(_ids(pairs).unionByName(crowd.select(F.col("cid").alias("id"))), texts, width)
+
+    edges = settled.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = edges.unionByName(_confirmed(pairs, sets, index)).unionByName(_confirmed_blocks(many, crowd, sets, index))
     final = components(edges, "a", "b")
     of_class = classes.join(final, classes["cid"] == final["node"], "left").select("fp", F.coalesce("component", "cid").alias("component"))
     # rows without a set meet nothing, and don't share one null key

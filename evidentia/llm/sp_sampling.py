@@ -16,7 +16,7 @@ from .common import mix
 from .token_count import text_steps
 
 #: Distinct units a worker remembers before it starts anew.
-MEMORY = 120_000
+MEMORY = 250_000
 _BASE = np.uint64(0x9E6C63D0876A9A35 | 1)
 
 
@@ -49,7 +49,8 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
         self.longest = int(self.lengths[normal].max())
         kept = {self.surface[i]: i for i in reversed(normal)}
-        self.single = {s for s in kept if len(s.decode("utf-8")) == 1}
+        self.single = np.zeros(0x110000, bool)  # the code points that are pieces of their own
+        self.single[[ord(c) for s in kept if len(c := s.decode("utf-8")) == 1]] = True
         if any(b"\n" in s and len(s) > 1 for s in kept) or any(b" " in s.lstrip(b" ") for s in kept):
             raise ValueError("pieces reach over the borders of units")
         keys = np.array([self._hash(s) for s in kept], np.uint64)
@@ -123,15 +124,9 @@ class Sampler:
         flat = np.frombuffer(joined, np.uint8)
         at, span, piece = self.pieces.edges(flat, start, end)
         # bytes for the characters that are no piece
-        lone = np.ones(len(flat), bool)
-        ones = {}
-        for c in set("".join(new)):
-            raw = c.encode("utf-8", "surrogatepass")
-            ones[raw] = raw in self.pieces.single
-        lead = np.flatnonzero((flat & 0xC0) != 0x80)
-        width = np.diff(np.append(lead, len(flat)))
-        known = np.fromiter((ones.get(joined[a : a + w], False) for a, w in zip(lead.tolist(), width.tolist(), strict=True)), bool, len(lead)) if len(ones) and not all(ones.values()) else np.ones(len(lead), bool)
-        lone = np.repeat(~known, width)
+        points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = np.diff(np.append(np.flatnonzero((flat & 0xC0) != 0x80), len(flat)))
+        lone = np.repeat(~self.pieces.single[points], width)
         extra = np.flatnonzero(lone)
         at = np.concatenate((at, extra))
         span = np.concatenate((span, np.ones(len(extra), np.int64)))
@@ -140,7 +135,7 @@ class Sampler:
         to = at + span - 1
         weight = self.theta * self.pieces.weight[piece]
         depth = to - np.repeat(start, size)[to]
-        by = np.lexsort((span, to, depth))
+        by = np.argsort(depth << 40 | to, kind="stable")
         at, span, piece, to, weight, depth = (x[by] for x in (at, span, piece, to, weight, depth))
         forward = np.full(len(flat) + 1, -np.inf)
         origin = at == np.repeat(start, size)[at]
