@@ -251,7 +251,7 @@ def sample_pieces(df: DataFrame, model_path: str, theta: float = 1.0, seed: int
                 cut = zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)
                 yield pd.DataFrame({"id": part["id"], "n_bytes": part["n_bytes"], "n_pieces": counts, "ids": [raw[a:b] for a, b in cut]})
 
-    return rows.mapInPandas(run, f"{id_col} {kind}, n_bytes long, n_pieces long, ids binary")
+    return rows.mapInPandas(run, f"id {kind}, n_bytes long, n_pieces long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

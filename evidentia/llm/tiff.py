@@ -316,7 +316,7 @@ def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pd.DataFrame({"id": part["id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in part["text"]], "media": [payload_tiff(t) for t in part["text"]]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"{id_col} {kind}, n_bytes long, media binary")
+    return rows.mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 _PAGE = "page int, width int, height int, samples int, compression int, predictor int, tiled boolean, feature string, data binary"
