@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from functools import lru_cache
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 
@@ -135,8 +135,7 @@ class Seen(defaultdict):
     """Strings numbered in order of first sight."""
 
     def __init__(self):
-        super().__init__()
-        self.default_factory = self.__len__
+        super().__init__(count().__next__)  # no reference to itself, so it goes when it is let go
         self.done = 0
 
     def fresh(self) -> list[str]:

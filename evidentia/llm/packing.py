@@ -25,7 +25,7 @@ _PRE = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _ODD = re.compile("[\x1c-\x1f]")
 #: Words with characters beyond the Latin blocks, or that may hold special tokens, go to the library.
 _HARD = re.compile("[\x1c-\x1f\u0250-\U0010ffff]|<\\|")
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 class WordIds:
