@@ -1,3 +1,78 @@
-"""The corpus pipeline: quality, language, exact and near duplicates, packing."""
+"""The corpus pipeline: quality, language, exact duplicates, near duplicates, packing.
 
-QUERIES = {}
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. A runner writes each stage's rows as Parquet and gives them, read again, to the next.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.llm.common import shared_storage, table
+from evidentia.llm.exact_dedup import exact_groups
+from evidentia.llm.language import UNKNOWN, languages
+from evidentia.llm.near_dedup import near_duplicates
+from evidentia.llm.packing import Limits, pack
+from evidentia.llm.quality import quality_scores
+
+#: Documents whose chance of label 1 is lower go.
+QUALITY = 0.5
+
+
+def _with(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose id has a verdict to stay, with their own columns."""
+    stay = verdicts.select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model does not reject; it learns from the labels not held out."""
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"), threshold=QUALITY)
+    return _with(docs, scores.where("predicted = 1"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the kernel has learnt; those without text or letters go."""
+    return _with(docs, languages(docs).where(F.col("lang_pred") != UNKNOWN))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that with the smallest id."""
+    return _with(docs, exact_groups(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    return _with(docs, near_duplicates(docs, width=5, similar=(80, 100)).where("kept"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in sequences of at most 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, limits=Limits(tokens=4096))
+
+
+STAGES = [("quality", quality), ("language", language), ("exact_dedup", exact), ("near_dedup", near), ("packing", packing)]
+
+#: Classifiers, signatures and best-fit are not SQL; tests/llm holds the pipeline against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's rows written to the shared folder and read again."""
+    shared_storage(spark)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
