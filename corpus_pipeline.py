@@ -23,31 +23,34 @@ from evidentia.llm.quality import quality_scores
 QUALITY = 0.5
 
 
-def _with(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose id has a verdict to stay, with their own columns."""
-    stay = verdicts.select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+def _without(docs: DataFrame, verdicts: DataFrame, stays) -> DataFrame:
+    """The rows of docs, with their own columns, but for ids of which no row is to stay.
+
+    Few documents go, so their ids are mostly small enough for Spark to broadcast, and texts stay in place.
+    """
+    gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.max(stays).alias("_stays")).where("not _stays").select("_gone")
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject; it learns from the labels not held out."""
     scores = quality_scores(docs, table(spark, sf_dir, "labels"), threshold=QUALITY)
-    return _with(docs, scores.where("predicted = 1"))
+    return _without(docs, scores, F.col("predicted") == 1)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the kernel has learnt; those without text or letters go."""
-    return _with(docs, languages(docs).where(F.col("lang_pred") != UNKNOWN))
+    return _without(docs, languages(docs), F.col("lang_pred") != UNKNOWN)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the smallest id."""
-    return _with(docs, exact_groups(docs).where("kept"))
+    return _without(docs, exact_groups(docs), F.col("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    return _with(docs, near_duplicates(docs, width=5, similar=(80, 100)).where("kept"))
+    return _without(docs, near_duplicates(docs, width=5, similar=(80, 100)), F.col("kept"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
