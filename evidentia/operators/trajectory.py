@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.timeaxis import in_window, just_before
 from evidentia.operators.state import KEY, VALUE, aggregate
+from evidentia.plans.lineage import cut
 
 
 def _inside(start: str, end: str, kind: str, lo, hi):
@@ -61,7 +62,9 @@ def transitions(cands: DataFrame, lo, hi) -> DataFrame:
     Only facts make transitions; a key that turns unresolved is removed. Unresolved keys of either side are
     told by before_outcome and after_outcome.
     """
-    states, parts = piece_states(cands, lo, hi)
+    names = [*KEY, *VALUE, "obs_id", "temporal_kind", "valid_start", "valid_end", "recorded_at", "status", "supported"]
+    states, parts = piece_states(cut(cands.where("status <> 'rejected'").select(*names)), lo, hi)
+    states, parts = cut(states), cut(parts)
     # the state before the window comes first; pieces without rows have no state and no fact
     cells = parts.select(*KEY, "begin").unionByName(states.where("begin is null").select(*KEY, "begin"))
     full = cells.join(states, [cells[k] == states[k] for k in KEY] + [cells["begin"].eqNullSafe(states["begin"])], "left")

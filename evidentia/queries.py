@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import timeaxis as ta
 from evidentia.operators import authority, causal, state, trajectory
+from evidentia.plans.lineage import cut
 from evidentia.schema import CAUSES
 from evidentia.sources.projection import Projection, with_views
 
@@ -359,7 +360,7 @@ def _qualified(p, view="fx_obs", cutoff=K, match="any", requested=None):
     if view == "fx_pairs":
         oks = oks.select(F.regexp_replace("id", "^obs:", "rel:").alias("id"))
     links = p["fx_evidence"] if view != "fx_pairs" else p["fx_evidence"].withColumn("obs_id", F.regexp_replace("obs_id", "^obs:", "rel:"))
-    return authority.qualify(rows, oks, authority.evidence_known(links), requested, PREDICATES if view == "fx_obs" else None, match), requested
+    return cut(authority.qualify(rows, oks, authority.evidence_known(links), requested, PREDICATES if view == "fx_obs" else None, match)), requested
 
 
 _LIST = ", ".join(f"'{x}'" for x in PREDICATES)
