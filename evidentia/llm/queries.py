@@ -62,13 +62,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .sp_sampling import decode_pieces, sample_pieces
+    from .sp_sampling import sample_pieces
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents")
-    sampled = sample_pieces(docs, model, theta=1.0, seed=0)
-    out = decode_pieces(sampled.withColumn("ids_crc32", F.crc32("ids")), model)
-    return out.select("doc_id", "n_bytes", "n_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), theta=1.0, seed=0, decode=True)
+    return out.select("doc_id", "n_bytes", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

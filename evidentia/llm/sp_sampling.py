@@ -16,7 +16,9 @@ from .common import mix
 from .token_count import text_steps
 
 #: Distinct units a worker remembers before it starts anew.
-MEMORY = 250_000
+MEMORY = 100_000
+#: Characters of one step.
+STEP = 1 << 19
 _BASE = np.uint64(0x9E6C63D0876A9A35 | 1)
 
 
@@ -110,10 +112,10 @@ class Sampler:
         self.seen = Seen()
         self.node = np.empty(0, np.int64)  # of each unit its last node
         self.size = np.empty(0, np.int64)  # of each unit its bytes
-        self.first = np.empty(0, np.int64)  # of each node its first incoming edge
-        self.share = np.empty(0)  # of each edge the running sum of its node's probabilities
-        self.span = np.empty(0, np.int64)  # of each edge its bytes
-        self.piece = np.empty(0, np.int64)
+        self.first = np.empty(0, np.int32)  # of each node its first incoming edge
+        self.share = np.empty(0, np.float32)  # of each edge the running sum of its node's probabilities
+        self.span = np.empty(0, np.uint8)  # of each edge its bytes
+        self.piece = np.empty(0, np.int32)
 
     def _learn(self, new: list[str]) -> None:
         raws = [u.encode("utf-8", "surrogatepass") for u in new]
@@ -161,10 +163,10 @@ class Sampler:
         first = np.searchsorted(to[by], np.arange(len(flat)))
         self.node = np.concatenate((self.node, nodes + end - 1))
         self.size = np.concatenate((self.size, size))
-        self.first = np.concatenate((self.first, edges + first))
-        self.share = np.concatenate((self.share, share[by]))
-        self.span = np.concatenate((self.span, span[by]))
-        self.piece = np.concatenate((self.piece, piece[by]))
+        self.first = np.concatenate((self.first, (edges + first).astype(np.int32)))
+        self.share = np.concatenate((self.share, share[by].astype(np.float32)))
+        self.span = np.concatenate((self.span, span[by].astype(np.uint8)))
+        self.piece = np.concatenate((self.piece, piece[by].astype(np.int32)))
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts (each after a space that opens it), and how many each has."""
@@ -186,7 +188,7 @@ class Sampler:
         took_unit, took_piece, steps_of = [], [], np.zeros(len(which), np.int64)
         while len(unit):
             u = (mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / (1 << 53)
-            edge = self.first[node].copy()
+            edge = self.first[node].astype(np.int64)
             more = np.flatnonzero(self.share[edge] <= u)
             while len(more):
                 edge[more] += 1
@@ -194,7 +196,7 @@ class Sampler:
             took_unit.append(unit)
             took_piece.append(self.piece[edge])
             steps_of[unit] += 1
-            span = self.span[edge]
+            span = self.span[edge].astype(np.int64)
             left = left - span
             go = left > 0
             node, place, key, unit, left = (node - span)[go], (place - span)[go], key[go], unit[go], left[go]
@@ -224,8 +226,9 @@ def sampler(path: str, theta: float) -> Sampler:
     return Sampler(path, theta)
 
 
-def sample_pieces(df: DataFrame, model_path: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_bytes, n_pieces, ids (32-bit little-endian piece ids, in order).
+def sample_pieces(df: DataFrame, model_path: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """One row per input row: id, n_bytes, n_pieces, ids (32-bit little-endian piece ids, in order); with `decode`
+    also `decoded`, the text made again from those ids, in the same pass.
 
     A path through the lattice has probability in proportion to exp(theta * the sum of its pieces' log
     weights). Forward sums run from the start of each unit, the path is drawn from its end; the draw at each
@@ -243,15 +246,17 @@ def sample_pieces(df: DataFrame, model_path: str, theta: float = 1.0, seed: int
         s = sampler(model_path, theta)
         for pdf in batches:
             at = 0
-            for texts in text_steps(pdf["text"]):
+            for texts in text_steps(pdf["text"], STEP):
                 part = pdf.iloc[at : at + len(texts)]
                 at += len(texts)
                 ids, counts = s.sample(texts, part["key"].to_numpy(np.int64))
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
                 cut = zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)
-                yield pd.DataFrame({"id": part["id"], "n_bytes": part["n_bytes"], "n_pieces": counts, "ids": [raw[a:b] for a, b in cut]})
+                out = pd.DataFrame({"id": part["id"], "n_bytes": part["n_bytes"], "n_pieces": counts, "ids": [raw[a:b] for a, b in cut]})
+                yield out.assign(decoded=[s.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in out["ids"]]) if decode else out
 
-    return rows.mapInPandas(run, f"id {kind}, n_bytes long, n_pieces long, ids binary").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes long, n_pieces long, ids binary" + ", decoded binary" * decode
+    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
