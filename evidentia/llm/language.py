@@ -93,7 +93,7 @@ def learn(df: DataFrame, each: int, held_out, id_col: str, text_col: str, lang_c
     least = rows.groupBy("lang", F.pmod(spot, F.lit(each)).alias("class")).agg(F.min(F.struct(spot.alias("spot"), "id")).alias("least"))
     texts = rows.join(F.broadcast(least.select("lang", F.col("least.id").alias("id"))), ["lang", "id"]).dropDuplicates(["lang", "id"])
     known = texts.orderBy(F.xxhash64("id"), "id").toPandas()
-    known = known[known["text"].map(lambda t: bool(_LETTER.search(t)))]
+    known = known[known["text"].map(lambda t: bool(_LETTER.search(t))).astype(bool)]
     return fit([t.encode("utf-8", "surrogatepass") for t in known["text"]], known["lang"].tolist())
 
 
