@@ -399,3 +399,39 @@ def engine_trajectory(p):
     from evidentia.plans.request import TRAJECTORY
 
     return _ask(p, TRAJECTORY, (_win("between", "2024-01-10", "2024-01-17"),), limit=1000).transitions
+
+
+@query(
+    f"""WITH {_MAIL}, ow AS (SELECT email, count(DISTINCT entity_id) AS ne, min(entity_id) AS eo FROM o GROUP BY email),
+j AS (SELECT mention_id, coalesce(ne,0) AS ne, eo, s % 3 AS np, CASE WHEN s % 3 = 1 THEN CASE WHEN s % 2 = 0 THEN eo ELSE 'c0' END WHEN s % 3 = 2 THEN 'c0' END AS po, CASE WHEN s % 5 = 0 THEN 'c1' END AS ev, s % 2 = 0 AS mk FROM (SELECT *, CAST(substr(mention_id,2) AS BIGINT) AS s FROM m) m LEFT JOIN ow USING (email)),
+k AS (SELECT *, CASE WHEN ne>1 OR np>1 THEN 'conflict' WHEN np=1 THEN CASE WHEN ne=1 AND eo=po THEN 'reuse' ELSE 'conflict' END WHEN ne=1 THEN CASE WHEN ev IS NULL OR ev=eo THEN 'reuse' ELSE 'conflict' END WHEN mk THEN 'create' ELSE 'conflict' END AS choice FROM j)
+SELECT mention_id, choice, CASE WHEN choice='reuse' THEN coalesce(po, eo) END AS entity_id FROM k"""
+)
+def owner_reconciliation(p):
+    from evidentia.operators.review import owner_choice
+
+    m, o = _mails(p)
+    owners = o.groupBy("email").agg(F.count_distinct("entity_id").alias("ne"), F.min("entity_id").alias("eo"))
+    s = F.substring("mention_id", 2, 20).cast("long")
+    rows = m.join(owners, "email", "left").withColumn("ne", F.coalesce("ne", F.lit(0))).withColumn("np", s % 3)
+    po = F.when(s % 3 == 1, F.when(s % 2 == 0, F.col("eo")).otherwise("c0")).when(s % 3 == 2, "c0")
+    choice, entity = owner_choice(F.col("ne"), F.col("eo"), F.col("np"), po, F.when(s % 5 == 0, "c1"), s % 2 == 0)
+    return rows.select("mention_id", choice.alias("choice"), entity.alias("entity_id"))
+
+
+@query(
+    """SELECT 'cmd:' || event_id AS command_id, CASE WHEN event_id % 2 = 0 THEN 'unknown-proposal' WHEN event_id % 9 = 5 AND event_id % 10 <> 1 THEN 'unknown-entity'
+WHEN event_id % 10 <> 1 AND EXISTS (SELECT 1 FROM fx_decisions d WHERE d.proposal_id = 'prop:' || e.event_id) THEN CASE WHEN event_id % 10 = 7 THEN 'ok' ELSE 'decided' END
+WHEN event_id % 10 = 1 AND EXISTS (SELECT 1 FROM fx_decisions d WHERE d.proposal_id = 'prop:' || e.event_id) THEN 'decided' WHEN event_id % 10 = 7 THEN 'undecided' ELSE 'ok' END AS verdict FROM events e""",
+    "fx_decisions",
+)
+def review_commands(p):
+    from evidentia.operators.review import decide
+
+    e = F.col("event_id")
+    action = F.when(e % 10 == 7, "correct-accept").when(e % 10 == 1, "create").otherwise("accept")
+    commands = p["events"].select(
+        F.concat(F.lit("cmd:"), "event_id").alias("command_id"), F.concat(F.lit("prop:"), "event_id").alias("proposal_id"), action.alias("action"),
+        F.when(e % 9 == 5, "none").otherwise(F.concat(F.lit("user:"), "user_id")).alias("entity_id"), F.lit("Ana").alias("name"), F.lit("").alias("email"), F.col("ts").alias("recorded_at"),
+    )
+    return decide(commands, p["fx_decisions"], _proposals(p), p["fx_entities"]).select("command_id", "verdict")
