@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, id_crc, mix, spread, steps, word_hashes
 
 #: Longest context in bytes. A path of the trie, context and symbol, is ORDER + 1 bytes of one integer.
-ORDER = 4
+ORDER = 5
 #: Byte values that UTF-8 never has: what stands before a text, and the symbol that ends it.
 BEFORE, END = 0xFF, 0xFE
 END_WORD = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -97,19 +97,20 @@ def log_probabilities(path: np.ndarray, count: np.ndarray, low: Low) -> np.ndarr
 
     if not len(path):
         return np.empty(0)
-    count = count.astype(float)
-    three, back = np.unique(path & 0xFFFFFFFF, return_inverse=True)
-    c3 = np.bincount(back, count, len(three))
-    seen4, seen3 = (count > 0).astype(float), (c3 > 0).astype(float)
-    which4, (sum4, kinds4, under4, under4k) = groups(path >> 8, count, seen4, seen4 * c3[back], seen4)
-    c2 = low.c2(three & 0xFFFFFF)
-    which3, (sum3, kinds3, under3) = groups(three >> 8, c3, seen3, seen3 * c2)
     lp, todo = np.zeros(len(path)), np.ones(len(path), bool)
-    _step(lp, todo, count, sum4[which4], kinds4[which4])
-    w3 = which3[back]
-    _step(lp, todo, c3[back], sum3[w3] - under4[which4], kinds3[w3] - under4k[which4])
+    keys, c, back = path, count.astype(float), np.arange(len(path))  # the order's distinct paths, and each path's one
+    under, above = np.zeros(len(path)), np.zeros(len(path))  # counts and kinds here of what the longer context has
+    for order in range(ORDER, 2, -1):
+        shorter, to = np.unique(keys & ((1 << 8 * order) - 1), return_inverse=True)
+        c_shorter = np.bincount(to, c, len(shorter)) if order > 3 else low.c2(shorter)
+        seen = (c > 0).astype(float)
+        which, (total, kinds, beneath) = groups(keys >> 8, c, seen, seen * c_shorter[to])
+        mine = which[back]
+        _step(lp, todo, c[back], total[mine] - under, kinds[mine] - above)
+        under, above = beneath[mine], kinds[mine]
+        keys, c, back = shorter, c_shorter, to[back]
     two = (path >> 8) & 0xFFFF
-    _step(lp, todo, c2[back], low.sum2[two] - under3[w3], low.kinds2[two] - kinds3[w3])
+    _step(lp, todo, c[back], low.sum2[two] - under, low.kinds2[two] - above)
     one, zero = two & 0xFF, path & 0xFF
     sum1 = low.c1.reshape(256, 256).sum(axis=1)
     kinds1 = (low.c1.reshape(256, 256) > 0).sum(axis=1).astype(float)

@@ -193,18 +193,18 @@ def test_ppm_against_a_trie(docs, texts):
     trie, words = defaultdict(Counter), Counter()
     for i, t in low.items():
         if not held[i]:
-            u = b"\xff" * 4 + t + b"\xfe"
-            for j in range(4, len(u)):
-                for k in range(5):
+            u = b"\xff" * ppm.ORDER + t + b"\xfe"
+            for j in range(ppm.ORDER, len(u)):
+                for k in range(ppm.ORDER + 1):
                     trie[u[j - k : j]][u[j]] += 1
             words.update(WORD.findall(t))
             words[None] += 1
     n, v = sum(words.values()), len(words)
     for i in list(texts)[:50]:
-        u, score = b"\xff" * 4 + low[i] + b"\xfe", 0.0
-        for j in range(4, len(u)):
+        u, score = b"\xff" * ppm.ORDER + low[i] + b"\xfe", 0.0
+        for j in range(ppm.ORDER, len(u)):
             out = set()
-            for k in range(4, -1, -1):
+            for k in range(ppm.ORDER, -1, -1):
                 seen = trie.get(u[j - k : j])
                 if not seen:
                     continue
@@ -225,7 +225,7 @@ def test_ppm_against_a_trie(docs, texts):
 
 
 def test_ppm_is_a_distribution():
-    paths = ppm.paths([b"abracadabra", b"banana band", b"cab"], 4)
+    paths = ppm.paths([b"abracadabra", b"banana band", b"cab"], ppm.ORDER)
     path, count = np.unique(paths, return_counts=True)
     code, n = np.unique(np.concatenate([ppm.paths([x], 2) for x in (b"abracadabra", b"banana band", b"cab")]), return_counts=True)
     low = ppm.Low.of(code, n)
