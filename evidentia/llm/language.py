@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,12 +13,15 @@ from .common import LOWER, id_crc, steps
 
 #: Columns of the 1-, 2- and 3-byte grams; the last are hashed.
 SIZES = (1 << 8, 1 << 16, 1 << 17)
-_LETTER = re.compile(r"[^\W\d_]")
 #: Rows of one kernel block.
 ROWS = 64
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def presence(raws: list[bytes]) -> list[np.ndarray]:
     """For each gram length a (texts, grams) matrix of which grams (A-Z lower-cased) a text holds at all."""
     n = np.fromiter(map(len, raws), np.int64, len(raws))
@@ -93,7 +95,7 @@ def learn(df: DataFrame, each: int, held_out, id_col: str, text_col: str, lang_c
     least = rows.groupBy("lang", F.pmod(spot, F.lit(each)).alias("class")).agg(F.min(F.struct(spot.alias("spot"), "id")).alias("least"))
     texts = rows.join(F.broadcast(least.select("lang", F.col("least.id").alias("id"))), ["lang", "id"]).dropDuplicates(["lang", "id"])
     known = texts.orderBy(F.xxhash64("id"), "id").toPandas()
-    known = known[known["text"].map(lambda t: bool(_LETTER.search(t))).astype(bool)]
+    known = known[known["text"].map(lambda t: has_letter(t)).astype(bool)]
     return fit([t.encode("utf-8", "surrogatepass") for t in known["text"]], known["lang"].tolist())
 
 
@@ -121,7 +123,7 @@ def languages(
         for pdf in batches:
             name = np.full(len(pdf), UNKNOWN, object)
             score = np.zeros(len(pdf))
-            some = np.array([bool(t) and bool(_LETTER.search(t)) for t in pdf["text"]], bool)
+            some = np.array([has_letter(t) for t in pdf["text"]], bool)
             at = np.flatnonzero(some)
             if model is not None and len(at):
                 for first, raws in steps(pdf["text"].iloc[at].tolist()):

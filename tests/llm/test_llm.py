@@ -271,6 +271,10 @@ def test_language_held_out(spark):
     assert got[1] == got[2] == got[3] == "und" and got[4] in ("en", "de", "fr", "es")
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in (None, "", "12 ½ ² _ !", "1é", "中")] == [False, False, False, True, True]
+
+
 def test_language_kernel_is_the_mean_cosine():
     raws = [b"the cat", b"der Hund da", b"le chat la"]
     k = language.fit(raws, ["en", "de", "fr"])
