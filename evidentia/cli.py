@@ -1,4 +1,4 @@
-"""Command line: python -m evidentia.cli STORE query point|trend|trajectory|causal ..."""
+"""Command line: python -m evidentia.cli STORE check, or STORE query point|trend|trajectory|causal ..."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from evidentia import schema
 from evidentia.plans.engine import Engine, OverLimit, UnknownEntity
 from evidentia.plans.request import BadRequest, parse
+from evidentia.sources.health import CHECKS, readiness
 from evidentia.sources.store import Store
 
 TABLES = {"observations": schema.OBSERVATION, "links": schema.EVIDENCE_LINK, "decisions": schema.RESOLUTION_DECISION, "admissions": schema.ADMISSION_DECISION, "entities": schema.ENTITY}
@@ -16,10 +17,15 @@ TABLES = {"observations": schema.OBSERVATION, "links": schema.EVIDENCE_LINK, "de
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
     try:
-        if len(argv) < 3 or argv[1] != "query":
+        if argv[1:] != ["check"] and (len(argv) < 3 or argv[1] != "query"):
             raise BadRequest(__doc__)
-        request, output = parse(argv[2:])  # before any table is read
+        request, output = parse(argv[2:]) if argv[1] == "query" else (None, "")  # before any table is read
         spark = spark or SparkSession.builder.appName("evidentia").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        if request is None:
+            found = readiness(Store(spark, argv[0], TABLES))
+            for check, ok, detail in found:
+                print(f"{check}: {'ok' if ok else 'failed'} ({detail})")
+            return 0 if len(found) == len(CHECKS) and found[-1][1] else 1
         engine = Engine(spark, Store(spark, argv[0], TABLES).snapshot())
         result = engine.query(request)
         print(engine.envelope(result).first()["json"] if output == "json" else engine.text(result))

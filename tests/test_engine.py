@@ -141,6 +141,8 @@ def test_store_and_cli(spark, tmp_path, capsys):
     assert main([str(tmp_path), "query", "point", "--entity", P[0], "--at", "2032-03-15T00:00:00Z", "--output", "json"], spark) == 0
     assert '"unit beta"' in capsys.readouterr().out
     assert main([str(tmp_path), "query", "point", "--entity", "none", "--at", "2032-03-15T00:00:00Z"], spark) == 2
+    assert main([str(tmp_path), "check"], spark) == 0 and "marks: ok" in capsys.readouterr().out
+    assert main([str(tmp_path / "none"), "check"], spark) == 1 and "root: failed" in capsys.readouterr().out
 
 
 def test_leases_batch_and_stream(spark, tmp_path):
