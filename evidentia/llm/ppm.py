@@ -73,20 +73,19 @@ class Low:
 
 def _step(lp, todo, count, total, kinds):
     """One order: where the symbol was seen its share, else the escape; lp and todo change in place."""
-    rest = total + kinds
     hit = todo & (count > 0)
-    lp[hit] += np.log10(count[hit] / rest[hit])
+    lp[hit] += np.log10((2 * count[hit] - 1) / (2 * total[hit]))
     todo &= ~hit
     out = todo & (kinds > 0)
-    lp[out] += np.log10(kinds[out] / rest[out])
+    lp[out] += np.log10(kinds[out] / (2 * total[out]))
 
 
 def log_probabilities(path: np.ndarray, count: np.ndarray, low: Low) -> np.ndarray:
     """log10 of the probability of each path's last byte after its other bytes.
 
     path: distinct, sorted; count: in training. All paths that share their last three context bytes must be
-    there together. A context gives a symbol seen c of t times, with d different symbols, c / (t + d), and
-    the escape d / (t + d) (method C); in the next shorter context the symbols of the longer one are left
+    there together. A context gives a symbol seen c of t times, with d different symbols, (2c - 1) / 2t, and
+    the escape d / 2t (method D); in the next shorter context the symbols of the longer one are left
     out of t and d. Contexts never seen are passed over. Below order 0, the symbols left of 256 are alike.
     """
 

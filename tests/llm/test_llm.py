@@ -210,10 +210,10 @@ def test_ppm_against_a_trie(docs, texts):
                     continue
                 total, kinds = sum(c for x, c in seen.items() if x not in out), sum(x not in out for x in seen)
                 if u[j] in seen:
-                    score += math.log10(seen[u[j]] / (total + kinds))
+                    score += math.log10((2 * seen[u[j]] - 1) / (2 * total))
                     break
                 if kinds:
-                    score += math.log10(kinds / (total + kinds))
+                    score += math.log10(kinds / (2 * total))
                 out |= set(seen)
             else:
                 score -= math.log10(256 - len(out))
