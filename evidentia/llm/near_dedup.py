@@ -23,13 +23,19 @@ BLOCK = 256
 FEW = 64
 
 
+def beyond(within: int, p: float, n: int = WIDE) -> float:
+    """The chance that more than `within` of n symbols differ if each does with chance p."""
+    return math.fsum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(within + 1, n + 1))
+
+
 @dataclass(frozen=True)
 class Index:
     """How signatures are split: `chunks` chunks of CHUNK 16-bit symbols, of which one may differ.
 
     By the pigeonhole principle two signatures of distance `within` = 2 * chunks - 1 at most agree in some
-    chunk but for one symbol, so they share a key: every such pair is met. `wide_within` is the same bound
-    for the whole signature, `miss` the chance that a pair of just the wanted similarity lies beyond.
+    chunk but for one symbol, so they share a key: every such pair is met. So are most pairs further apart;
+    what shares a key is only left out if the whole signature differs in more than `wide_within` symbols.
+    `miss` bounds the chance that a pair of just the wanted similarity shares no key or lies beyond that.
     """
 
     threshold_num: int
@@ -51,8 +57,8 @@ class Index:
         s = num / den
         off = 1 - (s**CHUNK + CHUNK * (1 - s) * s ** (CHUNK - 1))
         chunks = max(2, math.ceil(math.log(miss) / math.log(max(off, 1e-12))))
-        p = 1 - s
-        return cls(num, den, chunks, math.ceil(WIDE * p + 5 * math.sqrt(WIDE * p * s)), off**chunks)
+        wide_within = next(w for w in range(WIDE + 1) if off**chunks + beyond(w, 1 - s) <= miss)
+        return cls(num, den, chunks, wide_within, off**chunks + beyond(wide_within, 1 - s))
 
     @property
     def width(self) -> int:
@@ -139,11 +145,11 @@ def _keys(index: Index):
     return run
 
 
-def _distances(a: np.ndarray, b: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Differing symbols in the chunks, and in the whole signature."""
+def _distances(a: np.ndarray, b: np.ndarray, index: Index) -> np.ndarray:
+    """Differing symbols of the whole signature."""
     cut = 2 * index.symbols
     near = (a[..., :cut].copy().view("<u2") != b[..., :cut].copy().view("<u2")).sum(axis=-1)
-    return near, near + (a[..., cut:] != b[..., cut:]).sum(axis=-1)
+    return near + (a[..., cut:] != b[..., cut:]).sum(axis=-1)
 
 
 def _close(index: Index):
@@ -153,8 +159,7 @@ def _close(index: Index):
         for pdf in batches:
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), index.width) for c in ("sig_a", "sig_b"))
-                near, wide = _distances(a, b, index)
-                yield pdf.loc[(near <= index.within) & (wide <= index.wide_within), ["a", "b"]]
+                yield pdf.loc[_distances(a, b, index) <= index.wide_within, ["a", "b"]]
 
     return run
 
@@ -189,9 +194,7 @@ def _block_pairs(index: Index):
                     at = np.flatnonzero(ok) + r + 1
                     if not len(at):
                         continue
-                    near, wide = _distances(sig[at], sig[r], index)
-                    keep = (near <= index.within) & (wide <= index.wide_within)
-                    at = at[keep]
+                    at = at[_distances(sig[at], sig[r], index) <= index.wide_within]
                     if not len(at):
                         continue
                     differ = (symbols[at] != symbols[r]).reshape(len(at), index.chunks, CHUNK)
@@ -313,8 +316,9 @@ def near_duplicates(
 
     1. Documents with equal sets form a class at once (a hash of the set, combined before its shuffle); only
        one representative goes on, so exact copies cost nothing below.
-    2. Each representative's signature is split; its chunk keys, one symbol left out of each, find all pairs
-       within the signature distance. A pair of exactly the wanted similarity lies beyond with chance `miss`.
+    2. Each representative's signature is split; its chunk keys, one symbol left out of each, find the pairs,
+       and the distance of the whole signatures leaves out those far apart. A pair of exactly the wanted
+       similarity shares no key or lies too far apart with chance `miss` at most.
     3. Each member of a key is compared with the key's smallest member: rows linear in the members. The
        components of the links confirmed on full sets settle most keys.
     4. Keys whose members still are in several components are compared in full, in blocks of bounded size,

@@ -341,6 +341,32 @@ def test_multi_index_meets_all_pairs_within():
     assert index.miss <= 1e-6
 
 
+@pytest.mark.parametrize("num", [85, 80])
+def test_pairs_that_share_a_key_are_left_out_by_the_whole_distance_only(num):
+    import pandas as pd
+
+    index = near_dedup.Index.plan(num, 100)
+    s, n = num / 100, near_dedup.WIDE
+    no_key = (1 - s**5 - 5 * (1 - s) * s**4) ** index.chunks
+    far = sum(math.comb(n, k) * (1 - s) ** k * s ** (n - k) for k in range(index.wide_within + 1, n + 1))
+    assert no_key + far <= index.miss + 1e-15 <= 1e-6
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, index.width, np.uint8)
+    for change, stays in ((index.wide_within, True), (index.wide_within + 1, False)):
+        # all symbols of the chunks but the first chunk's may differ, far more than `within`
+        b = a.copy()
+        chunked = min(change, index.symbols - near_dedup.CHUNK)
+        b[2 * near_dedup.CHUNK : 2 * near_dedup.CHUNK + 2 * chunked : 2] ^= 1
+        b[2 * index.symbols : 2 * index.symbols + change - chunked] ^= 1
+        assert chunked > index.within
+        pairs = pd.DataFrame({"a": [2], "b": [3], "sig_a": [a.tobytes()], "sig_b": [b.tobytes()]})
+        assert sum(map(len, near_dedup._close(index)(iter([pairs])))) == stays
+        member = lambda cid, sig: cid.to_bytes(8, "big") * 2 + (50).to_bytes(8, "big") + bytes(4) + sig.tobytes()
+        key = near_dedup.index_keys(a[: 2 * index.symbols].copy().view("<u2")[None])[0].view(np.int64)[0]
+        block = pd.DataFrame({"key": [key], "lead": [1], "parts": [1], "i": [0], "j": [0], "members": [[member(2, a), member(3, b)]]})
+        assert sum(map(len, near_dedup._block_pairs(index)(iter([block])))) == stays
+
+
 def test_tiff_codecs():
     rnd = random.Random(2)
     for n in (0, 1, 5, 300, 4000, 20000):
