@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import shared_storage, table
+from evidentia.llm.common import cut_lineage, shared_storage, table
 from evidentia.llm.exact_dedup import exact_groups
 from evidentia.llm.language import UNKNOWN, languages
 from evidentia.llm.near_dedup import near_duplicates
@@ -23,34 +23,64 @@ from evidentia.llm.quality import quality_scores
 QUALITY = 0.5
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, stays) -> DataFrame:
-    """The rows of docs, with their own columns, but for ids of which no row is to stay.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number of its own for each row, the same however often the rows are read.
 
-    Few documents go, so their ids are mostly small enough for Spark to broadcast, and texts stay in place.
+    Ids may be null or repeat, so a row's verdict is held by this number. In files a row is known by its file
+    and its place there; the rows of any other table are numbered once and checkpointed.
     """
-    gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.max(stays).alias("_stays")).where("not _stays").select("_gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    names = sorted(r["file"] for r in docs.select(file.alias("file")).distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
+    placed = docs.select("*", file.alias("_in"), place.alias("_place")).join(F.broadcast(files), F.col("_in") == F.col("_file"))
+    return placed.select(*docs.columns, F.shiftleft("_number", 40).bitwiseOR(F.col("_place")).alias("_row"))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows, with their own columns, but for those in gone.
+
+    Few documents go, so their numbers are mostly small enough for Spark to broadcast, and texts stay in place.
+    """
+    return rows.join(gone.select("_row"), "_row", "left_anti").drop("_row")
+
+
+def _copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """All rows of each group (_row, _group) but one: that with the smallest id, a null id only if there is no other.
+
+    Of rows that repeat this id the first in number stays.
+    """
+    own = cut_lineage(groups.join(rows.select("_row", "doc_id"), "_row"))
+    first = own.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return own.join(first.select("first._row"), "_row", "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject; it learns from the labels not held out."""
-    scores = quality_scores(docs, table(spark, sf_dir, "labels"), threshold=QUALITY)
-    return _without(docs, scores, F.col("predicted") == 1)
+    rows = _numbered(docs)
+    scores = quality_scores(rows, table(spark, sf_dir, "labels"), threshold=QUALITY, row_col="_row")
+    return _without(rows, scores.where("predicted = 0"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the kernel has learnt; those without text or letters go."""
-    return _without(docs, languages(docs), F.col("lang_pred") != UNKNOWN)
+    rows = _numbered(docs)
+    return _without(rows, languages(rows, row_col="_row").where(F.col("lang_pred") == UNKNOWN))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the smallest id."""
-    return _without(docs, exact_groups(docs), F.col("kept"))
+    """One row of each group of equal texts, that with the smallest id."""
+    rows = _numbered(docs)
+    groups = exact_groups(rows, id_col="_row").where("group_size > 1")
+    return _without(rows, _copies(rows, groups.select("_row", F.col("keep_id").alias("_group"))))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    return _without(docs, near_duplicates(docs, width=5, similar=(80, 100)), F.col("kept"))
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more), that with the smallest id."""
+    rows = _numbered(docs)
+    groups = near_duplicates(rows, id_col="_row", width=5, similar=(80, 100))
+    return _without(rows, _copies(rows, groups.select("_row", F.col("component_id").alias("_group"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

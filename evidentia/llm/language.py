@@ -100,7 +100,7 @@ def learn(df: DataFrame, each: int, held_out, id_col: str, text_col: str, lang_c
 
 
 def languages(
-    df: DataFrame, held_out=None, each: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    df: DataFrame, held_out=None, each: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", row_col: str | None = None
 ) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score (0 to 1).
 
@@ -111,11 +111,13 @@ def languages(
     are predicted and held in. An empty table gives no rows; other columns don't matter.
 
     held_out: a column function of the id, by default crc32(id as text) mod 3 = 1.
+    row_col: a column without nulls that is given back with each row, where ids don't tell rows apart.
     """
     apart = held_out or (lambda c: F.coalesce(F.pmod(id_crc(c), F.lit(3)) == 1, F.lit(False)))
     kernel = learn(df, each, apart, id_col, text_col, lang_col)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    own = [F.col(row_col).alias("row")] if row_col else []
+    rows = df.select(F.col(id_col).alias("id"), *own, F.col(text_col).alias("text"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     sent = df.sparkSession.sparkContext.broadcast(kernel)
 
     def run(batches):
@@ -132,7 +134,8 @@ def languages(
                         spot = at[first + i : first + i + len(best)]
                         name[spot] = np.array(model.languages, object)[best]
                         score[spot] = value
-            yield pd.DataFrame({"id": pdf["id"], "lang_pred": name, "score": score})
+            yield pdf.drop(columns="text").assign(lang_pred=name, score=score)
 
-    out = rows.mapInPandas(run, f"id {kind}, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), apart(F.col("id")).alias("held_out"), "lang_pred", "score")
+    out = rows.mapInPandas(run, f"{kind}, lang_pred string, score double")
+    own = [F.col("row").alias(row_col)] if row_col else []
+    return out.select(F.col("id").alias(id_col), *own, apart(F.col("id")).alias("held_out"), "lang_pred", "score")

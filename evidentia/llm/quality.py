@@ -181,11 +181,11 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 24, pair_bins: int = 8, rounds
 def _featured(batches):
     for pdf in batches:
         x = text_features(pdf["text"])
-        yield pd.DataFrame({"id": pdf["id"], "x": list(x)})
+        yield pdf.drop(columns="text").assign(x=list(x))
 
 
 def quality_scores(
-    df: DataFrame, labels: DataFrame, held_out=None, threshold: float = 0.7, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    df: DataFrame, labels: DataFrame, held_out=None, threshold: float = 0.7, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None
 ) -> DataFrame:
     """One row per input row: id, held_out, score (0 to 1), predicted (1 from `threshold` on).
 
@@ -196,11 +196,13 @@ def quality_scores(
     one by one. An empty table gives no rows; other columns don't matter.
 
     held_out: a column function of the id, by default crc32(id as text) mod 4 = 2.
+    row_col: a column without nulls that is given back with each row, where ids don't tell rows apart.
     """
     apart = held_out or (lambda c: F.coalesce(F.pmod(id_crc(c), F.lit(4)) == 2, F.lit(False)))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    held = cut_lineage(rows.mapInPandas(_featured, f"id {kind}, x array<double>"))
+    own = [F.col(row_col).alias("row")] if row_col else []
+    rows = df.select(F.col(id_col).alias("id"), *own, F.col(text_col).alias("text"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    held = cut_lineage(rows.mapInPandas(_featured, f"{kind}, x array<double>"))
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     marked = marked.where(~apart(F.col("id")) & F.col("id").isNotNull())
     # only ids with hashes low enough to be among the least `sample` go on, so that no task sends more than its share
@@ -213,7 +215,8 @@ def quality_scores(
     def scored(batches):
         for pdf in batches:
             x = np.array(pdf["x"].tolist(), float).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"id": pdf["id"], "score": model.score(x)})
+            yield pdf.drop(columns="x").assign(score=model.score(x))
 
-    out = held.mapInPandas(scored, f"id {kind}, score double")
-    return out.select(F.col("id").alias(id_col), apart(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = held.mapInPandas(scored, f"{kind}, score double")
+    own = [F.col("row").alias(row_col)] if row_col else []
+    return out.select(F.col("id").alias(id_col), *own, apart(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

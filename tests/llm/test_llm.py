@@ -237,6 +237,10 @@ def test_ppm_is_a_distribution():
         assert sum(10**x for p, x in zip(same, lp, strict=True) if p >> 8 == ctx) == pytest.approx(1, abs=1e-9)
 
 
+def labels_of(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet").collect()
+
+
 def accuracy(rows, truth, name):
     held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
     return sum(truth[r["doc_id"]] == r[name] for r in held) / len(held)
@@ -440,6 +444,45 @@ def test_sampling_has_the_lattice_distribution():
         assert abs(got[a] / n - w / total) < 4 * math.sqrt(w / total / n) + 1e-3
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_pipeline_stages_judge_each_row(spark, docs, stored, tmp_path):
+    """Rows that repeat an id, with the same text or another, and rows without an id."""
+    import corpus_pipeline
+
+    def stage(name, rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+        if stored:
+            df.write.parquet(str(tmp_path / name))
+            df = spark.read.parquet(str(tmp_path / name))
+        out = dict(corpus_pipeline.STAGES)[name](spark, df, SF)
+        assert out.columns == df.columns
+        return Counter((r["doc_id"], r["text"]) for r in out.collect())
+
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    marked = {r["doc_id"] for r in labels_of(spark)}
+    verdict = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet"), threshold=0.5).collect()}
+    good = next(r for r in rows if verdict[r[0]] and r[0] not in marked)
+    bad = next(r for r in rows if not verdict[r[0]])
+    more = [(None, *bad[1:]), (good[0], *bad[1:]), (None, *good[1:])]
+    want = Counter((r[0], r[1]) for r in rows if verdict[r[0]]) + Counter([(None, good[1])])
+    assert stage("quality", rows + more) == want
+
+    more = [(None, "12 34", None, None), (4, "12 34", None, None), (4, "the cat sat on the mat", "en", "s")]
+    want = Counter((r[0], r[1]) for r in ODD + more if r[1] and any(map(str.isalpha, r[1])))
+    assert stage("language", ODD + more) == want
+
+    long = "word " * 4000
+    more = [(None, "the cat sat on the mat", "en", "s"), (None, "no id", None, None), (10, long, "fr", "t"), (4, "the cat sat on the mat", "en", "s")]
+    for name, alike in (("exact_dedup", lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")), ("near_dedup", lambda t: tuple(WORD.findall((t or "").lower().encode())))):
+        groups = defaultdict(list)
+        for n, r in enumerate(ODD + more):
+            groups[alike(r[1]) or ((n,) if name == "near_dedup" else "")].append(r[:2])
+        ids = Counter(min((r[0] is None, r[0] or 0) for r in g) for g in groups.values())
+        got = stage(name, ODD + more)
+        assert Counter((i is None, i or 0) for i, _ in got.elements()) == ids and got[(10, "one")] == 1 and got[(10, long)] == 0
+        assert got[(None, "no id")] == 1 and sum(got.values()) == len(groups)
+
+
 def test_pipeline(spark, docs, texts):
     import corpus_pipeline
 
