@@ -21,6 +21,8 @@ from evidentia.llm.quality import quality_scores
 
 #: Documents whose chance of label 1 is lower go.
 QUALITY = 0.5
+#: Documents of whose distinct grams a smaller share stands in the texts that the kernel learnt from go.
+KNOWN = 0.5
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -64,9 +66,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the kernel has learnt; those without text or letters go."""
+    """Documents of whose grams the learnt languages hold at least half; those without text or letters go too."""
     rows = _numbered(docs)
-    return _without(rows, languages(rows, row_col="_row").where(F.col("lang_pred") == UNKNOWN))
+    return _without(rows, languages(rows, row_col="_row", least_known=KNOWN).where(F.col("lang_pred") == UNKNOWN))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

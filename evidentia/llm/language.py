@@ -54,16 +54,26 @@ class Kernel:
 
     def block(self, raws: list[bytes]) -> np.ndarray:
         """Blended spectrum presence kernel of texts with the landmarks: the mean cosine over gram lengths."""
+        return self.compare(raws)[0]
+
+    def compare(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The kernel with the landmarks, and the share of a text's grams that stand in any landmark."""
+        known, grams = np.zeros(len(raws)), np.zeros(len(raws))
         out = np.zeros((len(raws), len(self.weights) if len(self.weights) else self.landmarks[0].shape[1]), np.float32)
         for m, cols, held in zip(presence(raws), self.grams, self.landmarks, strict=True):
-            norm = np.sqrt(np.maximum(m.sum(axis=1), 1)).astype(np.float32)
-            out += (m[:, cols].astype(np.float32) @ held) / norm[:, None]
-        return out / len(SIZES)
-
-    def predict(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        f = self.block(raws) @ self.weights
+            n, own = m.sum(axis=1), m[:, cols].astype(np.float32)
+            norm = np.sqrt(np.maximum(n, 1)).astype(np.float32)
+            out += (own @ held) / norm[:, None]
+            known += own.sum(axis=1)
+            grams += n
+        return out / len(SIZES), known / np.maximum(grams, 1)
+
+    def predict(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best language of each text, its score, and the share of the text's grams that are known."""
+        k, known = self.compare(raws)
+        f = k @ self.weights
         best = f.argmax(axis=1)
-        return best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1)
+        return best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1), known
 
 
 def fit(raws: list[bytes], languages: list[str], landmarks_each: int = 32, ridge: float = 1e-4) -> Kernel | None:
@@ -100,7 +110,7 @@ def learn(df: DataFrame, each: int, held_out, id_col: str, text_col: str, lang_c
 
 
 def languages(
-    df: DataFrame, held_out=None, each: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", row_col: str | None = None
+    df: DataFrame, held_out=None, each: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", row_col: str | None = None, least_known: float = 0.0
 ) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score (0 to 1).
 
@@ -112,6 +122,8 @@ def languages(
 
     held_out: a column function of the id, by default crc32(id as text) mod 3 = 1.
     row_col: a column without nulls that is given back with each row, where ids don't tell rows apart.
+    least_known: texts of whose distinct grams a smaller share stands in any landmark text are `und` with
+    score 0 too; by default each text with a letter is given the best of the learnt languages.
     """
     apart = held_out or (lambda c: F.coalesce(F.pmod(id_crc(c), F.lit(3)) == 1, F.lit(False)))
     kernel = learn(df, each, apart, id_col, text_col, lang_col)
@@ -130,8 +142,9 @@ def languages(
             if model is not None and len(at):
                 for first, raws in steps(pdf["text"].iloc[at].tolist()):
                     for i in range(0, len(raws), ROWS):
-                        best, value = model.predict(raws[i : i + ROWS])
-                        spot = at[first + i : first + i + len(best)]
+                        best, value, known = model.predict(raws[i : i + ROWS])
+                        spot, meets = at[first + i : first + i + len(best)], known >= least_known
+                        spot, best, value = spot[meets], best[meets], value[meets]
                         name[spot] = np.array(model.languages, object)[best]
                         score[spot] = value
             yield pdf.drop(columns="text").assign(lang_pred=name, score=score)
