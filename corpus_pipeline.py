@@ -19,8 +19,8 @@ from evidentia.llm.near_dedup import near_duplicates
 from evidentia.llm.packing import Limits, pack
 from evidentia.llm.quality import quality_scores
 
-#: Documents whose chance of label 1 is lower go.
-QUALITY = 0.5
+#: Documents whose chance of label 1 is lower go, as in op6.
+QUALITY = 0.7
 #: Documents of whose distinct grams a smaller share stands in the texts that the kernel learnt from go.
 KNOWN = 0.5
 

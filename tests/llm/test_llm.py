@@ -254,6 +254,17 @@ def test_quality_held_out(spark):
     assert accuracy(rows, {r["doc_id"]: r["quality"] for r in marks.collect()}, "predicted") >= 0.97
 
 
+def test_quality_stage_rejects_what_op6_rejects(spark):
+    import corpus_pipeline
+    from evidentia.llm.queries import QUERIES
+
+    sf = SF.replace("0.001", "0.01")
+    rows = QUERIES["op6_quality"](spark, sf).collect()
+    out = corpus_pipeline.quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in rows if r["predicted"]}
+    assert any(0.5 <= r["score"] < 0.7 for r in rows)
+
+
 def test_quality_without_labels(spark):
     rows = quality.quality_scores(odd(spark), labels(spark).where("false")).collect()
     assert {r["score"] for r in rows} == {0.5}
@@ -470,7 +481,7 @@ def test_pipeline_stages_judge_each_row(spark, docs, stored, tmp_path):
 
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
     marked = {r["doc_id"] for r in labels_of(spark)}
-    verdict = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet"), threshold=0.5).collect()}
+    verdict = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet"), threshold=0.7).collect()}
     good = next(r for r in rows if verdict[r[0]] and r[0] not in marked)
     bad = next(r for r in rows if not verdict[r[0]])
     more = [(None, *bad[1:]), (good[0], *bad[1:]), (None, *good[1:])]
