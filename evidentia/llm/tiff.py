@@ -221,16 +221,20 @@ def write_tiff(pages: list[np.ndarray], layouts: list[tuple[int, int, bool]]) ->
 
 
 def read_tiff(data: bytes):
-    """Each page's (tags, samples as an array of rows, width, samples), following the chain of directories."""
+    """Each page's (tags, samples as an array of rows, width, samples), following the chain of directories.
+
+    A page that cannot be read has None for its samples; the first fault is raised after the last page.
+    """
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
     if order is None:
         raise Broken("no TIFF header")
+    fault = None
     try:
         (at,) = struct.unpack_from(order + "I", data, 4)
         seen = set()
         while at:
             if at in seen:
-                raise Broken("the directories form a loop")
+                raise fault or Broken("the directories form a loop")
             seen.add(at)
             (n,) = struct.unpack_from(order + "H", data, at)
             tags: dict[int, list[int]] = {}
@@ -243,10 +247,16 @@ def read_tiff(data: bytes):
                 if size * count > 4:
                     (spot,) = struct.unpack_from(order + "I", data, spot)
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, spot))
-            yield tags, _pixels(data, tags)
+            try:
+                image = _pixels(data, tags)
+            except Broken as e:
+                image, fault = None, fault or e
+            yield tags, image
             (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
     except struct.error as e:
-        raise Broken(f"a directory reaches beyond the file: {e}") from e
+        raise fault or Broken(f"a directory reaches beyond the file: {e}") from e
+    if fault:
+        raise fault
 
 
 def _pixels(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
@@ -325,8 +335,8 @@ _PAGE = "page int, width int, height int, samples int, compression int, predicto
 def tiff_files(df: DataFrame, media_col: str = "media") -> DataFrame:
     """The input with `pages` (array of page structs, in order) and `error` instead of columns of these names.
 
-    A file that cannot be read keeps the pages before the fault and tells it in `error`; a null or empty file
-    has no pages and the error `no TIFF header`. An empty table gives no rows.
+    Pages that cannot be read are left out, the others keep their number in the file, and `error` tells the
+    first fault; a broken directory ends the file. A null or empty file has no pages and the error `no TIFF header`. An empty table gives no rows.
     """
     df = df.drop(*(c for c in df.columns if c in ("pages", "error")))
 
@@ -338,9 +348,11 @@ def tiff_files(df: DataFrame, media_col: str = "media") -> DataFrame:
                 for data in part[media_col]:
                     pages, error = [], None
                     try:
-                        for tags, image in read_tiff(data or b""):
+                        for page, (tags, image) in enumerate(read_tiff(data or b"")):
+                            if image is None:
+                                continue
                             pages.append({
-                                "page": len(pages), "width": image.shape[1], "height": image.shape[0], "samples": image.shape[2],
+                                "page": page, "width": image.shape[1], "height": image.shape[0], "samples": image.shape[2],
                                 "compression": tags.get(COMPRESSION, [1])[0], "predictor": tags.get(PREDICTOR, [1])[0], "tiled": TILES in tags,
                                 "feature": page_feature(image), "data": image.tobytes(),
                             })

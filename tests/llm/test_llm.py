@@ -415,6 +415,18 @@ def test_tiff_layouts_and_faults(spark):
     assert {r["doc_id"] for r in rows if r["error"]} == {2, 3, 4, 5}
 
 
+def test_tiff_goes_on_after_an_unreadable_page(spark):
+    import struct
+
+    pages = [np.full((20, 16, 1), v, np.uint8) for v in (1, 2, 3)]
+    data = tiff.write_tiff(pages, [(tiff.NONE, 1, False)] * 3)
+    bits = [struct.pack("<HHIHH", tiff.BITS, 3, 1, n, 0) for n in (8, 16)]
+    spot = data.index(bits[0], data.index(bits[0]) + 1)
+    data = data[:spot] + bits[1] + data[spot + len(bits[1]) :]
+    rows = tiff.tiff_pages(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary")).collect()
+    assert [(r["page"], bytes(r["data"])) for r in rows] == [(0, pages[0].tobytes()), (2, pages[2].tobytes())] and all(r["error"] for r in rows)
+
+
 def test_tiff_query(spark, texts):
     from evidentia.llm.queries import QUERIES
 
