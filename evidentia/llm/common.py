@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 
@@ -24,10 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_storage(spark: SparkSession) -> None:
-    """checkpoint() writes to spark.checkpoint.dir; only a session without one (a test) gets a local folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
+def shared_storage(spark: SparkSession) -> str:
+    """The folder that checkpoint() writes to: spark.checkpoint.dir, or the one set for the session.
+
+    A session without one gets a temporary folder only if it is local (a test); on a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="evidentia-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -73,35 +82,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E6C63D0876A9A35 | 1
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps_ = np.full(n, base, np.uint64)
-            steps_[0] = 1
-            _POWERS[name] = np.cumprod(steps_, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+#: The bytes of eight that a word's last block keeps, by how many are its own.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG_WORD = 4096
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts (A-Z lower-cased), and each text's number of words.
 
-    A word's hash is its polynomial over the 64-bit ring, taken as a difference of running sums, so no
-    Python object is made per word.
+    A word's hash runs over its blocks of eight bytes, mixing after each, and starts from its length: words of
+    one block and one length differ for certain, others agree by chance only (2^-64), whatever pattern their
+    bytes have. All words take a step at once, so no Python object is made per word; words longer than
+    LONG_WORD have a BLAKE2 digest instead.
     """
     joined = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     n = len(joined)
     blank = IS_SPACE[joined]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[joined].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    size = end - start
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = LOWER[joined]
+    eights = np.ndarray((n,), "<u8", low, 0, (1,))  # the eight bytes from each place on
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > LONG_WORD)
+    at, block = (np.flatnonzero(size <= LONG_WORD) if len(long) else np.arange(len(size))), 0
+    while len(at):
+        left = size[at] - block
+        h[at] = mix(h[at] ^ (eights[start[at] + block] & _TAIL[np.minimum(left, 8)]))
+        at = at[left > 8]
+        block += 8
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     lengths = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
     until = np.searchsorted(start, np.cumsum(lengths), "left")
     return h, np.diff(np.concatenate(([0], until)))

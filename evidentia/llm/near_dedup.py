@@ -21,6 +21,8 @@ WIDE = 256
 BLOCK = 256
 #: Pairs of two blocks that go on as rows; of more, the two blocks' sets are brought together once.
 FEW = 64
+#: Bytes of full sets that are gathered for two blocks at most; beyond it each pair brings its own two sets.
+GATHERED = 64 << 20
 
 
 def beyond(within: int, p: float, n: int = WIDE) -> float:
@@ -126,10 +128,10 @@ def _sets(width: int, index: Index):
                 if len(s):
                     # order-free fingerprint of the whole set in two independent 64-bit sums
                     a, b = int(np.sum(mix(s + np.uint64(1)))), int(np.sum(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
-                    out.append((pdf["id"].iat[i], len(s), (a & (1 << 64) - 1).to_bytes(8, "big") + (b & (1 << 64) - 1).to_bytes(8, "big"), signature(s, index)))
+                    out.append((pdf["id"].iat[i], pdf["words"].iat[i], len(s), (a & (1 << 64) - 1).to_bytes(8, "big") + (b & (1 << 64) - 1).to_bytes(8, "big"), signature(s, index)))
                 else:
-                    out.append((pdf["id"].iat[i], 0, None, None))
-            yield pd.DataFrame(out, columns=["id", "n", "fp", "sig"]).astype({"id": "Int64"})
+                    out.append((pdf["id"].iat[i], pdf["words"].iat[i], 0, None, None))
+            yield pd.DataFrame(out, columns=["id", "words", "n", "fp", "sig"]).astype({"id": "Int64"})
 
     return run
 
@@ -229,7 +231,7 @@ def _pair_members(batches):
 def _full_sets(width: int):
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"cid": pdf["id"].to_numpy(np.int64), "full": [s.tobytes() for s in shingle_sets(pdf["text"], width)]})
+            yield pd.DataFrame({"cid": pdf["cid"].to_numpy(np.int64), "full": [s.tobytes() for s in shingle_sets(pdf["text"], width)]})
 
     return run
 
@@ -276,14 +278,15 @@ def _confirm_blocks(index: Index):
     return run
 
 
-def _made_sets(needed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The full shingle sets of the ids needed, made again from the whole texts."""
-    sets = texts.join(needed.distinct(), "id", "left_semi").dropDuplicates(["id"])
-    return cut_lineage(sets.mapInPandas(_full_sets(width), "cid long, full binary"))
+def _made_sets(needed: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The full shingle sets of the classes needed, made again from a whole text of each."""
+    own = reps.join(needed.distinct(), "cid", "left_semi").select("cid", "id", "words")
+    sets = texts.join(own, ["id", "words"]).dropDuplicates(["id", "words", "cid"])
+    return cut_lineage(sets.select("cid", "text").mapInPandas(_full_sets(width), "cid long, full binary"))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
@@ -294,12 +297,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
 
 
 def _confirmed_blocks(blocks: DataFrame, members: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
-    """The same for blocks' pair lists: a set is brought once to each two blocks, not once to each pair."""
+    """The same for blocks' pair lists: a set is brought once to each two blocks, not once to each pair.
+
+    Two blocks of long texts, whose sets together pass GATHERED bytes, are confirmed pair by pair instead.
+    """
     place = ["lead", "parts", "i", "j"]
-    held = members.join(sets, "cid").groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("cid", "full"))).alias("held"))
+    held = members.join(sets, "cid")
+    large = cut_lineage(held.groupBy(*place).agg(F.sum(F.octet_length("full")).alias("bytes")).where(F.col("bytes") > GATHERED).select(*place))
+    one_by_one = blocks.join(large, place, "left_semi").mapInPandas(_pair_rows, "a long, b long")
+    held = held.join(large, place, "left_anti").groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("cid", "full"))).alias("held"))
     held = held.select(*place, F.col("held.cid").alias("cids"), F.col("held.full").alias("fulls"))
     both = held.join(blocks.groupBy(*place).agg(F.collect_list("pairs").alias("lists")), place)
-    return cut_lineage(both.mapInPandas(_confirm_blocks(index), "a long, b long"))
+    return cut_lineage(both.mapInPandas(_confirm_blocks(index), "a long, b long")).unionByName(_confirmed(one_by_one, sets, index))
 
 
 def near_duplicates(
@@ -308,11 +317,12 @@ def near_duplicates(
     """One row per input row: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Words are runs without space, tab or line ends, A-Z lower-cased; a document's set holds its distinct
-    `width`-word shingles (the whole sequence if it has fewer words). Documents are linked when
-    den * |a & b| >= num * |a | b|. Texts without words (null, empty, blank) have 0 shingles and link with
-    nothing. Ids should be unique; of rows that repeat an id each gets its own text's set, but the links of
-    the id are those of one of its texts. Rows with a null id are returned unlinked, with their own null id
-    as component. An empty table gives no rows; other columns don't matter.
+    `width`-word shingles (the whole sequence if it has fewer words), as 64-bit hashes: two documents' shingles
+    agree wrongly by chance only. Documents are linked when den * |a & b| >= num * |a | b|. Texts without words
+    (null, empty, blank) have 0 shingles and link with nothing. Rows that repeat an id are one document with
+    several texts: the links of each of its texts are the id's links, and every row has its own text's
+    n_shingles. A row with a null id links nothing; its component_id is null and kept is false. An empty table
+    gives no rows; other columns don't matter.
 
     1. Documents with equal sets form a class at once (a hash of the set, combined before its shuffle); only
        one representative goes on, so exact copies cost nothing below.
@@ -327,28 +337,31 @@ def near_duplicates(
        two blocks of the crowd meet in one task, with each set once.
     """
     index = Index.plan(*similar, miss=miss)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = cut_lineage(texts.mapInPandas(_sets(width, index), "id long, n long, fp binary, sig binary"))
-    classes = docs.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("cid"), F.min("n").alias("n"))
-    classes = cut_lineage(classes)
-    reps = docs.where("fp is not null").join(classes.select("fp", F.col("cid").alias("id"), "cid"), ["fp", "id"]).select("cid", "n", "sig")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("words", F.xxhash64("text"))
+    docs = cut_lineage(texts.mapInPandas(_sets(width, index), "id long, words long, n long, fp binary, sig binary"))
+    named = docs.where("fp is not null and id is not null")
+    # a class has a number of its own, kept by the checkpoint: ids may repeat
+    classes = named.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
+    reps = named.join(classes.select("fp", F.col("first").alias("id"), "cid"), ["fp", "id"]).select("cid", "id", "words", "n", "sig")
     reps = cut_lineage(reps.dropDuplicates(["cid"]))
 
     members = reps.select("cid", "sig").mapInPandas(_keys(index), "key long, cid long")
     shared = members.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(members.join(shared, "key").select("key", "cid", "lead", "size"))
 
+    signed = reps.select("cid", "n", "sig")
     pairs = members.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
-    pairs = pairs.join(reps.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-    pairs = pairs.join(reps.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = pairs.join(signed.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
+    pairs = pairs.join(signed.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
     pairs = cut_lineage(pairs.mapInPandas(_close(index), "a long, b long"))
-    links = _confirmed(pairs, _made_sets(_ids(pairs), texts, width), index)
+    links = _confirmed(pairs, _made_sets(_ids(pairs), reps, texts, width), index)
     settled = cut_lineage(components(links, "a", "b"))
 
     label = F.coalesce(F.col("component"), F.col("cid"))
     labelled = members.join(settled, members["cid"] == settled["node"], "left").select("key", "cid", "lead", "size", label.alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi").join(reps, "cid")
+    rest = labelled.join(open_keys, "key", "left_semi").join(signed, "cid")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     big_endian = [F.unhex(F.lpad(F.hex(F.col(c)), 16, "0")) for c in ("cid", "label", "n")]
@@ -360,16 +373,24 @@ def near_duplicates(
     pairs = found.where(F.col("n") <= FEW).mapInPandas(_pair_rows, "a long, b long")
     many = found.where(F.col("n") > FEW)
     crowd = cut_lineage(many.mapInPandas(_pair_members, "lead long, parts int, i int, j int, cid long").distinct())
-    sets = _made_sets(_ids(pairs).unionByName(crowd.select(F.col("cid").alias("id"))), texts, width)
+    sets = _made_sets(_ids(pairs).unionByName(crowd.select("cid")), reps, texts, width)
+
+    # an id with several sets joins their classes
+    several = named.groupBy("id").agg(F.min(F.xxhash64("fp")).alias("low"), F.max(F.xxhash64("fp")).alias("high")).where("low < high").select("id")
+    several = named.join(several, "id", "left_semi").select("id", "fp").distinct().join(classes.select("fp", "cid"), "fp").select("id", "cid")
+    several = cut_lineage(several)
+    same_id = several.join(several.groupBy("id").agg(F.min("cid").alias("lead")), "id").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
 
-    edges = settled.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = settled.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same_id)
     edges = edges.unionByName(_confirmed(pairs, sets, index)).unionByName(_confirmed_blocks(many, crowd, sets, index))
-    final = components(edges, "a", "b")
-    of_class = classes.join(final, classes["cid"] == final["node"], "left").select("fp", F.coalesce("component", "cid").alias("component"))
-    # rows without a set meet nothing, and don't share one null key
-    key = F.coalesce("fp", F.unhex(F.lpad(F.hex(F.coalesce("id", F.lit(0))), 16, "0")))
-    out = docs.select("id", "n", key.alias("fp")).join(of_class, "fp", "left")
-    component = F.coalesce("component", "id")
+    final = components(edges, "a", "b").select(F.col("node").alias("cid"), "component")
+    linked = final.join(classes.select("cid", "first"), "cid")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "component").select("cid", "least")
+    of_class = classes.join(linked, "cid", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    out = docs.where("fp is not null").select("id", "n", "fp").join(of_class, "fp", "left").drop("fp")
+    out = out.unionByName(docs.where("fp is null").select("id", "n", F.lit(None).cast("long").alias("component")))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
     )

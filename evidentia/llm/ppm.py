@@ -141,6 +141,15 @@ def _training(batches):
             yield pd.DataFrame({"kind": np.full(len(key), kind, np.int32), "key": key, "n": n})
 
 
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each path, token or context falls to."""
+    return (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _joined(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int64)
+
+
 class Block:
     """The distinct paths and tokens of some texts, in an order that both passes over the block find again."""
 
@@ -161,18 +170,20 @@ class Block:
                 labels.append(label.astype(np.int32))
             self.rows.append(labels)
             self.sizes.append((sizes, n))
-        self.keys, self.counts, self.places, self.cuts = [], [], [], []
+        self.keys, self.counts, self.places, owners = [], [], [], []
         for kind in range(2):
             key, n = _tally(keys[kind], train[kind])
-            spot = (key >> 8) & 0xFFFFFF if kind == 0 else key
-            part = (mix(spot.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            part = _part(key, parts)
             by = np.lexsort((key, part))
             self.keys.append(key[by])
             self.counts.append(n[by])
-            self.cuts.append(np.searchsorted(part[by], np.arange(parts + 1)))
+            owners.append(part[by])
             at = np.empty(len(key), np.int64)
             at[by] = np.arange(len(key))
             self.places.append([at[pd.Index(key).get_indexer(k)] for k in keys[kind]])
+        #: the parts that hold anything of this block, and where each one's paths and tokens start
+        self.parts = np.union1d(*owners)
+        self.cuts = [np.append(np.searchsorted(owner, self.parts), len(owner)) for owner in owners]
 
     def sums(self, kind: int, values: np.ndarray) -> np.ndarray:
         """For each text the sum of the values of its paths or tokens."""
@@ -195,12 +206,15 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
 
     1. One pass without a shuffle of texts counts contexts of two bytes (at most 2^24 numbers reach the
        driver and the workers), the training tokens and their kinds.
-    2. Texts are dealt into blocks by a hash of the id. Each block tells its distinct paths and tokens (by
-       64-bit hash) with their training counts, one array for each part of the path space; a part holds all
-       paths with the same last three context bytes, adds up the counts of all blocks, and answers each
-       block with the probability of each of its paths and the count of each of its tokens.
-    3. Each block meets the answers and adds up its texts. Blocks and parts grow with the input, so that no
-       task holds more than its share of the trie; the trie as a whole is nowhere.
+    2. Texts are dealt into blocks by a hash of id and text. Each block tells its distinct paths and tokens
+       (by 64-bit hash) with their training counts, one array for each part that they fall to by a hash of
+       the whole path or token, so a frequent context is spread over all parts.
+    3. Parts add up the counts of all blocks. Then each distinct path goes once to the place of its last three
+       context bytes, where its probability is found, and back: what meets there is a piece of the trie
+       (2^24 paths at most), not the blocks' messages.
+    4. Parts answer each block with the probability of each of its paths and the count of each of its tokens,
+       and blocks add up their texts. Blocks and parts grow with the input, so that no task holds more than
+       its share; the trie as a whole is nowhere.
 
     held_out: a column function of the id, by default crc32(id as text) mod 7 = 2.
     """
@@ -208,7 +222,7 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     blocks = parts = spread(df)
-    rows = rows.withColumn("held_out", apart(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("held_out", apart(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     counted = rows.where("not held_out").select("text").mapInPandas(_training, "kind int, key long, n long")
     counted = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -220,23 +234,41 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
 
     def told(pdf: pd.DataFrame) -> pd.DataFrame:
         block = Block(pdf["text"], pdf["held_out"], parts)
-        out = []
-        for p in range(parts):
-            (a, b), (c, d) = block.cuts[0][p : p + 2], block.cuts[1][p : p + 2]
-            if b > a or d > c:
-                out.append((int(pdf["block"].iat[0]), p, *(x.tobytes() for x in (block.keys[0][a:b], block.counts[0][a:b], block.keys[1][c:d], block.counts[1][c:d]))))
+        number, out = int(pdf["block"].iat[0]), []
+        for i, p in enumerate(block.parts.tolist()):
+            (a, b), (c, d) = block.cuts[0][i : i + 2], block.cuts[1][i : i + 2]
+            out.append((number, p, *(x.tobytes() for x in (block.keys[0][a:b], block.counts[0][a:b], block.keys[1][c:d], block.counts[1][c:d]))))
         return pd.DataFrame(out, columns=["block", "part", "paths", "path_n", "words", "word_n"])
 
-    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, n in (("paths", "path_n"), ("words", "word_n")):
-            keys = np.frombuffer(b"".join(pdf[key]), np.int64)
-            label, kept = pd.factorize(keys, sort=True)
-            total = np.bincount(label, np.frombuffer(b"".join(pdf[n]), np.int64), len(kept))
-            value = log_probabilities(kept, total, sent.value) if key == "paths" else total
-            ends = np.cumsum([len(x) // 8 for x in pdf[key]])
-            out.append([v.tobytes() for v in np.split(value[label], ends[:-1])])
-        return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "path_lp": out[0], "word_c": out[1]})
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, path = pd.factorize(_joined(pdf["paths"]))
+        n = np.bincount(label, _joined(pdf["path_n"]), len(path)).astype(np.int64)
+        context = _part((path >> 8) & 0xFFFFFF, parts)
+        by = np.argsort(context, kind="stable")
+        found, cut = np.unique(context[by], return_index=True)
+        each = list(zip(np.split(path[by], cut[1:]), np.split(n[by], cut[1:]), strict=True)) if len(found) else []
+        rows = [(c, int(pdf["part"].iat[0]), p.tobytes(), k.tobytes()) for c, (p, k) in zip(found.tolist(), each, strict=True)]
+        return pd.DataFrame(rows, columns=["context", "part", "paths", "path_n"])
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        path, n = _joined(pdf["paths"]), _joined(pdf["path_n"])
+        by = np.argsort(path)
+        lp = np.empty(len(path))
+        lp[by] = log_probabilities(path[by], n[by], sent.value)
+        ends = np.cumsum([len(x) // 8 for x in pdf["paths"]])
+        return pd.DataFrame({"part": pdf["part"], "paths": pdf["paths"], "lp": [v.tobytes() for v in np.split(lp, ends[:-1])]})
+
+    def answered(tells: pd.DataFrame, trie: pd.DataFrame) -> pd.DataFrame:
+        if not len(tells):
+            return pd.DataFrame(columns=["block", "part", "path_lp", "word_c"])
+        path, lp = _joined(trie["paths"]), np.frombuffer(b"".join(trie["lp"]), np.float64)
+        by = np.argsort(path)
+        path, lp = path[by], lp[by]
+        out = [lp[np.searchsorted(path, np.frombuffer(x, np.int64))].tobytes() for x in tells["paths"]]
+        label, words = pd.factorize(_joined(tells["words"]))
+        total = np.bincount(label, _joined(tells["word_n"]), len(words)).astype(float)
+        ends = np.cumsum([len(x) // 8 for x in tells["words"]])
+        return pd.DataFrame({"block": tells["block"], "part": tells["part"], "path_lp": out, "word_c": [v.tobytes() for v in np.split(total[label], ends[:-1])]})
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -250,9 +282,10 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
             "base": block.sums(1, np.log10(c + 1)), "score": block.sums(0, lp),
         })
 
-    dealt = rows.groupBy("block")
-    tells = dealt.applyInPandas(told, "block int, part int, paths binary, path_n binary, words binary, word_n binary")
-    answers = tells.groupBy("part").applyInPandas(answered, "block int, part int, path_lp binary, word_c binary")
+    tells = rows.groupBy("block").applyInPandas(told, "block int, part int, paths binary, path_n binary, words binary, word_n binary")
+    trie = tells.groupBy("part").applyInPandas(summed, "context int, part int, paths binary, path_n binary")
+    trie = trie.groupBy("context").applyInPandas(judged, "part int, paths binary, lp binary")
+    answers = tells.groupBy("part").cogroup(trie.groupBy("part")).applyInPandas(answered, "block int, part int, path_lp binary, word_c binary")
     out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
