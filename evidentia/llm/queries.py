@@ -28,9 +28,7 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiff import store_payloads, tiff_files
 
-    read = tiff_files(store_payloads(table(spark, sf_dir, "documents")))
-    payload = F.expr("aggregate(pages, X'', (all, p) -> concat(all, p.data))")
-    read = read.select("*", payload.alias("payload"))
+    read = tiff_files(store_payloads(table(spark, sf_dir, "documents")), joined=True)
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),

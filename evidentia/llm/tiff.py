@@ -15,9 +15,17 @@ NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: Tag numbers of the format (fixed).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 317, 322, 323, 324, 325
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
 #: Bytes and unpacking codes of the field types that hold unsigned numbers.
 _TYPES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
+#: Kinds of samples by the format's number (fixed), and the widths in bits that each may have.
+_KINDS = {1: ("u", (1, 8, 16, 32)), 2: ("i", (8, 16, 32)), 3: ("f", (16, 32, 64))}
+#: Decoded bytes of one file at most; pages beyond it are unreadable.
+LARGEST = 1 << 30
+#: No codec here makes more bytes of one (LZW: 3,839 of a code of 12 bits).
+EXPANSION = 4096
+#: Bytes of decoded files that are handed on together, or one larger file.
+TOGETHER = 32 << 20
 
 #: Shape of the pages written for payloads: one row of pixels is 192 bytes.
 PAGE_WIDTH, PAGE_SAMPLES, PAGE_ROWS = 64, 3, 256
@@ -74,10 +82,11 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(np.concatenate(bits).astype(np.uint8)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int = 1 << 62) -> bytes:
+    """The bytes of the stream, up to the code that completes `size` bytes."""
     stream = np.unpackbits(np.frombuffer(data, np.uint8))
     out: list[bytes] = []
-    at = 0
+    at = made = 0
     roots = [bytes([b]) for b in range(256)] + [b"", b""]
     start = True
     while True:
@@ -108,6 +117,9 @@ def lzw_decode(data: bytes) -> bytes:
                     raise Broken("an LZW code is not in the table")
                 out.append(entry)
                 last = entry
+                made += len(entry)
+                if made >= size:
+                    return b"".join(out)
             if again:
                 break
             if start:
@@ -137,18 +149,20 @@ def packbits_encode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, at, n = [], 0, len(data)
-    while at < n:
+def packbits_decode(data: bytes, size: int = 1 << 62) -> bytes:
+    out, at, n, made = [], 0, len(data), 0
+    while at < n and made < size:
         head = data[at]
         if head < 128:
             out.append(data[at + 1 : at + 2 + head])
             at += 2 + head
+            made += 1 + head
         elif head == 128:
             at += 1
         else:
             out.append(data[at + 1 : at + 2] * (257 - head))
             at += 2
+            made += 257 - head
     return b"".join(out)
 
 
@@ -161,15 +175,16 @@ def _compress(block: np.ndarray, compression: int) -> bytes:
 
 
 def _expand(data: bytes, compression: int, size: int) -> bytes:
+    """The first `size` bytes of a strip or tile; no more are made than these and one code's."""
     try:
         if compression == NONE:
             raw = data
         elif compression == PACKBITS:
-            raw = packbits_decode(data)
+            raw = packbits_decode(data, size)
         elif compression == LZW:
-            raw = lzw_decode(data)
+            raw = lzw_decode(data, size)
         elif compression in (DEFLATE, 32946):
-            raw = zlib.decompress(data)
+            raw = zlib.decompressobj().decompress(data, size)
         else:
             raise Broken(f"compression {compression}")
     except zlib.error as e:
@@ -220,71 +235,104 @@ def write_tiff(pages: list[np.ndarray], layouts: list[tuple[int, int, bool]]) ->
     return bytes(out)
 
 
-def read_tiff(data: bytes):
+def _fields(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int]:
+    """A directory's tags with unsigned numbers, and where the next directory is (0: there is none)."""
+
+    def numbers(code, count, spot):
+        if spot + count * struct.calcsize(code) > len(data):
+            raise Broken("a directory reaches beyond the file")
+        return np.frombuffer(data, order + {"B": "u1", "H": "u2", "I": "u4"}[code], count, spot).tolist()
+
+    (n,) = numbers("H", 1, at)
+    (following,) = numbers("I", 1, at + 2 + 12 * n)
+    tags: dict[int, list[int]] = {}
+    for spot in range(at + 2, at + 2 + 12 * n, 12):
+        tag, kind = numbers("H", 2, spot)
+        (count,) = numbers("I", 1, spot + 4)
+        if kind in _TYPES and count:
+            size, code = _TYPES[kind]
+            tags[tag] = numbers(code, count, spot + 8 if size * count <= 4 else numbers("I", 1, spot + 8)[0])
+    return tags, following
+
+
+def read_tiff(data: bytes, largest: int = LARGEST):
     """Each page's (tags, samples as an array of rows, width, samples), following the chain of directories.
 
-    A page that cannot be read has None for its samples; the first fault is raised after the last page.
+    A page that cannot be read has None for its samples; the first fault is raised after the last page, a
+    broken directory ends the file. Whatever the bytes, the only error is Broken, and no more than `largest`
+    bytes are decoded.
     """
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
-    if order is None:
+    if order is None or len(data) < 8:
         raise Broken("no TIFF header")
-    fault = None
-    try:
-        (at,) = struct.unpack_from(order + "I", data, 4)
-        seen = set()
-        while at:
-            if at in seen:
-                raise fault or Broken("the directories form a loop")
-            seen.add(at)
-            (n,) = struct.unpack_from(order + "H", data, at)
-            tags: dict[int, list[int]] = {}
-            for i in range(n):
-                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-                if kind not in _TYPES:
-                    continue
-                size, code = _TYPES[kind]
-                spot = at + 10 + 12 * i
-                if size * count > 4:
-                    (spot,) = struct.unpack_from(order + "I", data, spot)
-                tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, spot))
-            try:
-                image = _pixels(data, tags)
-            except Broken as e:
-                image, fault = None, fault or e
-            yield tags, image
-            (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-    except struct.error as e:
-        raise fault or Broken(f"a directory reaches beyond the file: {e}") from e
+    fault, seen, room = None, set(), [largest]  # the room is spent by pages that fail, too
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    while at:
+        if at in seen:
+            raise fault or Broken("the directories form a loop")
+        seen.add(at)
+        try:
+            tags, at = _fields(data, order, at)
+        except Broken as e:
+            raise fault or e from e
+        try:
+            image = _pixels(data, tags, order, room)
+        except Broken as e:
+            image, fault = None, fault or e
+        yield tags, image
     if fault:
         raise fault
 
 
-def _pixels(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
+def _pixels(data: bytes, tags: dict[int, list[int]], order: str, room: list[int]) -> np.ndarray:
     def one(tag, default=None):
-        if tag not in tags and default is None:
-            raise Broken(f"tag {tag} is missing")
-        return tags[tag][0] if tag in tags else default
-
-    width, rows, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if set(tags.get(BITS, [1])) != {8} or one(PLANAR, 1) != 1 or predictor not in (1, 2) or min(width, rows, samples) < 1:
-        raise Broken("only chunky 8-bit samples with horizontal differencing are read")
-    image = np.empty((rows, width, samples), np.uint8)
+        found = set(tags[tag]) if tag in (BITS, FORMAT) and tag in tags else set(tags.get(tag, [default])[:1])
+        if found == {None} or len(found) > 1:
+            raise Broken(f"tag {tag} is missing or mixed")
+        return found.pop()
+
+    width, rows, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
+    compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
+    kind, widths = _KINDS.get(one(FORMAT, 1), ("", ()))
+    if bits not in widths or planar not in (1, 2) or min(width, rows, samples) < 1:
+        raise Broken("samples of this format are not read")
+    if predictor != 1 and (predictor, kind == "f") not in ((2, False), (3, True)) or predictor == 2 and bits == 1:
+        raise Broken("this predictor is not read")
+    planes, chunk = (samples, 1) if planar == 2 else (1, samples)
+    item = max(1, bits // 8)
     if TILES in tags:
-        tw, th = one(TILE_WIDTH), one(TILE_HEIGHT)
-        spots = [(y, x, th, tw) for y in range(0, rows, th) for x in range(0, width, tw)]
+        tall, wide = one(TILE_HEIGHT), one(TILE_WIDTH)
         offsets, counts = tags[TILES], tags.get(TILE_BYTES, [])
     else:
-        per = min(one(ROWS_PER_STRIP, rows), rows)
-        spots = [(y, 0, min(per, rows - y), width) for y in range(0, rows, per)]
+        tall, wide = min(one(ROWS_PER_STRIP, rows), rows), width
         offsets, counts = tags.get(STRIPS, []), tags.get(STRIP_BYTES, [])
-    if len(offsets) != len(spots) or len(counts) != len(spots):
+    if min(tall, wide) < 1:
+        raise Broken("strips or tiles without size")
+    down, across = -(-rows // tall), -(-width // wide)
+    if len(offsets) != planes * down * across or len(counts) != len(offsets):
         raise Broken("the number of strips or tiles is wrong")
-    for (y, x, h, w), offset, count in zip(spots, offsets, counts, strict=True):
-        block = np.frombuffer(_expand(data[offset : offset + count], compression, h * w * samples), np.uint8).reshape(h, w, samples)
+    line = -(-wide * chunk * bits // 8)
+    if rows * width * samples * item > room[0] or planes * rows * across * line > EXPANSION * len(data):
+        raise Broken("the page is too large")
+    image = np.empty((rows, width, samples), f"{kind}{item}")
+    for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
+        plane, y, x = k // (down * across), k // across % down * tall, k % across * wide
+        height = tall if TILES in tags else min(tall, rows - y)
+        room[0] -= height * wide * chunk * item
+        if room[0] < 0:
+            raise Broken("the file is too large")
+        block = np.frombuffer(_expand(data[offset : offset + count], compression, height * line), np.uint8).reshape(height, line)
+        if bits == 1:
+            block = np.unpackbits(block, axis=1)[:, : wide * chunk]
+        elif predictor == 3:  # a row's bytes by place in the number, the highest first, as differences
+            block = np.cumsum(block.reshape(height, -1, chunk), axis=1, dtype=np.uint8).reshape(height, item, wide * chunk)
+            block = np.ascontiguousarray(block.transpose(0, 2, 1)).view(f">f{item}")
+        else:
+            block = block.view(f"{order}{'u' if predictor == 2 else kind}{item}")
+        block = block.reshape(height, wide, chunk)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        part = image[y : y + h, x : x + w]
+            block = np.cumsum(block, axis=1, dtype=f"u{item}").view(f"{kind}{item}")
+        part = image[y : y + height, x : x + wide, plane if planar == 2 else 0 :][:, :, :chunk]
         part[:] = block[: part.shape[0], : part.shape[1]]
     return image
 
@@ -292,17 +340,19 @@ def _pixels(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
 def page_feature(image: np.ndarray) -> str:
     """The mean sample, and a 64-bit average hash over 64 equal runs of the samples."""
     flat = image.ravel()
-    total = np.add.reduceat(flat, np.arange(64) * len(flat) // 64, dtype=np.int64) if len(flat) >= 64 else np.zeros(64, np.int64)
-    sizes = np.diff(np.append(np.arange(64) * len(flat) // 64, len(flat)))
-    mean = float(flat.mean())
+    kind = np.float64 if image.dtype.kind == "f" else np.int64
+    with np.errstate(all="ignore"):
+        total = np.add.reduceat(flat, np.arange(64) * len(flat) // 64, dtype=kind) if len(flat) >= 64 else np.zeros(64, np.int64)
+        sizes = np.diff(np.append(np.arange(64) * len(flat) // 64, len(flat)))
+        mean = float(flat.mean(dtype=np.float64))
     bits = np.packbits(total > mean * sizes).tobytes().hex()
     return f"{mean:.2f}/{bits}"
 
 
 def payload_layout(raw: bytes, page: int) -> tuple[int, int, bool]:
-    """The layout of a payload's page, by its content alone: mostly deflate, every other form now and then."""
+    """The layout of a payload's page, by its content alone: each codec, predictor and form as often as any other."""
     spin = zlib.crc32(raw, page) >> 8
-    compression = {0: LZW, 1: NONE, 2: PACKBITS, 3: PACKBITS}.get(spin % 16, DEFLATE)
+    compression = (LZW, NONE, PACKBITS, DEFLATE)[spin % 4]
     return compression, 2 if compression in (LZW, DEFLATE) and spin >> 4 & 1 else 1, bool(spin >> 5 & 1)
 
 
@@ -321,57 +371,79 @@ def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            for lo, hi in _runs(pdf["text"]):
+                part = pdf.iloc[lo:hi]
                 yield pd.DataFrame({"id": part["id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in part["text"]], "media": [payload_tiff(t) for t in part["text"]]})
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-_PAGE = "page int, width int, height int, samples int, compression int, predictor int, tiled boolean, feature string, data binary"
+def _runs(column, limit: int = TOGETHER):
+    """(first, after last) of runs of values of at most `limit` characters or bytes, or one longer value."""
+    lo = size = 0
+    for i, value in enumerate(column):
+        n = len(value) if value is not None else 0
+        if i > lo and size + n > limit:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(column):
+        yield lo, len(column)
+
 
+_PAGE = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, feature string, data binary"
 
-def tiff_files(df: DataFrame, media_col: str = "media") -> DataFrame:
+
+def tiff_files(df: DataFrame, media_col: str = "media", largest: int = LARGEST, joined: bool = False) -> DataFrame:
     """The input with `pages` (array of page structs, in order) and `error` instead of columns of these names.
 
+    A page's `data` are its samples row by row: a byte each for 1 and 8 bits, else little-endian numbers of
+    `bits`. joined: the samples of all pages follow one another in a column `payload`, and `data` is null.
     Pages that cannot be read are left out, the others keep their number in the file, and `error` tells the
-    first fault; a broken directory ends the file. A null or empty file has no pages and the error `no TIFF header`. An empty table gives no rows.
+    first fault; a broken directory ends the file. A null or empty file has no pages and the error `no TIFF
+    header`; no bytes make the task fail, and a file gives `largest` bytes at most. An empty table gives no rows.
     """
-    df = df.drop(*(c for c in df.columns if c in ("pages", "error")))
+    df = df.drop(*(c for c in df.columns if c in ("pages", "error") or joined and c == "payload"))
+
+    def one(data):
+        pages, samples, error = [], [], None
+        try:
+            for page, (tags, image) in enumerate(read_tiff(data or b"", largest)):
+                if image is None:
+                    continue
+                raw = image.tobytes()
+                samples.append(raw)
+                pages.append({
+                    "page": page, "width": image.shape[1], "height": image.shape[0], "samples": image.shape[2], "bits": tags.get(BITS, [1])[0],
+                    "compression": tags.get(COMPRESSION, [1])[0], "predictor": tags.get(PREDICTOR, [1])[0], "tiled": TILES in tags,
+                    "feature": page_feature(image), "data": None if joined else raw,
+                })
+        except Broken as e:
+            error = str(e)
+        return pages, error, samples
 
     def run(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256].copy()
-                files, errors = [], []
-                for data in part[media_col]:
-                    pages, error = [], None
-                    try:
-                        for page, (tags, image) in enumerate(read_tiff(data or b"")):
-                            if image is None:
-                                continue
-                            pages.append({
-                                "page": page, "width": image.shape[1], "height": image.shape[0], "samples": image.shape[2],
-                                "compression": tags.get(COMPRESSION, [1])[0], "predictor": tags.get(PREDICTOR, [1])[0], "tiled": TILES in tags,
-                                "feature": page_feature(image), "data": image.tobytes(),
-                            })
-                    except Broken as e:
-                        error = str(e)
-                    files.append(pages)
-                    errors.append(error)
-                part["pages"], part["error"] = files, errors
-                yield part
+            lo, size, made = 0, 0, []
+            for i, data in enumerate(pdf[media_col]):
+                made.append(one(data))
+                size += sum(map(len, made[-1][2]))
+                if size > TOGETHER or i + 1 == len(pdf):
+                    out = pdf.iloc[lo : i + 1].copy()
+                    out["pages"], out["error"] = [m[0] for m in made], [m[1] for m in made]
+                    yield out.assign(payload=[b"".join(m[2]) for m in made]) if joined else out
+                    lo, size, made = i + 1, 0, []
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{own}, pages array<struct<{_PAGE.replace(' ', ': ').replace(',:', ',')}>>, error string")
+    return df.mapInPandas(run, f"{own}, pages array<struct<{_PAGE.replace(' ', ': ').replace(',:', ',')}>>, error string" + ", payload binary" * joined)
 
 
-def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
+def tiff_pages(df: DataFrame, media_col: str = "media", largest: int = LARGEST) -> DataFrame:
     """One row per page: the other input columns, then the page's own columns and `error`; columns that clash
     with these names are dropped. A file without a readable page gives one row with null page columns."""
     names = [x.split()[0] for x in _PAGE.split(", ")]
-    files = tiff_files(df.drop(*(c for c in df.columns if c in names and c != media_col)), media_col)
+    files = tiff_files(df.drop(*(c for c in df.columns if c in names and c != media_col)), media_col, largest)
     rest = [c for c in files.columns if c not in (media_col, "pages", "error")]
     out = files.select(*rest, F.explode_outer("pages").alias("_page"), "error")
     return out.select(*rest, *(F.col(f"_page.{n}").alias(n) for n in names), "error")

@@ -427,6 +427,101 @@ def test_tiff_goes_on_after_an_unreadable_page(spark):
     assert [(r["page"], bytes(r["data"])) for r in rows] == [(0, pages[0].tobytes()), (2, pages[2].tobytes())] and all(r["error"] for r in rows)
 
 
+def plain_tiff(order, tags, blobs):
+    """A TIFF of one page: tags as {tag: numbers}, its strips or tiles as given."""
+    import struct
+
+    out, tags = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 0)), dict(tags)
+    offsets = []
+    for blob in blobs:
+        offsets.append(len(out))
+        out += blob
+    where = (tiff.TILES, tiff.TILE_BYTES) if tiff.TILE_WIDTH in tags else (tiff.STRIPS, tiff.STRIP_BYTES)
+    tags |= {where[0]: offsets, where[1]: [len(x) for x in blobs]}
+    fields = []
+    for tag, values in sorted(tags.items()):
+        raw = struct.pack(f"{order}{len(values)}I", *values)
+        if len(raw) > 4:
+            spot = struct.pack(order + "I", len(out))
+            out += raw
+            raw = spot
+        fields.append(struct.pack(order + "HHI", tag, 4, len(values)) + raw)
+    out[4:8] = struct.pack(order + "I", len(out))
+    return bytes(out + struct.pack(order + "H", len(fields)) + b"".join(fields) + bytes(4))
+
+
+def test_tiff_fixed_streams():
+    """Streams written out by hand: the PackBits example of its note, the LZW example of the format's text."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.packbits_decode(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    stream = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(stream) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == stream
+    assert tiff.lzw_decode(tiff.lzw_encode(bytes(10**6)), 5000)[:5000] == bytes(5000)
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_tiff_sample_formats(order):
+    rng = np.random.default_rng(4)
+    size = {tiff.WIDTH: [10], tiff.HEIGHT: [6], tiff.ROWS_PER_STRIP: [4], tiff.COMPRESSION: [tiff.DEFLATE]}
+    bits = rng.integers(0, 2, (6, 10, 1), np.uint8)
+    blobs = [zlib.compress(np.packbits(bits[y : y + 4, :, 0], axis=1).tobytes()) for y in (0, 4)]
+    (_, got), *_ = tiff.read_tiff(plain_tiff(order, size, blobs))
+    assert (got == bits).all()
+    for kind, want in (("u2", 1), ("i2", 2), ("u4", 1), ("f4", 3), ("f8", 3)):
+        image = (rng.normal(size=(6, 10, 3)) * 1000).astype(kind) if kind[0] != "u" else rng.integers(0, 60000, (6, 10, 3)).astype(kind)
+        item = int(kind[1])
+        head = size | {tiff.BITS: [8 * item] * 3, tiff.SAMPLES: [3], tiff.FORMAT: [want] * 3}
+        stored = image.astype(order + kind)
+        for predictor in (1, 3 if want == 3 else 2):
+            for planar in (1, 2):
+                parts = [stored[y : y + 4, :, p : p + 1] for p in range(3) for y in (0, 4)] if planar == 2 else [stored[y : y + 4] for y in (0, 4)]
+                blobs = []
+                for part in parts:
+                    if predictor == 2:
+                        wide = part.astype(f"u{item}")
+                        part = np.concatenate((wide[:, :1], wide[:, 1:] - wide[:, :-1]), axis=1).astype(f"{order}u{item}")
+                        raw = part.tobytes()
+                    elif predictor == 3:
+                        by = np.frombuffer(part.astype(f">f{item}").tobytes(), np.uint8).reshape(len(part), -1, item).transpose(0, 2, 1).reshape(len(part), -1, part.shape[2])
+                        raw = np.concatenate((by[:, :1], by[:, 1:] - by[:, :-1]), axis=1).tobytes()
+                    else:
+                        raw = part.tobytes()
+                    blobs.append(zlib.compress(raw))
+                (_, got), *_ = tiff.read_tiff(plain_tiff(order, head | {tiff.PREDICTOR: [predictor], tiff.PLANAR: [planar]}, blobs))
+                assert got.dtype == np.dtype(kind) and (got == image).all(), (kind, predictor, planar)
+
+
+def test_tiff_damaged_files_give_faults_only(spark):
+    """Thousands of damaged files: the reader raises Broken and nothing else, and decodes no more than its bound."""
+    rnd = random.Random(9)
+    rng = np.random.default_rng(1)
+    pages = [rng.integers(0, 9, (r, w, s), np.uint8) for r, w, s in ((5, 64, 3), (40, 33, 1))]
+    whole = [tiff.write_tiff(pages, [(c, p, t)] * 2) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (False, True)]
+    size = {tiff.WIDTH: [8], tiff.HEIGHT: [8], tiff.BITS: [8]}
+    bad = [plain_tiff("<", size | more, [bytes(64)]) for more in ({tiff.ROWS_PER_STRIP: [0]}, {tiff.TILE_WIDTH: [0], tiff.TILE_HEIGHT: [0]}, {tiff.WIDTH: [2**31], tiff.HEIGHT: [2**31]}, {tiff.COMPRESSION: [99]}, {tiff.WIDTH: []})]
+    for _ in range(4000):
+        data = bytearray(rnd.choice(whole))
+        for _ in range(rnd.randint(1, 6)):
+            data[rnd.choice((rnd.randrange(len(data)), rnd.randrange(max(0, len(data) - 400), len(data))))] = rnd.choice((0, 255, rnd.randrange(256)))
+        bad.append(bytes(data[: rnd.choice((len(data), rnd.randrange(len(data))))]))
+    faults = 0
+    for data in bad:
+        try:
+            assert sum(i.nbytes for _, i in tiff.read_tiff(data, 1 << 22) if i is not None) <= 1 << 22
+        except tiff.Broken:
+            faults += 1
+    assert faults > 2000
+    rows = tiff.tiff_files(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad[:300])], "doc_id long, media binary")).collect()
+    assert len(rows) == 300 and all(r["error"] for r in rows[:5])
+
+
+def test_tiff_bomb_is_bounded():
+    bomb = plain_tiff("<", {tiff.WIDTH: [1 << 14], tiff.HEIGHT: [1 << 14], tiff.BITS: [8], tiff.COMPRESSION: [tiff.DEFLATE]}, [zlib.compress(bytes(1 << 28))])
+    with pytest.raises(tiff.Broken):
+        list(tiff.read_tiff(bomb, 1 << 20))
+
+
 def test_tiff_query(spark, texts):
     from evidentia.llm.queries import QUERIES
 
