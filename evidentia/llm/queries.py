@@ -21,8 +21,9 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
-    )
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "hilbert", "lang_step", "source_step", "size_step",
+    )
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,62 @@ def test_shards(spark, docs, texts):
             last = r["hilbert"]
 
 
+def test_shards_against_a_sort(spark, docs, texts):
+    """The same cells and order as a sort of all rows makes by the plain rule, and what the runs prune."""
+    rows = {r["doc_id"]: r for r in hilbert_shards.hilbert_shards(docs).collect()}
+    given = {r["doc_id"]: r for r in docs.collect()}
+    n = len(given)
+
+    def step_of(column):
+        every = sorted((r[column] is not None, r[column] or "") for r in given.values())
+        return {v: every.index(v) * 16 // n for v in set(every)}
+
+    lang, source = step_of("lang"), step_of("source")
+    curve = hilbert_shards.curve()
+    for i, r in given.items():
+        at = (lang[(r["lang"] is not None, r["lang"] or "")], source[(r["source"] is not None, r["source"] or "")], min(15, (len(texts[i].encode()) + 1).bit_length() - 1))
+        assert (rows[i]["lang_step"], rows[i]["source_step"], rows[i]["size_step"]) == at and rows[i]["hilbert"] == curve[at[0] << 8 | at[1] << 4 | at[2]]
+    order = sorted(rows.values(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in order)
+    assert [r["shard"] for r in order] == [p * 8 // n for p in range(n)]
+    seen = {}
+    for k, r in enumerate(order):  # equal texts of a cell are neighbours
+        key = (r["hilbert"], texts[r["doc_id"]])
+        assert seen.get(key, k - 1) == k - 1
+        seen[key] = k
+    for column in ("lang", "source"):
+        for value in {r[column] for r in given.values()}:
+            held = {rows[i]["shard"] for i, r in given.items() if r[column] == value}
+            spans = defaultdict(list)
+            for i, r in given.items():
+                spans[rows[i]["shard"]].append(r[column] or "")
+            read = {s for s, v in spans.items() if min(v) <= (value or "") <= max(v)}
+            assert held <= read  # least and largest value of a file never hide a row
+    files = defaultdict(list)
+    for i, r in given.items():
+        files[rows[i]["shard"]].append(r["lang"] or "")
+    skipped = sum(not min(v) <= x <= max(v) for x in {r["lang"] or "" for r in given.values()} for v in files.values())
+    assert skipped >= 8, skipped  # of four languages and eight files
+
+
+def test_shards_split_a_hot_text(spark):
+    rows = [(i, "copy" if i % 3 else f"text {i}", "en", "s") for i in range(900)] + [(None, None, None, None)] * 40
+    out = hilbert_shards.hilbert_shards(odd(spark, rows)).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r["slot"])
+    assert sorted(map(len, by.values())) == [117] * 4 + [118] * 4 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    places = [k for k, r in enumerate(sorted(out, key=lambda r: (r["shard"], r["slot"]))) if r["doc_id"] is not None and r["doc_id"] % 3]
+    assert places[-1] - places[0] + 1 == len(places) == 600
+
+
+def test_shards_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_shards, "DICTIONARY", 5)
+    rows = [(i, f"text {i}", f"l{i}", "s") for i in range(64)]
+    out = hilbert_shards.hilbert_shards(odd(spark, rows)).collect()
+    assert sorted(Counter(r["shard"] for r in out).values()) == [8] * 8 and {r["source_step"] for r in out} == {0}
+
+
 def strange():
     rnd = random.Random(1)
     pool = ["a", "b", " ", "  ", "\n", "'s", "é", "É", "İ", "ß", "中", "١", "1", "!", "<|endoftext|>", "\x1c", "\x85", "\xa0", "e", "́", "😀", "the", "aaaa", "Σ", "_", "\r\n", "’s", "﻿"]
