@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections import defaultdict
 from functools import lru_cache
@@ -10,6 +11,8 @@ from itertools import count, islice
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
+#: Longer sequences are merged rank by rank over places, so that a round costs its merges and not the sequence.
+LONG = 1024
 
 
 def byte_symbols() -> list[str]:
@@ -85,13 +88,78 @@ class Merger:
         where they overlap; sequences without a pair left leave the batch. A merge's result can only be
         part of later (higher) ranks, so this gives what merging one pair at a time gives.
         """
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+        if not long:
+            return self._merge_short(tokens)
+        short = np.setdiff1d(np.arange(len(tokens)), long)
+        flat, counts = np.empty(0, np.int32), np.zeros(len(tokens), np.int64)
+        a, counts[short] = self._merge_short([tokens[i] for i in short.tolist()])
+        b, counts[long] = self._merge_long([tokens[i] for i in long])
+        flat = np.empty(len(a) + len(b), np.int32)
+        first = np.cumsum(counts) - counts
+        flat[ragged(first[short], counts[short])] = a
+        flat[ragged(first[long], counts[long])] = b
+        return flat, counts
+
+    def _first_symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each byte of all tokens, and each token's length."""
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        counts = np.zeros(len(tokens), np.int64)
-        sym = self.first[np.frombuffer(b"".join(tokens), np.uint8)]
-        ends = np.cumsum(lengths)
-        some = lengths > 0
         raw = np.frombuffer(b"".join(tokens), np.uint8)
-        sym[ends[some] - 1] = self.final[raw[ends[some] - 1]]
+        sym = self.first[raw]
+        last = np.cumsum(lengths)[lengths > 0] - 1
+        sym[last] = self.final[raw[last]]
+        return sym, lengths
+
+    def _merge_long(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long sequences: the places of each rank wait in a list of their own, the lowest rank's
+        are joined at once in all sequences, and only the pairs beside them get new ranks."""
+        sym, lengths = self._first_symbols(tokens)
+        ends = np.cumsum(lengths)
+        after, prior = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        after[ends - 1], prior[ends - lengths] = -1, -1
+        rank = np.full(len(sym), NONE, np.int32)
+        waiting: dict[int, list] = {}
+        ranks: list[int] = []
+
+        def queue(at):
+            rank[at] = self.ranks(sym[at], sym[after[at]])
+            at = at[rank[at] != NONE]
+            by = np.argsort(rank[at], kind="stable")
+            found, start = np.unique(rank[at][by], return_index=True)
+            for r, places in zip(found.tolist(), np.split(at[by], start[1:]) if len(found) else (), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places)
+
+        queue(np.flatnonzero(after >= 0))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = waiting.pop(r)
+            at = np.unique(np.concatenate(places)) if len(places) > 1 else places[0]
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            fresh = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            number = np.arange(len(at))
+            at = at[(number - np.maximum.accumulate(np.where(fresh, number, 0))) % 2 == 0]
+            gone = after[at]
+            rank[gone] = NONE
+            sym[at] = self.made[r]
+            after[at] = after[gone]
+            sym[gone] = -1
+            rank[at] = NONE
+            on = after[at] >= 0
+            prior[after[at][on]] = at[on]
+            before = prior[at]
+            queue(np.unique(np.concatenate((at[on], before[before >= 0]))))
+        stay = sym >= 0
+        owner = np.repeat(np.arange(len(tokens)), lengths)
+        return sym[stay], np.bincount(owner[stay], minlength=len(tokens))
+
+    def _merge_short(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.zeros(len(tokens), np.int64)
+        sym, lengths = self._first_symbols(tokens)
         seq = np.repeat(np.arange(len(tokens), dtype=np.int32), lengths)
         done_sym, done_seq = [], []
         while len(sym):

@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, steps
+from .common import LOWER, cut_lineage, id_crc, steps
 
 #: Columns of the 1-, 2- and 3-byte grams; the last are hashed.
 SIZES = (1 << 8, 1 << 16, 1 << 17)
 #: Rows of one kernel block.
 ROWS = 64
+#: Bounds of what the kernel is learnt from: languages (those with most texts), and bytes of a text (longer ones
+#: are not learnt from). With `each` texts a language they bound the sample: 256 * 256 texts of 16 KB.
+LANGUAGES, LEARNT_BYTES = 256, 1 << 14
 UNKNOWN = "und"
 
 
@@ -98,13 +101,20 @@ def fit(raws: list[bytes], languages: list[str], landmarks_each: int = 32, ridge
 
 
 def learn(df: DataFrame, each: int, held_out, id_col: str, text_col: str, lang_col: str) -> Kernel | None:
-    """A kernel from at most `each` texts of each language: of each of `each` hash classes of ids the least."""
+    """A kernel from at most `each` texts of each language: of each of `each` hash classes of ids the least.
+
+    Of more than LANGUAGES languages those with most texts are learnt, of equally many the first by name; texts
+    above LEARNT_BYTES are not learnt from. Rows are picked by numbers alone, then only their texts are read.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    spot = F.xxhash64("id")
-    least = rows.groupBy("lang", F.pmod(spot, F.lit(each)).alias("class")).agg(F.min(F.struct(spot.alias("spot"), "id")).alias("least"))
-    texts = rows.join(F.broadcast(least.select("lang", F.col("least.id").alias("id"))), ["lang", "id"]).dropDuplicates(["lang", "id"])
-    known = texts.orderBy(F.xxhash64("id"), "id").toPandas()
+    rows = rows.where(F.octet_length("text") <= LEARNT_BYTES).withColumn("spot", F.xxhash64("id"))
+    least = cut_lineage(rows.groupBy("lang", F.pmod("spot", F.lit(each)).alias("class")).agg(F.min("spot").alias("spot"), F.count("*").alias("n")))
+    common = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang")
+    least = least.join(F.broadcast(common), "lang").select("lang", "spot")
+    # at most `each` * LANGUAGES rows
+    texts = rows.join(F.broadcast(least), ["lang", "spot"]).dropDuplicates(["lang", "spot"])
+    known = texts.select("lang", "spot", "text").orderBy("spot", "lang").toPandas()
     known = known[known["text"].map(lambda t: has_letter(t)).astype(bool)]
     return fit([t.encode("utf-8", "surrogatepass") for t in known["text"]], known["lang"].tolist())
 
@@ -114,9 +124,9 @@ def languages(
 ) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score (0 to 1).
 
-    The kernel learns from at most `each` texts of each non-null language among the rows not held out (so
-    what is gathered and sent to the workers is bounded by the number of languages, not by the rows); a
-    prediction sees the whole text only. Null texts and texts without a letter are `und` with score 0, and
+    The kernel learns from at most `each` texts of up to LEARNT_BYTES bytes of each non-null language among the
+    rows not held out, and of the LANGUAGES languages with most such texts, so what is gathered and sent to the
+    workers is bounded whatever the rows; a prediction sees the whole text only. Null texts and texts without a letter are `und` with score 0, and
     so are all texts when there is nothing to learn from. Ties go to the language first by name. Null ids
     are predicted and held in. An empty table gives no rows; other columns don't matter.
 

@@ -25,7 +25,8 @@ _PRE = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _ODD = re.compile("[\x1c-\x1f]")
 #: Words with characters beyond the Latin blocks, or that may hold special tokens, go to the library.
 _HARD = re.compile("[\x1c-\x1f\u0250-\U0010ffff]|<\\|")
-MEMORY = 200_000
+#: Distinct words, and characters of them, that a worker remembers before it starts anew.
+MEMORY, MEMORY_CHARACTERS = 200_000, 16 << 20
 
 
 class WordIds:
@@ -41,7 +42,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen = Seen()
+        self.seen, self.held = Seen(), 0
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat: np.ndarray = np.empty(0, np.uint32)
 
@@ -83,12 +84,13 @@ class WordIds:
         which = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
         if new := self.seen.fresh():
             self._learn(new)
+            self.held += sum(map(len, new))
         lengths = self.lengths[which]
         flat = self.flat[ragged(self.starts[which], lengths)]
         total = np.concatenate(([0], np.cumsum(lengths)))
         until = np.cumsum(np.array(n, np.int64)) if n else np.empty(0, np.int64)
         counts = total[until] - total[until - np.array(n, np.int64)]
-        if len(self.seen) > MEMORY:
+        if len(self.seen) > MEMORY or self.held > MEMORY_CHARACTERS:
             self._forget()
         return flat, counts
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -15,8 +16,12 @@ from .bpe import Seen, ragged
 from .common import mix
 from .token_count import text_steps
 
-#: Distinct units a worker remembers before it starts anew.
-MEMORY = 100_000
+#: Distinct units, and bytes of them, that a worker remembers before it starts anew.
+MEMORY, MEMORY_BYTES = 100_000, 4 << 20
+#: Bytes of units whose lattices are made together; a longer unit is parted where no piece reaches over.
+WINDOW = 1 << 18
+#: Longer segments are summed and sampled one by one, shorter ones together.
+ALONE = 512
 #: Characters of one step.
 STEP = 1 << 19
 _BASE = np.uint64(0x9E6C63D0876A9A35 | 1)
@@ -98,8 +103,9 @@ class Sampler:
     """Lattices of the units seen, and samples of their paths.
 
     A unit is a run of spaces and the characters up to the next space or line feed, or a line feed, or
-    spaces before one; no piece reaches over its borders, so a text's lattice is its units' one after
-    another and the forward sums are made once a unit.
+    spaces before one; no piece reaches over its borders. A unit is parted further into segments, wherever no
+    piece that its bytes hold reaches over: every path goes through there, so a text's lattice is its segments'
+    one after another, and the forward sums of a segment are made once a unit.
     """
 
     _units = re.compile(r" *[^ \n]+|\n| +")
@@ -110,39 +116,103 @@ class Sampler:
 
     def _forget(self) -> None:
         self.seen = Seen()
-        self.node = np.empty(0, np.int64)  # of each unit its last node
-        self.size = np.empty(0, np.int64)  # of each unit its bytes
+        self.begin, self.parts = np.empty(0, np.int64), np.empty(0, np.int64)  # of each unit its first segment, and how many
+        self.node = np.empty(0, np.int64)  # of each segment its last node
+        self.size = np.empty(0, np.int64)  # of each segment its bytes
         self.first = np.empty(0, np.int32)  # of each node its first incoming edge
         self.share = np.empty(0, np.float32)  # of each edge the running sum of its node's probabilities
         self.span = np.empty(0, np.uint8)  # of each edge its bytes
         self.piece = np.empty(0, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
-        raws = [u.encode("utf-8", "surrogatepass") for u in new]
+    def _edges(self, raws: list[bytes]):
+        """(from byte, length, piece) of all edges of the strings one after another, and the places that none goes over."""
         size = np.fromiter(map(len, raws), np.int64, len(raws))
         end = np.cumsum(size)
-        start = end - size
         joined = b"".join(raws)
         flat = np.frombuffer(joined, np.uint8)
-        at, span, piece = self.pieces.edges(flat, start, end)
+        at, span, piece = self.pieces.edges(flat, end - size, end)
         # bytes for the characters that are no piece
-        points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
         width = np.diff(np.append(np.flatnonzero((flat & 0xC0) != 0x80), len(flat)))
         lone = np.repeat(~self.pieces.single[points], width)
         extra = np.flatnonzero(lone)
         at = np.concatenate((at, extra))
         span = np.concatenate((span, np.ones(len(extra), np.int64)))
         piece = np.concatenate((piece, self.pieces.byte[flat[extra]]))
-        # node b is the place after byte b; a unit's start has forward weight 1
+        over = np.bincount(at + 1, minlength=len(flat) + 2) - np.bincount(at + span, minlength=len(flat) + 2)
+        return flat, at, span, piece, np.flatnonzero(np.cumsum(over)[: len(flat)] == 0)
+
+    def _fragments(self, raw: bytes):
+        """A long unit in strings of about a window, cut at characters where no piece reaches over."""
+        longest, lo, wide = self.pieces.longest, 0, WINDOW
+        while len(raw) - lo > wide:
+            hi = lo + wide
+            while raw[hi] & 0xC0 == 0x80:
+                hi -= 1
+            flat, *_, clear = self._edges([raw[lo:hi]])
+            clear = clear[(clear > 0) & (clear <= len(flat) - longest)]
+            clear = clear[(flat[clear] & 0xC0) != 0x80]
+            if len(clear):
+                yield raw[lo : lo + int(clear[-1])]
+                lo, wide = lo + int(clear[-1]), WINDOW
+            else:
+                wide *= 2
+        yield raw[lo:]
+
+    def _learn(self, new: list[str]) -> None:
+        batch, owner, size, parts = [], [], 0, []
+
+        def flush():
+            nonlocal batch, owner, size
+            if batch:
+                parts.append(self._segments(batch, owner))
+            batch, owner, size = [], [], 0
+
+        for i, unit in enumerate(new):
+            raw = unit.encode("utf-8", "surrogatepass")
+            for piece in self._fragments(raw) if len(raw) > WINDOW else (raw,):
+                if size + len(piece) > WINDOW:
+                    flush()
+                batch.append(piece)
+                owner.append(i)
+                size += len(piece)
+        flush()
+        nodes = edges = 0
+        columns = []
+        for of, node, size_, first, share, span, piece in parts:
+            columns.append((of, node + nodes + len(self.first), size_, first + edges + len(self.share), share, span, piece))
+            nodes += len(first)
+            edges += len(share)
+        of, node, size_, first, share, span, piece = (np.concatenate(x) for x in zip(*columns, strict=True))
+        count = np.bincount(of, minlength=len(new))
+        self.begin = np.concatenate((self.begin, len(self.node) + np.cumsum(count) - count))
+        self.parts = np.concatenate((self.parts, count))
+        self.node = np.concatenate((self.node, node))
+        self.size = np.concatenate((self.size, size_))
+        self.first = np.concatenate((self.first, first.astype(np.int32)))
+        self.share = np.concatenate((self.share, share))
+        self.span = np.concatenate((self.span, span))
+        self.piece = np.concatenate((self.piece, piece))
+
+    def _segments(self, raws: list[bytes], owner: list[int]):
+        """The segments of some strings: owner, last node, bytes; of each node its first edge; of each edge share, bytes, piece."""
+        flat, at, span, piece, start = self._edges(raws)
+        n = len(flat)
+        size = np.diff(np.append(start, n))
+        of = np.repeat(owner, [len(r) for r in raws])[start]
+        segment = np.repeat(np.arange(len(start)), size)
+        # node b is the place after byte b; a segment's start has forward weight 1
         to = at + span - 1
+        depth = to - start[segment[to]]
         weight = self.theta * self.pieces.weight[piece]
-        depth = to - np.repeat(start, size)[to]
-        by = np.argsort(depth << 40 | to, kind="stable")
+        alone = size[segment[to]] > ALONE
+        by = np.lexsort((to, depth, alone))
         at, span, piece, to, weight, depth = (x[by] for x in (at, span, piece, to, weight, depth))
-        forward = np.full(len(flat) + 1, -np.inf)
-        origin = at == np.repeat(start, size)[at]
+        forward = np.full(n + 1, -np.inf)
+        origin = at == start[segment[to]]
         share = np.empty(len(to))
-        cuts = np.flatnonzero(np.concatenate(([True], depth[1:] != depth[:-1], [True]))) if len(depth) else np.zeros(1, np.int64)
+        together = len(to) - int(alone.sum())
+        cuts = np.append(np.flatnonzero(np.diff(depth[:together], prepend=-1)), together)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             score = np.where(origin[lo:hi], 0.0, forward[at[lo:hi] - 1]) + weight[lo:hi]
             node = to[lo:hi]
@@ -158,41 +228,64 @@ class Sampler:
                 before = np.concatenate(([0.0], running))[head]
                 share[lo:hi] = (running - np.repeat(before, count)) / np.repeat(total, count)
             share[lo + head + count - 1] = 2.0  # the last edge takes what rounding leaves
+        if together < len(to):
+            late = together + np.argsort(to[together:], kind="stable")  # node by node, each after those before it
+            share[late] = self._one_by_one(at[late].tolist(), to[late].tolist(), weight[late].tolist(), origin[late].tolist())
         by = np.argsort(to, kind="stable")
-        nodes, edges = len(self.first), len(self.share)
-        first = np.searchsorted(to[by], np.arange(len(flat)))
-        self.node = np.concatenate((self.node, nodes + end - 1))
-        self.size = np.concatenate((self.size, size))
-        self.first = np.concatenate((self.first, (edges + first).astype(np.int32)))
-        self.share = np.concatenate((self.share, share[by].astype(np.float32)))
-        self.span = np.concatenate((self.span, span[by].astype(np.uint8)))
-        self.piece = np.concatenate((self.piece, piece[by].astype(np.int32)))
+        first = np.searchsorted(to[by], np.arange(n))
+        return of, np.append(start[1:], n) - 1, size, first, share[by].astype(np.float32), span[by].astype(np.uint8), piece[by].astype(np.int32)
+
+    @staticmethod
+    def _one_by_one(at: list, to: list, weight: list, origin: list) -> list:
+        """Shares of the edges of long segments, in order of their nodes."""
+        forward: dict[int, float] = {}
+        out, lo, n = [], 0, len(to)
+        while lo < n:
+            hi = lo + 1
+            while hi < n and to[hi] == to[lo]:
+                hi += 1
+            score = [(0.0 if origin[k] else forward.get(at[k] - 1, -math.inf)) + weight[k] for k in range(lo, hi)]
+            top = max(score)
+            if top == -math.inf:
+                out += [math.nan] * (hi - lo - 1) + [2.0]
+            else:
+                mass = [math.exp(x - top) for x in score]
+                total, running = math.fsum(mass), 0.0
+                forward[to[lo]] = top + math.log(total)
+                for x in mass[:-1]:
+                    running += x
+                    out.append(running / total)
+                out.append(2.0)
+            lo = hi
+        return out
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts (each after a space that opens it), and how many each has."""
-        units, n = [], []
+        units, each = [], []
         for text in texts:
             found = self._units.findall(" " + text)
             units += found
-            n.append(len(found))
+            each.append(len(found))
         which = np.fromiter(map(self.seen.__getitem__, units), np.int64, len(units))
         if new := self.seen.fresh():
             self._learn(new)
-        n = np.array(n, np.int64)
+        parts = self.parts[which]
+        cut = np.concatenate(([0], np.cumsum(parts)))[np.concatenate(([0], np.cumsum(np.array(each, np.int64))))]
+        n = np.diff(cut)  # segments of each text
+        which = ragged(self.begin[which], parts)
         left = self.size[which]
-        until = np.cumsum(left)
-        base = np.concatenate(([0], until))[np.concatenate(([0], np.cumsum(n)))[:-1]] if len(n) else np.empty(0, np.int64)
-        place = until - np.repeat(base, n)  # bytes of the text up to the unit's end
+        until = np.concatenate(([0], np.cumsum(left)))
+        place = until[1:] - np.repeat(until[cut[:-1]], n)  # bytes of the text up to the segment's end
         key = np.repeat(keys.astype(np.int64).view(np.uint64), n)
         node, unit = self.node[which], np.arange(len(which))
         took_unit, took_piece, steps_of = [], [], np.zeros(len(which), np.int64)
-        while len(unit):
+        while len(unit) > 8:
             u = (mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / (1 << 53)
             edge = self.first[node].astype(np.int64)
-            more = np.flatnonzero(self.share[edge] <= u)
+            more = np.flatnonzero(~(self.share[edge] > u))
             while len(more):
                 edge[more] += 1
-                more = more[self.share[edge[more]] <= u[more]]
+                more = more[~(self.share[edge[more]] > u[more])]
             took_unit.append(unit)
             took_piece.append(self.piece[edge])
             steps_of[unit] += 1
@@ -200,17 +293,45 @@ class Sampler:
             left = left - span
             go = left > 0
             node, place, key, unit, left = (node - span)[go], (place - span)[go], key[go], unit[go], left[go]
+        done, rest = len(took_unit), []
+        for i, *state in zip(unit.tolist(), node.tolist(), place.tolist(), key.tolist(), left.tolist(), strict=True):
+            rest.append((i, self._walk(*state)))
+            steps_of[i] += len(rest[-1][1])
         ends = np.cumsum(steps_of)
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
         for k, (unit, piece) in enumerate(zip(took_unit, took_piece, strict=True)):
             ids[ends[unit] - 1 - k] = piece
+        for i, walked in rest:
+            stop = int(ends[i]) - done
+            ids[stop - len(walked) : stop] = walked[::-1]
         total = np.concatenate(([0], ends))
-        cut = np.concatenate(([0], np.cumsum(n)))
         counts = total[cut[1:]] - total[cut[:-1]]
-        if len(self.seen) > MEMORY:
+        if len(self.seen) > MEMORY or len(self.first) > MEMORY_BYTES:
             self._forget()
         return ids, counts
 
+    def _walk(self, node: int, place: int, key: int, left: int) -> list[int]:
+        """The pieces drawn from a node back to its segment's start."""
+        out, full = [], (1 << 64) - 1
+        base = node - left + 1
+        lo = int(self.first[base])
+        hi = int(self.first[node + 1]) if node + 1 < len(self.first) else len(self.share)
+        first = (self.first[base : node + 1] - lo).tolist()
+        share, span, piece = (x[lo:hi].tolist() for x in (self.share, self.span, self.piece))
+        while left > 0:
+            h = (key + place * 0x9E3779B97F4A7C15) & full
+            h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & full
+            h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & full
+            u = ((h ^ (h >> 31)) >> 11) / (1 << 53)
+            edge = first[node - base]
+            while not share[edge] > u:
+                edge += 1
+            out.append(piece[edge])
+            left -= span[edge]
+            node -= span[edge]
+            place -= span[edge]
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         p = self.pieces
         return p.flat[ragged(p.starts[ids], p.lengths[ids])].tobytes()[1:]
@@ -236,7 +357,8 @@ def sample_pieces(df: DataFrame, model_path: str, theta: float = 1.0, seed: int
     every run, partition and order. Null counts as empty; an empty text is the one space that opens every
     text. Rows that repeat an id and a text have equal ids; a null id is a key of its own. Characters without a
     piece, a literal U+2581 too, become byte pieces, so decoding is lossless. There is no shuffle. An empty
-    table gives no rows; other columns don't matter.
+    table gives no rows; other columns don't matter. A worker remembers MEMORY units or MEMORY_BYTES of them; a run
+    without spaces longer than that takes some 60 bytes of memory for each of its own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -19,8 +20,8 @@ _W = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 #: The byte-level pre-tokeniser's pattern (fixed).
 _PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-#: Distinct runs a worker remembers before it starts anew.
-MEMORY = 400_000
+#: Distinct runs, and characters of them, that a worker remembers before it starts anew.
+MEMORY, MEMORY_CHARACTERS = 400_000, 16 << 20
 
 
 class Counter:
@@ -29,7 +30,10 @@ class Counter:
     def __init__(self, path: str, specials: tuple[str, ...]):
         self.merger = merger(path)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.seen, self.known = Seen(), np.empty(0, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen, self.known, self.held = Seen(), np.empty(0, np.int64), 0
 
     def _learn(self, new: list[str]) -> None:
         pre = [_PRE.findall(run) for run in new]
@@ -58,17 +62,24 @@ class Counter:
         which = np.fromiter(map(self.seen.__getitem__, runs), np.int64, len(runs))
         if new := self.seen.fresh():
             self._learn(new)
+            self.held += sum(map(len, new))
         total = np.concatenate(([0], np.cumsum(self.known[which])))
         until = np.cumsum(owner)
         out += total[until] - total[until - np.array(owner, np.int64)]
-        if len(self.seen) > MEMORY:
-            self.seen, self.known = Seen(), np.empty(0, np.int64)
+        if len(self.seen) > MEMORY or self.held > MEMORY_CHARACTERS:
+            self._forget()
         return out
 
 
 @lru_cache
-def _counter(path: str, specials: tuple[str, ...]) -> Counter:
-    return Counter(path, specials)
+def _counter(path: str, specials: tuple[str, ...] | None) -> Counter:
+    return Counter(path, added_tokens(path) if specials is None else specials)
+
+
+def added_tokens(path: str) -> tuple[str, ...]:
+    """The special strings that the vocabulary file adds, longest first."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(sorted((t["content"] for t in json.load(f).get("added_tokens") or ()), key=len, reverse=True))
 
 
 def text_steps(texts, limit: int = 1 << 20):
@@ -86,14 +97,15 @@ def text_steps(texts, limit: int = 1 << 20):
 
 
 def token_counts(
-    df: DataFrame, tokenizer_path: str, specials: tuple[str, ...] = ("<|endoftext|>",), limit: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, tokenizer_path: str, specials: tuple[str, ...] | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     tokenizer_path: a byte-level BPE vocabulary file, readable on every executor. Whole texts are counted;
-    a special string inside a text counts as its one token. Null counts as empty: 0 bytes, 0 tokens. Ids
-    are passed on as they are, null or repeated. There is no shuffle; a worker's memory is one step of texts
-    and at most MEMORY remembered runs. An empty table gives no rows; other columns don't matter.
+    a special string inside a text counts as its one token (`specials`; by default those that the file adds).
+    Null counts as empty: 0 bytes, 0 tokens. Ids are passed on as they are, null or repeated. There is no
+    shuffle; a worker's memory is one step of texts and at most MEMORY remembered runs or MEMORY_CHARACTERS of
+    them, or one text's. An empty table gives no rows; other columns don't matter.
     """
 
     def run(batches):

@@ -67,6 +67,89 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](odd(spark, [])).collect() == []
 
 
+def test_values_of_odd_rows(spark):
+    """What null, empty, blank and repeated rows give, operator by operator."""
+    by = lambda name: {r["doc_id"]: r for r in OPERATORS[name](odd(spark)).collect()}
+    tokens, packed, shards, ppm_, pieces, exact, near, lang, grade = map(by, ("tokens", "pack", "shards", "ppm", "pieces", "exact", "near", "lang", "quality"))
+    for i in (1, 2):
+        assert (tokens[i]["n_bytes"], tokens[i]["n_tokens"], tokens[i]["over_limit"]) == (0, 0, False)
+        assert (packed[i]["piece"], packed[i]["start"], packed[i]["length"], packed[i]["ids_crc32"]) == (0, 0, 1, zlib.crc32(np.array([1], "<u4").tobytes()))
+        assert (shards[i]["size"], shards[i]["text_crc32"]) == (1, 0)
+        assert (ppm_[i]["n_tokens"], ppm_[i]["n_known"]) == (1, 1) and -20 < ppm_[i]["score"] < 0
+        assert (pieces[i]["n_bytes"], pieces[i]["n_pieces"], bytes(pieces[i]["decoded"])) == (0, 1, b"")
+        assert (near[i]["n_shingles"], near[i]["component_id"], near[i]["kept"]) == (0, i, True)
+        assert (lang[i]["lang_pred"], lang[i]["score"]) == ("und", 0.0) and 0 <= grade[i]["score"] <= 1
+    assert near[3]["n_shingles"] == 0 and ppm_[3]["n_tokens"] == 1 and lang[3]["lang_pred"] == "und"
+    assert (exact[1]["keep_id"], exact[1]["group_size"], exact[2]["keep_id"], exact[2]["kept"]) == (1, 2, 1, False)
+    assert exact[3]["keep_id"] == 3 and exact[3]["text_sha256"] == hashlib.sha256(b" ").hexdigest()
+    assert exact[10]["group_size"] == 2 and exact[10]["kept"] and exact[None]["keep_id"] is None and exact[None]["kept"]
+    assert (near[None]["component_id"], near[None]["kept"], near[None]["n_shingles"]) == (None, False, 1)
+    assert ppm_[4]["score"] == ppm_[6]["score"] and grade[4]["score"] == grade[12]["score"]
+    files = {r["doc_id"]: r for r in tiff.tiff_files(tiff.store_payloads(odd(spark)), joined=True).collect()}
+    for i in (1, 2):
+        assert bytes(files[i]["payload"]) == b" " * 192 and files[i]["error"] is None and files[i]["n_bytes"] == 0
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte, with and without spaces, go through every operator whole."""
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(180_000)]
+    rows = [(0, " ".join(words), "en", "s"), (1, " ".join(words[:-1]), "en", "s"), (2, "".join(rnd.choice("abcdefghij") for _ in range(1_000_000)), "xx", "s"), (3, "日本語" * 120_000, "ja", "s"), (4, "short text", "en", "s")]
+    df = odd(spark, rows)
+    sizes = {r[0]: len(r[1].encode()) for r in rows}
+    got = {r["doc_id"]: r for r in OPERATORS["near"](df).collect()}
+    assert [got[i]["component_id"] for i in range(5)] == [0, 0, 2, 3, 4] and got[0]["n_shingles"] > 170_000
+    lib = Tokenizer.from_file(BYTE_BPE)
+    assert {r["doc_id"]: r["n_tokens"] for r in OPERATORS["tokens"](df).collect()} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t, *_ in rows}
+    assert all(bytes(r["decoded"]).decode() == rows[r["doc_id"]][1] for r in OPERATORS["pieces"](df).collect())
+    files = tiff.tiff_files(tiff.store_payloads(df), joined=True).collect()
+    assert all(bytes(r["payload"])[: sizes[r["doc_id"]]] == rows[r["doc_id"]][1].encode() for r in files)
+    starts = defaultdict(list)
+    for r in OPERATORS["pack"](df).collect():
+        starts[r["doc_id"]].append((r["start"], r["length"]))
+    assert all([s for s, _ in sorted(x)] == list(range(0, sum(n for _, n in x), 4096)) for x in starts.values())
+    assert {r["size"] for r in OPERATORS["shards"](df).collect()} == {n + 1 for n in sizes.values()}
+    assert all(r["score"] < 0 for r in OPERATORS["ppm"](df).collect()) and len(OPERATORS["exact"](df).collect()) == 5
+    assert len(OPERATORS["lang"](df).collect()) == len(OPERATORS["quality"](df).collect()) == 5
+
+
+def patterned():
+    """Two words of 1,024 letters that any polynomial over 64 bits with an odd base hashes alike."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_patterned_letters_differ(spark):
+    from evidentia.llm.common import LONG_WORD, word_hashes
+
+    one, two = patterned()
+    rows = [(1, one, "en", "s"), (2, two, "en", "s")]
+    assert [r["component_id"] for r in sorted(OPERATORS["near"](odd(spark, rows)).collect(), key=lambda r: r["doc_id"])] == [1, 2]
+    scores = {r["doc_id"]: r["n_known"] for r in ppm.ppm_scores(odd(spark, rows), held_out=lambda c: c == 2).collect()}
+    assert scores == {1: 2, 2: 1}
+    texts = [b"One  two", b"", b" ", b"x" * (LONG_WORD + 1) + b" " + b"X" * (LONG_WORD + 1), b"abcdefgh abcdefghi abcdefg\0"]
+    h, n = word_hashes(texts)
+    words = [w.lower() for t in texts for w in WORD.findall(t)]
+    assert n.tolist() == [len(WORD.findall(t)) for t in texts] and [[a == b for b in words] for a in words] == [[a == b for b in h.tolist()] for a in h.tolist()]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with several texts has the links of each of them; a null id has none, nor has a row without words."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a + " end"), (5, b), (9, b + " end"), (9, b + " end"), (11, c), (None, a), (None, None), (12, None), (12, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, width=3, similar=(85, 100)).collect())
+    assert got == Counter([(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 3, False), (11, 11, True), (None, None, False), (None, None, False), (12, 12, True), (12, 11, False)])
+
+
+def test_ppm_all_held_out(spark):
+    rows = ppm.ppm_scores(odd(spark), held_out=lambda c: F.lit(True)).collect()
+    assert len(rows) == len(ODD) and {(r["n_known"], r["train_tokens"]) for r in rows} == {(0, 0)}
+    for r in rows:
+        n = {x[0]: len((x[1] or "").encode()) for x in ODD}[r["doc_id"]]
+        assert r["score"] == pytest.approx(-(n + 1) * math.log10(256)) and r["base_score"] == pytest.approx(0, abs=1e-12)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
@@ -221,6 +304,80 @@ def test_best_fit_plan(rule, documents):
             assert plan.bins <= math.ceil(lengths.sum() / 100) * 1.06 + 1
 
 
+def plain_best_fit(lengths, limits):
+    """Vector best-fit decreasing piece by piece: the feasible bin with the least weighted residual norm after it."""
+    cap = (limits.tokens, limits.documents, limits.attention)
+    bins = []
+    for x in sorted(lengths, reverse=True):
+        need, best = (x, 1, x * x), None
+        for i, room in enumerate(bins):
+            if all(r >= n for r, n in zip(room, need)):
+                norm = sum(w * ((r - n) / c) ** 2 for w, r, n, c in zip(limits.weights, room, need, cap))
+                if best is None or norm < best[0]:
+                    best = (norm, i)
+        if best is None:
+            bins.append(cap)
+            best = (0, len(bins) - 1)
+        bins[best[1]] = tuple(r - n for r, n in zip(bins[best[1]], need))
+    return Counter(bins)
+
+
+#: Limits of which one, two or all three bind, and weights under which another capacity leads.
+TIGHT = {
+    "tokens": packing.Limits(tokens=100, documents=4096, attention=10**9), "documents": packing.Limits(tokens=100, documents=3, attention=10**9),
+    "attention": packing.Limits(tokens=100, documents=4096, attention=10_000, weights=(0.01, 0.01, 1.0)),
+    "all": packing.Limits(tokens=100, documents=6, attention=10_000, weights=(1.0, 1.0, 1.0)), "by documents": packing.Limits(tokens=100, documents=6, attention=10_000, weights=(0.01, 1.0, 0.01)),
+}
+
+
+def planned(lengths, limits):
+    """Residual capacities of each bin of the plan."""
+    u, c = np.unique(lengths, return_counts=True)
+    plan = packing.best_fit(dict(zip(u.tolist(), c.tolist(), strict=True)), limits)
+    seen, rooms = Counter(), defaultdict(lambda: (limits.tokens, limits.documents, limits.attention))
+    for x in lengths:
+        b, _ = plan.place(np.array([x]), np.array([seen[x]]))
+        seen[x] += 1
+        rooms[int(b[0])] = tuple(r - n for r, n in zip(rooms[int(b[0])], (x, 1, x * x)))
+    return Counter(rooms.values()), plan.bins
+
+
+@pytest.mark.parametrize("name", TIGHT)
+def test_best_fit_against_one_piece_at_a_time(name):
+    rnd = np.random.default_rng(7)
+    for n in (1, 30, 400):
+        lengths = np.minimum(100, rnd.lognormal(2.6, 0.9, n).astype(int) + 1).tolist()
+        got, bins = planned(lengths, TIGHT[name])
+        want = plain_best_fit(lengths, TIGHT[name])
+        assert got == want and bins == sum(want.values())
+        assert all(min(room) >= 0 for room in got)
+
+
+def test_every_capacity_can_decide():
+    """Each limit alone forces more bins than the tokens do, and the weights change which bin a piece takes."""
+    lengths = [60, 50, 40, 30, 20, 10] + [2] * 30
+    free = planned(lengths, packing.Limits(tokens=100, documents=4096, attention=10_000))[1]
+    assert planned(lengths, packing.Limits(tokens=100, documents=4, attention=10_000))[1] >= math.ceil(len(lengths) / 4) > free
+    # squares of 80 and 60 pass 10,000 only together with a third: cost binds where tokens would not
+    wide = packing.Limits(tokens=100, documents=4096, attention=10_000)
+    assert planned([99, 1], wide)[1] == 1 and planned([100], wide)[1] == 1
+    rooms = lambda w: planned([70, 55, 45, 25, 20, 5, 5, 5, 1, 1], packing.Limits(tokens=100, documents=4, attention=10_000, weights=w))[0]
+    assert rooms((1.0, 0.0, 0.0)) != rooms((0.0, 1.0, 0.0)) or rooms((1.0, 0.0, 0.0)) != rooms((0.0, 0.0, 1.0))
+
+
+def test_pack_under_all_limits(docs):
+    """The whole operator with tight limits on documents: every sequence keeps all three, few more bins than the bound."""
+    limits = packing.Limits(tokens=4096, documents=4, attention=4096 * 4096, weights=(1.0, 1.0, 0.2))
+    rows = packing.pack(docs, WORD_BPE, limits=limits).collect()
+    held = defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append(r["length"])
+    assert all(sum(x) <= 4096 and len(x) <= 4 and sum(n * n for n in x) <= 4096**2 for x in held.values())
+    bound = max(math.ceil(sum(r["length"] for r in rows) / 4096), math.ceil(len(rows) / 4))
+    assert bound <= len(held) <= bound * 1.25
+    assert len(held) > math.ceil(sum(r["length"] for r in rows) / 4096)  # the documents' limit decides here
+
+
 def test_pack_documents(docs, texts):
     rows = packing.pack(docs, WORD_BPE).collect()
     lib = Tokenizer.from_file(WORD_BPE)
@@ -321,6 +478,53 @@ def test_quality_stage_rejects_what_op6_rejects(spark):
     assert any(0.5 <= r["score"] < 0.7 for r in rows)
 
 
+def plain_features(text):
+    """The classifier's statistics by the plain rule, text by text."""
+    raw = (text or "").encode()
+    out = dict.fromkeys(quality.FEATURES, 0.0)
+    if not raw:
+        return list(out.values())
+    kinds = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "blank": (32, 9), "line": (10, 11, 12, 13), "stop": b".,;:'\"-()", "mark": b"!?"}
+    kind = lambda b: next((k for k, v in kinds.items() if b in v), "high" if b > 127 else "control" if b < 32 or b == 127 else "sign")
+    n = Counter(map(kind, raw))
+    words, lines = WORD.findall(raw), [x for x in raw.split(b"\n") if x.strip()]
+    lower = [w.lower() for w in words]
+    out["log_bytes"] = math.log1p(len(raw))
+    for k in n:
+        out[f"share_{k}"] = n[k] / len(raw)
+    letters = Counter(raw.lower())
+    out["entropy"] = -sum(c / len(raw) * math.log2(c / len(raw)) for c in letters.values())
+    out["upper_of_letters"] = n["upper"] / max(1, n["upper"] + n["lower"])
+    out["signs_a_word"], out["marks_a_word"] = n["sign"] / max(1, len(words)), n["mark"] / max(1, len(words))
+    out["mean_word"] = (len(raw) - n["blank"] - n["line"]) / max(1, len(words))
+    if words:
+        sizes = [len(w) for w in words]
+        mean = sum(sizes) / len(sizes)
+        out["spread_word"] = math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes))
+        out["distinct_words"], out["top_word"] = len(set(lower)) / len(words), max(Counter(lower).values()) / len(words)
+    if lines:
+        out["repeated_lines"], out["mean_line"] = 1 - len(set(lines)) / len(lines), math.log1p(len(raw) / len(lines))
+    return list(out.values())
+
+
+def test_quality_against_a_plain_lookup(spark, docs, texts):
+    """Scores of the query's own model equal the sum of its tables, looked up feature by feature and pair by pair."""
+    marks = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, marks).collect()}
+    own = {r["doc_id"]: r["quality"] for r in marks.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in texts}
+    x = {i: plain_features(t) for i, t in texts.items()}
+    for i in list(texts)[:60]:
+        assert np.allclose(quality.text_features([texts[i]])[0], x[i], atol=1e-9), i
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    known = sorted(own, key=lambda i: order[i])
+    model = quality.fit(quality.text_features([texts[i] for i in known]), np.array([own[i] for i in known], float))
+    for i in list(texts)[:60]:
+        bins = [sum(v >= e for e in edges) for v, edges in zip(x[i], model.edges, strict=True)]
+        z = model.intercept + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        z += sum(t[bins[f]][bins[g]] for (f, g), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6), i
+
+
 def test_quality_without_labels(spark):
     rows = quality.quality_scores(odd(spark), labels(spark).where("false")).collect()
     assert {r["score"] for r in rows} == {0.5}
@@ -364,6 +568,43 @@ def test_language_kernel_is_the_mean_cosine():
     assert np.allclose(k.block(raws), want, atol=1e-5)
 
 
+def test_language_against_plain_regression(spark, docs, texts):
+    """Predictions equal those of a kernel by sets of grams and a ridge regression solved as a dense system."""
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    spot = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    each, classes = 8, {}
+    for i, t in texts.items():
+        if t and lang[i] and zlib.crc32(str(i).encode()) % 3 != 1 and len(t.encode()) <= language.LEARNT_BYTES:
+            key = (lang[i], spot[i] % each)
+            classes[key] = min(classes.get(key, (1 << 63, 0)), (spot[i], i))
+    known = [i for _, i in sorted(classes.values()) if language.has_letter(texts[i])]
+    names = sorted({lang[i] for i in known})
+    marks = [i for name in names for i in [j for j in known if lang[j] == name][:32]]
+
+    def spread(code, k):  # the grams of three bytes are hashed to 2^17 columns
+        return code if k < 3 else (code * 0x9E3779B1 & 0xFFFFFFFF) >> 15
+
+    grams = {i: [frozenset(spread(int.from_bytes(w[j : j + k], "big"), k) for j in range(len(w) - k + 1)) for k in (1, 2, 3)] for i, w in ((i, bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())) for i, t in texts.items())}
+    kernel = lambda a, b: sum(len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y))) for x, y in zip(grams[a], grams[b])) / 3
+    k_nm, k_mm = (np.array([[kernel(a, b) for b in marks] for a in rows]) for rows in (known, marks))
+    y = np.array([[1.0 if lang[i] == n else -1.0 for n in names] for i in known])
+    weights = np.linalg.solve(k_nm.T @ k_nm + 1e-4 * len(known) * k_mm + 1e-8 * len(known) * np.eye(len(marks)), k_nm.T @ y)
+    got = {r["doc_id"]: r for r in language.languages(docs, each=each).collect()}
+    for i, t in list(texts.items())[:80]:
+        if language.has_letter(t):
+            f = np.array([kernel(i, b) for b in marks]) @ weights
+            assert got[i]["score"] == pytest.approx(min(1, max(0, (f.max() + 1) / 2)), abs=2e-2) and (got[i]["lang_pred"] == names[int(f.argmax())] or np.diff(np.sort(f)[-2:])[0] < 0.02)
+
+
+def test_language_sample_is_bounded(spark, docs, monkeypatch):
+    """A dirty language column: the languages with most texts are learnt; long texts are predicted, not learnt from."""
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("zz"), "doc_id")).otherwise(F.col("lang")))
+    own = dirty.where("lang is not null and text is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(3).collect()
+    rows = language.languages(dirty).collect()
+    assert len(rows) == docs.count() and {r["lang_pred"] for r in rows} - {"und"} <= {r["lang"] for r in own}
+
+
 def near_truth(texts, width, num, den):
     sets = {}
     for i, t in texts.items():
@@ -604,6 +845,27 @@ def test_sampled_pieces(spark, docs, texts):
     assert model.decode(np.frombuffer(one[i], "<u4").tolist()) == texts[i]
 
 
+def test_long_segments_are_sampled_alike(monkeypatch):
+    """Segments summed and sampled one by one have the pieces that they have together; long units are parted anywhere."""
+    rnd = random.Random(4)
+    texts = ["a" * 900, "xyz" * 200, "日本語" * 200, "".join(rnd.choice("etaoin") for _ in range(3000)), "plain words here", "é" * 50]
+    keys = np.arange(len(texts))
+    want = sp_sampling.Sampler(PIECES, 1.0).sample(texts, keys)
+    for name, value in (("ALONE", 8), ("WINDOW", 256)):
+        monkeypatch.setattr(sp_sampling, name, value)
+        got = sp_sampling.Sampler(PIECES, 1.0).sample(texts, keys)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_long_runs_are_merged_as_the_library():
+    rnd = random.Random(6)
+    runs = ["".join(rnd.choice("etaoinshr") for _ in range(n)) for n in (1025, 3000)] + ["a" * 2001, "ab" * 900, "日本語" * 700, "short", ""]
+    want = [len(e.ids) for e in Tokenizer.from_file(BYTE_BPE).encode_batch(runs, add_special_tokens=False)]
+    assert token_count.Counter(BYTE_BPE, ()).count(runs).tolist() == want
+    flat, counts = packing.WordIds(WORD_BPE).ids(runs)
+    assert flat.tolist() == [i for e in Tokenizer.from_file(WORD_BPE).encode_batch(runs, add_special_tokens=False) for i in e.ids]
+
+
 def test_sampling_has_the_lattice_distribution():
     s = sp_sampling.Sampler(PIECES, 0.7)
     p = s.pieces
