@@ -221,7 +221,8 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     apart = held_out or (lambda c: F.coalesce(F.pmod(id_crc(c), F.lit(7)) == 2, F.lit(False)))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = parts = spread(df)
+    blocks = spread(df)
+    parts = 4 * blocks  # small, so that those of one task are alike large in all
     rows = rows.withColumn("held_out", apart(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     counted = rows.where("not held_out").select("text").mapInPandas(_training, "kind int, key long, n long")
