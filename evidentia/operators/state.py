@@ -9,10 +9,11 @@ here hold numbers and are combined before they are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.timeaxis import reach
+from evidentia.operators.sweep import running, turns
 
 KEY = ["subject_kind", "subject_ref", "predicate"]
 VALUE = ["object_kind", "object_ref"]
@@ -35,6 +36,17 @@ def candidates(observations: DataFrame, links: DataFrame, cutoff=None) -> DataFr
     return observations.join(support, "obs_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
 
 
+def labelled(cands: DataFrame, rules: dict) -> tuple[DataFrame, Column, Column]:
+    """Rows once for each selection that they meet, with its `label`, and the two columns that aggregate() asks for.
+
+    rules: label -> (eligible, uncertain). So several selections are aggregated in one pass, by sel=["label"].
+    """
+    hit = [F.when(eligible | uncertain, F.struct(F.lit(label).alias("label"), uncertain.alias("unsure"))) for label, (eligible, uncertain) in rules.items()]
+    met = F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull()))
+    rows = cands.withColumn("_met", met).select(*cands.columns, F.col("_met.label").alias("label"), F.col("_met.unsure").alias("unsure"))
+    return rows, ~F.col("unsure"), F.col("unsure")
+
+
 def classify(cands: DataFrame, eligible: Column, uncertain: Column) -> DataFrame:
     """Rows in the selection with their class: counter-only (c), tentative (t) or supported (s).
 
@@ -61,31 +73,30 @@ def values(classified: DataFrame, sel: list[str]) -> DataFrame:
 def overlapping_keys(classified: DataFrame, of_values: DataFrame, sel: list[str]) -> DataFrame:
     """Keys of which two different supported values hold at one instant.
 
-    A sweep instead of pairs: each value's extents are merged to disjoint runs, runs open (+1) and close
-    (-1) in order of time, and a key overlaps where two are open. Only keys with several supported values
-    come here; sorting is n log n however many rows a key has.
+    A sweep instead of pairs: a value holds while any of its extents is open, and a key overlaps where two
+    values hold. Only keys with several supported values come here; a key's times are split by days, so one
+    with very many rows is shared among tasks.
     """
     key = [*sel, *KEY]
     several = of_values.groupBy(*key).agg(F.sum("s").alias("ns")).where("ns > 1").select(*key)
     low, high = reach()
     rows = classified.where("cls = 's'").join(several, key, "left_semi").select(*key, *VALUE, low.alias("low"), high.alias("high"))
-    runs = Window.partitionBy(*key, *VALUE).orderBy("low", "high")
-    rows = rows.withColumn("before", F.max("high").over(runs.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("low") <= F.col("before"), 0).otherwise(1)).over(runs.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = rows.groupBy(*key, *VALUE, "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    turns = merged.select(*key, F.explode(F.array(F.struct(F.col("low").alias("t"), F.lit(1).alias("d")), F.struct(F.col("high").alias("t"), F.lit(-1).alias("d")))).alias("e"))
-    sweep = Window.partitionBy(*key).orderBy("e.t", "e.d").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.withColumn("open", F.sum("e.d").over(sweep)).groupBy(*key).agg(F.max("open").alias("open")).where("open > 1").select(*key)
+    open_ = running(turns(rows, [*key, *VALUE], "low", "high", {"n": F.lit(1)}), [*key, *VALUE], ["n"])
+    held = (F.col("n_now") > 0).cast("int") - (F.col("n_now") - F.col("n") > 0).cast("int")
+    steps = open_.withColumn("step", held).where("step <> 0").groupBy(*key, "t").agg(F.sum("step").alias("step"))
+    return running(steps, key, ["step"]).where("step_now > 1").select(*key).distinct()
 
 
 def keys(of_values: DataFrame, overlapping: DataFrame, sel: list[str]) -> DataFrame:
-    """Per selection and key: `outcome` (resolved, or the first reason that holds), and the value if resolved."""
+    """Per selection and key: `outcome` (resolved, or the first reason that holds), the value if resolved, and the earliest
+    record and smallest id of the observations that tell it (a fact's are its supported rows)."""
     key = [*sel, *KEY]
     one = of_values.groupBy(*key).agg(
         F.sum("s").alias("n_supported"), F.sum("c").alias("n_counter"), F.count("*").alias("n_values"),
         F.max(F.when((F.col("t_time") == 1) & (F.col("s") == 0), 1).otherwise(0)).alias("other_time"),
         F.max(F.when((F.col("t_hypo") == 1) & (F.col("s") == 0), 1).otherwise(0)).alias("other_hypo"),
         F.max(F.when(F.col("s") == 1, F.struct(*VALUE))).alias("value"),
+        F.min("first_recorded").alias("any_recorded"), F.min("first_obs").alias("any_obs"), F.min("first_s_recorded").alias("s_recorded"), F.min("first_s_obs").alias("s_obs"),
     )
     one = one.join(overlapping.withColumn("overlaps", F.lit(True)), key, "left")
     resolved = (F.col("n_counter") == 0) & (F.col("n_supported") == 1) & (F.col("other_time") == 0) & (F.col("other_hypo") == 0)
@@ -95,7 +106,8 @@ def keys(of_values: DataFrame, overlapping: DataFrame, sel: list[str]) -> DataFr
         .when(F.col("n_counter") > 0, "counterevidence-only")
     )
     held = [F.when(resolved, F.col(f"value.{v}")).alias(v) for v in VALUE]
-    return one.select(*key, outcome.alias("outcome"), *held, "n_values", F.col("n_supported"), F.col("n_counter"))
+    first = [F.when(resolved, F.col(f"s_{c}")).otherwise(F.col(f"any_{c}")).alias(f"first_{c}") for c in ("recorded", "obs")]
+    return one.select(*key, outcome.alias("outcome"), *held, "n_values", "n_supported", "n_counter", *first)
 
 
 def aggregate(cands: DataFrame, eligible: Column, uncertain: Column, sel: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,6 +128,18 @@ def provenance(classified: DataFrame, of_keys: DataFrame, links: DataFrame, sel:
     return rows.join(links, "obs_id", "left").select(*key, *VALUE, "outcome", "cls", "obs_id", "evidence_id", "role")
 
 
+def fact_ids(told: DataFrame, sel: list[str] | None = None) -> DataFrame:
+    """provenance() folded: per selection, key and value the sorted ids of its observations and of its evidence by role.
+
+    A row holds all ids of its value, so this is for selections whose facts are bounded; provenance() is not.
+    """
+    ids = lambda c: F.sort_array(F.collect_set(c))
+    return told.groupBy(*(sel or []), *KEY, *VALUE, "outcome").agg(
+        ids("obs_id").alias("obs_ids"), ids(F.when(F.col("role") == "supporting", F.col("evidence_id"))).alias("supporting_ids"),
+        ids(F.when(F.col("role") == "contradicting", F.col("evidence_id"))).alias("contradicting_ids"),
+    )
+
+
 def compare(of_keys: DataFrame, before: str, after: str, label: str = "label") -> DataFrame:
     """Added, removed and changed keys between two labels; keys unresolved on either side have kind `unresolved`."""
     side = lambda name, tag: of_keys.where(F.col(label) == name).select(*KEY, F.col("outcome").alias(f"{tag}_outcome"), *(F.col(v).alias(f"{tag}_{v}") for v in VALUE))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.timeaxis import in_window, just_before
-from evidentia.operators.state import KEY, VALUE, aggregate
+from evidentia.functions.timeaxis import micros
+from evidentia.operators.state import KEY, VALUE
+from evidentia.operators.sweep import running, turns
 from evidentia.plans.lineage import cut
 
+#: Rows of changes of one key up to which a key is summed by one task.
+WHOLE = 100_000
+#: Parts that a window's times are split into for larger keys.
+PARTS = 4096
+
 
 def _inside(start: str, end: str, kind: str, lo, hi):
     """Where state may change inside [lo, hi): starts, and ends strictly inside."""
@@ -33,52 +39,98 @@ def following(times: DataFrame) -> DataFrame:
     return inner.join(hours, "hour").select("t", F.coalesce("inner", "later").alias("next"))
 
 
-def pieces(cands: DataFrame, lo, hi) -> DataFrame:
-    """Each key's pieces [begin, finish) of the window, between which its state may differ.
+def _ntz(t) -> Column:
+    return F.lit(t).cast("timestamp_ntz")
 
-    An instant lasts until the next boundary of *any* key, so a key's cuts are its own boundaries, for each
-    of its instants the next boundary of all, and the window's ends; other keys' boundaries cannot change it.
-    """
-    lo, hi = F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")
-    rows = cands.where("status <> 'rejected'")
-    own = rows.where("temporal_kind <> 'unknown'").select(*KEY, F.explode(_inside("valid_start", "valid_end", "temporal_kind", lo, hi)).alias("t"))
-    after = rows.where("temporal_kind = 'instant'").join(following(boundaries(cands, lo, hi)), F.col("valid_start") == F.col("t")).where("next is not null")
-    cuts = own.unionByName(after.select(*KEY, F.col("next").alias("t"))).unionByName(rows.select(*KEY, lo.alias("t"))).distinct()
-    return cuts.select(*KEY, F.col("t").alias("begin"), F.coalesce(F.lead("t").over(Window.partitionBy(*KEY).orderBy("t")), hi).alias("finish"))
 
+def spans(cands: DataFrame, lo, hi) -> DataFrame:
+    """Rows with their class (s, t_time, t_hypo or c) and the span [low, high) of the window in which they count, in microseconds.
 
-def piece_states(cands: DataFrame, lo, hi) -> tuple[DataFrame, DataFrame]:
-    """(states, pieces): the outcome of every key just before the window (`begin` null) and in each of its pieces."""
-    parts = pieces(cands, lo, hi)
-    joined = cands.join(parts, KEY)  # an equi-join; the extent decides inside a key
-    states = aggregate(joined, *in_window("begin", "finish"), sel=["begin"])[2]
-    before = aggregate(cands, *just_before(F.lit(lo).cast("timestamp_ntz")))[2]
-    return before.withColumn("begin", F.lit(None).cast("timestamp_ntz")).unionByName(states), parts
+    One microsecond before the window stands for the state just before it: what reaches up to the window counts
+    there. An instant lasts until the next boundary of *any* key, an unknown time all along.
+    """
+    lo, hi = _ntz(lo), _ntz(hi)
+    rows = cands.where("status <> 'rejected'")
+    instant = F.col("temporal_kind") == "instant"
+    after = following(boundaries(cands, lo, hi)).withColumnRenamed("t", "valid_start")
+    # only instants look for what follows them
+    held = rows.where(instant & (F.col("valid_start") >= lo) & (F.col("valid_start") < hi)).join(after, "valid_start", "left").select(*rows.columns, "next")
+    rows = rows.where(~instant).select("*", F.lit(None).cast("timestamp_ntz").alias("next")).unionByName(held)
+    first, last, start, end = micros(lo), micros(hi), micros("valid_start"), micros("valid_end")
+    unknown = F.col("temporal_kind") == "unknown"
+    low = F.when(unknown | F.col("valid_start").isNull() | (start < first), first - 1).otherwise(start)
+    high = F.when(instant, F.coalesce(micros("next"), last)).when(unknown | end.isNull() | (end > last), last).otherwise(end)
+    cls = F.when(~F.col("supported"), "c").when(unknown | (F.col("temporal_kind") == "window"), "t_time").when(F.col("status") == "hypothesized", "t_hypo").otherwise("s")
+    return rows.withColumns({"cls": cls, "low": low, "high": high}).drop("next").where(F.col("low") < F.col("high"))
 
 
 def transitions(cands: DataFrame, lo, hi) -> DataFrame:
-    """Per key and boundary at most one row: added, removed or changed between adjacent pieces.
+    """Per key and boundary at most one row: added, removed or changed between adjacent pieces of the window.
 
     Only facts make transitions; a key that turns unresolved is removed. Unresolved keys of either side are
     told by before_outcome and after_outcome.
+
+    A sweep: rows add to their value's counts from where they begin until they end, values to their key's, so
+    the state after each change and before it follow from running sums; no row meets another row. A key with
+    more than WHOLE changes is split by time. Which single value holds is told by sums of a hash of 62 bits.
     """
-    names = [*KEY, *VALUE, "obs_id", "temporal_kind", "valid_start", "valid_end", "recorded_at", "status", "supported"]
-    states, parts = piece_states(cut(cands.where("status <> 'rejected'").select(*names)), lo, hi)
-    states, parts = cut(states), cut(parts)
-    # the state before the window comes first; pieces without rows have no state and no fact
-    cells = parts.select(*KEY, "begin").unionByName(states.where("begin is null").select(*KEY, "begin"))
-    full = cells.join(states, [cells[k] == states[k] for k in KEY] + [cells["begin"].eqNullSafe(states["begin"])], "left")
-    full = full.select(*(cells[k] for k in KEY), cells["begin"], "outcome", *VALUE)
-    w = Window.partitionBy(*KEY).orderBy(F.col("begin").asc_nulls_first())
-    for c in ("outcome", *VALUE):
-        full = full.withColumn(f"before_{c}", F.lag(c).over(w))
-    had, has = F.col("before_outcome").eqNullSafe("resolved"), F.col("outcome").eqNullSafe("resolved")
-    same = F.lit(True)
-    for v in VALUE:
-        same &= F.col(f"before_{v}").eqNullSafe(F.col(v))
+    rows = spans(cands, lo, hi)
+    kinds = ("s", "t_time", "t_hypo", "c")
+    counts = turns(rows, [*KEY, *VALUE], "low", "high", {k: (F.col("cls") == k).cast("long") for k in kinds})
+    counts = cut(counts)
+    largest = counts.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    width = counts.select(F.max("t") - F.min("t")).first()[0] or 0
+    span = None if largest <= WHOLE else max(1, width // PARTS)
+
+    values = running(counts, [*KEY, *VALUE], list(kinds), span)
+    hashed = F.xxhash64(*VALUE)
+    mark = {"v1": F.shiftrightunsigned(hashed, 33), "v2": hashed.bitwiseAND((1 << 31) - 1)}
+
+    def holds(when):  # of a value: what it adds to its key's state
+        s = when("s") > 0
+        return {"n_s": s, "n_c": when("c") > 0, "n_time": (when("t_time") > 0) & ~s, "n_hypo": (when("t_hypo") > 0) & ~s}
+
+    now, before = holds(lambda k: F.col(f"{k}_now")), holds(lambda k: F.col(f"{k}_now") - F.col(k))
+    steps = values.select(*KEY, *VALUE, "t", *((now[k].cast("long") - before[k].cast("long")).alias(k) for k in now))
+    steps = steps.select(*KEY, "t", *now, *((F.col("n_s") * v).alias(k) for k, v in mark.items()))
+    sums = [*now, *mark]
+    steps = steps.groupBy(*KEY, "t").agg(*(F.sum(k).alias(k) for k in sums))
+    states = running(steps, KEY, sums, span).where((F.col("t") >= micros(_ntz(lo))) & (F.col("t") < micros(_ntz(hi))))
+
+    def state(of):
+        fact = (of("n_s") == 1) & (of("n_c") == 0) & (of("n_time") == 0) & (of("n_hypo") == 0)
+        return fact, F.when(fact, "resolved").when(of("n_time") > 0, "temporal-uncertainty").when(of("n_hypo") > 0, "hypothesized").when(of("n_s") > 1, "conflicting-values").when(of("n_c") > 0, "counterevidence-only")
+
+    sides = {"before": lambda k: F.col(f"{k}_now") - F.col(k), "after": lambda k: F.col(f"{k}_now")}
+    (had, before_outcome), (has, after_outcome) = (state(of) for of in sides.values())
+    same = (F.col("v1") == 0) & (F.col("v2") == 0)
     change = F.when(has & ~had, "added").when(had & ~has, "removed").when(had & has & ~same, "changed")
-    out = full.where("begin is not null").withColumn("change", change).where("change is not null")
-    return out.select(
-        *KEY, F.col("begin").alias("instant"), "change", *(F.when(had, F.col(f"before_{v}")).alias(f"before_{v}") for v in VALUE),
-        *(F.when(has, F.col(v)).alias(f"after_{v}") for v in VALUE), "before_outcome", F.col("outcome").alias("after_outcome"),
-    )
+    instant = F.expr("timestampadd(MICROSECOND, t, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    out = states.select(
+        *KEY, instant.alias("instant"), change.alias("change"), before_outcome.alias("before_outcome"), after_outcome.alias("after_outcome"),
+        *(F.when(ok, sides[side](k)).alias(f"{side}_{k}") for side, ok in (("before", had), ("after", has)) for k in mark),
+    ).where("change is not null")
+    known = rows.where("cls = 's'").select(*KEY, *VALUE).distinct()
+    for side in sides:
+        names = known.select(*KEY, *(v.alias(f"{side}_{k}") for k, v in mark.items()), *(F.col(v).alias(f"{side}_{v}") for v in VALUE))
+        out = out.join(names, [*KEY, *(f"{side}_{k}" for k in mark)], "left")
+    return out.select(*KEY, "instant", "change", *(f"before_{v}" for v in VALUE), *(f"after_{v}" for v in VALUE), "before_outcome", "after_outcome")
+
+
+def material(cands: DataFrame, moves: DataFrame, lo, hi) -> DataFrame:
+    """(key, instant, side, outcome, value, cls, obs_id, recorded_at): the observations that tell each transition's two sides.
+
+    A side that is a fact has its supported rows, an unresolved side all rows of its candidates. moves: some
+    transitions() of the same rows; a key's rows meet only its own transitions.
+    """
+    at = moves.select(*KEY, "instant", F.explode(F.array(
+        F.struct(F.lit("before").alias("side"), F.col("before_outcome").alias("outcome"), (micros("instant") - 1).alias("t")),
+        F.struct(F.lit("after").alias("side"), F.col("after_outcome").alias("outcome"), micros("instant").alias("t")),
+    )).alias("s")).select(*KEY, "instant", "s.*").where("outcome is not null")
+    rows = spans(cands, lo, hi).join(at, KEY).where((F.col("low") <= F.col("t")) & (F.col("t") < F.col("high")))
+    return rows.where("outcome <> 'resolved' or cls = 's'").select(*KEY, "instant", "side", "outcome", *VALUE, "cls", "obs_id", "recorded_at")
+
+
+def ties(told: DataFrame) -> DataFrame:
+    """(key, instant, first_recorded, first_obs): what orders transitions of one instant, over both sides of material()."""
+    return told.groupBy(*KEY, "instant").agg(F.min("recorded_at").alias("first_recorded"), F.min("obs_id").alias("first_obs"))

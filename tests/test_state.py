@@ -175,13 +175,48 @@ def test_random_windows_and_permutation(spark):
     assert outcomes(spark, rows, 3, 8) == want
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_trajectories(spark, seed):
+@pytest.mark.parametrize("seed,whole", [(1, 100_000), (2, 100_000), (3, 0), (4, 0)])
+def test_random_trajectories(spark, seed, whole, monkeypatch):
+    monkeypatch.setattr(trajectory, "WHOLE", whole)  # 0: every key is split by time
     rows = random_rows(seed, 30)
     o, links = frames(spark, rows)
-    got = trajectory.transitions(state.candidates(o, links), day(2), day(9))
-    got = {(r["subject_ref"], r["predicate"], r["instant"], r["change"], r["before_object_ref"], r["after_object_ref"]) for r in got.collect()}
+    cands = state.candidates(o, links)
+    moves = trajectory.transitions(cands, day(2), day(9)).cache()
+    got = {(r["subject_ref"], r["predicate"], r["instant"], r["change"], r["before_object_ref"], r["after_object_ref"]) for r in moves.collect()}
     assert got == model_transitions(rows, day(2), day(9))
+    by_id = {r[0]: r for r in rows}
+    told = trajectory.material(cands, moves, day(2), day(9)).collect()
+    for r in told:
+        row = by_id[r["obs_id"]]
+        assert (row[2], row[3], row[5]) == (r["subject_ref"], r["predicate"], r["object_ref"])
+        assert r["outcome"] != "resolved" or r["cls"] == "s"
+    for m in moves.collect():
+        own = [r for r in told if all(r[c] == m[c] for c in ("subject_ref", "predicate", "instant"))]
+        for side in ("before", "after"):
+            values = {r["object_ref"] for r in own if r["side"] == side}
+            if m[f"{side}_outcome"] == "resolved":
+                assert values == {m[f"{side}_object_ref"]}
+            else:
+                assert bool(values) == (m[f"{side}_outcome"] is not None)
+
+
+def test_one_key_with_very_many_rows(spark):
+    """A key that holds most rows is split by time, for overlaps and for transitions, with the plain rule's results."""
+    rows = [obs(i, "p", "xyz"[i % 3], "interval", i * 3, i * 3 + (4 if i == 77 else 3)) for i in range(400)]
+    assert outcomes(spark, rows, 0, 2000) == model_window(rows, day(0), day(2000))
+    rows[77] = obs(77, "p", "y", "interval", 231, 234)
+    assert outcomes(spark, rows, 0, 2000) == model_window(rows, day(0), day(2000))
+    assert {v[0] for v in outcomes(spark, rows, 0, 2000).values()} == {"multiple-states-in-window"}
+
+
+def test_several_selections_in_one_pass(spark):
+    rows = [(f"{s}{r[0]}", *r[1:]) for s in range(10) for r in random_rows(s, 8)]
+    o, links = frames(spark, rows)
+    cands = state.candidates(o, links)
+    spread, eligible, uncertain = state.labelled(cands, {"a": ta.in_window(lit(1), lit(5)), "b": ta.in_window(lit(4), lit(9))})
+    keys = state.aggregate(spread, eligible, uncertain, sel=["label"])[2].collect()
+    for label, lo, hi in (("a", 1, 5), ("b", 4, 9)):
+        assert {(r["subject_ref"], r["predicate"]): (r["outcome"], r["object_ref"]) for r in keys if r["label"] == label} == model_window(rows, day(lo), day(hi))
 
 
 def test_causal_keeps_rejected_and_drops_uncertain(spark):
