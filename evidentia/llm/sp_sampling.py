@@ -17,7 +17,7 @@ from .common import mix
 from .token_count import text_steps
 
 #: Distinct units, and bytes of them, that a worker remembers before it starts anew.
-MEMORY, MEMORY_BYTES = 100_000, 4 << 20
+MEMORY, MEMORY_BYTES = 300_000, 6 << 20
 #: Bytes of units whose lattices are made together; a longer unit is parted where no piece reaches over.
 WINDOW = 1 << 18
 #: Longer segments are summed and sampled one by one, shorter ones together.
@@ -206,7 +206,7 @@ class Sampler:
         depth = to - start[segment[to]]
         weight = self.theta * self.pieces.weight[piece]
         alone = size[segment[to]] > ALONE
-        by = np.lexsort((to, depth, alone))
+        by = np.argsort(alone.astype(np.int64) << 62 | depth << 38 | to << 8 | span)  # no two edges have one key
         at, span, piece, to, weight, depth = (x[by] for x in (at, span, piece, to, weight, depth))
         forward = np.full(n + 1, -np.inf)
         origin = at == start[segment[to]]
@@ -229,9 +229,9 @@ class Sampler:
                 share[lo:hi] = (running - np.repeat(before, count)) / np.repeat(total, count)
             share[lo + head + count - 1] = 2.0  # the last edge takes what rounding leaves
         if together < len(to):
-            late = together + np.argsort(to[together:], kind="stable")  # node by node, each after those before it
+            late = together + np.argsort(to[together:] << 8 | span[together:])  # node by node, each after those before it
             share[late] = self._one_by_one(at[late].tolist(), to[late].tolist(), weight[late].tolist(), origin[late].tolist())
-        by = np.argsort(to, kind="stable")
+        by = np.argsort(to << 8 | span)
         first = np.searchsorted(to[by], np.arange(n))
         return of, np.append(start[1:], n) - 1, size, first, share[by].astype(np.float32), span[by].astype(np.uint8), piece[by].astype(np.int32)
 
