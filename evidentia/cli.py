@@ -7,12 +7,13 @@ import sys
 from pyspark.sql import SparkSession
 
 from evidentia import schema
+from evidentia.operators.checks import Inconsistent
 from evidentia.plans.engine import Engine, OverLimit, UnknownEntity
 from evidentia.plans.request import BadRequest, parse
 from evidentia.sources.health import CHECKS, readiness
 from evidentia.sources.store import Store
 
-TABLES = {"observations": schema.OBSERVATION, "links": schema.EVIDENCE_LINK, "decisions": schema.RESOLUTION_DECISION, "admissions": schema.ADMISSION_DECISION, "entities": schema.ENTITY}
+TABLES = {name: table for name, (table, _) in schema.TABLES.items()}
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
@@ -29,7 +30,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         engine = Engine(spark, Store(spark, argv[0], TABLES).snapshot())
         result = engine.query(request)
         print(engine.envelope(result).first()["json"] if output == "json" else engine.text(result))
-    except (BadRequest, UnknownEntity, OverLimit) as e:
+    except (BadRequest, UnknownEntity, OverLimit, Inconsistent) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     return 0

@@ -34,7 +34,7 @@ def structural_text(p):
     parent = F.when(F.col("turn") > 0, F.expr("(turn - 1) div 2"))
     run = F.when(F.col("role") == "user", F.substring("text", 1, 10))
     rows = p["conversations"].select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), parent.alias("parent_id"), F.col("turn").alias("position"), run.alias("text"))
-    return documents.structural_text(p.spark, rows)
+    return documents.structural_text(rows)
 
 
 @query("SELECT conv_id AS doc_id, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS n_transcripts, count(*) FILTER (role = 'user') = 1 AS accepted FROM conversations GROUP BY 1")

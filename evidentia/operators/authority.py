@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.evidence import TIME, digest, frame
+from evidentia.functions.timeaxis import micros
+from evidentia.plans.lineage import cut
+from evidentia.schema import ADMISSION_OUTCOMES, ADMISSION_TARGETS
+
+#: Who may decide (fixed values), and the longest reason code in characters.
+RESOLVERS, ADMITTERS, LONGEST_REASON = ("automatic", "reviewer"), ("automatic", "reviewer", "policy"), 128
+
 
 def known_by(df: DataFrame, cutoff=None) -> DataFrame:
     """Rows recorded by the cutoff, itself included; all without one."""
     return df if cutoff is None else df.where(F.col("recorded_at") <= F.lit(cutoff).cast("timestamp_ntz"))
 
 
-def chains(spark: SparkSession, decisions: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """Every decision with the root of its chain and its depth, by recursion from the roots."""
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", max_depth)
-    return spark.sql(
-        """WITH RECURSIVE walk(id, root, depth) AS (
-             SELECT id, id, 0 FROM {d} WHERE supersedes_id IS NULL
-             UNION ALL SELECT d.id, w.root, w.depth + 1 FROM {d} d JOIN walk w ON d.supersedes_id = w.id)
-           SELECT d.*, w.root, w.depth FROM {d} d JOIN walk w ON d.id = w.id""",
-        d=decisions,
-    )
+def chains(decisions: DataFrame) -> DataFrame:
+    """Every decision with the root of its chain and its depth; one that reaches no root (its predecessor is missing, or
+    they form a ring) is left out.
+
+    Each row points to the one it supersedes; every round doubles how far a row points, so a chain of n takes
+    log2(n) joins and none has a limit of rows or of depth.
+    """
+    up = F.coalesce("supersedes_id", "id")
+    ways = cut(decisions.select("id", up.alias("at"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).alias("depth"), F.col("supersedes_id").isNull().alias("done")))
+    left = ways.where("not done").count()
+    rounds = max(1, left).bit_length() + 1  # a longer way than all open rows runs in a ring
+    while left and rounds:
+        on = ways.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = ways.where("not done").join(on, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        ways = cut(ways.where("done").unionByName(moved))
+        left, rounds = ways.where("not done").count(), rounds - 1
+    return decisions.join(ways.where("done").select("id", F.col("at").alias("root"), F.col("depth").cast("int").alias("depth")), "id")
 
 
 def effective(decisions: DataFrame, cutoff=None) -> DataFrame:
@@ -88,64 +103,90 @@ def resolved_mentions(decisions: DataFrame, admissions: DataFrame, entities: Dat
     return one.where("entity_id = last").select("mention_id", "entity_id")
 
 
-def resolve_terms(observations: DataFrame, mentions: DataFrame, entities: DataFrame, cutoff=None) -> DataFrame:
-    """Adds subject_entity and object_entity, and for each end whether a direct entity is missing or a mention unresolved."""
-    known = known_by(entities, cutoff).select(F.col("id").alias("e_id"))
+def resolve_terms(observations: DataFrame, mentions: DataFrame, entities: DataFrame, cutoff=None, requested: DataFrame | None = None) -> DataFrame:
+    """Adds for each end <end>_entity, and flags <end>_missing (a direct entity is unknown), <end>_unresolved (a mention
+    resolves to none) and <end>_asked (the entity that it names or resolves to is requested).
+
+    Mentions and entities are looked up in one table by kind and reference, one join for each end; ends of other
+    kinds are spread by the observation's id, so a frequent text is no hot key. requested: (entity_id).
+    """
+    known = known_by(entities, cutoff).select(F.col("id").alias("_id")).distinct().withColumn("_known", F.lit(True))
+    if requested is None:
+        asked = known.select("_id", F.lit(False).alias("_asked"))
+    else:
+        asked = requested.select(F.col("entity_id").alias("_id")).distinct().withColumn("_asked", F.lit(True))
+    people = known.join(asked, "_id", "full_outer").select("_id", "_known", F.coalesce("_asked", F.lit(False)).alias("_asked"))
+    direct = people.select(F.lit("entity").alias("_kind"), F.col("_id").alias("_ref"), F.when(F.col("_known"), F.col("_id")).alias("_entity"), "_asked")
+    told = mentions.select(F.lit("mention").alias("_kind"), F.col("mention_id").alias("_ref"), F.col("entity_id").alias("_id"))
+    told = told.join(people, "_id", "left").select("_kind", "_ref", F.col("_id").alias("_entity"), F.coalesce("_asked", F.lit(False)).alias("_asked"))
+    names = direct.unionByName(told).withColumn("_spread", F.lit(0))
     for end in ("subject", "object"):
-        kind, ref = F.col(f"{end}_kind"), F.col(f"{end}_ref")
-        m = mentions.select(F.col("mention_id").alias("m_id"), F.col("entity_id").alias("m_entity"))
-        observations = observations.join(m, (kind == "mention") & (ref == F.col("m_id")), "left").join(known, (kind == "entity") & (ref == F.col("e_id")), "left")
-        observations = observations.withColumn(f"{end}_entity", F.coalesce("m_entity", "e_id"))
-        observations = observations.withColumn(f"{end}_missing", (kind == "entity") & F.col("e_id").isNull())
-        observations = observations.withColumn(f"{end}_unresolved", (kind == "mention") & F.col("m_id").isNull()).drop("m_id", "m_entity", "e_id")
+        kind = F.col(f"{end}_kind")
+        named = kind.isin("entity", "mention")
+        own = names.select("_spread", F.col("_kind").alias(f"{end}_kind"), F.col("_ref").alias(f"{end}_ref"), F.col("_entity").alias(f"{end}_entity"), F.col("_asked").alias(f"{end}_asked"))
+        observations = observations.withColumn("_spread", F.when(named, 0).otherwise(1 + F.pmod(F.xxhash64("obs_id"), F.lit(4096)).cast("int")))
+        observations = observations.join(own, ["_spread", f"{end}_kind", f"{end}_ref"], "left").drop("_spread")
+        none = F.col(f"{end}_entity").isNull()
+        observations = observations.withColumns({f"{end}_missing": (kind == "entity") & none, f"{end}_unresolved": (kind == "mention") & none, f"{end}_asked": F.coalesce(f"{end}_asked", F.lit(False))})
     return observations
 
 
-def evidence_known(links: DataFrame, evidence: DataFrame | None = None, cutoff=None) -> DataFrame:
-    """Observations with at least one link and no link to evidence recorded after the cutoff: one late source rejects all."""
-    if evidence is None or cutoff is None:
+def evidence_visible(links: DataFrame, spans: DataFrame | None = None, versions: DataFrame | None = None, sources: DataFrame | None = None, cutoff=None) -> DataFrame:
+    """Observations (obs_id) with at least one link and no link whose span, version or source is absent or recorded after
+    the cutoff: one late source rejects the whole set of citations.
+
+    spans: (evidence_id, version_id, recorded_at); versions: (version_id, source_id, recorded_at); sources:
+    (source_id, recorded_at). Tables that are not given are not asked; without any, a link is enough.
+    """
+    if spans is None:
         return links.select("obs_id").distinct()
-    late = evidence.select("evidence_id", (F.col("recorded_at") > F.lit(cutoff).cast("timestamp_ntz")).alias("late"))
-    of = links.join(late, "evidence_id", "left").groupBy("obs_id").agg(F.max(F.coalesce("late", F.lit(True))).alias("late"))
-    return of.where("not late").select("obs_id")
+    seen = known_by(spans, cutoff).select("evidence_id", "version_id")
+    if versions is not None:
+        held = known_by(versions, cutoff).select("version_id", "source_id")
+        if sources is not None:
+            held = held.join(known_by(sources, cutoff).select("source_id"), "source_id", "left_semi")
+        seen = seen.join(held.select("version_id"), "version_id", "left_semi")
+    seen = seen.select("evidence_id").distinct().withColumn("_seen", F.lit(1))
+    of = links.join(seen, "evidence_id", "left").groupBy("obs_id").agg(F.min(F.coalesce("_seen", F.lit(0))).alias("_all"))
+    return of.where("_all = 1").select("obs_id")
 
 
-def qualify(resolved: DataFrame, ok_observations: DataFrame, ok_evidence: DataFrame, requested: DataFrame, predicates: list[str] | None = None, match: str = "all") -> DataFrame:
-    """Related observations with `class` and, unless retained, the requested ids that they touch.
+def qualify(resolved: DataFrame, ok_observations: DataFrame, ok_evidence: DataFrame, n_requested, predicates: list[str] | None = None, match: str = "all") -> DataFrame:
+    """Related observations with `class`; resolved: resolve_terms() with the requested ids, whose number is n_requested.
 
     Related: an end resolves to a requested entity or names one directly. The class is the first that holds:
     predicate-filtered, authority-excluded (an entity is missing), unresolved-mention, entity-filtered
     (`all`: each requested id must be among the two ends), authority-excluded (not admitted, or evidence),
-    retained.
-
-    requested: (entity_id), at most as many as the request limit allows, so joining it is cheap.
+    retained. Rows are judged by their own columns; the one join brings whether admission and evidence allow them.
     """
-    n = requested.select(F.count_distinct("entity_id").alias("n_requested"))
-    ends = F.array_distinct(F.filter(F.array(
-        F.col("subject_entity"), F.col("object_entity"), F.when(F.col("subject_kind") == "entity", F.col("subject_ref")),
-        F.when(F.col("object_kind") == "entity", F.col("object_ref")),
-    ), lambda x: x.isNotNull()))
-    touched = resolved.select("obs_id", F.explode(ends).alias("entity_id")).join(requested.distinct(), "entity_id", "left_semi")
-    ids = resolved.select("obs_id", F.explode(F.array_distinct(F.filter(F.array("subject_entity", "object_entity"), lambda x: x.isNotNull()))).alias("entity_id"))
-    matched = ids.join(requested.distinct(), "entity_id", "left_semi").groupBy("obs_id").agg(F.count("*").alias("n_matched"))
-    rows = resolved.join(touched.select("obs_id").distinct(), "obs_id").join(matched, "obs_id", "left")
-    rows = rows.join(ok_observations.select(F.col("id").alias("obs_id"), F.lit(True).alias("ok_adm")), "obs_id", "left")
-    rows = rows.join(ok_evidence.select("obs_id", F.lit(True).alias("ok_ev")), "obs_id", "left").crossJoin(F.broadcast(n))
-    wanted = F.coalesce("n_matched", F.lit(0)) >= (F.col("n_requested") if match == "all" else F.lit(1))
-    named = F.lit(True) if not predicates else F.col("predicate").isin(predicates)
+    rows = resolved.where(F.col("subject_asked") | F.col("object_asked"))
+    allowed = ok_observations.select(F.col("id").alias("obs_id")).join(ok_evidence.select("obs_id"), "obs_id", "left_semi").distinct()
+    rows = rows.join(allowed.withColumn("_allowed", F.lit(True)), "obs_id", "left")
+    hit = [F.col(f"{e}_asked") & F.col(f"{e}_entity").isNotNull() for e in ("subject", "object")]
+    twice = hit[0] & hit[1] & (F.col("subject_entity") == F.col("object_entity"))
+    matched = hit[0].cast("int") + hit[1].cast("int") - twice.cast("int")
+    wanted = matched >= (F.lit(n_requested) if match == "all" else F.lit(1))
+    named = F.lit(True) if not predicates else F.col("predicate").isin(list(predicates))
     cls = (
         F.when(~named, "predicate-filtered").when(F.col("subject_missing") | F.col("object_missing"), "authority-excluded")
         .when(F.col("subject_unresolved") | F.col("object_unresolved"), "unresolved-mention").when(~wanted, "entity-filtered")
-        .when(F.col("ok_adm").isNull() | F.col("ok_ev").isNull(), "authority-excluded").otherwise("retained")
+        .when(F.col("_allowed").isNull(), "authority-excluded").otherwise("retained")
     )
-    return rows.withColumn("class", cls).drop("n_matched", "n_requested", "ok_adm", "ok_ev")
+    return rows.withColumn("class", cls).drop("_allowed")
+
 
+def asked_ends(resolved_only: bool = False) -> Column:
+    """The requested entities that an observation's ends resolve to or, unless resolved_only, name directly."""
+    ends = []
+    for e in ("subject", "object"):
+        name = F.col(f"{e}_entity") if resolved_only else F.coalesce(f"{e}_entity", f"{e}_ref")
+        ends.append(F.when(F.col(f"{e}_asked"), name))
+    return F.array_distinct(F.filter(F.array(*ends), lambda x: x.isNotNull()))
 
-def coverage(qualified: DataFrame, requested: DataFrame) -> DataFrame:
+
+def coverage(qualified: DataFrame) -> DataFrame:
     """One row per observation not retained and requested id that it touches."""
-    ends = F.array_distinct(F.array("subject_entity", "object_entity", F.when(F.col("subject_kind") == "entity", F.col("subject_ref")), F.when(F.col("object_kind") == "entity", F.col("object_ref"))))
-    rows = qualified.where("class <> 'retained'").withColumn("entity_id", F.explode(ends)).where("entity_id is not null")
-    rows = rows.join(requested.distinct(), "entity_id", "left_semi")
+    rows = qualified.where("class <> 'retained'").withColumn("entity_id", F.explode(asked_ends()))
     return rows.select("entity_id", "predicate", "obs_id", F.col("class").alias("reason"), "temporal_kind", "valid_start", "valid_end")
 
 
@@ -170,6 +211,52 @@ def relationship_observations(observations: DataFrame, decisions: DataFrame, adm
     return rows
 
 
+def reason_fault(reason: Column) -> Column:
+    """A reason code is not blank and has at most LONGEST_REASON characters."""
+    return F.when(reason.isNull() | (F.trim(reason) == ""), "no-reason").when(F.char_length(reason) > LONGEST_REASON, "long-reason")
+
+
+def _blank(name: str) -> Column:
+    return F.col(name).isNull() | (F.trim(F.col(name)) == "")
+
+
+def resolution_fault() -> Column:
+    """What is wrong with a resolution decision (id, proposal_id, outcome, entity_id, authority, reason, recorded_at,
+    supersedes_id), else NULL: an accepted one names an entity, a rejected one none, and none supersedes itself."""
+    return (
+        F.when(_blank("id"), "no-id").when(_blank("proposal_id"), "no-proposal").when(~F.coalesce(F.col("outcome").isin("accepted", "rejected"), F.lit(False)), "outcome")
+        .when((F.col("outcome") == "accepted") & _blank("entity_id"), "accepted-without-entity").when((F.col("outcome") == "rejected") & ~_blank("entity_id"), "rejected-with-entity")
+        .when(~F.coalesce(F.col("authority").isin(*RESOLVERS), F.lit(False)), "authority").otherwise(F.coalesce(
+            reason_fault(F.col("reason")), F.when(F.col("recorded_at").isNull(), "no-time").when(F.trim("supersedes_id") == F.trim("id"), "supersedes-itself")
+        ))
+    )
+
+
+def admission_fault() -> Column:
+    """The same for an admission decision (id, target_kind, target_id, outcome, authority, reason, recorded_at, supersedes_id)."""
+    among = lambda name, values: ~F.coalesce(F.col(name).isin(*values), F.lit(False))
+    return (
+        F.when(_blank("id"), "no-id").when(among("target_kind", ADMISSION_TARGETS), "target-kind").when(_blank("target_id"), "no-target")
+        .when(among("outcome", ADMISSION_OUTCOMES), "outcome").when(among("authority", ADMITTERS), "authority").otherwise(F.coalesce(
+            reason_fault(F.col("reason")), F.when(F.col("recorded_at").isNull(), "no-time").when(F.trim("supersedes_id") == F.trim("id"), "supersedes-itself")
+        ))
+    )
+
+
+def decision_digest(*columns: str) -> Column:
+    """A decision's digest: its time, then the named columns in order, an absent one as empty; its own id is not part."""
+    return digest(frame(micros("recorded_at"), TIME), *(frame(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns))
+
+
+RESOLUTION_DIGEST = ("proposal_id", "outcome", "entity_id", "authority", "reason", "supersedes_id")
+ADMISSION_DIGEST = ("target_kind", "target_id", "outcome", "authority", "reason", "supersedes_id")
+
+
+def digest_violations(decisions: DataFrame, columns: tuple[str, ...], cutoff=None) -> DataFrame:
+    """(id) of known decisions whose stored `digest` is not that of their columns."""
+    return known_by(decisions, cutoff).where(~F.col("digest").eqNullSafe(decision_digest(*columns))).select("id")
+
+
 def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The last row of each group in an order."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.evidence import BYTES, FLAG, NUMBER, TIME, digest, float_bits, frame, opaque_id
@@ -28,12 +28,12 @@ def _maybe(column: Column, framed: Column) -> Column:
     return F.when(column.isNull(), frame(F.lit(False), FLAG)).otherwise(F.concat(frame(F.lit(True), FLAG), framed))
 
 
-def structural_text(spark: SparkSession, elements: DataFrame) -> DataFrame:
+def structural_text(elements: DataFrame) -> DataFrame:
     """(doc_id, text): the runs of each element tree (doc_id, id, parent_id, position, text), depth first.
 
     Paragraphs, tables, rows, cells and contents are elements without a text; a document without runs has ''.
     """
-    walked = flatten_tree(spark, elements.withColumnRenamed("text", "title"))
+    walked = flatten_tree(elements.withColumnRenamed("text", "title"))
     run = F.struct("section_order", F.coalesce(F.element_at("path", -1), F.lit("")).alias("run"))
     runs = F.transform(F.array_sort(F.collect_list(run)), lambda x: x["run"])
     return walked.groupBy("doc_id").agg(F.array_join(runs, "").alias("text"))

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.authority import asked_ends
 
-def requested_ends(rows: DataFrame, requested: DataFrame) -> DataFrame:
-    """(entity_id, obs_id, predicate) of requested entities that a row's resolved ends name."""
-    ends = F.array_distinct(F.filter(F.array("subject_entity", "object_entity"), lambda x: x.isNotNull()))
-    return rows.select("obs_id", "predicate", F.explode(ends).alias("entity_id")).join(requested.distinct(), "entity_id", "left_semi")
 
+def requested_ends(rows: DataFrame) -> DataFrame:
+    """(entity_id, obs_id, predicate) of requested entities that a row's ends resolve to; rows as qualify() gives them."""
+    return rows.select("obs_id", "predicate", F.explode(asked_ends(resolved_only=True)).alias("entity_id"))
 
-def valid_time_gaps(cands: DataFrame, outside: Column, requested: DataFrame, label: str) -> DataFrame:
+
+def valid_time_gaps(cands: DataFrame, outside: Column, label: str) -> DataFrame:
     """Per requested entity and predicate: evidence that lies outside the selection for certain; entity blank if no end was requested."""
-    rows = cands.where((F.col("status") != "rejected") & outside).select("obs_id", "predicate", "subject_entity", "object_entity")
-    named = requested_ends(rows, requested)
-    other = rows.join(named.select("obs_id").distinct(), "obs_id", "left_anti").select(F.lit("").alias("entity_id"), "predicate")
-    both = named.select("entity_id", "predicate").unionByName(other).distinct()
-    return both.select(F.lit("valid-time-excluded").alias("kind"), "entity_id", F.lit(label).alias("label"), "predicate")
+    ends = asked_ends(resolved_only=True)
+    rows = cands.where((F.col("status") != "rejected") & outside).select(F.explode(F.when(F.size(ends) > 0, ends).otherwise(F.array(F.lit("")))).alias("entity_id"), "predicate")
+    return rows.distinct().select(F.lit("valid-time-excluded").alias("kind"), "entity_id", F.lit(label).alias("label"), "predicate")
 
 
 def coverage_gaps(coverage: DataFrame, outside: Column | None = None) -> DataFrame:
@@ -30,9 +29,12 @@ def coverage_gaps(coverage: DataFrame, outside: Column | None = None) -> DataFra
 
 def no_evidence(requested: DataFrame, *material: DataFrame) -> DataFrame:
     """Requested entities without any fact, unresolved key or gap."""
-    out = requested.distinct()
+    told = None
     for m in material:
-        out = out.join(m.select("entity_id").where("entity_id is not null").distinct(), "entity_id", "left_anti")
+        own = m.select("entity_id").where("entity_id is not null")
+        told = own if told is None else told.unionByName(own)
+    out = requested.distinct()
+    out = out if told is None else out.join(told.distinct(), "entity_id", "left_anti")
     null = F.lit(None).cast("string")
     return out.select(F.lit("no-evidence").alias("kind"), "entity_id", null.alias("label"), null.alias("predicate"))
 

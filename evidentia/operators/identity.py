@@ -22,32 +22,63 @@ def name_confidence(mention_tokens: Column, tokens: Column) -> Column:
     return shared / F.greatest(F.size(mention_tokens), F.size(tokens))
 
 
-def rank_names(mentions: DataFrame, names: DataFrame, top: int = 3) -> DataFrame:
-    """The `top` entities of each mention by confidence, then id: (mention_id, rank, entity_id, confidence, via).
+def rank_names(mentions: DataFrame, names: DataFrame, top: int | None = None) -> DataFrame:
+    """All entities that share a word with a mention, by confidence, then id: (mention_id, rank, entity_id, confidence, via).
 
     mentions: (mention_id, name), names: (entity_id, name, is_alias), all normalised; names with @ take no
-    part. An alias counts only where it is strictly better than the display name.
+    part. An alias counts only where it is strictly better than the display name. top: how many to give of each
+    mention (a report); by default all.
 
-    Equal names are compared once: distinct mention names meet distinct entity names that share a token;
-    a name that many entities carry keeps only the `top` smallest ids, which is all that ranking can use.
+    Equal names are compared once: distinct mention names meet distinct names of entities under the words that
+    they share. A pair meets under the rarest of these only, so of two words the common one makes no pairs that
+    another makes too; a name whose only shared word is common is met through it, as each such pair is a result.
     """
     clean = lambda df: df.where("name <> '' AND NOT contains(name, '@')")
     spoken = clean(mentions).select("name").distinct().withColumn("m", F.split("name", " "))
-    by_id = Window.partitionBy("name", "is_alias").orderBy("entity_id")
-    held = clean(names).select("entity_id", "name", "is_alias").distinct().withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= top).drop("_r")
+    held = clean(names).select("entity_id", "name", "is_alias").distinct()
     known = held.select(F.col("name").alias("known")).distinct().withColumn("k", F.split("known", " "))
     left = spoken.select("name", "m", F.explode(F.array_distinct("m")).alias("token"))
     right = known.select("known", "k", F.explode(F.array_distinct("k")).alias("token"))
-    pairs = left.join(right, "token").select("name", "known", "m", "k").distinct()
+    # a word's place: rare ones first; a pair is made under the first word that both have
+    often = left.select("token").unionByName(right.select("token")).groupBy("token").agg(F.count("*").alias("often"))
+
+    def placed(rows, own, words):
+        at = rows.join(often, "token").groupBy(own, words).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("order"))
+        return at.select(own, words, F.transform("order", lambda x: x["token"]).alias("order"))
+
+    spoken, known = placed(left, "name", "m"), placed(right, "known", "k")
+    left = spoken.select("name", "m", F.col("order").alias("m_order"), F.explode("order").alias("token"))
+    right = known.select("known", "k", F.explode("order").alias("token"))
+    shared = F.get(F.filter("m_order", lambda t: F.array_contains(F.col("k"), t)), F.lit(0))
+    pairs = left.join(right, "token").where(shared == F.col("token"))
     scores = pairs.select("name", "known", F.when(F.col("name") == F.col("known"), 1.0).otherwise(name_confidence(F.col("m"), F.col("k"))).alias("confidence"))
     of = scores.join(held.withColumnRenamed("name", "known"), "known")
-    best = of.groupBy("name", "entity_id").agg(F.max(F.struct("confidence", (~F.col("is_alias")).alias("display"), "known")).alias("b"))
-    w = Window.partitionBy("name").orderBy(F.col("b.confidence").desc(), "entity_id")
-    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    best = of.groupBy("name", "entity_id").agg(F.max(F.struct("confidence", (~F.col("is_alias")).alias("display"))).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.col("b.confidence").desc(), "entity_id"))
+    ranked = best.withColumn("rank", rank)
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     out = clean(mentions).join(ranked, "name")
     return out.select("mention_id", "rank", "entity_id", F.col("b.confidence").alias("confidence"), F.when(F.col("b.display"), "display").otherwise("alias").alias("via"))
 
 
+def resolve(mentions: DataFrame, names: DataFrame, emails: DataFrame) -> DataFrame:
+    """Each mention's one outcome: `automatic` with the entity that alone owns its address, else `ranked` candidates or `none`.
+
+    mentions: (mention_id, name, email), names: (entity_id, name, is_alias), emails: (entity_id, email), all
+    normalised. (mention_id, outcome, entity_id, rank, confidence, reason): one row if automatic or none, else one
+    row for each candidate. An address owned by several entities makes each of them no match.
+    """
+    exact = email_matches(mentions.select("mention_id", "email"), emails).where("entity_id is not null").select("mention_id", "entity_id")
+    one = exact.select("mention_id", F.lit("automatic").alias("outcome"), "entity_id", F.lit(1).alias("rank"), F.lit(1.0).alias("confidence"), F.lit("exact-email").alias("reason"))
+    rest = mentions.join(exact.select("mention_id"), "mention_id", "left_anti")
+    ranked = rank_names(rest.select("mention_id", "name"), names)
+    many = ranked.select("mention_id", F.lit("ranked").alias("outcome"), "entity_id", "rank", "confidence", F.concat(F.lit("name-"), "via").alias("reason"))
+    none = rest.select("mention_id").join(ranked.select("mention_id").distinct(), "mention_id", "left_anti")
+    null = lambda kind: F.lit(None).cast(kind)
+    none = none.select("mention_id", F.lit("none").alias("outcome"), null("string").alias("entity_id"), null("int").alias("rank"), null("double").alias("confidence"), null("string").alias("reason"))
+    return one.unionByName(many).unionByName(none)
+
+
 def directory_verdict(lookups: DataFrame, profiles: DataFrame, owners: DataFrame, links: DataFrame, domains: list[str]) -> DataFrame:
     """What a directory lookup by address decides: no_match, ambiguous, review, matched with an entity, or matched new.
 

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.evidence import frame
 from evidentia.operators.authority import admitted, effective
+from evidentia.plans.lineage import cut
 
 
-def flatten_tree(spark: SparkSession, nodes: DataFrame, max_depth: int = 200) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """Depth-first rows of forests (doc_id, id, parent_id, position, title): path of titles, depth, order in the document.
 
-    Only depth is iterated; a document's order comes from its nodes' ordinal paths.
+    Each round doubles how much of its path a row holds, so a tree of depth n takes log2(n) joins, whatever its
+    size; then a document's rows are put in order by their places from the root down. Nodes that reach no root
+    (their parent is missing, or they form a ring) are left out.
     """
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", max_depth)
-    walked = spark.sql(
-        """WITH RECURSIVE walk(doc_id, id, path, ordinal, depth) AS (
-             SELECT doc_id, id, array(title), array(position), 0 FROM {n} WHERE parent_id IS NULL
-             UNION ALL SELECT n.doc_id, n.id, array_append(w.path, n.title), array_append(w.ordinal, n.position), w.depth + 1
-             FROM {n} n JOIN walk w ON n.doc_id = w.doc_id AND n.parent_id = w.id)
-           SELECT * FROM walk""",
-        n=nodes,
-    )
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")) - 1
-    return walked.select("doc_id", "id", "path", "depth", order.alias("section_order"))
+    start = nodes.select("doc_id", "id", F.col("parent_id").alias("at"), F.array("title").alias("path"), F.array("position").alias("places"))
+    ways = cut(start)
+    largest = nodes.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rounds = int(largest).bit_length() + 1  # a longer way than a document has nodes runs in a ring
+    while rounds and not ways.where("at is not null").isEmpty():
+        up = ways.select("doc_id", F.col("id").alias("at"), F.col("at").alias("next"), F.col("path").alias("head"), F.col("places").alias("first"))
+        moved = ways.where("at is not null").join(up, ["doc_id", "at"])
+        moved = moved.select("doc_id", "id", F.col("next").alias("at"), F.concat("head", "path").alias("path"), F.concat("first", "places").alias("places"))
+        ways = cut(ways.where("at is null").unionByName(moved))
+        rounds -= 1
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("places")) - 1
+    return ways.where("at is null").select("doc_id", "id", "path", (F.size("path") - 1).alias("depth"), order.alias("section_order"))
 
 
 def merged_listing(listed: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -34,23 +38,44 @@ def merged_listing(listed: DataFrame, fetched: DataFrame) -> DataFrame:
     return listed.join(new, "doc_id", "left").select("doc_id", row.alias("r"), "content").select("doc_id", "r.*", "content")
 
 
-def append_once(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows with `verdict`: append, replay (an equal row exists), conflict (the key exists with other content).
+def row_digest(columns: list[str]) -> Column:
+    """A digest of the named columns, whatever their order."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
-    Rows that repeat a key among the new ones: the first in order of content is judged, equal ones are replays,
-    different ones conflicts.
+
+def append_once(existing: DataFrame, new: DataFrame, key: str | list[str], stored: str = "row_digest") -> DataFrame:
+    """New rows with `verdict`: append, replay (an equal row exists), conflict (the key exists with other content), or
+    no-key (a column of the key is null).
+
+    key: one column or several. Rows that repeat a key among the new ones: the first in order of content is
+    judged, equal ones are replays, different ones conflicts. Only the existing rows of the new keys are looked
+    at; where existing has a column `stored` it is taken for their digest, else it is made.
     """
-    rest = [c for c in new.columns if c != key]
-    body = F.sha2(F.to_json(F.struct(*sorted(rest)), {"ignoreNullFields": "false"}), 256)
-    old = existing.select(F.col(key).alias("_key"), F.sha2(F.to_json(F.struct(*sorted(rest)), {"ignoreNullFields": "false"}), 256).alias("_old"))
-    rows = new.withColumn("_body", body)
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_body"))).withColumn("_first", F.min("_body").over(Window.partitionBy(key)))
-    rows = rows.join(old, F.col(key) == F.col("_key"), "left")
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in new.columns if c not in keys] or keys
+    old = existing.join(new.select(*keys).distinct(), keys, "left_semi")
+    old = old.select(*keys, (F.col(stored) if stored in existing.columns else row_digest(rest)).alias("_old"))
+    by = Window.partitionBy(*keys)
+    rows = new.withColumn("_body", row_digest(rest))
+    rows = rows.withColumn("_rank", F.row_number().over(by.orderBy("_body"))).withColumn("_first", F.min("_body").over(by))
+    rows = rows.join(old, keys, "left")
     held = F.coalesce("_old", "_first")
-    verdict = F.when(F.col("_body") != held, "conflict").when(F.col("_old").isNotNull() | (F.col("_rank") > 1), "replay").otherwise("append")
+    none = F.lit(False)
+    for k in keys:
+        none |= F.col(k).isNull()
+    verdict = F.when(none, "no-key").when(F.col("_body") != held, "conflict").when(F.col("_old").isNotNull() | (F.col("_rank") > 1), "replay").otherwise("append")
     return rows.select(*new.columns, verdict.alias("verdict"))
 
 
+def current_versions(pointers: DataFrame, cutoff=None) -> DataFrame:
+    """(source_id, version_id): where each source's pointer stands; pointers are only appended, the last one holds.
+
+    pointers: (source_id, version_id, recorded_at, seq); of one time the highest seq is the last.
+    """
+    rows = pointers if cutoff is None else pointers.where(F.col("recorded_at") <= F.lit(cutoff).cast("timestamp_ntz"))
+    return rows.groupBy("source_id").agg(F.max_by("version_id", F.struct("recorded_at", "seq")).alias("version_id"))
+
+
 def pending_proposals(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     return proposals.join(decisions.select("proposal_id").distinct(), "proposal_id", "left_anti")
 

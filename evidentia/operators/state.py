@@ -118,14 +118,14 @@ def aggregate(cands: DataFrame, eligible: Column, uncertain: Column, sel: list[s
     return rows, of_values, keys(of_values, overlapping_keys(rows, of_values, sel), sel)
 
 
-def provenance(classified: DataFrame, of_keys: DataFrame, links: DataFrame, sel: list[str] | None = None) -> DataFrame:
-    """Long form: each contributing observation with its links.
+def provenance(classified: DataFrame, of_keys: DataFrame, links: DataFrame, sel: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Long form: each contributing observation with its links, and the columns of it that `carry` names.
 
     A resolved key is told by its supported rows alone; an unresolved key by all its rows.
     """
     key = [*(sel or []), *KEY]
     rows = classified.join(of_keys.select(*key, "outcome"), key).where("outcome <> 'resolved' or cls = 's'")
-    return rows.join(links, "obs_id", "left").select(*key, *VALUE, "outcome", "cls", "obs_id", "evidence_id", "role")
+    return rows.join(links, "obs_id", "left").select(*key, *VALUE, "outcome", "cls", "obs_id", *(carry or []), *(c for c in links.columns if c != "obs_id"))
 
 
 def fact_ids(told: DataFrame, sel: list[str] | None = None) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import timeaxis as ta
-from evidentia.operators import authority, causal, gaps, state, trajectory
+from evidentia.functions.order import CITATION, key_order
+from evidentia.operators import authority, causal, checks, citations, gaps, state, trajectory
+from evidentia.plans import render
 from evidentia.plans.lineage import cut
-from evidentia.plans.request import CAUSAL, POINT, TRAJECTORY, TREND, At, Request, normalize
+from evidentia.plans.request import CAUSAL, MAX_ROWS, POINT, TRAJECTORY, TREND, At, Request, normalize
+from evidentia.schema import EVIDENCE_LINK
+
+#: Rows of contributions and citations that one envelope holds at most; lines() has no bound.
+MAX_CITED = 100_000
 
 
 class UnknownEntity(ValueError):
@@ -18,12 +24,17 @@ class UnknownEntity(ValueError):
 
 
 class OverLimit(ValueError):
-    """More rows than the request allows; nothing is cut off."""
+    """More rows than the request or an envelope allows; nothing is cut off."""
 
 
 @dataclass
 class Result:
-    """Frames of one answer; which are set depends on the intent. `citations` is the long form of provenance."""
+    """Frames of one answer; which are set depends on the intent.
+
+    `citations` is the long form of provenance, a row for each contributing observation and link: with the label of
+    the selection and the key for states, with key, instant and side for transitions, with cause and effect as key and
+    value for links. A change's two sides are the states of its key under the two labels.
+    """
 
     request: Request
     facts: DataFrame | None = None
@@ -32,46 +43,132 @@ class Result:
     transitions: DataFrame | None = None
     links: DataFrame | None = None
     citations: DataFrame | None = None
+    moves: DataFrame | None = None
     gaps: DataFrame | None = None
+    keys: DataFrame | None = field(default=None, repr=False)
 
 
 def _lit(t):
     return F.lit(t).cast("timestamp_ntz")
 
 
+@dataclass
+class Read:
+    """One coherent read: every part of the answer sees these rows."""
+
+    rows: DataFrame
+    cover: DataFrame
+    requested: DataFrame
+    links: DataFrame
+
+
 class Engine:
-    """tables: observations, links, decisions, admissions, entities, and optionally evidence (evidence_id, recorded_at)."""
+    """tables: observations, links, decisions, admissions, entities; spans, versions, sections and, if kept, sources make
+    citations exact and are held against the cutoff; without them citations have ids and roles only.
+
+    verify: the chains and digests of the decisions that bear on the question, and the answer itself, are checked;
+    what contradicts itself raises Inconsistent.
+    """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.spark, self.t = spark, tables
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], verify: bool = True):
+        self.spark, self.t, self.verify = spark, tables, verify
 
-    def read(self, r: Request) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(candidates, coverage, requested) in the request's scope; valid time is not looked at yet."""
+    def _near(self, ids: list[str], cutoff) -> DataFrame:
+        """Observations that name a requested entity, or a mention that any decision ever gave to one; once each.
+
+        The ids (64 at most) are part of the filter that reaches the scan; only these rows are shuffled.
+        """
+        known = authority.known_by(self.t["observations"], cutoff)
+        given = cut(self.t["decisions"].where(F.col("entity_id").isin(ids)).select("mention_id").distinct())
+        direct = F.lit(False)
+        for end in ("subject", "object"):
+            direct |= (F.col(f"{end}_kind") == "entity") & F.col(f"{end}_ref").isin(ids)
+        near = known.where(direct)
+        for end in ("subject", "object"):
+            mention = given.select(F.lit("mention").alias(f"{end}_kind"), F.col("mention_id").alias(f"{end}_ref"))
+            near = near.unionByName(known.join(mention, [f"{end}_kind", f"{end}_ref"], "left_semi"))
+        return cut(state.dedupe_observations(near))
+
+    def read(self, r: Request) -> Read:
+        """The rows in the request's scope, classified; valid time is not looked at yet."""
         t, cutoff = self.t, r.known_as_of
-        requested = self.spark.createDataFrame([(i,) for i in r.entity_ids], "entity_id string")
-        known = authority.entity_authority(requested, t["entities"], cutoff)
+        ids = list(r.entity_ids)
+        requested = self.spark.createDataFrame([(i,) for i in ids], "entity_id string")
+        known = authority.entity_authority(requested, t["entities"].where(F.col("id").isin(ids)), cutoff)
         missing = [x["entity_id"] for x in known.where("not known").collect()]  # at most as many as were asked for
         if missing:
             raise UnknownEntity(", ".join(sorted(missing)))
-        mentions = authority.resolved_mentions(t["decisions"], t["admissions"], t["entities"], cutoff)
-        observations = state.dedupe_observations(authority.known_by(t["observations"], cutoff))
-        rows = authority.resolve_terms(observations, mentions, t["entities"], cutoff)
-        ok = authority.admitted(t["admissions"], "observation", cutoff)
-        q = cut(authority.qualify(rows, ok, authority.evidence_known(t["links"], t.get("evidence"), cutoff), F.broadcast(requested), list(r.predicates) or None, r.match))
+        rows = self._near(ids, cutoff)
+        ends = F.explode(F.array(*(F.struct(F.col(f"{e}_kind").alias("kind"), F.col(f"{e}_ref").alias("ref")) for e in ("subject", "object"))))
+        terms = rows.select(ends.alias("e")).select("e.*").distinct()
+        mentions = terms.where("kind = 'mention'").select(F.col("ref").alias("mention_id"))
+        decisions = cut(t["decisions"].join(mentions, "mention_id", "left_semi"))
+        targets = rows.select(F.lit("observation").alias("target_kind"), F.col("obs_id").alias("target_id"))
+        targets = targets.unionByName(mentions.select(F.lit("mention").alias("target_kind"), F.col("mention_id").alias("target_id")))
+        targets = targets.unionByName(decisions.select(F.lit("identity_decision").alias("target_kind"), F.col("id").alias("target_id")))
+        admissions = cut(t["admissions"].join(targets, ["target_kind", "target_id"], "left_semi"))
+        named = terms.where("kind = 'entity'").select(F.col("ref").alias("id")).unionByName(decisions.where("entity_id is not null").select(F.col("entity_id").alias("id")))
+        entities = cut(t["entities"].join(named.distinct(), "id", "left_semi"))
+        links = cut(t["links"].select(*EVIDENCE_LINK.names).join(rows.select("obs_id"), "obs_id", "left_semi"))
+        if self.verify:
+            self._trusted(decisions, admissions, cutoff)
+        resolved = authority.resolve_terms(rows, authority.resolved_mentions(decisions, admissions, entities, cutoff), entities, cutoff, F.broadcast(requested))
+        seen = authority.evidence_visible(links, t.get("spans"), t.get("versions"), t.get("sources"), cutoff)
+        q = cut(authority.qualify(resolved, authority.admitted(admissions, "observation", cutoff), seen, len(ids), list(r.predicates) or None, r.match))
         kept = q.where("class = 'retained'")
         # a mention that resolves is the entity: the resolved term is the key, the mention its grounding
         for end in ("subject", "object"):
             kept = kept.withColumn(f"{end}_grounding", F.when(F.col(f"{end}_kind") == "mention", F.col(f"{end}_ref")))
             kept = kept.withColumn(f"{end}_ref", F.coalesce(f"{end}_entity", f"{end}_ref")).withColumn(f"{end}_kind", F.when(F.col(f"{end}_entity").isNotNull(), "entity").otherwise(F.col(f"{end}_kind")))
-        support = t["links"].where("role = 'supporting'").select("obs_id").distinct().withColumn("supported", F.lit(True))
-        kept = kept.join(support, "obs_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
-        # one coherent read: every part of the answer sees these rows, bounded by the request's few entities
-        return cut(kept), cut(authority.coverage(q, requested)), requested
+        support = links.where("role = 'supporting'").select("obs_id").distinct().withColumn("supported", F.lit(True))
+        kept = cut(kept.join(support, "obs_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False))))
+        cover = cut(authority.coverage(q))
+        own = links.join(kept.select("obs_id"), "obs_id", "left_semi")
+        cited = cut(self._cited(own, cutoff))
+        if self.verify:
+            found = [checks.qualification_faults(q, cover, requested), checks.candidate_faults(kept, rows)]
+            if "spans" in t:
+                found.append(checks.faults(*(checks._fault(f, "evidence", F.coalesce("obs_id", "evidence_id"), F.col("fault")) for f in (citations.link_faults(own, cited),))))
+            checks.require(*found)
+        return Read(kept, cover, requested, cited)
+
+    def _trusted(self, decisions: DataFrame, admissions: DataFrame, cutoff) -> None:
+        target = admissions.withColumn("target", F.struct("target_kind", "target_id"))
+        found = [checks.chain_faults(authority.chain_violations(decisions, "proposal_id", cutoff), "decision"), checks.chain_faults(authority.chain_violations(target, "target", cutoff), "admission")]
+        for df, columns, name in ((decisions, authority.RESOLUTION_DIGEST, "decision"), (admissions, authority.ADMISSION_DIGEST, "admission")):
+            if "digest" in df.columns:
+                found.append(checks.chain_faults(authority.digest_violations(df, columns, cutoff), name))
+        checks.require(*found)
+
+    def _cited(self, links: DataFrame, cutoff) -> DataFrame:
+        """The links with what they cite."""
+        if "spans" in self.t:
+            return citations.citations(links, self.t["spans"], self.t["versions"], self.t["sections"], self.t.get("sources"), cutoff)
+        kinds = {"section_order": "long", "start_byte": "long", "end_byte": "long", "section_path": "array<string>"}
+        return links.select("obs_id", *(F.col(c) if c in ("evidence_id", "role") else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in CITATION))
 
     def query(self, request: Request) -> Result:
         r = normalize(request)
-        rows, cover, requested = self.read(r)
-        return {POINT: self._state, TREND: self._state, TRAJECTORY: self._trajectory, CAUSAL: self._causal}[r.intent](r, rows, cover, requested)
+        read = self.read(r)
+        out = {POINT: self._state, TREND: self._state, TRAJECTORY: self._trajectory, CAUSAL: self._causal}[r.intent](r, read)
+        if self.verify:
+            checks.require(*self._result_faults(out))
+        return out
+
+    @staticmethod
+    def _result_faults(x: Result) -> list[DataFrame]:
+        r = x.request
+        labels = [s.label for s in r.selections]
+        found = [checks.gap_faults(x.gaps, r.entity_ids, labels, r.predicates, r.intent == CAUSAL)]
+        if x.keys is not None:
+            values = x.unresolved.select("label", *state.KEY, *state.VALUE).unionByName(x.facts.select("label", *state.KEY, *state.VALUE) if x.facts is not None else x.unresolved.select("label", *state.KEY, *state.VALUE).where("false"))
+            keys = x.keys if x.facts is not None else x.keys.where("outcome <> 'resolved'")
+            found += [checks.summary_faults(keys, values, ["label"]), checks.fact_faults(x.citations, ["label"])]
+        if x.changes is not None:
+            found.append(checks.trend_faults(x.keys, x.changes, *labels))
+        if x.transitions is not None:
+            found.append(checks.transition_faults(x.transitions, r.selections[0].start, r.selections[0].end))
+        return found
 
     @staticmethod
     def _rules(s):
@@ -79,52 +176,48 @@ class Engine:
             return ta.at_point(_lit(s.instant)), ta.outside_point(_lit(s.instant))
         return ta.in_window(_lit(s.start), _lit(s.end)), ta.outside_window(_lit(s.start), _lit(s.end))
 
-    def _state(self, r, rows, cover, requested) -> Result:
-        parts = []
+    def _states(self, r: Request, read: Read):
+        """(keys, values, told) of all selections, aggregated in one pass."""
+        rows, eligible, uncertain = state.labelled(read.rows, {s.label: self._rules(s)[0] for s in r.selections})
+        classified, of_values, keys = state.aggregate(rows, eligible, uncertain, sel=["label"])
+        keys, of_values = cut(keys), cut(of_values)
+        return keys, of_values, cut(state.provenance(classified, keys, read.links, ["label"], list(render.CONTRIBUTION)))
+
+    def _gaps(self, r: Request, read: Read, told: DataFrame) -> DataFrame:
+        outside = self._rules(r.selections[0])[1] if r.intent != TREND else None  # a trend keeps all coverage
+        found = gaps.coverage_gaps(read.cover, outside)
         for s in r.selections:
-            (eligible, uncertain), outside = self._rules(s)
-            classified, of_values, keys = state.aggregate(rows, eligible, uncertain)
-            keys, of_values = cut(keys), cut(of_values)
-            told = state.provenance(classified, keys, self.t["links"])
-            parts.append([x.withColumn("label", F.lit(s.label)) for x in (keys, of_values, told)] + [gaps.valid_time_gaps(rows, outside, requested, s.label)])
-        keys, of_values, told, time_gaps = (self._all(x) for x in zip(*parts, strict=True))
-        outside = self._rules(r.selections[0])[1] if r.intent == POINT else None
-        found = gaps.coverage_gaps(cover, outside).unionByName(time_gaps)
-        told, found = cut(told), cut(found)
-        ends = self._material(told)
+            found = found.unionByName(gaps.valid_time_gaps(read.rows, self._rules(s)[1], s.label))
+        found = cut(found)
+        return gaps.in_order(cut(found.unionByName(gaps.no_evidence(read.requested, self._material(told), found))))
+
+    def _state(self, r: Request, read: Read) -> Result:
+        keys, of_values, told = self._states(r, read)
         return Result(
-            r, facts=keys.where("outcome = 'resolved'").select("label", *state.KEY, *state.VALUE),
-            unresolved=self._unresolved(keys, of_values), citations=told,
-            changes=state.compare(keys, *(s.label for s in r.selections)) if r.intent == TREND else None,
-            gaps=gaps.in_order(found.unionByName(gaps.no_evidence(requested, ends, found))),
+            r, facts=keys.where("outcome = 'resolved'").select("label", *state.KEY, *state.VALUE), unresolved=self._unresolved(keys, of_values), citations=told,
+            changes=cut(state.compare(keys, *(s.label for s in r.selections))) if r.intent == TREND else None, gaps=self._gaps(r, read, told), keys=keys,
         )
 
-    def _trajectory(self, r, rows, cover, requested) -> Result:
+    def _trajectory(self, r: Request, read: Read) -> Result:
         s = r.selections[0]
-        (eligible, uncertain), outside = self._rules(s)
-        moves = self._bounded(cut(trajectory.transitions(rows, s.start, s.end)), r.limit)
-        classified, of_values, keys = state.aggregate(rows, eligible, uncertain)
-        keys, of_values = cut(keys), cut(of_values)
-        told = state.provenance(classified, keys, self.t["links"]).withColumn("label", F.lit(s.label))
-        first = classified.groupBy(*state.KEY).agg(F.min("recorded_at").alias("_r"), F.min("obs_id").alias("_o"))
-        moves = moves.join(first, state.KEY, "left").orderBy("instant", F.col("_r").asc_nulls_last(), "_o", *state.KEY, "change").drop("_r", "_o")
-        told, found = cut(told), cut(gaps.coverage_gaps(cover, outside).unionByName(gaps.valid_time_gaps(rows, outside, requested, s.label)))
-        label = F.lit(s.label)
-        return Result(
-            r, transitions=moves, unresolved=self._unresolved(keys.withColumn("label", label), of_values.withColumn("label", label)), citations=told,
-            gaps=gaps.in_order(found.unionByName(gaps.no_evidence(requested, self._material(told), found))),
-        )
+        moves = cut(self._bounded(cut(trajectory.transitions(read.rows, s.start, s.end)), r.limit))
+        sides = trajectory.material(read.rows, moves, s.start, s.end)
+        shown = read.rows.select("obs_id", *(c for c in render.CONTRIBUTION if c != "recorded_at"))
+        sides = cut(sides.join(shown, "obs_id").join(read.links, "obs_id", "left"))
+        ordered = moves.join(trajectory.ties(sides), [*state.KEY, "instant"], "left").orderBy("instant", F.col("first_recorded").asc_nulls_last(), "first_obs", *key_order(), "change")
+        keys, of_values, told = self._states(r, read)
+        open_ = told.where("outcome <> 'resolved'")
+        return Result(r, transitions=ordered, moves=sides, unresolved=self._unresolved(keys, of_values), citations=open_, gaps=self._gaps(r, read, told), keys=keys)
 
-    def _causal(self, r, rows, cover, requested) -> Result:
+    def _causal(self, r: Request, read: Read) -> Result:
         s = r.selections[0]
-        links = self._bounded(causal.causal_links(rows, self.t["links"], s.start, s.end), r.limit)
-        found = gaps.coverage_gaps(cover)
+        links = self._bounded(cut(causal.causal_links(read.rows, read.links, s.start, s.end)), r.limit)
         null = F.lit(None).cast("string")
         none = self.spark.range(1).select(F.lit("no-causal-evidence").alias("kind"), F.lit("").alias("entity_id"), F.lit(s.label).alias("label"), null.alias("predicate"))
         none = none.join(links.limit(1).select(F.lit(1).alias("_x")), F.lit(True), "left_anti")
         eligible, _ = ta.in_window(_lit(s.start), _lit(s.end))
-        told = rows.where(eligible).join(self.t["links"], "obs_id", "left").select(*state.KEY, *state.VALUE, "obs_id", "evidence_id", "role")
-        return Result(r, links=causal.in_order(links), citations=told, gaps=gaps.in_order(found.unionByName(none)))
+        told = read.rows.where(eligible).join(read.links, "obs_id", "left").select(*state.KEY, *state.VALUE, "obs_id", *render.CONTRIBUTION, *CITATION)
+        return Result(r, links=causal.in_order(links), citations=cut(told), gaps=gaps.in_order(gaps.coverage_gaps(read.cover).unionByName(none)))
 
     @staticmethod
     def _bounded(df: DataFrame, limit: int) -> DataFrame:
@@ -132,13 +225,6 @@ class Engine:
             raise OverLimit(f"more than {limit} rows")
         return df
 
-    @staticmethod
-    def _all(frames) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
     @staticmethod
     def _unresolved(keys: DataFrame, of_values: DataFrame) -> DataFrame:
         open_ = keys.where("outcome <> 'resolved'").select("label", *state.KEY, F.col("outcome").alias("reason"))
@@ -150,38 +236,93 @@ class Engine:
         subject = told.where("subject_kind = 'entity'").select(F.col("subject_ref").alias("entity_id"))
         return subject.unionByName(told.where("object_kind = 'entity'").select(F.col("object_ref").alias("entity_id"))).distinct()
 
+    # ---- answers as rows of JSON ------------------------------------------------------------------------
+
+    def members(self, result: Result) -> dict[str, DataFrame]:
+        """Each member of the answer as rows (order, content): facts and candidates nested with what they cite."""
+        r, of_key, key = result.request, render.place_of_key(), render.key_struct().alias("key")
+        out: dict[str, DataFrame] = {}
+        if result.keys is not None:
+            values = render.cited_values(result.citations, ["label", "outcome"])
+            open_ = render.candidates_of(values.where("outcome <> 'resolved'"), ["label", "outcome"])
+            unresolved = render.member(open_, [F.col("label"), *of_key, F.col("outcome")], F.struct("label", key, F.col("outcome").alias("reason"), "candidates"))
+            facts = values.where("outcome = 'resolved'").select("label", *state.KEY, *state.VALUE, "fact")
+            if r.intent != TRAJECTORY:
+                out["facts"] = render.member(facts, [F.col("label"), *of_key], F.struct("label", F.col("fact.*")))
+            out["unresolved"] = unresolved
+        if result.changes is not None:
+            side = lambda s, tag: facts.where(F.col("label") == s.label).select(*state.KEY, F.col("fact").alias(tag))
+            both = result.changes.where("change <> 'unresolved'").join(side(r.selections[0], "before"), state.KEY, "left").join(side(r.selections[1], "after"), state.KEY, "left")
+            out["changes"] = render.member(both, of_key, F.struct(F.col("change").alias("kind"), key, "before", "after"))
+            out["unresolved_keys"] = render.member(result.changes.where("change = 'unresolved'"), of_key, key)
+        if result.transitions is not None:
+            at = [*state.KEY, "instant"]
+            values = render.cited_values(result.moves, ["instant", "side", "outcome"])
+            rows = result.transitions
+            for name in ("before", "after"):
+                rows = rows.join(values.where(f"side = '{name}' and outcome = 'resolved'").select(*at, F.col("fact").alias(name)), at, "left")
+            open_ = render.candidates_of(values.where("outcome <> 'resolved'"), ["instant", "side", "outcome"])
+            # of one key: in order of the reason, and of one reason the side before first
+            open_ = open_.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct(F.col("outcome").alias("reason"), (F.col("side") == "after").alias("later"), "side", "candidates"))).alias("unresolved"))
+            open_ = open_.withColumn("unresolved", F.transform("unresolved", lambda x: F.struct(x["side"].alias("side"), x["reason"].alias("reason"), x["candidates"].alias("candidates"))))
+            rows = rows.join(open_, at, "left")
+            order = [F.col("instant"), F.col("first_recorded").isNull(), F.col("first_recorded"), F.col("first_obs"), *of_key, F.col("change")]
+            content = F.struct(F.col("change").alias("kind"), key, ta.rfc3339("instant").alias("instant"), "before", "after", F.coalesce("unresolved", F.array()).alias("unresolved"))
+            out = {"transitions": render.member(rows, order, content)} | out
+        if result.links is not None:
+            values = render.cited_values(result.citations, [])
+            names = {"cause_kind": "subject_kind", "cause_ref": "subject_ref", "effect_kind": "object_kind", "effect_ref": "object_ref"}
+            rows = result.links.select("first_bound", "first_recorded", "first_obs", *(F.col(a).alias(b) for a, b in names.items())).join(values, list(names.values()))
+            order = [F.col("first_bound").isNull(), F.col("first_bound"), F.col("first_recorded"), F.col("first_obs"), *render._ranked("subject_kind", "subject_ref"), *render._ranked("object_kind", "object_ref")]
+            term = lambda kind, ref, name: F.struct(F.col(kind).alias("kind"), F.col(ref).alias("ref")).alias(name)
+            out["links"] = render.member(rows, order, F.struct(term("subject_kind", "subject_ref", "cause"), term("object_kind", "object_ref", "effect"), "contributions", "supporting", "contradicting"))
+        label, predicate = F.col("label"), F.col("predicate")
+        out["gaps"] = render.member(result.gaps, [F.col("entity_id"), F.col("kind"), F.coalesce(label, F.lit("")), F.coalesce(predicate, F.lit(""))], F.struct("kind", "entity_id", "label", "predicate"))
+        return out
+
+    def lines(self, result: Result) -> DataFrame:
+        """(member, json): the answer's rows one by one, whatever their number."""
+        return render.lines(self.members(result))
+
     def envelope(self, result: Result) -> DataFrame:
         """One JSON text: the request, exactly one payload member, gaps; arrays are never null and fully ordered.
 
-        A result is bounded by its request (few entities, limited rows), so it fits one row.
+        An answer of more than MAX_ROWS rows of a member or MAX_CITED contributions is refused (OverLimit), not cut:
+        lines() gives it row by row.
         """
-
-        def rows(df: DataFrame | None) -> list:
-            if df is None:
-                return []
-            stamped = [ta.rfc3339(c).alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes]
-            return df.select(F.array_sort(F.collect_list(F.struct(*stamped))).alias("rows"))
-
-        members = {
-            POINT: ("point", {"facts": result.facts, "unresolved": result.unresolved}), TREND: ("trend", {"facts": result.facts, "unresolved": result.unresolved, "changes": result.changes}),
-            TRAJECTORY: ("trajectory", {"transitions": result.transitions, "unresolved": result.unresolved}), CAUSAL: ("causal", {"links": result.links}),
-        }
-        name, frames = members[result.request.intent]
-        frames = frames | {"citations": result.citations, "gaps": result.gaps}
-        out = None
-        for k, df in frames.items():
-            one = rows(df).withColumnRenamed("rows", k)
-            out = one if out is None else out.crossJoin(one)  # one row each
-        scope = ta.rfc3339(_lit(result.request.known_as_of)) if result.request.known_as_of else F.lit("current")
-        payload = F.struct(*(k for k in frames if k not in ("citations", "gaps")))
-        return out.select(F.to_json(F.struct(F.lit("evidentia.temporal/1").alias("version"), F.lit(result.request.intent).alias("intent"), scope.alias("knowledge_scope"), payload.alias(name), "citations", "gaps"), {"ignoreNullFields": "false"}).alias("json"))
+        members = self.members(result)
+        for told in (result.citations, result.moves):
+            if told is not None:
+                self._bounded(told, MAX_CITED)
+        for df in members.values():
+            self._bounded(df, MAX_ROWS)
+        r = result.request
+        name = {POINT: "point", TREND: "trend", TRAJECTORY: "trajectory", CAUSAL: "causal"}[r.intent]
+        scope = ta.rfc3339(_lit(r.known_as_of)) if r.known_as_of else F.lit("current")
+        payload = F.struct(*(k for k in members if k != "gaps"))
+        texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+        selections = F.array(*(
+            F.struct(F.lit(s.label).alias("label"), *((ta.rfc3339(_lit(s.instant)).alias("start"), F.lit(None).cast("string").alias("end")) if isinstance(s, At) else (ta.rfc3339(_lit(s.start)).alias("start"), ta.rfc3339(_lit(s.end)).alias("end"))))
+            for s in r.selections
+        ))
+        asked = F.struct(
+            F.lit(r.intent).alias("intent"), texts(r.entity_ids).alias("entity_ids"), F.lit(r.match).alias("entity_match"), texts(r.predicates).alias("predicates"), selections.alias("selections"),
+            scope.alias("knowledge_scope"), F.lit(r.limit).alias("limit"),
+        )
+        out = render.gathered(members)
+        return out.select(F.to_json(F.struct(F.lit("evidentia.temporal/2").alias("version"), asked.alias("request"), payload.alias(name), "gaps"), {"ignoreNullFields": "false"}).alias("json"))
 
     def text(self, result: Result) -> str:
-        """The same rows as lines of text."""
+        """The same rows as lines of text, at most MAX_ROWS of a kind."""
         lines = [f"intent: {result.request.intent}", f"knowledge scope: {result.request.known_as_of or 'current'}"]
         for name in ("facts", "unresolved", "changes", "transitions", "links", "gaps"):
             df = getattr(result, name)
             if df is not None:
-                found = [" ".join(f"{k}={v}" for k, v in r.asDict().items() if v is not None) for r in df.collect()]  # bounded by the request
+                found = [" ".join(f"{k}={v}" for k, v in r.asDict().items() if v is not None) for r in self._bounded(df, MAX_ROWS).collect()]
                 lines += [f"{name}: {len(found)}", *(f"  {x}" for x in (found if name in ("transitions", "links", "gaps") else sorted(found)))]
         return "\n".join(lines)
+
+
+def same_request(result: Result, request: Request) -> bool:
+    """Whether an answer is the answer to a request, selections, scope, match and limits included."""
+    return result.request == normalize(request)

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that checkpoint() writes to: spark.checkpoint.dir, or the one set for the session.
+
+    A session without one gets a temporary folder only if it is local (a test); on a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="evidentia-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder (spark.checkpoint.dir; a local one only where none is set, as in tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
+    """The same rows, read from the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -80,9 +80,8 @@ def normalize(r: Request) -> Request:
         raise BadRequest("match is all or any")
     predicates = list(r.predicates)
     if r.intent == CAUSAL:
-        if predicates not in ([], [CAUSES]):
+        if predicates != [CAUSES]:
             raise BadRequest("a causal request has the causal predicate alone")
-        predicates = [CAUSES]
     if not all(p.strip() for p in predicates) or len(predicates) > MAX_PREDICATES or len(set(predicates)) != len(predicates):
         raise BadRequest("predicates must be distinct and few")
     want = {POINT: (At,), TREND: (Between, Between)}.get(r.intent, (Between,))
@@ -131,7 +130,8 @@ def parse(argv: list[str]) -> tuple[Request, str]:
     }[a.kind]()
     known = instant(a.known_as_of) if a.known_as_of else None
     intent = {"point": POINT, "trend": TREND, "trajectory": TRAJECTORY, "causal": CAUSAL}[a.kind]
-    return normalize(Request(intent, tuple(a.entity), selections, tuple(getattr(a, "predicate", ())), a.entity_match, known, getattr(a, "limit", 0))), a.output
+    predicates = (CAUSES,) if intent == CAUSAL else tuple(a.predicate)
+    return normalize(Request(intent, tuple(a.entity), selections, predicates, a.entity_match, known, getattr(a, "limit", 0))), a.output
 
 
 def from_proposal(text: str, entity_ids: tuple[str, ...]) -> Request:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import timeaxis as ta
 from evidentia.operators import authority, causal, state, trajectory
-from evidentia.plans.lineage import cut
 from evidentia.schema import CAUSES
 from evidentia.sources.projection import Projection, with_views
 
@@ -148,7 +147,8 @@ def extent_overlap_pairs(p):
 @query("SELECT obs_id, subject_ref, predicate, object_ref, status FROM fx_obs", "fx_obs")
 def observation_dedupe(p):
     rows = p["fx_obs"].select("obs_id", "subject_ref", "predicate", "object_ref", "status")
-    return state.dedupe_observations(rows.unionByName(rows.where("event_id % 3 = 0") if "event_id" in rows.columns else rows))
+    again = p["fx_obs"].where("event_id % 3 = 0").select(*rows.columns)
+    return state.dedupe_observations(rows.unionByName(again))
 
 
 # ---- state ------------------------------------------------------------------------------------------
@@ -205,10 +205,8 @@ j AS (SELECT subject_kind,subject_ref,predicate,a.o AS ao,b.o AS bo,CASE WHEN a.
 
 
 def _trend(p):
-    w1, w2 = ta.in_window(ntz(A), ntz(B)), ta.in_window(ntz(B2), ntz(C))
-    rows = cands(p)
-    both = state.aggregate(rows, *w1)[2].withColumn("label", F.lit("before")).unionByName(state.aggregate(rows, *w2)[2].withColumn("label", F.lit("after")))
-    return state.compare(both, "before", "after")
+    rows, eligible, uncertain = state.labelled(cands(p), {"before": ta.in_window(ntz(A), ntz(B)), "after": ta.in_window(ntz(B2), ntz(C))})
+    return state.compare(state.aggregate(rows, eligible, uncertain, sel=["label"])[2], "before", "after")
 
 
 @query(
@@ -308,7 +306,7 @@ def _walk(view: str) -> str:
 
 @query(f", {_CHAIN} SELECT id, root, CAST(depth AS INTEGER) AS depth FROM r", "fx_decisions")
 def resolution_chains_recursive(p):
-    return authority.chains(p.spark, p["fx_decisions"]).select("id", "root", "depth")
+    return authority.chains(p["fx_decisions"]).select("id", "root", "depth")
 
 
 @query(f", {_walk('fx_decisions')} SELECT id, mention_id, outcome, entity_id FROM {_tail_sql('fx_decisions', None)}", "fx_decisions")
@@ -354,13 +352,13 @@ def resolved_mentions(p):
 
 def _qualified(p, view="fx_obs", cutoff=K, match="any", requested=None):
     mentions = authority.resolved_mentions(p["fx_decisions"], p["fx_admissions"], p["fx_entities"], cutoff)
-    rows = authority.resolve_terms(authority.known_by(p[view], cutoff), mentions, p["fx_entities"], cutoff)
-    requested = requested if requested is not None else p["fx_entities"].select(F.col("id").alias("entity_id"))
+    asked = p["fx_entities"].select(F.col("id").alias("entity_id")) if requested is None else p.spark.createDataFrame([(i,) for i in requested], "entity_id string")
+    rows = authority.resolve_terms(authority.known_by(p[view], cutoff), mentions, p["fx_entities"], cutoff, asked)
     oks = authority.admitted(p["fx_admissions"], "observation", cutoff)
     if view == "fx_pairs":
         oks = oks.select(F.regexp_replace("id", "^obs:", "rel:").alias("id"))
     links = p["fx_evidence"] if view != "fx_pairs" else p["fx_evidence"].withColumn("obs_id", F.regexp_replace("obs_id", "^obs:", "rel:"))
-    return cut(authority.qualify(rows, oks, authority.evidence_known(links), requested, PREDICATES if view == "fx_obs" else None, match)), requested
+    return authority.qualify(rows, oks, authority.evidence_visible(links), len(requested or ()), PREDICATES if view == "fx_obs" else None, match)
 
 
 _LIST = ", ".join(f"'{x}'" for x in PREDICATES)
@@ -374,7 +372,7 @@ q AS (SELECT t.*, CASE WHEN predicate NOT IN ({_LIST}) THEN 'predicate-filtered'
 
 @query(_QUALIFIED + " SELECT obs_id, class, ent_id AS subject_entity FROM q", "fx_admissions", "fx_entities", "fx_evidence")
 def qualified_observations(p):
-    return _qualified(p)[0].select("obs_id", "class", "subject_entity")
+    return _qualified(p).select("obs_id", "class", "subject_entity")
 
 
 @query(
@@ -382,7 +380,7 @@ def qualified_observations(p):
     "fx_admissions", "fx_entities", "fx_evidence",
 )
 def coverage_classification(p):
-    return authority.coverage(*_qualified(p)).select("entity_id", "predicate", "obs_id", "reason")
+    return authority.coverage(_qualified(p)).select("entity_id", "predicate", "obs_id", "reason")
 
 
 @query(
@@ -405,8 +403,7 @@ FROM t WHERE se IN (SELECT id FROM rq) OR oe IN (SELECT id FROM rq) OR object_re
 
 
 def _pair_request(p, match):
-    requested = p.spark.createDataFrame([("user:1",), ("user:2",)], "entity_id string")
-    return _qualified(p, "fx_pairs", match=match, requested=requested)[0].select("obs_id", "class")
+    return _qualified(p, "fx_pairs", match=match, requested=["user:1", "user:2"]).select("obs_id", "class")
 
 
 @query(_pairs_sql("(se='user:1' OR oe='user:1') AND (se='user:2' OR oe='user:2')"), "fx_admissions", "fx_entities", "fx_evidence", "fx_pairs")

@@ -9,6 +9,7 @@ from evidentia.functions import text as tx
 from evidentia.functions import timeaxis as ta
 from evidentia.operators import authority, extraction, gaps, identity, records, state
 from evidentia.queries import _QUALIFIED, _W1, A, B, _cands_sql, _qualified, _state_sql, cands, ntz, query
+from evidentia.plans.lineage import cut
 from evidentia.streaming import leases
 
 _RETAINED = "FROM q WHERE class='retained' AND status<>'rejected'"
@@ -17,20 +18,18 @@ _GAP_VIEWS = ("fx_admissions", "fx_entities", "fx_evidence")
 
 
 def _retained(p):
-    q, requested = _qualified(p)
-    return q, q.where("class = 'retained'"), requested
+    q = cut(_qualified(p))
+    return q, q.where("class = 'retained'")
 
 
 @query(_QUALIFIED + f", {_VT} SELECT 'valid-time-excluded' AS kind, entity_id, 'w' AS label, predicate FROM vg", *_GAP_VIEWS)
 def gaps_valid_time(p):
-    _, rows, requested = _retained(p)
-    return gaps.valid_time_gaps(rows, ta.outside_window(ntz(A), ntz(B)), requested, "w")
+    return gaps.valid_time_gaps(_qualified(p).where("class = 'retained'"), ta.outside_window(ntz(A), ntz(B)), "w")
 
 
 @query(_QUALIFIED + " SELECT DISTINCT class AS kind, coalesce(ent_id, subject_ref) AS entity_id, predicate FROM q WHERE class IN ('authority-excluded','unresolved-mention')", *_GAP_VIEWS)
 def gaps_coverage(p):
-    q, _, requested = _retained(p)
-    return gaps.coverage_gaps(authority.coverage(q, requested)).select("kind", "entity_id", "predicate")
+    return gaps.coverage_gaps(authority.coverage(_qualified(p))).select("kind", "entity_id", "predicate")
 
 
 @query(
@@ -38,12 +37,12 @@ def gaps_coverage(p):
     *_GAP_VIEWS,
 )
 def gaps_no_evidence(p):
-    q, rows, requested = _retained(p)
+    q, rows = _retained(p)
     eligible, uncertain = ta.in_window(ntz(A), ntz(B))
-    told = gaps.requested_ends(rows.where((F.col("status") != "rejected") & (eligible | uncertain)), requested)
-    other = gaps.valid_time_gaps(rows, ta.outside_window(ntz(A), ntz(B)), requested, "w")
-    asked = requested.unionByName(p.spark.createDataFrame([("user:none",)], "entity_id string"))
-    return gaps.no_evidence(asked, told, other, gaps.coverage_gaps(authority.coverage(q, requested))).select("kind", "entity_id")
+    told = gaps.requested_ends(rows.where((F.col("status") != "rejected") & (eligible | uncertain)))
+    other = gaps.valid_time_gaps(rows, ta.outside_window(ntz(A), ntz(B)), "w")
+    asked = p["fx_entities"].select(F.col("id").alias("entity_id")).unionByName(p.spark.createDataFrame([("user:none",)], "entity_id string"))
+    return gaps.no_evidence(asked, told, other, gaps.coverage_gaps(authority.coverage(q))).select("kind", "entity_id")
 
 
 _SPANS = "sp AS (SELECT concat('ev:', CAST(doc_id AS VARCHAR)) AS evidence_id, concat('ver:', CAST(doc_id AS VARCHAR)) AS version_id, 0 AS start_byte, 8 AS end_byte, substr(hex(encode(text)),1,16) AS quote_hex FROM documents)"
@@ -236,7 +235,7 @@ SELECT conv_id AS doc_id, turn AS id, path, CAST(d AS INTEGER) AS depth, CAST(ro
 def section_flatten(p):
     parent = F.when(F.col("turn") > 0, F.expr("(turn - 1) div 2"))
     nodes = p["conversations"].select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), parent.alias("parent_id"), F.col("turn").alias("position"), F.col("role").alias("title"))
-    return records.flatten_tree(p.spark, nodes).select("doc_id", "id", F.array_join("path", "/").alias("path"), "depth", "section_order")
+    return records.flatten_tree(nodes).select("doc_id", "id", F.array_join("path", "/").alias("path"), "depth", "section_order")
 
 
 @query(

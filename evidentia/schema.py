@@ -20,8 +20,32 @@ RESOLUTION_DECISION = _struct("id:s proposal_id:s mention_id:s outcome:s entity_
 ADMISSION_DECISION = _struct("id:s target_kind:s target_id:s outcome:s recorded_at:t supersedes_id:s")
 ENTITY = _struct("id:s kind:s display_name:s recorded_at:t")
 SPAN = _struct("evidence_id:s version_id:s section_id:s start_byte:l end_byte:l quote:s recorded_at:t")
-SECTION = _struct("version_id:s section_id:s parent_id:s path:a section_order:l role:s content:s")
-VERSION = _struct("version_id:s source_id:s title:s locator:s modified_at:t recorded_at:t")
+SECTION = _struct("version_id:s section_id:s title:s parent_id:s path:a section_order:l role:s content:s")
+VERSION = _struct("version_id:s source_id:s digest:s title:s locator:s provider_version:s modified_at:t source_time:t recorded_at:t")
+SOURCE = _struct("source_id:s provider:s provider_id:s recorded_at:t")
+#: Where a source's pointer was moved to; only appended, the last row holds.
+POINTER = _struct("source_id:s version_id:s recorded_at:t seq:l")
+REVISION = _struct("revision_id:s version_id:s digest:s observed_at:t")
+MENTION = _struct("id:s evidence_id:s run_id:s surface:s normalized_name:s proposed_email:s email_evidence_id:s recorded_at:t")
+PROPOSAL = _struct("proposal_id:s mention_id:s run_id:s version_id:s recorded_at:t")
+PROPOSAL_EVIDENCE = _struct("proposal_id:s position:i evidence_id:s")
+CANDIDATE = _struct("proposal_id:s entity_id:s rank:i confidence:d reason:s source:s")
+ALIAS = _struct("decision_id:s kind:s value:s")
+RUN = _struct("run_id:s version_id:s derivation:s outcome:s write_digest:s recorded_at:t")
+#: The directory: profiles seen, lookups made, and which entity a provider's subject was linked to by which decision.
+PROFILE = _struct("provider:s subject_id:s display_name:s emails:a observed_at:t")
+LOOKUP = _struct("lookup_id:s mention_id:s email:s outcome:s attempted_at:t retry_after:t")
+DIRECTORY_LINK = _struct("provider:s subject_id:s entity_id:s decision_id:s proposal_id:s recorded_at:t")
+
+#: Tables of a store with the columns that are each one's key.
+TABLES = {
+    "observations": (OBSERVATION, ["obs_id"]), "links": (EVIDENCE_LINK, ["obs_id", "evidence_id", "role"]), "decisions": (RESOLUTION_DECISION, ["id"]),
+    "admissions": (ADMISSION_DECISION, ["id"]), "entities": (ENTITY, ["id"]), "spans": (SPAN, ["evidence_id"]), "sections": (SECTION, ["version_id", "section_id"]),
+    "versions": (VERSION, ["version_id"]), "sources": (SOURCE, ["source_id"]), "pointers": (POINTER, ["source_id", "seq"]), "revisions": (REVISION, ["revision_id"]),
+    "mentions": (MENTION, ["id"]), "proposals": (PROPOSAL, ["proposal_id"]), "proposal_evidence": (PROPOSAL_EVIDENCE, ["proposal_id", "position"]),
+    "candidates": (CANDIDATE, ["proposal_id", "entity_id"]), "aliases": (ALIAS, ["decision_id", "kind", "value"]), "runs": (RUN, ["run_id"]),
+    "profiles": (PROFILE, ["provider", "subject_id", "observed_at"]), "lookups": (LOOKUP, ["lookup_id"]), "directory_links": (DIRECTORY_LINK, ["provider", "subject_id", "entity_id", "proposal_id"]),
+}
 
 # The closed sets of the data model.
 TERM_KINDS = ("absent", "text", "mention", "entity")

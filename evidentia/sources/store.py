@@ -2,71 +2,155 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.operators.records import append_once
+from evidentia.operators.records import append_once, row_digest
+from evidentia.plans.lineage import cut
 
-_MARKS = T.StructType([T.StructField("batch", T.StringType()), T.StructField("seq", T.LongType())])
+#: Markers: a batch, the attempt whose rows are its rows, its place, and up to which place an attempt holds all rows.
+_MARKS = T.StructType([T.StructField("batch", T.StringType()), T.StructField("attempt", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("covers", T.LongType())])
+DIGEST = "row_digest"
 
 
 class Conflict(ValueError):
-    """A row's key exists with other content; nothing of the batch was written."""
+    """A row's key exists with other content or is null; nothing of the batch was written."""
+
+
+class Busy(RuntimeError):
+    """Another writer holds the store."""
 
 
 class Store:
-    """Tables as folders of batches under one root, on any file system that Spark writes to; one writer at a time.
+    """Tables as folders of attempts under one root, on any file system that Spark writes to.
 
-    A batch's rows are written first, its marker last: a writer that dies leaves rows that no reader takes.
-    A snapshot reads the markers once, so that all tables of a query are of one moment.
+    A writer holds the store while it writes: a second one is refused until the first has gone, or its hold is
+    older than `hold` seconds. A batch's rows are written under an attempt of their own, its marker last: a
+    writer that dies leaves an attempt that no marker names, so no reader ever takes it, and the same batch can
+    be written again. A snapshot reads the markers once, so that all tables of a query are of one moment.
+    Every row is kept with a digest of its content, and an append looks only at the rows of its own keys.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType]):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType], hold: float = 6 * 3600):
+        self.spark, self.root, self.schemas, self.hold = spark, root.rstrip("/"), schemas, hold
 
-    def _exists(self, path: str) -> bool:
+    # ---- files ------------------------------------------------------------------------------------------
+
+    def _file(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _exists(self, path: str) -> bool:
+        files, p = self._file(path)
+        return files.exists(p)
+
+    @contextmanager
+    def writing(self):
+        """The one writer's hold on the store; creating its file succeeds for one caller only."""
+        files, p = self._file(f"{self.root}/_writer")
+        if files.exists(p) and time.time() - files.getFileStatus(p).getModificationTime() / 1000 > self.hold:
+            files.delete(p, False)
+        try:
+            files.create(p, False).close()
+        except Py4JJavaError as e:
+            if not files.exists(p):
+                raise
+            raise Busy(f"another writer holds {self.root}") from e
+        try:
+            yield
+        finally:
+            files.delete(p, False)
+
+    # ---- reading ----------------------------------------------------------------------------------------
 
     def marks(self) -> DataFrame:
         path = f"{self.root}/_marks"
         return self.spark.read.schema(_MARKS).parquet(path) if self._exists(path) else self.spark.createDataFrame([], _MARKS)
 
-    def snapshot(self) -> dict[str, DataFrame]:
-        marks = F.broadcast(self.marks().select("batch").distinct())
+    def _attempts(self) -> DataFrame:
+        """Attempts whose rows hold: the last that covers those before it, and all after it."""
+        marks = self.marks()
+        covered = marks.agg(F.coalesce(F.max("covers"), F.lit(-1)).alias("_covered"))
+        return marks.crossJoin(F.broadcast(covered)).where((F.col("seq") > F.col("_covered")) & (F.col("covers").isNull() | (F.col("covers") == F.col("_covered")))).select("attempt")
+
+    def snapshot(self, digests: bool = False) -> dict[str, DataFrame]:
+        """All tables as of now; digests: with each row's digest."""
+        attempts = cut(self._attempts())
         out = {}
         for name, schema in self.schemas.items():
             path = f"{self.root}/{name}"
-            full = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+            full = T.StructType([*schema.fields, T.StructField(DIGEST, T.StringType()), T.StructField("attempt", T.StringType())])
             rows = self.spark.read.schema(full).parquet(path) if self._exists(path) else self.spark.createDataFrame([], full)
-            out[name] = rows.join(marks, "batch", "left_semi").drop("batch")
+            out[name] = rows.join(attempts, "attempt", "left_semi").select(*schema.names, *([DIGEST] if digests else []))
         return out
 
-    def append(self, tables: dict[str, tuple[DataFrame, str]], batch: str | None = None) -> dict[str, int]:
+    # ---- writing ----------------------------------------------------------------------------------------
+
+    def append(self, tables: dict[str, tuple[DataFrame, str | list[str]]], batch: str | None = None) -> dict[str, int]:
         """Appends new rows of several tables (frame, key) in one commit; equal rows are no-ops, a conflict writes nothing.
 
-        A batch id that is committed already is a no-op, so a retry of a stream's batch is safe.
+        A key is one column or several. A batch id that is committed already is a no-op, so a retry of a stream's
+        batch is safe, whether its first writer finished or died. Gives the number of rows written of each table.
         """
         batch = batch or uuid.uuid4().hex
-        if not self.marks().where(F.col("batch") == batch).isEmpty():
-            return {name: 0 for name in tables}
-        held = self.snapshot()
-        judged = {name: append_once(held[name], df.select(*self.schemas[name].names), key) for name, (df, key) in tables.items()}
-        for name, rows in judged.items():
-            if not rows.where("verdict = 'conflict'").isEmpty():
-                raise Conflict(name)
-        counts = {}
-        for name, rows in judged.items():
-            new = rows.where("verdict = 'append'").drop("verdict").withColumn("batch", F.lit(batch))
-            new.write.mode("append").partitionBy("batch").parquet(f"{self.root}/{name}")
-            counts[name] = self.spark.read.parquet(f"{self.root}/{name}").where(F.col("batch") == batch).count() if self._exists(f"{self.root}/{name}/batch={batch}") else 0
-        self.marks().agg(F.coalesce(F.max("seq") + 1, F.lit(0)).cast("long").alias("seq")).select(F.lit(batch).alias("batch"), "seq").write.mode("append").parquet(f"{self.root}/_marks")
-        return counts
-
-    def sink(self, name: str, key: str):
+        with self.writing():
+            marks = self.marks()
+            if not marks.where(F.col("batch") == batch).isEmpty():
+                return {name: 0 for name in tables}
+            held = self.snapshot(digests=True)
+            judged = {}
+            for name, (df, key) in tables.items():
+                columns = self.schemas[name].names
+                rows = cut(append_once(held[name], df.select(*columns), key, DIGEST))
+                if not rows.where("verdict IN ('conflict', 'no-key')").isEmpty():
+                    raise Conflict(name)
+                keys = [key] if isinstance(key, str) else list(key)
+                judged[name] = rows.where("verdict = 'append'").select(*columns, row_digest([c for c in columns if c not in keys] or keys).alias(DIGEST))
+            attempt = uuid.uuid4().hex
+            counts = {}
+            for name, rows in judged.items():
+                counts[name] = rows.count()
+                if counts[name]:
+                    rows.write.mode("append").parquet(f"{self.root}/{name}/attempt={attempt}")
+            self._mark(batch, attempt)
+            return counts
+
+    def _mark(self, batch: str, attempt: str, covers: bool = False) -> None:
+        last = self.marks().agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+        row = last.select(F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), (F.col("last") + 1).alias("seq"), (F.col("last") if covers else F.lit(None).cast("long")).alias("covers"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/_marks")
+
+    def compact(self) -> None:
+        """Writes all committed rows once more, in few files, as one attempt that covers all before it.
+
+        Readers of an earlier snapshot keep their files; vacuum() removes what no marker needs any more.
+        """
+        with self.writing():
+            attempt = uuid.uuid4().hex
+            for name, rows in self.snapshot(digests=True).items():
+                if not rows.isEmpty():
+                    rows.write.mode("append").parquet(f"{self.root}/{name}/attempt={attempt}")
+            self._mark(f"compact-{attempt}", attempt, covers=True)
+
+    def vacuum(self) -> int:
+        """Deletes attempts whose rows hold for nobody: of writers that died, and those that a later attempt covers."""
+        with self.writing():
+            keep = {r["attempt"] for r in self._attempts().toLocalIterator()}
+            gone = 0
+            for name in self.schemas:
+                files, p = self._file(f"{self.root}/{name}")
+                for s in files.listStatus(p) if files.exists(p) else ():
+                    if s.getPath().getName().removeprefix("attempt=") not in keep:
+                        gone += bool(files.delete(s.getPath(), True))
+            return gone
+
+    def sink(self, name: str, key: str | list[str]):
         """A foreachBatch function that appends each micro-batch once."""
         return lambda df, epoch: self.append({name: (df, key)}, f"{name}-{epoch}")
 

@@ -42,5 +42,5 @@ def test_codecs_refuse_wrong_shapes(spark):
 
 def test_text_of_tables_in_order(spark):
     rows = [(1, 0, None, 0, None), (1, 3, 0, 1, "c"), (1, 1, 0, 0, None), (1, 2, 1, 0, "b"), (1, 4, None, 1, "d"), (2, 0, None, 0, None)]
-    out = documents.structural_text(spark, spark.createDataFrame(rows, "doc_id long, id long, parent_id long, position long, text string"))
+    out = documents.structural_text(spark.createDataFrame(rows, "doc_id long, id long, parent_id long, position long, text string"))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "bcd", 2: ""}
