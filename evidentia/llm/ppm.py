@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,9 +142,30 @@ def _training(batches):
             yield pd.DataFrame({"kind": np.full(len(key), kind, np.int32), "key": key, "n": n})
 
 
-def _part(key: np.ndarray, parts: int) -> np.ndarray:
-    """The part that each path, token or context falls to."""
-    return (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+@dataclass(frozen=True)
+class Parts:
+    """How paths and tokens are dealt: contexts of three bytes to groups, each group's paths to `splits` parts.
+
+    A part's paths belong to one group, so it sends one message there and has one back; a frequent context is
+    shared by all parts of its group. Both numbers are about the root of the number of parts.
+    """
+
+    groups: int
+    splits: int
+
+    @classmethod
+    def of(cls, parts: int) -> "Parts":
+        splits = math.isqrt(max(1, parts) - 1) + 1
+        return cls(-(-max(1, parts) // splits), splits)
+
+    @staticmethod
+    def _hash(key: np.ndarray, n: int) -> np.ndarray:
+        return (mix(key.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+    def place(self, key: np.ndarray, kind: int) -> np.ndarray:
+        if kind:
+            return self._hash(key, self.groups * self.splits)
+        return self._hash((key >> 8) & 0xFFFFFF, self.groups) * self.splits + self._hash(key, self.splits)
 
 
 def _joined(column) -> np.ndarray:
@@ -153,7 +175,7 @@ def _joined(column) -> np.ndarray:
 class Block:
     """The distinct paths and tokens of some texts, in an order that both passes over the block find again."""
 
-    def __init__(self, texts, held_out, parts: int):
+    def __init__(self, texts, held_out, parts: Parts):
         self.rows, self.sizes = [], []
         keys: list[list] = [[], []]
         train: list[list] = [[], []]
@@ -173,7 +195,7 @@ class Block:
         self.keys, self.counts, self.places, owners = [], [], [], []
         for kind in range(2):
             key, n = _tally(keys[kind], train[kind])
-            part = _part(key, parts)
+            part = parts.place(key, kind)
             by = np.lexsort((key, part))
             self.keys.append(key[by])
             self.counts.append(n[by])
@@ -207,11 +229,10 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     1. One pass without a shuffle of texts counts contexts of two bytes (at most 2^24 numbers reach the
        driver and the workers), the training tokens and their kinds.
     2. Texts are dealt into blocks by a hash of id and text. Each block tells its distinct paths and tokens
-       (by 64-bit hash) with their training counts, one array for each part that they fall to by a hash of
-       the whole path or token, so a frequent context is spread over all parts.
-    3. Parts add up the counts of all blocks. Then each distinct path goes once to the place of its last three
-       context bytes, where its probability is found, and back: what meets there is a piece of the trie
-       (2^24 paths at most), not the blocks' messages.
+       (by 64-bit hash) with their training counts, one array for each part that they fall to by hash: a
+       context of three bytes belongs to one group of parts, and its paths are shared among all of them.
+    3. Parts add up the counts of all blocks. Then the distinct paths of a group's parts meet, where their
+       probabilities are found, and go back: what meets is a piece of the trie, not the blocks' messages.
     4. Parts answer each block with the probability of each of its paths and the count of each of its tokens,
        and blocks add up their texts. Blocks and parts grow with the input, so that no task holds more than
        its share; the trie as a whole is nowhere.
@@ -222,7 +243,7 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     blocks = spread(df)
-    parts = 4 * blocks  # small, so that those of one task are alike large in all
+    parts = Parts.of(blocks)
     rows = rows.withColumn("held_out", apart(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     counted = rows.where("not held_out").select("text").mapInPandas(_training, "kind int, key long, n long")
@@ -244,12 +265,8 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
         label, path = pd.factorize(_joined(pdf["paths"]))
         n = np.bincount(label, _joined(pdf["path_n"]), len(path)).astype(np.int64)
-        context = _part((path >> 8) & 0xFFFFFF, parts)
-        by = np.argsort(context, kind="stable")
-        found, cut = np.unique(context[by], return_index=True)
-        each = list(zip(np.split(path[by], cut[1:]), np.split(n[by], cut[1:]), strict=True)) if len(found) else []
-        rows = [(c, int(pdf["part"].iat[0]), p.tobytes(), k.tobytes()) for c, (p, k) in zip(found.tolist(), each, strict=True)]
-        return pd.DataFrame(rows, columns=["context", "part", "paths", "path_n"])
+        part = int(pdf["part"].iat[0])
+        return pd.DataFrame([(part // parts.splits, part, path.tobytes(), n.tobytes())], columns=["context", "part", "paths", "path_n"])
 
     def judged(pdf: pd.DataFrame) -> pd.DataFrame:
         path, n = _joined(pdf["paths"]), _joined(pdf["path_n"])
