@@ -106,3 +106,33 @@ def fan_out(accepted: DataFrame) -> dict[str, DataFrame]:
     )
     links = s.select(own("observation", F.col("s.id")).alias("obs_id"), F.explode("s.citation_ids").alias("x"), "run_id").select("obs_id", own("evidence", F.col("x")).alias("evidence_id"), F.lit("supporting").alias("role"))
     return {"evidence": evidence, "mentions": mentions, "observations": observations, "links": links}
+
+
+def looked_up(lists: DataFrame, by: str, ids: str, records: DataFrame, key: str) -> DataFrame:
+    """(by, records): the records that each row's list of ids names, in the list's order; ids without a record are left out.
+
+    lists: (by, ids array). A row's list is a proposal's or an entity's own evidence, so it is short.
+    """
+    one = lists.select(by, F.posexplode(ids).alias("_pos", key))
+    held = records.select(key, F.struct(*records.columns).alias("_record"))
+    out = one.join(held, key).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_pos", "_record"))).alias("_l"))
+    empty = F.from_json(F.lit("[]"), f"array<{held.schema['_record'].dataType.simpleString()}>")
+    return lists.select(by).distinct().join(out, by, "left").select(by, F.coalesce(F.transform("_l", lambda x: x["_record"]), empty).alias("records"))
+
+
+def projected_proposals(proposals: DataFrame, mentions: DataFrame, proposal_evidence: DataFrame, spans: DataFrame, candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    """Proposals as a reviewer sees them, by (recorded_at, proposal_id): with the mention, the evidence in order and the
+    candidates by rank with their names."""
+    lists = proposal_evidence.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "evidence_id"))), lambda x: x["evidence_id"]).alias("ids"))
+    shown = looked_up(lists, "proposal_id", "ids", spans.select("evidence_id", "version_id", "section_id", "start_byte", "end_byte", "quote"), "evidence_id")
+    named = candidates.join(entities.select(F.col("id").alias("entity_id"), "display_name"), "entity_id")
+    ranked = named.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_id", "display_name", "confidence", "reason"))).alias("candidates"))
+    m = mentions.select(F.col("id").alias("mention_id"), "surface", "normalized_name", "proposed_email")
+    rows = proposals.join(m, "mention_id").join(shown.withColumnRenamed("records", "evidence"), "proposal_id", "left").join(ranked, "proposal_id", "left")
+    return rows.select("proposal_id", "mention_id", "run_id", "version_id", "recorded_at", "surface", "normalized_name", "proposed_email", "evidence", "candidates").orderBy("recorded_at", "proposal_id")
+
+
+def decision_aliases(decided: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(decision_id, kind, value): what a decision asserts, each kind and value once, in that order."""
+    rows = aliases.join(decided.where("verdict = 'ok' and outcome = 'accepted'").select(F.col("id").alias("decision_id")), "decision_id", "left_semi")
+    return rows.where(F.trim("value") != "").select("decision_id", "kind", F.trim("value").alias("value")).distinct().orderBy("decision_id", "kind", "value")

@@ -17,6 +17,8 @@ OBSERVATION = _struct(
 EVIDENCE_LINK = _struct("obs_id:s evidence_id:s role:s")
 #: Append-only decision chains; supersedes_id names the decision that a row replaces.
 RESOLUTION_DECISION = _struct("id:s proposal_id:s mention_id:s outcome:s entity_id:s recorded_at:t supersedes_id:s")
+#: As stored: also who decided and why.
+STORED_DECISION = T.StructType([*RESOLUTION_DECISION.fields, *_struct("authority:s reason:s").fields])
 ADMISSION_DECISION = _struct("id:s target_kind:s target_id:s outcome:s recorded_at:t supersedes_id:s")
 ENTITY = _struct("id:s kind:s display_name:s recorded_at:t")
 SPAN = _struct("evidence_id:s version_id:s section_id:s start_byte:l end_byte:l quote:s recorded_at:t")
@@ -39,7 +41,7 @@ DIRECTORY_LINK = _struct("provider:s subject_id:s entity_id:s decision_id:s prop
 
 #: Tables of a store with the columns that are each one's key.
 TABLES = {
-    "observations": (OBSERVATION, ["obs_id"]), "links": (EVIDENCE_LINK, ["obs_id", "evidence_id", "role"]), "decisions": (RESOLUTION_DECISION, ["id"]),
+    "observations": (OBSERVATION, ["obs_id"]), "links": (EVIDENCE_LINK, ["obs_id", "evidence_id", "role"]), "decisions": (STORED_DECISION, ["id"]),
     "admissions": (ADMISSION_DECISION, ["id"]), "entities": (ENTITY, ["id"]), "spans": (SPAN, ["evidence_id"]), "sections": (SECTION, ["version_id", "section_id"]),
     "versions": (VERSION, ["version_id"]), "sources": (SOURCE, ["source_id"]), "pointers": (POINTER, ["source_id", "seq"]), "revisions": (REVISION, ["revision_id"]),
     "mentions": (MENTION, ["id"]), "proposals": (PROPOSAL, ["proposal_id"]), "proposal_evidence": (PROPOSAL_EVIDENCE, ["proposal_id", "position"]),

@@ -95,7 +95,7 @@ class Store:
     def append(self, tables: dict[str, tuple[DataFrame, str | list[str]]], batch: str | None = None) -> dict[str, int]:
         """Appends new rows of several tables (frame, key) in one commit; equal rows are no-ops, a conflict writes nothing.
 
-        A key is one column or several. A batch id that is committed already is a no-op, so a retry of a stream's
+        A key is one column or several; columns that a frame lacks are null. A batch id that is committed already is a no-op, so a retry of a stream's
         batch is safe, whether its first writer finished or died. Gives the number of rows written of each table.
         """
         batch = batch or uuid.uuid4().hex
@@ -107,7 +107,8 @@ class Store:
             judged = {}
             for name, (df, key) in tables.items():
                 columns = self.schemas[name].names
-                rows = cut(append_once(held[name], df.select(*columns), key, DIGEST))
+                own = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schemas[name].fields]
+                rows = cut(append_once(held[name], df.select(*own), key, DIGEST))
                 if not rows.where("verdict IN ('conflict', 'no-key')").isEmpty():
                     raise Conflict(name)
                 keys = [key] if isinstance(key, str) else list(key)

@@ -65,7 +65,8 @@ def story(spark):
     spans = [(f"ev:{i}", f"ver:{i}", "s1", start(i), start(i) + len(quote(i).encode()), quote(i), at("2041-01-01")) for i in ids]
     sources = [(f"src:{i}", "desk", i, at("2041-01-01")) for i in ids]
     rows = {"observations": observations, "links": links, "decisions": decisions, "admissions": admissions, "entities": entities, "versions": versions, "sections": sections, "spans": spans, "sources": sources}
-    return {name: spark.createDataFrame(x, schema.TABLES[name][0]) for name, x in rows.items()}
+    kinds = {name: schema.TABLES[name][0] for name in rows} | {"decisions": schema.RESOLUTION_DECISION}
+    return {name: spark.createDataFrame(x, kinds[name]) for name, x in rows.items()}
 
 
 @pytest.fixture(scope="module")
