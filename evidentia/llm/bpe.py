@@ -88,9 +88,9 @@ class Merger:
         where they overlap; sequences without a pair left leave the batch. A merge's result can only be
         part of later (higher) ranks, so this gives what merging one pair at a time gives.
         """
-        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
-        if not long:
+        if max(map(len, tokens), default=0) <= LONG:
             return self._merge_short(tokens)
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
         short = np.setdiff1d(np.arange(len(tokens)), long)
         flat, counts = np.empty(0, np.int32), np.zeros(len(tokens), np.int64)
         a, counts[short] = self._merge_short([tokens[i] for i in short.tolist()])
