@@ -26,13 +26,13 @@ def _time(expr: str) -> str:
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, CASE WHEN role = 'user' THEN substr(text, 1, 10) ELSE '' END AS run FROM conversations),
+    """WITH RECURSIVE n AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, CASE WHEN role = 'user' THEN text ELSE '' END AS run FROM conversations),
 w AS (SELECT conv_id, turn, run, [turn] AS o FROM n WHERE parent IS NULL UNION ALL SELECT n.conv_id, n.turn, n.run, list_append(w.o, n.turn) FROM n JOIN w ON n.conv_id=w.conv_id AND n.parent=w.turn)
 SELECT conv_id AS doc_id, string_agg(coalesce(run, ''), '' ORDER BY o) AS text FROM w GROUP BY 1"""
 )
 def structural_text(p):
     parent = F.when(F.col("turn") > 0, F.expr("(turn - 1) div 2"))
-    run = F.when(F.col("role") == "user", F.substring("text", 1, 10))
+    run = F.when(F.col("role") == "user", F.col("text"))
     rows = p["conversations"].select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), parent.alias("parent_id"), F.col("turn").alias("position"), run.alias("text"))
     return documents.structural_text(rows)
 

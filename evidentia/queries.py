@@ -13,7 +13,7 @@ from evidentia.schema import CAUSES
 from evidentia.sources.projection import Projection, with_views
 
 A, B, B2, C = "2024-01-10 00:00:00", "2024-01-17 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00"
-K, P, D = "2024-01-15 00:00:00", "2024-01-12 12:00:00", "2024-01-12 00:00:00"
+K, P, D = "2024-01-15 00:00:00", "2024-01-12 12:00:00", "2024-01-17 00:00:00"
 PREDICATES = [f"attr.{i}" for i in range(12)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from evidentia.functions import evidence as ev
 from evidentia.functions import text as tx
 from evidentia.functions import timeaxis as ta
-from evidentia.operators import authority, extraction, gaps, identity, records, state
-from evidentia.queries import _QUALIFIED, _W1, A, B, _cands_sql, _qualified, _state_sql, cands, ntz, query
+from evidentia.operators import authority, citations, extraction, gaps, identity, records, state
+from evidentia.queries import _QUALIFIED, _W1, A, B, K, _cands_sql, _qualified, _state_sql, cands, ntz, query
 from evidentia.plans.lineage import cut
 from evidentia.streaming import leases
 
@@ -45,17 +45,63 @@ def gaps_no_evidence(p):
     return gaps.no_evidence(asked, told, other, gaps.coverage_gaps(authority.coverage(q))).select("kind", "entity_id")
 
 
-_SPANS = "sp AS (SELECT concat('ev:', CAST(doc_id AS VARCHAR)) AS evidence_id, concat('ver:', CAST(doc_id AS VARCHAR)) AS version_id, 0 AS start_byte, 8 AS end_byte, substr(hex(encode(text)),1,16) AS quote_hex FROM documents)"
+# every document is a version of its source with one section; each piece of evidence of that number quotes it whole
+_CITED = """sp AS (SELECT concat('ev:', CAST(doc_id AS VARCHAR)) AS evidence_id, concat('ver:', CAST(doc_id AS VARCHAR)) AS version_id, octet_length(encode(text)) AS n, text, source, TIMESTAMP '2024-01-05 00:00:00' + to_hours(CAST(doc_id % 400 AS INTEGER)) AS at FROM documents),
+src AS (SELECT source, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(min(doc_id) % 20 AS INTEGER)) AS at FROM documents GROUP BY source)"""
 
 
-@query(f", {_SPANS} SELECT e.obs_id, e.evidence_id, e.role, version_id, CAST(start_byte AS BIGINT) AS start_byte, CAST(end_byte AS BIGINT) AS end_byte, quote_hex FROM fx_evidence e JOIN sp USING (evidence_id) JOIN fx_obs o ON o.obs_id=e.obs_id", "fx_evidence")
-def citations_join(p):
+def _cited_tables(p):
     docs = p["documents"]
-    spans = docs.select(
-        F.concat(F.lit("ev:"), F.col("doc_id")).alias("evidence_id"), F.concat(F.lit("ver:"), F.col("doc_id")).alias("version_id"),
-        F.lit(0).cast("long").alias("start_byte"), F.lit(8).cast("long").alias("end_byte"), F.hex(ev.byte_slice(F.col("text"), F.lit(0), F.lit(8))).alias("quote_hex"),
-    )
-    return p["fx_evidence"].join(spans, "evidence_id").join(p["fx_obs"].select("obs_id"), "obs_id").select("obs_id", "evidence_id", "role", "version_id", "start_byte", "end_byte", "quote_hex")
+    at = lambda base, unit, n: F.timestamp_add(unit, n.cast("int"), F.lit(base).cast("timestamp_ntz"))
+    ver, hour = F.concat(F.lit("ver:"), "doc_id").alias("version_id"), at("2024-01-05", "HOUR", F.col("doc_id") % 400)
+    size = F.octet_length(F.col("text").cast("binary")).cast("long")
+    spans = docs.select(F.concat(F.lit("ev:"), "doc_id").alias("evidence_id"), ver, F.lit("body").alias("section_id"), F.lit(0).cast("long").alias("start_byte"), size.alias("end_byte"), F.col("text").alias("quote"), hour.alias("recorded_at"))
+    versions = docs.select(ver, F.col("source").alias("source_id"), F.concat(F.lit("at/"), "doc_id").alias("locator"), hour.alias("recorded_at"))
+    sections = docs.select(ver, F.lit("body").alias("section_id"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("parent_id"), F.array("lang").alias("path"), F.lit(0).cast("long").alias("section_order"), F.lit("notes").alias("role"), F.col("text").alias("content"))
+    sources = docs.groupBy(F.col("source").alias("source_id")).agg(at("2024-01-01", "DAY", F.min("doc_id") % 20).alias("recorded_at"))
+    return spans, versions, sections, sources
+
+
+def _cited_sql(cutoff):
+    known = f"AND sp.at <= TIMESTAMP '{cutoff}' AND src.at <= TIMESTAMP '{cutoff}'" if cutoff else ""
+    return f", {_CITED} SELECT e.obs_id, e.evidence_id, e.role, sp.version_id, sp.source AS source_id, CAST(0 AS BIGINT) AS start_byte, CAST(n AS BIGINT) AS end_byte, 'at/' || substr(sp.version_id, 5) AS locator, md5(text) AS quote_md5 FROM fx_evidence e JOIN sp USING (evidence_id) JOIN src ON src.source=sp.source WHERE true {known}"
+
+
+def _citations(p, cutoff=None):
+    spans, versions, sections, sources = _cited_tables(p)
+    rows = citations.citations(p["fx_evidence"], spans, versions, sections, sources, cutoff)
+    return rows.select("obs_id", "evidence_id", "role", "version_id", "source_id", "start_byte", "end_byte", "locator", F.md5("quote").alias("quote_md5"))
+
+
+@query(_cited_sql(None), "fx_evidence")
+def citations_join(p):
+    return _citations(p)
+
+
+@query(_cited_sql(K), "fx_evidence")
+def citations_asof(p):
+    return _citations(p, K)
+
+
+@query(
+    f", {_CITED}, ok AS (SELECT evidence_id FROM sp JOIN src ON src.source=sp.source WHERE sp.at <= TIMESTAMP '{K}' AND src.at <= TIMESTAMP '{K}') SELECT obs_id FROM fx_evidence GROUP BY obs_id HAVING bool_and(evidence_id IN (SELECT evidence_id FROM ok))",
+    "fx_evidence",
+)
+def evidence_cutoff(p):
+    """Observations none of whose evidence, versions or sources came later than the cutoff."""
+    spans, versions, _, sources = _cited_tables(p)
+    return authority.evidence_visible(p["fx_evidence"], spans, versions, sources, K)
+
+
+@query("SELECT 'ev:' || doc_id AS evidence_id, CASE WHEN doc_id % 5 = 1 THEN 'no-section' WHEN doc_id % 5 = 2 THEN 'out-of-range' ELSE 'quote-differs' END AS fault FROM documents WHERE doc_id % 5 IN (1, 2, 3) AND text IS NOT NULL AND octet_length(encode(text)) > 0")
+def span_faults(p):
+    """Spans that quote a whole document, three in five of them planted wrong."""
+    spans, _, sections, _ = _cited_tables(p)
+    n = F.substring("evidence_id", 4, 20).cast("long") % 5
+    bad = spans.where("end_byte > 0").withColumns({
+        "section_id": F.when(n == 1, "none").otherwise(F.col("section_id")), "end_byte": F.when(n == 2, F.col("end_byte") + 1).otherwise(F.col("end_byte")), "quote": F.when(n == 3, F.concat("quote", F.lit("?"))).otherwise(F.col("quote")),
+    })
+    return citations.span_faults(bad, sections)
 
 
 @query(
@@ -71,13 +117,13 @@ def fact_provenance(p):
 
 
 def _proposals(p):
-    return p["events"].where("event_id % 2 = 1").select(
+    return p["events"].select(
         F.concat(F.lit("prop:"), "event_id").alias("proposal_id"), F.concat(F.lit("men:"), "event_id").alias("mention_id"), F.col("user_id"),
         F.concat(F.lit("run:"), "user_id").alias("run_id"), F.concat(F.lit("ver:"), "user_id").alias("version_id"),
     )
 
 
-_PROPOSALS = "pr AS (SELECT concat('prop:', event_id) AS proposal_id, concat('men:', event_id) AS mention_id, user_id, ts FROM events WHERE event_id % 2 = 1)"
+_PROPOSALS = "pr AS (SELECT concat('prop:', event_id) AS proposal_id, concat('men:', event_id) AS mention_id, user_id, ts FROM events)"
 
 
 @query(f", {_PROPOSALS} SELECT proposal_id, mention_id FROM pr WHERE proposal_id NOT IN (SELECT proposal_id FROM fx_decisions)", "fx_decisions")
@@ -117,7 +163,7 @@ b AS (SELECT mention_id, entity_id, max(c) AS confidence, max(CASE WHEN NOT is_a
 r AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY confidence DESC, entity_id) AS rank FROM b)"""
 
 
-@query(f"WITH {_NAMES} SELECT mention_id, CAST(rank AS INTEGER) AS rank, entity_id, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN dc = confidence THEN 'display' ELSE 'alias' END AS via FROM r WHERE rank <= 3")
+@query(f"WITH {_NAMES} SELECT mention_id, CAST(rank AS INTEGER) AS rank, entity_id, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN dc = confidence THEN 'display' ELSE 'alias' END AS via FROM r")
 def name_candidate_ranking(p):
     part = p["part"]
     second = F.split_part("p_name", F.lit(" "), F.lit(2))
@@ -125,7 +171,7 @@ def name_candidate_ranking(p):
     mentions = part.select(F.concat(F.lit("m:"), said).alias("mention_id"), said.alias("name")).distinct()
     eid = F.concat(F.lit("part:"), "p_partkey").alias("entity_id")
     names = part.select(eid, F.col("p_name").alias("name"), F.lit(False).alias("is_alias")).unionByName(part.select(eid, F.concat_ws(" ", F.lower("p_type"), second).alias("name"), F.lit(True).alias("is_alias")))
-    return identity.rank_names(mentions, names, 3)
+    return identity.rank_names(mentions, names)
 
 
 _MAIL = "m AS (SELECT concat('s', s_suppkey) AS mention_id, concat('a', CAST(round(s_acctbal) AS BIGINT) % 400, '@example.org') AS email FROM supplier), o AS (SELECT concat('c', c_custkey) AS entity_id, concat('a', CAST(round(c_acctbal) AS BIGINT) % 400, '@example.org') AS email FROM customer)"
@@ -319,20 +365,41 @@ def ledger_status(p):
     return out[0]
 
 
-@query()
+_LEASE = 120 * 86_400 * 1_000_000
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT CAST(o_custkey AS VARCHAR) AS run_id, epoch_us(o_orderdate) AS moment, o_orderkey AS command_id, CASE WHEN o_orderkey % 3 = 0 THEN 'complete' WHEN o_orderkey % 7 = 1 THEN 'fail' ELSE 'claim' END AS action,
+ CAST(o_orderkey % 2 AS VARCHAR) AS who, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+j AS (SELECT *, 0 AS k FROM (SELECT DISTINCT run_id FROM c) CROSS JOIN (SELECT 'new' AS state, 0 AS attempt, '' AS holder, CAST(0 AS BIGINT) AS claimed, CAST(0 AS BIGINT) AS until, CAST(0 AS BIGINT) AS command_id, '' AS outcome)
+ UNION ALL SELECT run_id, CASE WHEN outcome IN ('claimed','reclaimed') THEN 'active' WHEN outcome = 'completed' AND action = 'complete' THEN 'completed' WHEN outcome = 'failed' THEN 'failed' ELSE state END,
+  CASE WHEN outcome IN ('claimed','reclaimed') THEN attempt + 1 ELSE attempt END, CASE WHEN outcome IN ('claimed','reclaimed') THEN who ELSE holder END, CASE WHEN outcome IN ('claimed','reclaimed') THEN moment ELSE claimed END,
+  CASE WHEN outcome IN ('claimed','reclaimed') THEN moment + {_LEASE} ELSE until END, command_id, outcome, n
+ FROM (SELECT c.run_id, c.moment, c.command_id, c.action, c.who, c.n, j.state, j.attempt, j.holder, j.claimed, j.until,
+  CASE WHEN action = 'claim' THEN CASE WHEN state = 'completed' THEN 'completed' WHEN state = 'active' AND moment < until THEN 'busy' WHEN state = 'active' THEN 'reclaimed' ELSE 'claimed' END
+   WHEN state = 'completed' AND action = 'complete' AND who = holder THEN 'replay' WHEN state <> 'active' OR holder <> who OR NOT (claimed <= moment AND moment < until) THEN 'refused' WHEN action = 'complete' THEN 'completed' ELSE 'failed' END AS outcome
+  FROM c JOIN j ON c.run_id = j.run_id AND c.n = j.k + 1))
+SELECT run_id, command_id, outcome, CAST(attempt AS INTEGER) AS attempt FROM j WHERE k > 0"""
+)
 def lease_states(p):
     o = p["orders"]
     action = F.when(F.col("o_orderkey") % 3 == 0, "complete").when(F.col("o_orderkey") % 7 == 1, "fail").otherwise("claim")
     commands = o.select(F.col("o_custkey").cast("string").alias("run_id"), ta.micros("o_orderdate").alias("at"), F.col("o_orderkey").alias("command_id"), action.alias("action"), (F.col("o_orderkey") % 2).cast("string").alias("owner"))
-    return leases.fold(commands, 120 * 86_400 * 1_000_000)
+    return leases.fold(commands, _LEASE)
 
 
-@query()
+@query("SELECT c_custkey, 'fi 1 ' || lower(c_name) AS name, true AS mail_ok FROM customer")
 def nfkc_name_normalize(p):
     return p["customer"].select("c_custkey", tx.normalize_name(F.concat(F.lit("ﬁ ①  "), "c_name")).alias("name"), tx.valid_email(F.concat("c_mktsegment", F.lit("@x.org"))).alias("mail_ok"))
 
 
-@query()
+_SHA = "sha1(unhex('6BA7B8129DAD11D180B400C04FD430C8') || encode(c_name))"
+
+
+@query(
+    f"""SELECT c_custkey, substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || substr('89ab', 1 + CAST(('0x' || substr(h,17,1)) AS INTEGER) % 4, 1) || substr(h,18,3) || '-' || substr(h,21,12) AS id
+FROM (SELECT c_custkey, {_SHA} AS h FROM customer)"""
+)
 def uuid5_ids(p):
     return p["customer"].select("c_custkey", ev.stable_uuid(F.col("c_name")).alias("id"))
 
@@ -342,62 +409,30 @@ def observation_digest_float(p):
     return p["events"].select("event_id", ev.digest(ev.frame("event_type"), ev.frame(ta.micros("ts"), ev.TIME), ev.frame(ev.float_bits(F.col("value")), ev.BYTES)).alias("digest"))
 
 
-@query()
-def extraction_validate(p):
-    text = F.col("text")
-    quote = F.substring(text, F.lit(1), F.lit(24))
-    cite = F.struct(F.lit("c1").alias("id"), F.lit("body").alias("section_id"), F.lit(0).alias("start"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.octet_length(quote.cast("binary"))).alias("end"), quote.alias("quote"))
-    empty = F.from_json(F.lit("[]"), "array<struct<id: string>>")
-    payload = F.to_json(F.struct(F.lit("2024-01-01").alias("meeting_date"), F.array(cite).alias("citations"), empty.alias("people"), empty.alias("statements"), empty.alias("signals")))
-    rows = p["documents"].select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(payload, F.lit("x"))).otherwise(payload).alias("payload"))
-    return extraction.verdicts(rows, "doc_id", "payload", "text").select(F.col("id").alias("doc_id"), "accepted", "fault")
-
-
-# ---- the four questions through the engine ----------------------------------------------------------
-
-
-def _engine(p):
-    from evidentia.plans.engine import Engine
-
-    relabel = {"observations": p["fx_obs"].drop("event_id", "user_id", "ts"), "links": p["fx_evidence"], "decisions": p["fx_decisions"], "admissions": p["fx_admissions"], "entities": p["fx_entities"]}
-    return Engine(p.spark, relabel)
-
-
-def _ask(p, intent, selections, limit=0, known=None):
-    from evidentia.plans.request import Request
-
-    return _engine(p).query(Request(intent, ("user:1", "user:2", "user:3"), selections, match="any", limit=limit, known_as_of=known))
-
-
-def _win(label, lo, hi):
-    from datetime import datetime
+_CASES = ("accepted", "not JSON", "unknown speaker", "signal vocabulary", "quote not found once", "name not grounded", "signal ends", "citation quote")
 
-    from evidentia.plans.request import Between
-
-    return Between(label, datetime.fromisoformat(lo), datetime.fromisoformat(hi))
-
-
-@query()
-def engine_trend_changes(p):
-    from evidentia.plans.request import TREND
-
-    return _ask(p, TREND, (_win("before", "2024-01-10", "2024-01-17"), _win("after", "2024-01-15", "2024-01-22"))).changes.drop("before_object_kind", "after_object_kind")
-
-
-@query()
-def engine_point_json(p):
-    from datetime import datetime
-
-    from evidentia.plans.request import POINT, At
-
-    return _engine(p).envelope(_ask(p, POINT, (At("point", datetime(2024, 1, 12, 12)),), known=datetime(2024, 1, 15)))
 
+@query(
+    f"SELECT doc_id, doc_id % 8 = 0 AS accepted, [{', '.join(repr(c) if c != 'accepted' else 'NULL' for c in _CASES)}][1 + doc_id % 8] AS fault FROM documents"
+)
+def extraction_validate(p):
+    """Answers that quote the whole section, with people, statements and signals; seven in eight break one rule each."""
+    k = F.col("doc_id") % 8
+    section = F.concat(F.lit("Ana Diaz wrote to Bo Li: "), F.coalesce("text", F.lit("")))
+    when = lambda n, a, b: F.when(k == n, F.lit(a)).otherwise(F.lit(b))
+    cite = F.struct(F.lit("c1").alias("id"), F.lit("body").alias("section_id"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.when(k == 4, F.concat(section, F.lit("?"))).when(k == 7, F.lit(None)).otherwise(section).alias("quote"))
+    ids = F.array(F.lit("c1")).alias("citation_ids")
+    person = lambda i, name: F.struct(F.lit(i).alias("id"), name.alias("name"), F.lit(None).cast("string").alias("email"), ids)
+    people = F.array(person("p1", when(5, "Ana Dia", "Ana Diaz")), person("p2", F.lit("Bo Li")))
+    statements = F.array(F.struct(F.lit("s1").alias("id"), when(2, "p9", "p1").alias("speaker_id"), F.col("text"), ids))
+    statements = F.transform(statements, lambda s: F.struct(s["id"].alias("id"), s["speaker_id"].alias("speaker_id"), F.coalesce(s["text"], F.lit("")).alias("text"), s["citation_ids"].alias("citation_ids")))
+    signals = F.array(F.struct(F.lit("g1").alias("id"), F.lit("p1").alias("subject_id"), when(6, "p1", "p2").alias("object_id"), F.lit("support_advocacy").alias("category"), when(3, "up", "mixed").alias("direction"), ids))
+    payload = F.to_json(F.struct(F.lit("2024-01-01").alias("meeting_date"), F.array(cite).alias("citations"), people.alias("people"), statements.alias("statements"), signals.alias("signals")), {"ignoreNullFields": "false"})
+    rows = p["documents"].select("doc_id", section.alias("section"), F.when(k == 1, F.concat(payload, F.lit("x"))).otherwise(payload).alias("payload"))
+    return extraction.verdicts(rows, "doc_id", "payload", "section").select(F.col("id").alias("doc_id"), "accepted", "fault")
 
-@query()
-def engine_trajectory(p):
-    from evidentia.plans.request import TRAJECTORY
 
-    return _ask(p, TRAJECTORY, (_win("between", "2024-01-10", "2024-01-17"),), limit=1000).transitions
+# ---- review -----------------------------------------------------------------------------------------
 
 
 @query(
@@ -433,4 +468,5 @@ def review_commands(p):
         F.concat(F.lit("cmd:"), "event_id").alias("command_id"), F.concat(F.lit("prop:"), "event_id").alias("proposal_id"), action.alias("action"),
         F.when(e % 9 == 5, "none").otherwise(F.concat(F.lit("user:"), "user_id")).alias("entity_id"), F.lit("Ana").alias("name"), F.lit("").alias("email"), F.col("ts").alias("recorded_at"),
     )
-    return decide(commands, p["fx_decisions"], _proposals(p), p["fx_entities"]).select("command_id", "verdict")
+    known = _proposals(p).where("substr(proposal_id, -1) IN ('1', '3', '5', '7', '9')")  # commands on the others name no proposal
+    return decide(commands, p["fx_decisions"], known, p["fx_entities"]).select("command_id", "verdict")
