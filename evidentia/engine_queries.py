@@ -201,7 +201,7 @@ def directory_enrichment(p):
         "directory_links": owned.select(null.alias("provider"), null.alias("subject_id"), "entity_id", null.alias("decision_id"), "proposal_id", "recorded_at").where("false"),
     }
     rows, _ = directory.enrich(work, lambda q: directory.found(q, profiles), state, ["example.org"], at)
-    return rows.select("mention_id", "verdict", "authority", F.when(F.col("entity_id").startswith("c"), F.col("entity_id")).alias("owner"))
+    return rows.select("mention_id", "verdict", "authority", F.when(F.length("entity_id") < 64, F.col("entity_id")).alias("owner"))
 
 
 @query(
