@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. A runner writes each stage's rows as Parquet and gives them, read again, to the next.
+
+Every stage judges each row by itself, whatever its id: a null id is a row like any other, rows that repeat an id
+each have their own verdict, null text counts as empty, other columns are passed on as they are, and an empty table
+gives an empty table. What that means for each stage is told at the stage.
 """
 
 from __future__ import annotations
@@ -59,34 +63,47 @@ def _copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model does not reject; it learns from the labels not held out."""
+    """Documents that the quality model does not reject; it learns from the labels not held out.
+
+    Empty texts are judged as texts without any statistics; without labels of both classes all scores are alike
+    (0.5 without any label, which is below the threshold: nothing stays that nothing speaks for).
+    """
     rows = _numbered(docs)
     scores = quality_scores(rows, table(spark, sf_dir, "labels"), threshold=QUALITY, row_col="_row")
     return _without(rows, scores.where("predicted = 0"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose grams the learnt languages hold at least half; those without text or letters go too."""
+    """Documents of whose grams the learnt languages hold at least half; those without text or letters go too.
+
+    Without any text whose language is known there is nothing to judge by, and no document stays.
+    """
     rows = _numbered(docs)
     return _without(rows, languages(rows, row_col="_row", least_known=KNOWN).where(F.col("lang_pred") == UNKNOWN))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, that with the smallest id."""
+    """One row of each group of equal texts, that with the smallest id; null and empty texts are one group.
+
+    A row without an id stays only where its whole group has none; of rows that repeat the smallest id one stays.
+    """
     rows = _numbered(docs)
     groups = exact_groups(rows, id_col="_row").where("group_size > 1")
     return _without(rows, _copies(rows, groups.select("_row", F.col("keep_id").alias("_group"))))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more), that with the smallest id."""
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more), that with the smallest id.
+
+    Rows without words are near to nothing, so each of them stays; rows without an id as in the stage before.
+    """
     rows = _numbered(docs)
     groups = near_duplicates(rows, id_col="_row", width=5, similar=(80, 100))
     return _without(rows, _copies(rows, groups.select("_row", F.col("component_id").alias("_group"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, in sequences of at most 4096 tokens."""
+    """The pieces of all documents that are left, in sequences of at most 4096 tokens; an empty text is its end alone."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, limits=Limits(tokens=4096))
 
 
@@ -96,17 +113,27 @@ STAGES = [("quality", quality), ("language", language), ("exact_dedup", exact),
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written to the shared folder and read again."""
-    shared_storage(spark)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each stage's rows written to the shared folder and read again.
+
+    A stage's rows are removed when the next stage's are written; the packed pieces are held by a checkpoint.
+    """
+    folder = f"{shared_storage(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         if name == STAGES[-1][0]:
+            _drop(spark, folder)
             return out
         out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _drop(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
 
 
