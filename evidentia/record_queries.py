@@ -404,7 +404,12 @@ def uuid5_ids(p):
     return p["customer"].select("c_custkey", ev.stable_uuid(F.col("c_name")).alias("id"))
 
 
-@query()
+_BITS = "lpad(upper(to_hex(CAST(CAST(value AS BIT) AS UBIGINT))), 16, '0')"
+
+
+@query(
+    f"SELECT event_id, sha256(unhex({_framed('event_type')} || '050000000000000008' || lpad(upper(to_hex(epoch_us(ts))), 16, '0') || '020000000000000008' || {_BITS})) AS digest FROM events"
+)
 def observation_digest_float(p):
     return p["events"].select("event_id", ev.digest(ev.frame("event_type"), ev.frame(ta.micros("ts"), ev.TIME), ev.frame(ev.float_bits(F.col("value")), ev.BYTES)).alias("digest"))
 
