@@ -17,7 +17,7 @@ from .common import mix
 from .token_count import text_steps
 
 #: Distinct units, and bytes of them, that a worker remembers before it starts anew.
-MEMORY, MEMORY_BYTES = 300_000, 6 << 20
+MEMORY, MEMORY_BYTES = 200_000, 2 << 20
 #: Bytes of units whose lattices are made together; a longer unit is parted where no piece reaches over.
 WINDOW = 1 << 18
 #: Longer segments are summed and sampled one by one, shorter ones together.
