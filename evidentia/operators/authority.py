@@ -257,6 +257,14 @@ def digest_violations(decisions: DataFrame, columns: tuple[str, ...], cutoff=Non
     return known_by(decisions, cutoff).where(~F.col("digest").eqNullSafe(decision_digest(*columns))).select("id")
 
 
+def pair_authority(pairs: DataFrame, decisions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(first, second) pairs with whether each of the two has an effective accepted decision; relationships are told of pairs with both."""
+    backed = accepted(decisions, entities).select("entity_id").distinct().withColumn("_backed", F.lit(True))
+    for end in ("first", "second"):
+        pairs = pairs.join(backed.withColumnRenamed("entity_id", end), end, "left").withColumn(f"{end}_accepted", F.coalesce("_backed", F.lit(False))).drop("_backed")
+    return pairs.select("first", "second", "first_accepted", "second_accepted")
+
+
 def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The last row of each group in an order."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")

@@ -31,11 +31,34 @@ def flatten_tree(nodes: DataFrame) -> DataFrame:
     return ways.where("at is null").select("doc_id", "id", "path", (F.size("path") - 1).alias("depth"), order.alias("section_order"))
 
 
-def merged_listing(listed: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Title and its date from the same snapshot: the fetched one where there is a title, else the listed one."""
-    new = fetched.select("doc_id", F.struct("title", "modified_at").alias("f"), F.col("content"))
-    row = F.when(F.col("f.title").isNotNull(), F.col("f")).otherwise(F.struct("title", "modified_at"))
-    return listed.join(new, "doc_id", "left").select("doc_id", row.alias("r"), "content").select("doc_id", "r.*", "content")
+def merged_documents(listed: DataFrame, fetched: DataFrame) -> DataFrame:
+    """What is known of each listed document after it was read, with `fault`: missing (it was not read), provider (the two
+    disagree), or NULL.
+
+    Both: (doc_id, provider, title, source_time, locator, provider_version, modified_at), fetched with content. Title
+    and its date come from one of the two, the read one if it has a title; locator and provider are the read ones
+    where there are any; version and time of change are the listed ones where there are any.
+    """
+    new = fetched.select("doc_id", F.struct(*(c for c in fetched.columns if c != "doc_id")).alias("f"))
+    rows = listed.select("doc_id", F.struct(*(c for c in listed.columns if c != "doc_id")).alias("l")).join(new, "doc_id", "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    own = lambda name, first, then: F.when(blank(f"{first}.{name}"), F.col(f"{then}.{name}")).otherwise(F.col(f"{first}.{name}")).alias(name)
+    titled = F.when(blank("f.title"), F.struct("l.title", "l.source_time")).otherwise(F.struct("f.title", "f.source_time"))
+    fault = F.when(F.col("f").isNull(), "missing").when(~blank("l.provider") & ~blank("f.provider") & (F.col("l.provider") != F.col("f.provider")), "provider")
+    return rows.withColumn("t", titled).select(
+        "doc_id", own("provider", "f", "l"), "t.title", "t.source_time", own("locator", "f", "l"), own("provider_version", "l", "f"), F.coalesce("l.modified_at", "f.modified_at").alias("modified_at"), "f.content", fault.alias("fault"),
+    )
+
+
+def section_fault(roles: tuple[str, ...] | None = None) -> Column:
+    """What is wrong with a section (section_id, title, role, section_order, path, content), else NULL: its id, title, role
+    and titles of its path are not blank, its order is not negative, its text is valid UTF-8, its role one of `roles`."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    among = F.lit(True) if roles is None else F.col("role").isin(*roles)
+    return (
+        F.when(blank("section_id"), "no-id").when(blank("title"), "no-title").when(blank("role") | ~F.coalesce(among, F.lit(False)), "role").when(F.coalesce(F.col("section_order") < 0, F.lit(True)), "order")
+        .when(F.exists(F.coalesce("path", F.array().cast("array<string>")), lambda x: x.isNull() | (F.trim(x) == "")), "path").when(~F.is_valid_utf8(F.coalesce("content", F.lit(""))), "not-utf8")
+    )
 
 
 def row_digest(columns: list[str]) -> Column:

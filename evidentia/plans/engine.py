@@ -12,7 +12,7 @@ from evidentia.functions.order import CITATION, key_order
 from evidentia.operators import authority, causal, checks, citations, gaps, state, trajectory
 from evidentia.plans import render
 from evidentia.plans.lineage import cut
-from evidentia.plans.request import CAUSAL, MAX_ROWS, POINT, TRAJECTORY, TREND, At, Request, normalize
+from evidentia.plans.request import CAUSAL, MAX_ROWS, POINT, TRAJECTORY, TREND, At, Request, ask, normalize
 from evidentia.schema import EVIDENCE_LINK
 
 #: Rows of contributions and citations that one envelope holds at most; lines() has no bound.
@@ -323,6 +323,16 @@ class Engine:
         return "\n".join(lines)
 
 
+def answer(engine: Engine, question: str, planner, entity_ids: tuple[str, ...]) -> Result:
+    """A question in words: the planner proposes a request without seeing the ids, the engine answers it, and the answer
+    must be the answer to that request."""
+    request = ask(question, planner, entity_ids)
+    result = engine.query(request)
+    if not same_request(result, request):
+        raise checks.Inconsistent("the answer is to another request")
+    return result
+
+
 def same_request(result: Result, request: Request) -> bool:
     """Whether an answer is the answer to a request, selections, scope, match and limits included."""
     return result.request == normalize(request)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
 from evidentia.sources.store import Store
 
 #: The checks, in their order (fixed values).
@@ -27,7 +30,7 @@ def readiness(store: Store) -> list[tuple[str, bool, str]]:
     for check, run in zip(CHECKS, (root, lambda: f"{store.marks().count()} batches", tables), strict=True):
         try:
             out.append((check, True, run()))
-        except Exception as e:  # noqa: BLE001  (any failure makes the store not ready)
+        except (OSError, PySparkException, Py4JError) as e:  # what storage and engine can fail with; other errors are faults of the program
             out.append((check, False, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
             break
     return out
