@@ -22,7 +22,9 @@ BLOCK = 256
 #: Pairs of two blocks that go on as rows; of more, the two blocks' sets are brought together once.
 FEW = 64
 #: Bytes of full sets that are gathered for two blocks at most; beyond it each pair brings its own two sets.
-GATHERED = 64 << 20
+GATHERED = 16 << 20
+#: Shingles of full sets that a worker sends on at once.
+SENT = 1 << 18
 
 
 def beyond(within: int, p: float, n: int = WIDE) -> float:
@@ -231,7 +233,14 @@ def _pair_members(batches):
 def _full_sets(width: int):
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"cid": pdf["cid"].to_numpy(np.int64), "full": [s.tobytes() for s in shingle_sets(pdf["text"], width)]})
+            cids, cut, held = pdf["cid"].to_numpy(np.int64), 0, []
+            for s in shingle_sets(pdf["text"], width):
+                held.append(s.view(np.int64))
+                if sum(map(len, held[-64:])) > SENT or len(held) % 64 == 0:
+                    yield pd.DataFrame({"cid": cids[cut : cut + len(held)], "full": held})
+                    cut, held = cut + len(held), []
+            if held:
+                yield pd.DataFrame({"cid": cids[cut:], "full": held})
 
     return run
 
@@ -244,22 +253,13 @@ def _alike(a: np.ndarray, b: np.ndarray, index: Index) -> bool:
     return index.threshold_den * both >= index.threshold_num * (len(a) + len(b) - both)
 
 
-def _confirm(index: Index):
-    def run(batches):
-        for pdf in batches:
-            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), index) for x, y in zip(pdf["full_a"], pdf["full_b"], strict=True)]
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
-
-    return run
-
-
 def _confirm_blocks(index: Index):
     """Of two blocks' pairs those alike, leaving out pairs that the links found so far already join."""
 
     def run(batches):
         for pdf in batches:
             for cids, fulls, lists in zip(pdf["cids"], pdf["fulls"], pdf["lists"], strict=True):
-                sets = {int(c): np.frombuffer(f, np.uint64) for c, f in zip(cids, fulls, strict=True)}
+                sets = {int(c): np.sort(np.asarray(f, np.int64)) for c, f in zip(cids, fulls, strict=True)}
                 root = {c: c for c in sets}
 
                 def find(x, root=root):
@@ -282,7 +282,7 @@ def _made_sets(needed: DataFrame, reps: DataFrame, texts: DataFrame, width: int)
     """The full shingle sets of the classes needed, made again from a whole text of each."""
     own = reps.join(needed.distinct(), "cid", "left_semi").select("cid", "id", "words")
     sets = texts.join(own, ["id", "words"]).dropDuplicates(["id", "words", "cid"])
-    return cut_lineage(sets.select("cid", "text").mapInPandas(_full_sets(width), "cid long, full binary"))
+    return cut_lineage(sets.select("cid", "text").mapInPandas(_full_sets(width), "cid long, full array<bigint>"))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -290,10 +290,12 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; the sets are met and compared without leaving the engine."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("full").alias("full_a")), "a")
     both = both.join(sets.select(F.col("cid").alias("b"), F.col("full").alias("full_b")), "b")
-    return cut_lineage(both.mapInPandas(_confirm(index), "a long, b long"))
+    both = both.select("a", "b", F.size("full_a").alias("n_a"), F.size("full_b").alias("n_b"), F.size(F.array_intersect("full_a", "full_b")).alias("same"))
+    same, either = F.col("same").cast("long"), F.col("n_a").cast("long") + F.col("n_b") - F.col("same")
+    return cut_lineage(both.where(same * index.threshold_den >= either * index.threshold_num).select("a", "b"))
 
 
 def _confirmed_blocks(blocks: DataFrame, members: DataFrame, sets: DataFrame, index: Index) -> DataFrame:
@@ -303,7 +305,7 @@ def _confirmed_blocks(blocks: DataFrame, members: DataFrame, sets: DataFrame, in
     """
     place = ["lead", "parts", "i", "j"]
     held = members.join(sets, "cid")
-    large = cut_lineage(held.groupBy(*place).agg(F.sum(F.octet_length("full")).alias("bytes")).where(F.col("bytes") > GATHERED).select(*place))
+    large = cut_lineage(held.groupBy(*place).agg(F.sum(F.size("full").cast("long") * 8).alias("bytes")).where(F.col("bytes") > GATHERED).select(*place))
     one_by_one = blocks.join(large, place, "left_semi").mapInPandas(_pair_rows, "a long, b long")
     held = held.join(large, place, "left_anti").groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("cid", "full"))).alias("held"))
     held = held.select(*place, F.col("held.cid").alias("cids"), F.col("held.full").alias("fulls"))

@@ -26,7 +26,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Words with characters beyond the Latin blocks, or that may hold special tokens, go to the library.
 _HARD = re.compile("[\x1c-\x1f\u0250-\U0010ffff]|<\\|")
 #: Distinct words, and characters of them, that a worker remembers before it starts anew.
-MEMORY, MEMORY_CHARACTERS = 300_000, 16 << 20
+MEMORY, MEMORY_CHARACTERS = 200_000, 8 << 20
 
 
 class WordIds:
