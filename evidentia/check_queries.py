@@ -11,7 +11,7 @@ from evidentia.functions import evidence as ev
 from evidentia.functions import order
 from evidentia.functions import text as tx
 from evidentia.functions import timeaxis as ta
-from evidentia.operators import authority, checks, citations, records, review, state
+from evidentia.operators import authority, checks, citations, directory, records, review, state
 from evidentia.queries import _TREND, _W1, A, B, B2, C, K, _cands_sql, _state_sql, _ts, cands, ntz, query
 from evidentia.schema import TAB_ROLES
 
@@ -325,3 +325,79 @@ def pair_authority(p):
 def observation_values(p):
     """Observations of a few predicates known by the cutoff: the read behind an answer."""
     return authority.known_by(p["fx_obs"], datetime.fromisoformat(K)).where("subject_kind = 'mention' AND predicate IN ('attr.3', 'attr.7')").select("obs_id")
+
+
+@query(
+    "SELECT DISTINCT 'ver:' || doc_id AS version_id, lang AS title FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL"
+)
+def cited_sections(p):
+    """The sections of the versions that a third of the spans cite."""
+    from evidentia.record_queries import _cited_tables
+
+    spans, _, sections, _ = _cited_tables(p)
+    return citations.cited_sections(spans.where("cast(substr(evidence_id, 4) as long) % 3 = 0 and quote is not null"), sections).select("version_id", "title").distinct()
+
+
+@query(
+    "SELECT id, CASE n % 6 WHEN 0 THEN 'target-kind' WHEN 1 THEN 'no-target' WHEN 2 THEN 'outcome' WHEN 3 THEN 'authority' WHEN 4 THEN 'no-reason' END AS fault FROM (SELECT id, CAST(split_part(id, ':', 3) AS BIGINT) AS n FROM fx_admissions WHERE target_kind = 'observation') WHERE n % 6 < 5",
+    "fx_admissions",
+)
+def admission_faults(p):
+    """Admission decisions of which five in six break one rule each."""
+    n = F.split_part("id", F.lit(":"), F.lit(3)).cast("long") % 6
+    rows = p["fx_admissions"].where("target_kind = 'observation'").withColumns({
+        "target_kind": F.when(n == 0, "thing").otherwise(F.col("target_kind")), "target_id": F.when(n == 1, " ").otherwise(F.col("target_id")), "outcome": F.when(n == 2, "maybe").otherwise(F.col("outcome")),
+        "authority": F.when(n == 3, "nobody").otherwise("policy"), "reason": F.when(n == 4, "").otherwise("r"),
+    })
+    return rows.select("id", authority.admission_fault().alias("fault")).where("fault is not null")
+
+
+@query(
+    "SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 3 = 0 THEN 'email' ELSE 'name' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '@x.org' ELSE lower(c_name) END AS value, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'source' ELSE 'cited' END ELSE 'none' END AS binding FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 <> 0"
+)
+def directory_questions(p):
+    """What may be asked: an address of an approved domain, else the name, else nothing."""
+    k = F.col("c_custkey")
+    rows = p["customer"].select(
+        k.alias("mention_id"), F.concat(F.lit("p"), "c_custkey").alias("proposal_id"), F.when(k % 5 == 0, " ").otherwise(F.lower("c_name")).alias("name"), F.concat(k.cast("string"), F.when(k % 3 == 0, "@x.org").otherwise("@y.org")).alias("email"),
+        F.lit(True).alias("email_ok"), F.when(k % 2 == 0, "source").otherwise("cited").alias("binding"),
+    )
+    return directory.questions(rows, ["X.org "]).select("mention_id", "kind", "value", "binding")
+
+
+@query(
+    "SELECT 'c' || c_custkey AS command_id, CASE WHEN c_custkey % 5 = 0 THEN 'not-staged' WHEN c_custkey % 5 = 1 THEN 'unknown-entity' WHEN c_custkey % 5 = 2 THEN 'owned' WHEN c_custkey % 5 = 3 THEN 'decided' ELSE 'ok' END AS verdict FROM customer"
+)
+def staged_candidates(p):
+    """Reviewers' acceptances of staged directory candidates; four in five meet an obstacle."""
+    c = p["customer"]
+    k, null = F.col("c_custkey"), F.lit(None).cast("string")
+    key = F.col("c_custkey").cast("string")
+    own = [F.lit("d").alias("provider"), F.concat(F.lit("s"), key).alias("subject_id"), F.concat(F.lit("e"), key).alias("entity_id")]
+    staged = c.where("c_custkey % 5 <> 0").select(*own, null.alias("decision_id"), F.concat(F.lit("p"), key).alias("proposal_id"))
+    owned = c.where("c_custkey % 5 = 2").select(F.lit("d").alias("provider"), F.concat(F.lit("s"), key).alias("subject_id"), F.lit("e-other").alias("entity_id"), F.concat(F.lit("o"), key).alias("decision_id"), F.concat(F.lit("q"), key).alias("proposal_id"))
+    decisions = owned.select(F.col("decision_id").alias("id"), "proposal_id", F.lit("accepted").alias("outcome"), "entity_id", ntz(A).alias("recorded_at"), null.alias("supersedes_id"))
+    decisions = decisions.unionByName(c.where("c_custkey % 5 = 3").select(F.concat(F.lit("r"), key).alias("id"), F.concat(F.lit("p"), key).alias("proposal_id"), F.lit("rejected").alias("outcome"), null.alias("entity_id"), ntz(A).alias("recorded_at"), null.alias("supersedes_id")))
+    entities = c.where(k % 5 != 1).select(F.concat(F.lit("e"), key).alias("id"))
+    commands = c.select(F.concat(F.lit("c"), key).alias("command_id"), F.concat(F.lit("p"), key).alias("proposal_id"), *own, ntz(B).alias("recorded_at"))
+    return directory.accept_candidates(commands, staged.unionByName(owned), decisions, entities).select("command_id", "verdict")
+
+
+@query(
+    """SELECT o_orderkey AS proposal_id, 'M' || o_custkey AS surface, (SELECT string_agg('q' || l_linenumber, ' ' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS quotes, 'Person ' || (o_custkey % 7) AS first_name FROM orders"""
+)
+def projected_proposals(p):
+    """Proposals with their mention, evidence in order and candidates by rank."""
+    o = p["orders"]
+    null = F.lit(None).cast("string")
+    proposals = o.select(F.col("o_orderkey").alias("proposal_id"), F.col("o_orderkey").alias("mention_id"), F.lit("r").alias("run_id"), F.lit("v").alias("version_id"), F.col("o_orderdate").alias("recorded_at"))
+    mentions = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("M"), "o_custkey").alias("surface"), F.lit("m").alias("normalized_name"), null.alias("proposed_email"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lines = p["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey").withColumn("position", place).withColumn("evidence_id", F.concat_ws(":", "l_orderkey", "position"))
+    spans = lines.select("evidence_id", F.lit("v").alias("version_id"), F.lit("s").alias("section_id"), F.lit(0).alias("start_byte"), F.lit(1).alias("end_byte"), F.concat(F.lit("q"), "l_linenumber").alias("quote"))
+    candidates = o.select(F.col("o_orderkey").alias("proposal_id"), F.concat(F.lit("e"), (F.col("o_custkey") % 7).cast("string")).alias("entity_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("confidence"), F.lit("r").alias("reason"))
+    candidates = candidates.unionByName(candidates.withColumns({"rank": F.lit(2), "entity_id": F.lit("e8")}))
+    entities = p.spark.range(9).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("Person "), F.col("id").cast("string")).alias("display_name"))
+    rows = review.projected_proposals(proposals, mentions, lines.select(F.col("l_orderkey").alias("proposal_id"), "position", "evidence_id"), spans, candidates, entities)
+    quotes = F.array_join(F.transform("evidence", lambda e: e["quote"]), " ")
+    return rows.select("proposal_id", "surface", F.when(F.size("evidence") > 0, quotes).alias("quotes"), F.get("candidates", F.lit(0))["display_name"].alias("first_name"))

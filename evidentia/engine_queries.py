@@ -246,3 +246,51 @@ def digest_violations(p):
     rows = p["fx_decisions"].withColumns({"authority": F.lit("automatic"), "reason": F.lit("r")})
     rows = rows.withColumn("digest", authority.decision_digest(*authority.RESOLUTION_DIGEST))
     return authority.digest_violations(rows.withColumn("reason", F.when(F.col("id").like("%9:0"), "changed").otherwise(F.col("reason"))), authority.RESOLUTION_DIGEST)
+
+
+# ---- sources and ingest -----------------------------------------------------------------------------
+
+
+def _reader():
+    """A model that quotes a document whole; it fails for some documents and answers wrongly for others."""
+
+    def model(text: str) -> str:
+        import json
+
+        section, body = next(iter(json.loads(text).items()))
+        if "#fails#" in body:
+            raise TimeoutError("no answer")
+        people = [{"id": i, "name": n, "email": None, "citation_ids": ["c1"]} for i, n in (("p1", "Ana Diaz"), ("p2", "Bo Li"))]
+        signal = {"id": "s1", "subject_id": "p1", "object_id": "p1" if "#wrong#" in body else "p2", "category": "support_advocacy", "direction": "mixed", "citation_ids": ["c1"]}
+        return json.dumps({"meeting_date": None, "citations": [{"id": "c1", "section_id": section, "start": 0, "end": 0, "quote": body}], "people": people, "statements": [], "signals": [signal]})
+
+    return model
+
+
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' WHEN 3 THEN 'unchanged' ELSE 'completed' END AS outcome, CASE doc_id % 6 WHEN 0 THEN 'model' WHEN 1 THEN 'invalid-extraction: signal ends' WHEN 2 THEN 'invalid-source: transcripts' END AS fault, CASE WHEN doc_id % 6 >= 3 THEN 1 ELSE 0 END AS observations FROM documents"
+)
+def sync_documents(p):
+    """Every document as a source of one talk, synced into a store of its own: some were synced before, some fail."""
+    import uuid
+
+    from evidentia import schema
+    from evidentia.plans.lineage import shared_folder
+    from evidentia.sources.store import Store
+    from evidentia.streaming import sync
+
+    k = F.col("doc_id") % 6
+    docs = p["documents"].select("doc_id", F.concat(F.lit("Ana Diaz wrote to Bo Li: "), F.coalesce("text", F.lit("")), F.when(k == 0, " #fails#").when(k == 1, " #wrong#").otherwise("")).alias("body"))
+    name = F.col("doc_id").cast("string")
+    listing = docs.select(name.alias("doc_id"), F.lit("desk").alias("provider"), F.concat(F.lit("Talk "), name).alias("title"), F.concat(F.lit("talk/"), name).alias("locator"), F.lit("1").alias("provider_version"), ntz(A).alias("modified_at"))
+    tabs = docs.select(name.alias("doc_id"), F.lit("t").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("position"), F.lit("Transcript").alias("title"), F.when(k == 2, "notes").otherwise("transcript").alias("role"), F.col("body").alias("content"))
+    names = p.spark.createDataFrame([("person:bo", "bo li", False)], "entity_id string, name string, is_alias boolean")
+    store = Store(p.spark, f"{shared_folder(p.spark)}/sync-{uuid.uuid4().hex}", {n: t for n, (t, _) in schema.TABLES.items()})
+    config = sync.Config("desk", "reader", "1")
+    ran = lambda rows, at: sync.sync(store, rows, tabs, _reader(), names, config, ntz(at))
+    ran(listing.where(F.col("doc_id").cast("long") % 6 == 3), A).count()
+    out = ran(listing, B)
+    held = store.snapshot()
+    n = held["observations"].select(F.col("obs_id")).join(held["links"], "obs_id").join(held["spans"], "evidence_id").join(held["versions"].select("version_id", "source_id"), "version_id").join(held["sources"], "source_id")
+    n = n.groupBy(F.col("provider_id").alias("doc_id")).agg(F.count_distinct("obs_id").cast("int").alias("observations"))
+    return out.join(n, "doc_id", "left").select("doc_id", "outcome", "fault", F.coalesce("observations", F.lit(0)).alias("observations"))

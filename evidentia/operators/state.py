@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.timeaxis import reach
-from evidentia.operators.sweep import running, turns
+from evidentia.operators.sweep import DAY, WHOLE, running, turns
 
 KEY = ["subject_kind", "subject_ref", "predicate"]
 VALUE = ["object_kind", "object_ref"]
@@ -74,17 +74,22 @@ def overlapping_keys(classified: DataFrame, of_values: DataFrame, sel: list[str]
     """Keys of which two different supported values hold at one instant.
 
     A sweep instead of pairs: a value holds while any of its extents is open, and a key overlaps where two
-    values hold. Only keys with several supported values come here; a key's times are split by days, so one
-    with very many rows is shared among tasks.
+    values hold. Only keys with several supported values come here. A key's rows are brought together once, if
+    there are few (WHOLE); the times of a larger key are split by days, so that it is shared among tasks.
     """
     key = [*sel, *KEY]
-    several = of_values.groupBy(*key).agg(F.sum("s").alias("ns")).where("ns > 1").select(*key)
+    several = of_values.groupBy(*key).agg(F.sum("s").alias("ns"), F.sum("n_supported_rows").alias("rows")).where("ns > 1").select(*key, "rows")
     low, high = reach()
-    rows = classified.where("cls = 's'").join(several, key, "left_semi").select(*key, *VALUE, low.alias("low"), high.alias("high"))
-    open_ = running(turns(rows, [*key, *VALUE], "low", "high", {"n": F.lit(1)}), [*key, *VALUE], ["n"])
-    held = (F.col("n_now") > 0).cast("int") - (F.col("n_now") - F.col("n") > 0).cast("int")
-    steps = open_.withColumn("step", held).where("step <> 0").groupBy(*key, "t").agg(F.sum("step").alias("step"))
-    return running(steps, key, ["step"]).where("step_now > 1").select(*key).distinct()
+    rows = classified.where("cls = 's'").join(several, key).select(*key, *VALUE, "rows", low.alias("low"), high.alias("high"))
+
+    def overlapping(part, span):
+        open_ = running(turns(part, [*key, *VALUE], "low", "high", {"n": F.lit(1)}), [*key, *VALUE], ["n"], span)
+        held = (F.col("n_now") > 0).cast("int") - (F.col("n_now") - F.col("n") > 0).cast("int")
+        steps = open_.withColumn("step", held).where("step <> 0").groupBy(*key, "t").agg(F.sum("step").alias("step"))
+        return running(steps, key, ["step"], span).where("step_now > 1").select(*key).distinct()
+
+    small = rows.where(F.col("rows") <= WHOLE).repartition(*key)
+    return overlapping(small, None).unionByName(overlapping(rows.where(F.col("rows") > WHOLE), DAY))
 
 
 def keys(of_values: DataFrame, overlapping: DataFrame, sel: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Microseconds of one part of a group's times.
 DAY = 86_400_000_000
+#: Rows of one key up to which a key is summed by one task.
+WHOLE = 100_000
 
 
 def running(events: DataFrame, by: list[str], sums: list[str], span: int | None = DAY) -> DataFrame:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.timeaxis import micros
 from evidentia.operators.state import KEY, VALUE
-from evidentia.operators.sweep import running, turns
+from evidentia.operators.sweep import WHOLE, running, turns
 from evidentia.plans.lineage import cut
 
-#: Rows of changes of one key up to which a key is summed by one task.
-WHOLE = 100_000
 #: Parts that a window's times are split into for larger keys.
 PARTS = 4096
 
@@ -78,9 +76,10 @@ def transitions(cands: DataFrame, lo, hi) -> DataFrame:
     kinds = ("s", "t_time", "t_hypo", "c")
     counts = turns(rows, [*KEY, *VALUE], "low", "high", {k: (F.col("cls") == k).cast("long") for k in kinds})
     counts = cut(counts)
-    largest = counts.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    width = counts.select(F.max("t") - F.min("t")).first()[0] or 0
-    span = None if largest <= WHOLE else max(1, width // PARTS)
+    of_keys = counts.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    largest, width = of_keys.agg(F.max("n"), F.max("high") - F.min("low")).first()
+    span = None if (largest or 0) <= WHOLE else max(1, width // PARTS)
+    counts = counts.repartition(*KEY) if span is None else counts  # a key's rows are brought together once
 
     values = running(counts, [*KEY, *VALUE], list(kinds), span)
     hashed = F.xxhash64(*VALUE)

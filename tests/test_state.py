@@ -200,8 +200,10 @@ def test_random_trajectories(spark, seed, whole, monkeypatch):
                 assert bool(values) == (m[f"{side}_outcome"] is not None)
 
 
-def test_one_key_with_very_many_rows(spark):
+@pytest.mark.parametrize("whole", [100_000, 0])
+def test_one_key_with_very_many_rows(spark, whole, monkeypatch):
     """A key that holds most rows is split by time, for overlaps and for transitions, with the plain rule's results."""
+    monkeypatch.setattr(state, "WHOLE", whole)
     rows = [obs(i, "p", "xyz"[i % 3], "interval", i * 3, i * 3 + (4 if i == 77 else 3)) for i in range(400)]
     assert outcomes(spark, rows, 0, 2000) == model_window(rows, day(0), day(2000))
     rows[77] = obs(77, "p", "y", "interval", 231, 234)
