@@ -45,6 +45,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that go to a worker at once.
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lets at most BATCH_ROWS rows go to a worker at once, in this session, unless it lets fewer.
+
+    An executor holds what goes to a worker several times over (rows, Arrow buffers, a buffer for the pipe), and the
+    worker does so too, so this bounds the memory of both; batches also end at 64 MB, Spark's own bound. Results
+    don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+
+
 def spread(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """How many hash blocks the rows should form: grows with the input, at least the shuffle partitions."""
     held = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -53,6 +69,19 @@ def spread(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(int(held), math.ceil(known / bytes_each))
 
 
+#: Types of whole numbers, which pandas would turn to floating point beside a null.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def carried(df: DataFrame, name: str):
+    """(column, its type, back): how a column goes through a worker unchanged; whole numbers go as text, and `back` makes
+    them numbers again, so that no digit is lost in a batch that also holds a null."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind in WHOLE:
+        return F.col(name).cast("string"), "string", lambda c: c.cast(kind)
+    return F.col(name), kind, lambda c: c
+
+
 def id_crc(column):
     """crc32 of an id written as text, the rule by which rows are held out."""
     return F.crc32(column.cast("string").cast("binary"))

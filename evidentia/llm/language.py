@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut_lineage, id_crc, steps
+from .common import LOWER, carried, cut_lineage, id_crc, small_batches, steps
 
 #: Columns of the 1-, 2- and 3-byte grams; the last are hashed.
 SIZES = (1 << 8, 1 << 16, 1 << 17)
@@ -138,7 +138,9 @@ def languages(
     apart = held_out or (lambda c: F.coalesce(F.pmod(id_crc(c), F.lit(3)) == 1, F.lit(False)))
     kernel = learn(df, each, apart, id_col, text_col, lang_col)
     own = [F.col(row_col).alias("row")] if row_col else []
-    rows = df.select(F.col(id_col).alias("id"), *own, F.col(text_col).alias("text"))
+    small_batches(df)
+    named, _, back = carried(df, id_col)
+    rows = df.select(named.alias("id"), *own, F.col(text_col).alias("text"))
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     sent = df.sparkSession.sparkContext.broadcast(kernel)
 
@@ -161,4 +163,5 @@ def languages(
 
     out = rows.mapInPandas(run, f"{kind}, lang_pred string, score double")
     own = [F.col("row").alias(row_col)] if row_col else []
-    return out.select(F.col("id").alias(id_col), *own, apart(F.col("id")).alias("held_out"), "lang_pred", "score")
+    named = back(F.col("id"))
+    return out.select(named.alias(id_col), *own, apart(named).alias("held_out"), "lang_pred", "score")

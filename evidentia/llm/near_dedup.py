@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix, steps, word_hashes
+from .common import cut_lineage, mix, small_batches, steps, word_hashes
 from .components import components
 
 #: Symbols a chunk has; one of them may differ, so a chunk has this many keys of one symbol less.
@@ -133,7 +133,7 @@ def _sets(width: int, index: Index):
                     out.append((pdf["id"].iat[i], pdf["words"].iat[i], len(s), (a & (1 << 64) - 1).to_bytes(8, "big") + (b & (1 << 64) - 1).to_bytes(8, "big"), signature(s, index)))
                 else:
                     out.append((pdf["id"].iat[i], pdf["words"].iat[i], 0, None, None))
-            yield pd.DataFrame(out, columns=["id", "words", "n", "fp", "sig"]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "words", "n", "fp", "sig"])
 
     return run
 
@@ -233,14 +233,13 @@ def _pair_members(batches):
 def _full_sets(width: int):
     def run(batches):
         for pdf in batches:
-            cids, cut, held = pdf["cid"].to_numpy(np.int64), 0, []
+            cids, lo, held, size = pdf["cid"].to_numpy(np.int64), 0, [], 0
             for s in shingle_sets(pdf["text"], width):
                 held.append(s.view(np.int64))
-                if sum(map(len, held[-64:])) > SENT or len(held) % 64 == 0:
-                    yield pd.DataFrame({"cid": cids[cut : cut + len(held)], "full": held})
-                    cut, held = cut + len(held), []
-            if held:
-                yield pd.DataFrame({"cid": cids[cut:], "full": held})
+                size += len(s)
+                if size > SENT or lo + len(held) == len(cids):
+                    yield pd.DataFrame({"cid": cids[lo : lo + len(held)], "full": held})
+                    lo, held, size = lo + len(held), [], 0
 
     return run
 
@@ -338,9 +337,11 @@ def near_duplicates(
        under one key, and are confirmed on full sets. A crowd of alike texts has many such pairs: there each
        two blocks of the crowd meet in one task, with each set once.
     """
+    small_batches(df)
     index = Index.plan(*similar, miss=miss)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("words", F.xxhash64("text"))
-    docs = cut_lineage(texts.mapInPandas(_sets(width, index), "id long, words long, n long, fp binary, sig binary"))
+    docs = texts.withColumn("id", F.col("id").cast("string")).mapInPandas(_sets(width, index), "id string, words long, n long, fp binary, sig binary")
+    docs = cut_lineage(docs.withColumn("id", F.col("id").cast("long")))
     named = docs.where("fp is not null and id is not null")
     # a class has a number of its own, kept by the checkpoint: ids may repeat
     classes = named.groupBy("fp").agg(F.min("id").alias("first"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Seen, merger, ragged
-from .common import cut_lineage
+from .common import carried, cut_lineage, small_batches
 from .token_count import text_steps
 
 #: The word vocabulary's pre-token pattern (fixed), and the line feed that here parts words.
@@ -254,8 +254,10 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = L
     over as many buckets as there are shuffle partitions.
     """
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    run, schema = _pieces(tokenizer_path, end_id, limits.tokens, rows.schema["id"].dataType.simpleString())
+    small_batches(df)
+    own, kind, back = carried(df, id_col)
+    rows = df.select(own.alias("id"), F.col(text_col).alias("text"))
+    run, schema = _pieces(tokenizer_path, end_id, limits.tokens, kind)
     pieces = cut_lineage(rows.mapInPandas(run, schema).withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int")))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     plan = best_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limits)
@@ -263,7 +265,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = L
     starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece")) - 1)
     ranked = ranked.join(starts, ["length", "bucket"]).select(
-        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("from") + F.col("rank")).alias("rank")
+        "id", "piece", "start", "length", "ids_crc32", (F.col("from") + F.col("rank")).alias("rank")
     )
-    kind = rows.schema["id"].dataType.simpleString()
-    return ranked.mapInPandas(_placed(plan), f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.mapInPandas(_placed(plan), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.select(back(F.col("id")).alias(id_col), *out.columns[1:])

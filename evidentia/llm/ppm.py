@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, mix, spread, steps, word_hashes
+from .common import LOWER, carried, id_crc, mix, small_batches, spread, steps, word_hashes
 
 #: Longest context in bytes. A path of the trie, context and symbol, is ORDER + 1 bytes of one integer.
 ORDER = 5
@@ -240,11 +240,13 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     held_out: a column function of the id, by default crc32(id as text) mod 7 = 2.
     """
     apart = held_out or (lambda c: F.coalesce(F.pmod(id_crc(c), F.lit(7)) == 2, F.lit(False)))
+    small_batches(df)
+    _, kind, back = carried(df, id_col)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
     blocks = spread(df)
     parts = Parts.of(blocks)
     rows = rows.withColumn("held_out", apart(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("id", F.col("id").cast(kind))
 
     counted = rows.where("not held_out").select("text").mapInPandas(_training, "kind int, key long, n long")
     counted = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -309,5 +311,5 @@ def ppm_scores(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
     )
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n_train + n_kinds + 1)))
     return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+        back(F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut_lineage, id_crc, steps, word_hashes
+from .common import LOWER, carried, cut_lineage, id_crc, small_batches, steps, word_hashes
 
 #: Classes of bytes whose shares are features; bytes from 80 on are one class.
 _CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "mark", "sign", "control", "high")
@@ -200,7 +200,9 @@ def quality_scores(
     """
     apart = held_out or (lambda c: F.coalesce(F.pmod(id_crc(c), F.lit(4)) == 2, F.lit(False)))
     own = [F.col(row_col).alias("row")] if row_col else []
-    rows = df.select(F.col(id_col).alias("id"), *own, F.col(text_col).alias("text"))
+    small_batches(df)
+    named, _, back = carried(df, id_col)
+    rows = df.select(named.alias("id"), *own, F.col(text_col).alias("text"))
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     held = cut_lineage(rows.mapInPandas(_featured, f"{kind}, x array<double>"))
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
@@ -208,7 +210,7 @@ def quality_scores(
     # only ids with hashes low enough to be among the least `sample` go on, so that no task sends more than its share
     spot, n = F.xxhash64("id"), marked.count()
     share = min(1.0, (1.2 * sample + 1000) / max(n, 1))
-    known = marked.where(spot <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)).join(held, "id")
+    known = marked.where(spot <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)).join(held.withColumn("id", back(F.col("id"))), "id")
     known = known.orderBy(spot, "id", "y").limit(sample).select("x", "y").toPandas()
     model = fit(np.array(known["x"].tolist(), float).reshape(-1, len(FEATURES)), known["y"].to_numpy(float))
 
@@ -219,4 +221,5 @@ def quality_scores(
 
     out = held.mapInPandas(scored, f"{kind}, score double")
     own = [F.col("row").alias(row_col)] if row_col else []
-    return out.select(F.col("id").alias(id_col), *own, apart(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    named = back(F.col("id"))
+    return out.select(named.alias(id_col), *own, apart(named).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Seen, ragged
-from .common import mix
+from .common import carried, mix, small_batches
 from .token_count import text_steps
 
 #: Distinct units, and bytes of them, that a worker remembers before it starts anew.
@@ -361,8 +361,9 @@ def sample_pieces(df: DataFrame, model_path: str, theta: float = 1.0, seed: int
     without spaces longer than that takes some 60 bytes of memory for each of its own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    small_batches(df)
+    own, kind, back = carried(df, id_col)
+    rows = df.select(own.alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
 
     def run(batches):
         s = sampler(model_path, theta)
@@ -378,7 +379,8 @@ def sample_pieces(df: DataFrame, model_path: str, theta: float = 1.0, seed: int
                 yield out.assign(decoded=[s.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in out["ids"]]) if decode else out
 
     schema = f"id {kind}, n_bytes long, n_pieces long, ids binary" + ", decoded binary" * decode
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(run, schema)
+    return out.select(back(F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, small_batches
+
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: Tag numbers of the format (fixed).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -367,7 +369,9 @@ def payload_tiff(text: str | None) -> bytes:
 
 def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, media (the text's payload as a TIFF); null counts as empty text."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    small_batches(df)
+    own, kind, back = carried(df, id_col)
+    rows = df.select(own.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         for pdf in batches:
@@ -375,8 +379,8 @@ def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = pdf.iloc[lo:hi]
                 yield pd.DataFrame({"id": part["id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in part["text"]], "media": [payload_tiff(t) for t in part["text"]]})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(run, f"id {kind}, n_bytes long, media binary")
+    return out.select(back(F.col("id")).alias(id_col), "n_bytes", "media")
 
 
 def _runs(column, limit: int = TOGETHER):
@@ -435,8 +439,11 @@ def tiff_files(df: DataFrame, media_col: str = "media", largest: int = LARGEST,
                     yield out.assign(payload=[b"".join(m[2]) for m in made]) if joined else out
                     lo, size, made = i + 1, 0, []
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{own}, pages array<struct<{_PAGE.replace(' ', ': ').replace(',:', ',')}>>, error string" + ", payload binary" * joined)
+    small_batches(df)
+    ways = {c: carried(df, c) for c in df.columns}
+    own = ", ".join(f"`{c}` {kind}" for c, (_, kind, _) in ways.items())
+    out = df.select(*(column.alias(c) for c, (column, _, _) in ways.items())).mapInPandas(run, f"{own}, pages array<struct<{_PAGE.replace(' ', ': ').replace(',:', ',')}>>, error string" + ", payload binary" * joined)
+    return out.select(*(back(F.col(c)).alias(c) for c, (_, _, back) in ways.items()), *out.columns[len(ways) :])
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media", largest: int = LARGEST) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Seen, merger
+from .common import carried, small_batches
 
 #: Unicode white space, as the pre-tokeniser sees it (the control characters 1C-1F are none).
 _W = "\t-\r \x85\xa0  -     　"
@@ -115,6 +116,8 @@ def token_counts(
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": np.concatenate([*counts, np.empty(0, np.int64)])})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    out = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    small_batches(df)
+    own, kind, back = carried(df, id_col)
+    rows = df.select(own.alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    out = rows.mapInPandas(run, f"id {kind}, n_bytes long, n_tokens long")
+    return out.select(back(F.col("id")).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -67,6 +67,14 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](odd(spark, [])).collect() == []
 
 
+def test_large_ids_beside_null_ids(spark):
+    """Ids that floating point can't hold, in one batch with a null id, come back as they are."""
+    big = 2**60 + 1
+    df = odd(spark, [(big, "the cat sat", "en", "s"), (None, "the cat sat", "en", "s"), (big + 2, "le chat", "fr", "s")]).coalesce(1)
+    for name, operator in OPERATORS.items():
+        assert Counter(r["doc_id"] for r in operator(df).collect()) == Counter([big, None, big + 2]), name
+
+
 def test_values_of_odd_rows(spark):
     """What null, empty, blank and repeated rows give, operator by operator."""
     by = lambda name: {r["doc_id"]: r for r in OPERATORS[name](odd(spark)).collect()}
