@@ -27,6 +27,8 @@ from evidentia.llm.quality import quality_scores
 QUALITY = 0.7
 #: Documents of whose distinct grams a smaller share stands in the texts that the kernel learnt from go.
 KNOWN = 0.5
+#: Numbers of rows (8 bytes each) that are sent to all executors at most.
+SENT = 1 << 20
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -47,9 +49,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """The numbered rows, with their own columns, but for those in gone.
 
-    Few documents go, so their numbers are mostly small enough for Spark to broadcast, and texts stay in place.
+    The numbers that go are counted first: few are sent to all executors, so that texts stay in place; of more,
+    both sides are dealt by number.
     """
-    return rows.join(gone.select("_row"), "_row", "left_anti").drop("_row")
+    gone = cut_lineage(gone.select("_row"))
+    few = gone.count() <= SENT
+    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row")
 
 
 def _copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
