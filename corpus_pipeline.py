@@ -37,6 +37,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
     Ids may be null or repeat, so a row's verdict is held by this number. In files a row is known by its file
     and its place there; the rows of any other table are numbered once and checkpointed.
     """
+    # shuffle files of the stage before go when the driver collects what refers to them; else they wait on disk
+    docs.sparkSession.sparkContext._jvm.System.gc()
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
     file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
