@@ -343,9 +343,12 @@ def near_duplicates(
     docs = texts.withColumn("id", F.col("id").cast("string")).mapInPandas(_sets(width, index), "id string, words long, n long, fp binary, sig binary")
     docs = cut_lineage(docs.withColumn("id", F.col("id").cast("long")))
     named = docs.where("fp is not null and id is not null")
-    # a class has a number of its own, kept by the checkpoint: ids may repeat
-    classes = named.groupBy("fp").agg(F.min("id").alias("first"))
-    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
+    # a class is known by its smallest id, so that the first of a crowd leads its keys; where one id is the smallest of
+    # several classes (ids may repeat) by a hash of its set
+    classes = cut_lineage(named.groupBy("fp").agg(F.min("id").alias("first")))
+    alike = classes.groupBy("first").agg(F.count("*").alias("classes"))
+    number = F.when(F.col("classes") == 1, F.col("first")).otherwise(F.xxhash64("fp"))
+    classes = cut_lineage(classes.join(alike, "first").select("fp", "first", number.alias("cid")))
     reps = named.join(classes.select("fp", F.col("first").alias("id"), "cid"), ["fp", "id"]).select("cid", "id", "words", "n", "sig")
     reps = cut_lineage(reps.dropDuplicates(["cid"]))
 
