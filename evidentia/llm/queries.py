@@ -95,8 +95,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .funnel import Funnel, funnel_counts
+
+    funnels = [
+        Funnel("A", ("view", "click", "view", "purchase"), "error"), Funnel("B", ("signup", "view", "click", "purchase"), "error"),
+        Funnel("C", ("click", "click", "purchase", "view"), "signup"),
+    ]
+    return funnel_counts(table(spark, sf_dir, "clicks"), funnels, within=15 * 60 * 1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_pages, op2_token_counts, op3_ppm_scores, op4_exact_dedup, op5_hilbert_shards, op6_quality, op7_sampled_pieces, op8_best_fit_packing, op9_language_id, op10_near_dedup, op11_fill_in_middle)
+    f.__name__: f for f in (op1_tiff_pages, op2_token_counts, op3_ppm_scores, op4_exact_dedup, op5_hilbert_shards, op6_quality, op7_sampled_pieces, op8_best_fit_packing, op9_language_id, op10_near_dedup, op11_fill_in_middle, op12_ordered_funnels)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,4 +126,22 @@ p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b],
 o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM p)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
   sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o""",
+    "op12_ordered_funnels": r"""
+WITH r AS (SELECT DISTINCT client_id, kind, epoch_us(ts) AS tm FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+f(funnel, k1, k2, k3, k4, ex) AS (VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')),
+s1 AS (SELECT funnel, client_id, tm AS a1, k2, k3, k4, ex FROM r JOIN f ON kind = k1),
+x2 AS (SELECT s.*, n.tm AS b FROM s1 s ASOF LEFT JOIN r n ON s.client_id = n.client_id AND s.k2 = n.kind AND s.a1 < n.tm),
+y2 AS (SELECT s.*, e.tm AS e FROM x2 s ASOF LEFT JOIN r e ON s.client_id = e.client_id AND s.ex = e.kind AND s.a1 < e.tm),
+s2 AS (SELECT * EXCLUDE (b, e), CASE WHEN b - a1 <= 900000000 AND (e IS NULL OR e > b) THEN b END AS a2 FROM y2),
+x3 AS (SELECT s.*, n.tm AS b FROM s2 s ASOF LEFT JOIN r n ON s.client_id = n.client_id AND s.k3 = n.kind AND s.a2 < n.tm),
+y3 AS (SELECT s.*, e.tm AS e FROM x3 s ASOF LEFT JOIN r e ON s.client_id = e.client_id AND s.ex = e.kind AND s.a2 < e.tm),
+s3 AS (SELECT * EXCLUDE (b, e), CASE WHEN b - a2 <= 900000000 AND (e IS NULL OR e > b) THEN b END AS a3 FROM y3),
+x4 AS (SELECT s.*, n.tm AS b FROM s3 s ASOF LEFT JOIN r n ON s.client_id = n.client_id AND s.k4 = n.kind AND s.a3 < n.tm),
+y4 AS (SELECT s.*, e.tm AS e FROM x4 s ASOF LEFT JOIN r e ON s.client_id = e.client_id AND s.ex = e.kind AND s.a3 < e.tm),
+s4 AS (SELECT * EXCLUDE (b, e), CASE WHEN b - a3 <= 900000000 AND (e IS NULL OR e > b) THEN b END AS a4 FROM y4),
+g AS (SELECT funnel, client_id, count(*) AS n1, count(a2) AS n2, count(a3) AS n3, count(a4) AS n4,
+  CAST(1 + max(CASE WHEN a4 IS NOT NULL THEN 3 WHEN a3 IS NOT NULL THEN 2 WHEN a2 IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS deepest,
+  list_sort(list(a2 - a1) FILTER (a2 IS NOT NULL)) AS l2, list_sort(list(a3 - a2) FILTER (a3 IS NOT NULL)) AS l3, list_sort(list(a4 - a3) FILTER (a4 IS NOT NULL)) AS l4
+  FROM s4 GROUP BY funnel, client_id)
+SELECT funnel, client_id, n1, n2, n3, n4, deepest, l2[(n2 + 1) // 2] AS t2, l3[(n3 + 1) // 2] AS t3, l4[(n4 + 1) // 2] AS t4, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM g""",
 }
