@@ -117,23 +117,31 @@ _TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LONG_WORD = 4096
 
 
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts (A-Z lower-cased), and each text's number of words.
+def word_spans(raws: list[bytes], apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes with A-Z lower-cased (and eight more), each word's place and length there, each text's number of words.
 
-    A word's hash runs over its blocks of eight bytes, mixing after each, and starts from its length: words of
-    one block and one length differ for certain, others agree by chance only (2^-64), whatever pattern their
-    bytes have. All words take a step at once, so no Python object is made per word; words longer than
-    LONG_WORD have a BLAKE2 digest instead.
+    apart: which bytes are no part of a word; the space is one of them.
     """
     joined = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     n = len(joined)
-    blank = IS_SPACE[joined]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], apart[joined])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    size = end - start
     low = np.zeros(n + 8, np.uint8)
     low[:n] = LOWER[joined]
-    eights = np.ndarray((n,), "<u8", low, 0, (1,))  # the eight bytes from each place on
+    lengths = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
+    until = np.searchsorted(start, np.cumsum(lengths), "left")
+    return low, start, end - start, np.diff(np.concatenate(([0], until)))
+
+
+def span_hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words given by their places.
+
+    A word's hash runs over its blocks of eight bytes, mixing after each, and starts from its length: words of
+    one block and one length differ for certain, others agree by chance only (2^-64), whatever pattern their
+    bytes have. All words take a step at once, so no Python object is made per word; words longer than
+    LONG_WORD have a BLAKE2 digest instead.
+    """
+    eights = np.ndarray((len(low) - 8,), "<u8", low, 0, (1,))  # the eight bytes from each place on
     h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     long = np.flatnonzero(size > LONG_WORD)
     at, block = (np.flatnonzero(size <= LONG_WORD) if len(long) else np.arange(len(size))), 0
@@ -143,7 +151,11 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = at[left > 8]
         block += 8
     for i in long.tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-    lengths = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
-    until = np.searchsorted(start, np.cumsum(lengths), "left")
-    return h, np.diff(np.concatenate(([0], until)))
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (A-Z lower-cased), and each text's number of words."""
+    low, start, size, counts = word_spans(raws)
+    return span_hashes(low, start, size), counts

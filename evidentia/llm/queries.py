@@ -105,8 +105,18 @@ def op12_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel_counts(table(spark, sf_dir, "clicks"), funnels, within=15 * 60 * 1_000_000)
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_pages, op2_token_counts, op3_ppm_scores, op4_exact_dedup, op5_hilbert_shards, op6_quality, op7_sampled_pieces, op8_best_fit_packing, op9_language_id, op10_near_dedup, op11_fill_in_middle, op12_ordered_funnels)
+    f.__name__: f for f in (op1_tiff_pages, op2_token_counts, op3_ppm_scores, op4_exact_dedup, op5_hilbert_shards, op6_quality, op7_sampled_pieces, op8_best_fit_packing, op9_language_id, op10_near_dedup, op11_fill_in_middle, op12_ordered_funnels, op13_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -144,4 +154,15 @@ g AS (SELECT funnel, client_id, count(*) AS n1, count(a2) AS n2, count(a3) AS n3
   list_sort(list(a2 - a1) FILTER (a2 IS NOT NULL)) AS l2, list_sort(list(a3 - a2) FILTER (a3 IS NOT NULL)) AS l3, list_sort(list(a4 - a3) FILTER (a4 IS NOT NULL)) AS l4
   FROM s4 GROUP BY funnel, client_id)
 SELECT funnel, client_id, n1, n2, n3, n4, deepest, l2[(n2 + 1) // 2] AS t2, l3[(n3 + 1) // 2] AS t3, l4[(n4 + 1) // 2] AS t4, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM g""",
+    "op13_decontaminate": r"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, row_number() OVER () AS r FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win FROM i, LATERAL (SELECT unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS k) WHERE len(w) > 0),
+dw AS (SELECT r, m, k, array_to_string(w[k:k + m - 1], ' ') AS win FROM d, (SELECT DISTINCT m FROM iw), LATERAL (SELECT unnest(generate_series(1, len(w) - m + 1)) AS k)),
+hit AS (SELECT r, k, dw.m AS m, item FROM dw JOIN iw ON dw.win = iw.win AND dw.m = iw.m),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, LATERAL (SELECT unnest(generate_series(k, k + m - 1)) AS p) GROUP BY r),
+x AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN x USING (r)""",
 }
