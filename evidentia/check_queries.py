@@ -13,6 +13,7 @@ from evidentia.functions import text as tx
 from evidentia.functions import timeaxis as ta
 from evidentia.operators import authority, checks, citations, directory, records, review, state
 from evidentia.queries import _TREND, _W1, A, B, B2, C, K, _cands_sql, _state_sql, _ts, cands, ntz, query
+from evidentia.record_queries import batch_of, batch_sql
 from evidentia.schema import TAB_ROLES
 
 
@@ -248,15 +249,11 @@ def automatic_accepts(p):
     return review.automatic_accepts(c.select(pid), one.unionByName(more), grounded).select("proposal_id", "entity_id")
 
 
-@query(
-    "SELECT id, CASE WHEN id LIKE '%:0' THEN 'replay' WHEN EXISTS (SELECT 1 FROM fx_admissions s WHERE s.supersedes_id = regexp_replace(x.id, ':9$', ':0')) THEN 'stale' ELSE 'append' END AS verdict FROM (SELECT id FROM fx_admissions WHERE target_kind = 'observation' AND id LIKE '%:0' UNION ALL SELECT regexp_replace(id, ':0$', ':9') FROM fx_admissions WHERE target_kind = 'observation' AND id LIKE '%:0') x",
-    "fx_admissions",
-)
+@query(batch_sql("fx_admissions", "target_id", " AND x.target_kind = 'observation'").replace("s.target_id = x.target_id", "s.target_id = x.target_id AND s.target_kind = 'observation'"), "fx_admissions")
 def admission_append_rules(p):
-    rows = p["fx_admissions"].where("target_kind = 'observation'")
-    roots = rows.where("id LIKE '%:0'")
-    next_ = roots.withColumn("supersedes_id", F.col("id")).withColumn("id", F.regexp_replace("id", ":0$", ":9"))
-    return authority.appendable(rows, roots.unionByName(next_), "target_id").select("id", "verdict")
+    """Admission decisions judged against the stored ones and each other."""
+    rows = p["fx_admissions"]
+    return authority.appendable(rows, batch_of(rows.where("target_kind = 'observation' AND id LIKE '%:0'"), "target_id"), ["target_kind", "target_id"]).select("id", "verdict")
 
 
 _CMD = "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' WHEN 2 THEN 'create' ELSE 'correct-accept' END AS action FROM customer"
@@ -367,9 +364,11 @@ def directory_questions(p):
 
 @query(
     "SELECT 'c' || c_custkey AS command_id, CASE WHEN c_custkey % 5 = 0 THEN 'not-staged' WHEN c_custkey % 5 = 1 THEN 'unknown-entity' WHEN c_custkey % 5 = 2 THEN 'owned' WHEN c_custkey % 5 = 3 THEN 'decided' ELSE 'ok' END AS verdict FROM customer"
+    " UNION ALL SELECT x || c_custkey, v FROM customer, (VALUES ('x', 'owned'), ('y', 'decided'), ('z', 'ok')) r(x, v) WHERE c_custkey % 5 = 4"
 )
 def staged_candidates(p):
-    """Reviewers' acceptances of staged directory candidates; four in five meet an obstacle."""
+    """Reviewers' acceptances of staged directory candidates; four in five meet an obstacle, the fifth has rivals: another
+    entity for its subject, its own proposal once more, and another proposal for the same entity."""
     c = p["customer"]
     k, null = F.col("c_custkey"), F.lit(None).cast("string")
     key = F.col("c_custkey").cast("string")
@@ -380,6 +379,13 @@ def staged_candidates(p):
     decisions = decisions.unionByName(c.where("c_custkey % 5 = 3").select(F.concat(F.lit("r"), key).alias("id"), F.concat(F.lit("p"), key).alias("proposal_id"), F.lit("rejected").alias("outcome"), null.alias("entity_id"), ntz(A).alias("recorded_at"), null.alias("supersedes_id")))
     entities = c.where(k % 5 != 1).select(F.concat(F.lit("e"), key).alias("id"))
     commands = c.select(F.concat(F.lit("c"), key).alias("command_id"), F.concat(F.lit("p"), key).alias("proposal_id"), *own, ntz(B).alias("recorded_at"))
+    free = c.where("c_custkey % 5 = 4")
+    for name, proposal, entity in (("x", "px", "else"), ("y", "p", None), ("z", "pz", None)):
+        who = [*own[:2], F.lit(entity).alias("entity_id") if entity else own[2]]
+        pid = F.concat(F.lit(proposal), key).alias("proposal_id")
+        commands = commands.unionByName(free.select(F.concat(F.lit(name), key).alias("command_id"), pid, *who, ntz(B).alias("recorded_at")))
+        staged = staged.unionByName(free.select(*who, null.alias("decision_id"), pid))
+    entities = entities.unionByName(p.spark.range(1).select(F.lit("else").alias("id")))
     return directory.accept_candidates(commands, staged.unionByName(owned), decisions, entities).select("command_id", "verdict")
 
 

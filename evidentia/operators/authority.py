@@ -66,20 +66,56 @@ def chain_violations(decisions: DataFrame, same: str, cutoff=None) -> DataFrame:
     )
 
 
-def appendable(decisions: DataFrame, new: DataFrame, same: str) -> DataFrame:
-    """New decisions with a verdict: `replay` (an equal row exists), `append`, `conflict` (the id exists with other
-    content), `stale` (it does not supersede the effective decision), or `decided` (a root where one exists)."""
+def appendable(decisions: DataFrame, new: DataFrame, same: str | list[str]) -> DataFrame:
+    """New decisions with a verdict, judged against the stored ones and against each other.
+
+    `append`: it is the first decision of its target, or it supersedes the last one that stands, stored or of this
+    batch. `replay`: an equal row is stored or comes before it. `conflict`: its id has other content, stored or before
+    it. `decided`: a root where the target has one. `stale`: it supersedes what is not the last decision of its target,
+    or one that was recorded after it. `unauthorised`: a correction that no reviewer makes (where new has `authority`).
+    `no-id`: without an id. same: the column or columns that name the target.
+
+    Of rivals for one place the first by (recorded_at, id) wins, so what is appended never forks: each place has one
+    first heir, and heirs are followed from the stored last decision by pointer doubling (chains()), whatever the
+    batch's order or the length of its chains. Rivals of a place are found by a minimum that is combined before its
+    shuffle. Of rows with one id the first by (recorded_at, content) is judged for all: equal ones are its replays (or
+    share its refusal), others conflicts.
+    """
+    same = [same] if isinstance(same, str) else list(same)
     cols = [c for c in new.columns if c != "id"]
     row = lambda p: F.struct(*(F.col(f"{p}{c}") for c in cols))
+    rows = new.withColumn("_body", F.sha2(F.to_json(row(""), {"ignoreNullFields": "false"}), 256))
+    first = rows.groupBy("id").agg(F.min(F.struct("recorded_at", "_body")).alias("_first"))
+    rows = rows.join(first, "id", "left").withColumn("_n", F.row_number().over(Window.partitionBy("id", "_body").orderBy(F.lit(0))))
+    rows = rows.withColumn("_head", F.col("id").isNotNull() & (F.col("_n") == 1) & F.coalesce(F.col("_body") == F.col("_first._body"), F.lit(False)))
     old = decisions.select(F.col("id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in cols))
-    tails = effective(decisions).select(F.col("id").alias("t_id"), F.col(same).alias("t_same"))
-    out = new.join(old, F.col("id") == F.col("o_id"), "left").join(tails, F.col(same) == F.col("t_same"), "left")
+    tails = effective(decisions).select(F.col("id").alias("t_id"), F.col("recorded_at").alias("t_at"), *(F.col(c).alias(f"t_{c}") for c in same))
+    rows = rows.join(old, F.col("id") == F.col("o_id"), "left").join(tails, [F.col(c) == F.col(f"t_{c}") for c in same], "left")
+    barred = F.lit(False) if "authority" not in new.columns else F.col("supersedes_id").isNotNull() & ~F.coalesce(F.col("authority") == "reviewer", F.lit(False))
+    rows = cut(rows.withColumn("_barred", barred))
+
+    heads = rows.where(F.col("_head") & F.col("o_id").isNull() & ~F.col("_barred"))
+    before = heads.select(F.col("id").alias("supersedes_id"), F.col("recorded_at").alias("_at"), *(F.col(c).alias(f"_{c}") for c in same))
+    of_batch = heads.where(F.col("supersedes_id").isNotNull()).join(before, "supersedes_id")
+    for c in same:
+        of_batch = of_batch.where(F.col(c).eqNullSafe(F.col(f"_{c}")))
+    place = [*same, "up", "supersedes_id"]
+    of_batch = of_batch.where(F.col("_at") <= F.col("recorded_at")).select("id", "recorded_at", *same, F.col("supersedes_id").alias("up"), "supersedes_id")
+    root = F.col("supersedes_id").isNull() & F.col("t_id").isNull()
+    next_ = (F.col("supersedes_id") == F.col("t_id")) & (F.col("t_at") <= F.col("recorded_at"))
+    of_stored = heads.where(F.coalesce(root | next_, F.lit(False))).select("id", "recorded_at", *same, F.lit(None).cast("string").alias("up"), "supersedes_id")
+    heirs = of_batch.unionByName(of_stored)
+    firsts = heirs.groupBy(*place).agg(F.min(F.struct("recorded_at", "id")).alias("_f")).select(F.col("_f.id").alias("id"), F.col("up").alias("supersedes_id"))
+    won = chains(cut(firsts)).select("id", F.lit(True).alias("_won"))
+
+    judged = rows.join(won, "id", "left")
+    refused = F.when(F.col("_barred"), "unauthorised").when(F.col("supersedes_id").isNull(), "decided").otherwise("stale")
     verdict = (
-        F.when(F.col("o_id").isNotNull(), F.when(row("").eqNullSafe(row("o_")), "replay").otherwise("conflict"))
-        .when(F.col("supersedes_id").isNull(), F.when(F.col("t_id").isNull(), "append").otherwise("decided"))
-        .when(F.col("supersedes_id") == F.col("t_id"), "append").otherwise("stale")
+        F.when(F.col("id").isNull(), "no-id")
+        .when(F.col("o_id").isNotNull(), F.when(row("").eqNullSafe(row("o_")), "replay").otherwise("conflict"))
+        .when(F.col("_body") != F.col("_first._body"), "conflict").when(F.col("_won"), F.when(F.col("_head"), "append").otherwise("replay")).otherwise(refused)
     )
-    return out.select(*new.columns, verdict.alias("verdict"))
+    return judged.select(*new.columns, verdict.alias("verdict"))
 
 
 def admitted(admissions: DataFrame, kind: str, cutoff=None) -> DataFrame:

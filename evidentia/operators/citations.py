@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from evidentia.functions.evidence import span_fault
 from evidentia.functions.order import CITATION
 from evidentia.operators.authority import known_by
+from evidentia.operators.documents import version_faults
+from evidentia.operators.seals import own_faults
+from evidentia.plans.lineage import cut
 
 
 def cited_sections(spans: DataFrame, sections: DataFrame) -> DataFrame:
@@ -37,6 +40,22 @@ def span_faults(spans: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.select("evidence_id", F.when(F.col("content").isNull(), "no-section").otherwise(wrong).alias("fault")).where("fault is not null")
 
 
+def proof_faults(links: DataFrame, spans: DataFrame, versions: DataFrame, sections: DataFrame) -> DataFrame:
+    """(id, fault) of what the links cite and that does not hold down to its bytes.
+
+    A span must quote its section, a section give the leaf that is stored for it, and a version's digest follow from
+    its columns and all its leaves. Only the cited sections' contents are read; of a version's other sections their
+    leaves, 64 characters each. sections: with `leaf`.
+    """
+    own = cut(spans.join(links.select("evidence_id").distinct(), "evidence_id", "left_semi"))
+    cited = cut(sections.join(own.select("version_id", "section_id").distinct(), ["version_id", "section_id"], "left_semi"))
+    ids = own.select("version_id").distinct()
+    leaves = sections.select("version_id", "section_order", "leaf").join(ids, "version_id", "left_semi")
+    out = span_faults(own, cited).select(F.col("evidence_id").alias("id"), "fault")
+    out = out.unionByName(own_faults(cited, "sections", ["version_id", "section_id"]).select(F.concat_ws("/", "version_id", "section_id").alias("id"), "fault"))
+    return out.unionByName(version_faults(versions.join(ids, "version_id", "left_semi"), leaves).select(F.col("version_id").alias("id"), "fault"))
+
+
 def link_faults(links: DataFrame, cited: DataFrame) -> DataFrame:
     """(obs_id, evidence_id, role, fault): links without a citation, citations without a link, and evidence that is told
     in two ways. Both sides must match one to one."""

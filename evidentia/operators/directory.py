@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.evidence import opaque_id
 from evidentia.operators.authority import effective
 from evidentia.operators.review import owner_choice
+from evidentia.plans.lineage import cut
 
 #: What a lookup can come to (fixed values); the last two may be tried again.
 OUTCOMES = (
@@ -25,7 +26,7 @@ RETRYABLE = ("rate_limited", "unavailable")
 #: Where a profile comes from; only the first binds a person to an address of the domain.
 SOURCES = ("domain_profile", "domain_contact")
 #: Reasons of candidates and decisions.
-EXACT, BY_EMAIL, BY_NAME = "unique-exact-work-email", "directory-email-review", "directory-name-review"
+EXACT, BY_EMAIL, BY_NAME, BY_REVIEW = "unique-exact-work-email", "directory-email-review", "directory-name-review", "directory-candidate-accepted"
 
 PROFILES = "array<struct<provider:string,subject_id:string,source:string,display_name:string,emails:array<string>>>"
 
@@ -209,11 +210,12 @@ def enrich(work: DataFrame, answer: Callable[[DataFrame], DataFrame], state: dic
     """(verdicts, writes) of all mentions that may be asked about.
 
     work: mentions as in questions(); answer: searched() or found() with their directory bound; state: aliases,
-    decisions (with authority) and directory_links as stored.
+    decisions (with authority) and directory_links as stored. The answers are cut before anything is made of them, so
+    a question is put to the directory once, however many of the frames are written, and all tell of one answer.
     """
     owners, links = email_owners(state["aliases"], state["decisions"]), provider_owners(state["directory_links"], state["decisions"])
-    verdicts = evaluated(answer(questions(work, domains)), owners, links, domains)
-    rows = judged(verdicts, state["decisions"], owners, links, state["directory_links"])
+    verdicts = evaluated(cut(answer(questions(work, domains))), owners, links, domains)
+    rows = cut(judged(verdicts, state["decisions"], owners, links, state["directory_links"]))
     return rows, writes(rows, at)
 
 
@@ -221,19 +223,51 @@ def accept_candidates(commands: DataFrame, stored_links: DataFrame, decisions: D
     """A reviewer's acceptance of staged candidates, with `verdict`: ok, not-staged, unknown-entity, owned (another entity
     has the provider's subject), or decided.
 
-    commands: (command_id, proposal_id, provider, subject_id, entity_id, recorded_at). ok rows write the decision and
-    the link that carry_over() and the store's append take.
+    commands: (command_id, proposal_id, provider, subject_id, entity_id, recorded_at), judged as if they came one by
+    one in order of (recorded_at, command_id): the first for a proposal decides it, the first that is ok for a subject
+    gives it to its entity, and what is refused takes nothing from those after it. ok rows write the decision and the
+    link that carry_over() and the store's append take; equal commands are one.
+
+    Rounds: a command is ok once no open one comes before it for its proposal, and its subject is its entity's or no
+    open one comes before it there; then its rivals are refused. Each round settles at least the first open command of
+    every group that is free of others, so rounds follow the longest chain of commands that hang on each other, not
+    their number.
     """
-    key = ["proposal_id", "provider", "subject_id", "entity_id"]
+    key, who = ["proposal_id", "provider", "subject_id", "entity_id"], ["provider", "subject_id"]
     staged = stored_links.where("decision_id is null").select(*key).distinct().withColumn("_staged", F.lit(True))
-    owners = provider_owners(stored_links, decisions).select("provider", "subject_id", F.col("entity_id").alias("_owner"))
-    owners = owners.groupBy("provider", "subject_id").agg(F.min("_owner").alias("_low"), F.max("_owner").alias("_high"))
+    owners = provider_owners(stored_links, decisions).groupBy(*who).agg(F.min("entity_id").alias("_low"), F.max("entity_id").alias("_high"))
     tails = effective(decisions).select("proposal_id", F.col("id").alias("_tail"))
-    rows = commands.join(staged, key, "left").join(owners, ["provider", "subject_id"], "left").join(tails, "proposal_id", "left")
+    rows = commands.distinct().join(staged, key, "left").join(owners, who, "left").join(tails, "proposal_id", "left")
     rows = rows.join(entities.select(F.col("id").alias("entity_id"), F.lit(True).alias("_known")).distinct(), "entity_id", "left")
     other = F.coalesce((F.col("_low") != F.col("entity_id")) | (F.col("_high") != F.col("entity_id")), F.lit(False))
-    verdict = F.when(F.col("_staged").isNull(), "not-staged").when(F.col("_known").isNull(), "unknown-entity").when(other, "owned").when(F.col("_tail").isNotNull(), "decided").otherwise("ok")
-    return rows.select(*commands.columns, verdict.alias("verdict"), F.when(verdict == "ok", opaque_id(F.lit("decision"), F.col("command_id"))).alias("decision_id"))
+    verdict = F.when(F.col("_staged").isNull(), "not-staged").when(F.col("_known").isNull(), "unknown-entity").when(other, "owned").when(F.col("_tail").isNotNull(), "decided")
+    order = F.struct("recorded_at", "command_id").alias("_order")
+    judged = cut(rows.select(*commands.columns, verdict.alias("verdict"), order, F.coalesce(F.col("_low") == F.col("entity_id"), F.lit(False)).alias("_own")))
+    settled, open_ = judged.where("verdict is not null").drop("_own"), judged.where("verdict is null")
+    while not open_.isEmpty():
+        first_p = open_.groupBy("proposal_id").agg(F.min("_order").alias("_p"))
+        first_s = open_.groupBy(*who).agg(F.min("_order").alias("_s"))
+        now = open_.join(first_p, "proposal_id").join(first_s, who)
+        now = cut(now.where((F.col("_order") == F.col("_p")) & (F.col("_own") | (F.col("_order") == F.col("_s")))).drop("_p", "_s", "_own").withColumn("verdict", F.lit("ok")))
+        taken = now.groupBy(*who).agg(F.min("entity_id").alias("_taken"))
+        gone = now.select("command_id", F.lit(True).alias("_ok"))
+        left = open_.join(gone, "command_id", "left").where("_ok is null").drop("_ok").join(now.select("proposal_id", F.lit(True).alias("_done")).distinct(), "proposal_id", "left").join(taken, who, "left")
+        why = F.when(F.col("_done"), "decided").when(F.col("_taken") != F.col("entity_id"), "owned")
+        left = cut(left.withColumns({"verdict": why, "_own": F.col("_own") | F.coalesce(F.col("_taken") == F.col("entity_id"), F.lit(False))}))
+        kept = ["verdict", "_order"]
+        settled = cut(settled.unionByName(now.select(*commands.columns, *kept)).unionByName(left.where("verdict is not null").select(*commands.columns, *kept)))
+        open_ = left.where("verdict is null").select(*commands.columns, *kept, "_own")
+    return settled.select(*commands.columns, "verdict", F.when(F.col("verdict") == "ok", opaque_id(F.lit("decision"), F.col("command_id"))).alias("decision_id"))
+
+
+def accepted_writes(judged: DataFrame, proposals: DataFrame) -> dict[str, DataFrame]:
+    """What accept_candidates() writes: a reviewer's decision and its link for each command that is ok."""
+    ok = judged.where("verdict = 'ok'").join(proposals.select("proposal_id", "mention_id"), "proposal_id", "left")
+    decisions = ok.select(
+        F.col("decision_id").alias("id"), "proposal_id", "mention_id", F.lit("accepted").alias("outcome"), "entity_id", "recorded_at", F.lit(None).cast("string").alias("supersedes_id"),
+        F.lit("reviewer").alias("authority"), F.lit(BY_REVIEW).alias("reason"),
+    )
+    return {"decisions": decisions, "directory_links": ok.select("provider", "subject_id", "entity_id", "decision_id", "proposal_id", "recorded_at")}
 
 
 def carry_over(decided: DataFrame, stored_links: DataFrame) -> DataFrame:

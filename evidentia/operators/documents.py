@@ -53,9 +53,7 @@ def version_records(versions: DataFrame, sections: DataFrame) -> DataFrame:
     what the source says (sections in order, contents by their hash), neither the provider's ids nor the time of
     recording. fault: provenance, no-sections, section-ids, or NULL; a faulty version has no digest.
     """
-    path = F.concat(frame(F.size("path").cast("long"), NUMBER), F.aggregate("path", F.lit(b""), lambda a, x: F.concat(a, frame(x))))
-    entry = F.sha2(F.concat(_text("section_id"), _text("title"), _text("parent_id"), path, frame("section_order", NUMBER), _text("role"), frame(F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))), 256)
-    own = sections.select("version_id", "section_id", F.struct("section_order", entry.alias("e")).alias("s"))
+    own = sections.select("version_id", "section_id", F.struct("section_order", section_leaf().alias("e")).alias("s"))
     held = own.groupBy("version_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["e"]), "").alias("entries"), F.count("*").alias("n"),
         (F.count_distinct("section_id") + F.max(F.when(_blank(F.col("section_id")), -1).otherwise(0))).alias("ids"),
@@ -65,11 +63,32 @@ def version_records(versions: DataFrame, sections: DataFrame) -> DataFrame:
     for c in ("provider", "provider_id", "title", "locator", "provider_version"):
         lacks |= _blank(F.col(c))
     fault = F.when(lacks, "provenance").when(F.col("n").isNull(), "no-sections").when(F.col("ids") != F.col("n"), "section-ids")
-    made = digest(
+    return rows.select("version_id", F.when(fault.isNull(), _version_root()).alias("digest"), fault.alias("fault"))
+
+
+def section_leaf() -> Column:
+    """The digest of a section: its place and titles, and its content by its hash. A version's digest is over its leaves."""
+    path = F.concat(frame(F.size("path").cast("long"), NUMBER), F.aggregate("path", F.lit(b""), lambda a, x: F.concat(a, frame(x))))
+    return F.sha2(F.concat(_text("section_id"), _text("title"), _text("parent_id"), path, frame("section_order", NUMBER), _text("role"), frame(F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))), 256)
+
+
+def _version_root() -> Column:
+    """A version's digest from its own columns and (n, entries): its leaves in order, joined."""
+    return digest(
         *(_text(F.trim(c)) for c in ("title", "locator", "provider_version")), frame(micros("modified_at"), TIME),
         _maybe(F.col("source_time"), frame(micros("source_time"), TIME)), frame("n", NUMBER), frame("entries"),
     )
-    return rows.select("version_id", F.when(fault.isNull(), made).alias("digest"), fault.alias("fault"))
+
+
+def version_faults(versions: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(version_id, fault) of versions whose digest is not that of their columns and leaves: version-digest.
+
+    leaves: (version_id, section_order, leaf), of all sections of these versions: 64 characters each, whatever the
+    sections hold. So what cites one section of a version is proved by that section's content and the others' leaves.
+    """
+    held = leaves.groupBy("version_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_order", "leaf"))), lambda x: x["leaf"]), "").alias("entries"), F.count("*").alias("n"))
+    rows = versions.join(held, "version_id", "left")
+    return rows.where(~F.col("digest").eqNullSafe(_version_root())).select("version_id", F.lit("version-digest").alias("fault"))
 
 
 def revision(provider, provider_id, provider_version, observed_at) -> tuple[Column, Column]:

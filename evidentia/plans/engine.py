@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import timeaxis as ta
 from evidentia.functions.order import CITATION, key_order
-from evidentia.operators import authority, causal, checks, citations, gaps, state, trajectory
+from evidentia.operators import authority, causal, checks, citations, gaps, seals, state, trajectory
 from evidentia.plans import render
 from evidentia.plans.lineage import cut
 from evidentia.plans.request import CAUSAL, MAX_ROWS, POINT, TRAJECTORY, TREND, At, Request, ask, normalize
@@ -66,8 +66,10 @@ class Engine:
     """tables: observations, links, decisions, admissions, entities; spans, versions, sections and, if kept, sources make
     citations exact and are held against the cutoff; without them citations have ids and roles only.
 
-    verify: the chains and digests of the decisions that bear on the question, and the answer itself, are checked;
-    what contradicts itself raises Inconsistent.
+    verify: the chains of the decisions that bear on the question and the answer itself are checked; of tables with
+    digests (as a store has them) also the digests of these decisions, admissions and observations, and of every cited
+    span that it quotes its section, and that section and version are what was stored. What contradicts itself raises
+    Inconsistent.
     """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], verify: bool = True):
@@ -127,6 +129,10 @@ class Engine:
         cited = cut(self._cited(own, cutoff))
         if self.verify:
             found = [checks.qualification_faults(q, cover, requested), checks.candidate_faults(kept, rows)]
+            if "digest" in rows.columns:
+                found.append(checks._fault(seals.observation_faults(rows, links), "observation", F.col("obs_id"), F.col("fault")))
+            if "spans" in t and "leaf" in t["sections"].columns:
+                found.append(checks._fault(citations.proof_faults(own, t["spans"], t["versions"], t["sections"]), "evidence", F.col("id"), F.col("fault")))
             if "spans" in t:
                 found.append(checks.faults(*(checks._fault(f, "evidence", F.coalesce("obs_id", "evidence_id"), F.col("fault")) for f in (citations.link_faults(own, cited),))))
             checks.require(*found)

@@ -329,15 +329,36 @@ def idempotent_append(p):
     return records.append_once(new.where("o_orderkey % 2 = 0"), changed, "o_orderkey").select("o_orderkey", "verdict")
 
 
-@query(
-    """SELECT id, CASE WHEN id LIKE '%:0' THEN 'replay' WHEN id LIKE '%:9' THEN CASE WHEN EXISTS (SELECT 1 FROM fx_decisions s WHERE s.proposal_id = x.proposal_id AND s.id LIKE '%:1') THEN 'stale' ELSE 'append' END END AS verdict
-FROM (SELECT id, proposal_id FROM fx_decisions WHERE id LIKE '%:0' UNION ALL SELECT replace(id, ':0', ':9'), proposal_id FROM fx_decisions WHERE id LIKE '%:0') x""",
-    "fx_decisions",
-)
+#: A batch for each stored root: the suffix of the new id, what it supersedes, and its verdict if the root stands and if it
+#: was superseded; ids of `new:` make a chain of their own.
+_BATCH = [
+    (":0", None, "replay", "replay"), (":r", None, "decided", "decided"), (":8", ":0", "append", "stale"), (":8", ":0", "replay", "stale"), (":9", ":0", "stale", "stale"), (":a", ":8", "append", "stale"),
+    (":b", ":9", "stale", "stale"), (":c", ":a", "append", "stale"), ("new:0", None, "append", "append"), ("new:1", None, "decided", "decided"), ("new:2", "new:0", "append", "append"), ("new:3", "new:1", "stale", "stale"),
+]
+
+
+def batch_of(roots, same: str):
+    """_BATCH for each root."""
+    bare = F.regexp_replace("id", ":0$", "")
+    name = lambda x: F.lit(None).cast("string") if x is None else F.concat(bare, F.lit(x))
+    out = None
+    for suffix, up, *_ in _BATCH:
+        target = F.concat(F.lit("new:"), same) if suffix.startswith("new") else F.col(same)
+        one = roots.withColumns({"_id": name(suffix), "_up": name(up), "_same": target}).withColumns({"id": F.col("_id"), "supersedes_id": F.col("_up"), same: F.col("_same")}).drop("_id", "_up", "_same")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def batch_sql(table: str, same: str, where: str) -> str:
+    rows = ", ".join(f"('{s}', '{a}', '{b}')" for s, _, a, b in _BATCH)
+    later = f"EXISTS (SELECT 1 FROM {table} s WHERE s.{same} = x.{same} AND s.supersedes_id IS NOT NULL)"
+    return f"SELECT regexp_replace(x.id, ':0$', '') || b.suffix AS id, CASE WHEN {later} THEN b.later ELSE b.stands END AS verdict FROM {table} x CROSS JOIN (VALUES {rows}) b(suffix, stands, later) WHERE x.id LIKE '%:0'{where}"
+
+
+@query(batch_sql("fx_decisions", "proposal_id", ""), "fx_decisions")
 def decision_append_rules(p):
-    roots = p["fx_decisions"].where("id LIKE '%:0'")
-    next_ = roots.withColumn("supersedes_id", F.col("id")).withColumn("id", F.regexp_replace("id", ":0$", ":9"))
-    return authority.appendable(p["fx_decisions"], roots.unionByName(next_), "proposal_id").select("id", "verdict")
+    """Decisions judged against the stored ones and each other: rivals, chains of a batch, repeats, new targets."""
+    return authority.appendable(p["fx_decisions"], batch_of(p["fx_decisions"].where("id LIKE '%:0'"), "proposal_id"), "proposal_id").select("id", "verdict")
 
 
 @query(

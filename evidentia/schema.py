@@ -20,6 +20,7 @@ RESOLUTION_DECISION = _struct("id:s proposal_id:s mention_id:s outcome:s entity_
 #: As stored: also who decided and why.
 STORED_DECISION = T.StructType([*RESOLUTION_DECISION.fields, *_struct("authority:s reason:s").fields])
 ADMISSION_DECISION = _struct("id:s target_kind:s target_id:s outcome:s recorded_at:t supersedes_id:s")
+STORED_ADMISSION = T.StructType([*ADMISSION_DECISION.fields, *_struct("authority:s reason:s").fields])
 ENTITY = _struct("id:s kind:s display_name:s recorded_at:t")
 SPAN = _struct("evidence_id:s version_id:s section_id:s start_byte:l end_byte:l quote:s recorded_at:t")
 SECTION = _struct("version_id:s section_id:s title:s parent_id:s path:a section_order:l role:s content:s")
@@ -39,14 +40,21 @@ PROFILE = _struct("provider:s subject_id:s display_name:s emails:a observed_at:t
 LOOKUP = _struct("lookup_id:s mention_id:s email:s outcome:s attempted_at:t retry_after:t")
 DIRECTORY_LINK = _struct("provider:s subject_id:s entity_id:s decision_id:s proposal_id:s recorded_at:t")
 
+
+
+def sealed(kind: T.StructType, name: str = "digest") -> T.StructType:
+    """A layout with the digest of each row's content, made when it is stored and held against it when it is read."""
+    return T.StructType([*kind.fields, T.StructField(name, T.StringType())])
+
+
 #: Tables of a store with the columns that are each one's key.
 TABLES = {
-    "observations": (OBSERVATION, ["obs_id"]), "links": (EVIDENCE_LINK, ["obs_id", "evidence_id", "role"]), "decisions": (STORED_DECISION, ["id"]),
-    "admissions": (ADMISSION_DECISION, ["id"]), "entities": (ENTITY, ["id"]), "spans": (SPAN, ["evidence_id"]), "sections": (SECTION, ["version_id", "section_id"]),
+    "observations": (sealed(OBSERVATION), ["obs_id"]), "links": (EVIDENCE_LINK, ["obs_id", "evidence_id", "role"]), "decisions": (sealed(STORED_DECISION), ["id"]),
+    "admissions": (sealed(STORED_ADMISSION), ["id"]), "entities": (ENTITY, ["id"]), "spans": (SPAN, ["evidence_id"]), "sections": (sealed(SECTION, "leaf"), ["version_id", "section_id"]),
     "versions": (VERSION, ["version_id"]), "sources": (SOURCE, ["source_id"]), "pointers": (POINTER, ["source_id", "seq"]), "revisions": (REVISION, ["revision_id"]),
     "mentions": (MENTION, ["id"]), "proposals": (PROPOSAL, ["proposal_id"]), "proposal_evidence": (PROPOSAL_EVIDENCE, ["proposal_id", "position"]),
     "candidates": (CANDIDATE, ["proposal_id", "entity_id"]), "aliases": (ALIAS, ["decision_id", "kind", "value"]), "runs": (RUN, ["run_id"]),
-    "profiles": (PROFILE, ["provider", "subject_id", "observed_at"]), "lookups": (LOOKUP, ["lookup_id"]), "directory_links": (DIRECTORY_LINK, ["provider", "subject_id", "entity_id", "proposal_id"]),
+    "profiles": (PROFILE, ["provider", "subject_id", "observed_at"]), "lookups": (LOOKUP, ["lookup_id"]), "directory_links": (DIRECTORY_LINK, ["provider", "subject_id", "entity_id", "proposal_id", "recorded_at"]),
 }
 
 # The closed sets of the data model.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.operators.records import append_once, row_digest
+from evidentia.operators.seals import SEALS, sealed
 from evidentia.plans.lineage import cut
 
 #: Markers: a batch, the attempt whose rows are its rows, its place, and up to which place an attempt holds all rows.
@@ -27,6 +29,10 @@ class Busy(RuntimeError):
     """Another writer holds the store."""
 
 
+class Lost(RuntimeError):
+    """This writer's hold ran out and another took it over; nothing of the batch was committed."""
+
+
 class Store:
     """Tables as folders of attempts under one root, on any file system that Spark writes to.
 
@@ -50,22 +56,46 @@ class Store:
         files, p = self._file(path)
         return files.exists(p)
 
+    def _token(self) -> str | None:
+        files, p = self._file(f"{self.root}/_writer")
+        if not files.exists(p):
+            return None
+        stream = files.open(p)
+        try:
+            return stream.readLine()
+        finally:
+            stream.close()
+
+    def _owned(self, token: str) -> None:
+        """Refuses to go on for a writer whose hold has run out and was taken over."""
+        if self._token() != token:
+            raise Lost(f"another writer has taken {self.root}")
+
     @contextmanager
     def writing(self):
-        """The one writer's hold on the store; creating its file succeeds for one caller only."""
+        """The one writer's hold on the store; creating its file succeeds for one caller only.
+
+        The file names its writer by a token: one that comes back late, after its hold was taken over, finds another's
+        token, marks nothing and leaves the file alone. The token is read just before the marker is written; the
+        hold must be far longer than that write takes.
+        """
         files, p = self._file(f"{self.root}/_writer")
+        token = uuid.uuid4().hex
         if files.exists(p) and time.time() - files.getFileStatus(p).getModificationTime() / 1000 > self.hold:
             files.delete(p, False)
         try:
-            files.create(p, False).close()
+            stream = files.create(p, False)
         except Py4JJavaError as e:
             if not files.exists(p):
                 raise
             raise Busy(f"another writer holds {self.root}") from e
+        stream.writeBytes(token + "\n")
+        stream.close()
         try:
-            yield
+            yield token
         finally:
-            files.delete(p, False)
+            if self._token() == token:
+                files.delete(p, False)
 
     # ---- reading ----------------------------------------------------------------------------------------
 
@@ -98,17 +128,26 @@ class Store:
         A key is one column or several; columns that a frame lacks are null. A batch id that is committed already is a no-op, so a retry of a stream's
         batch is safe, whether its first writer finished or died. Gives the number of rows written of each table.
         """
+        return {name: 0 for name in tables} | self.commit(lambda held: tables, batch)
+
+    def commit(self, judge: Callable[[dict[str, DataFrame]], dict[str, tuple[DataFrame, str | list[str]]]], batch: str | None = None) -> dict[str, int]:
+        """append() of what `judge` makes of the tables as they stand, while no other writer can change them.
+
+        So a verdict that depends on stored rows (see authority.appendable) still holds when its rows are written.
+        """
         batch = batch or uuid.uuid4().hex
-        with self.writing():
-            marks = self.marks()
-            if not marks.where(F.col("batch") == batch).isEmpty():
-                return {name: 0 for name in tables}
+        with self.writing() as token:
+            if not self.marks().where(F.col("batch") == batch).isEmpty():
+                return {}
             held = self.snapshot(digests=True)
+            plain = {n: df.drop(DIGEST) for n, df in held.items()}
+            asked = judge(plain)
+            full = sealed({name: self._full(name, df) for name, (df, _) in asked.items()}, plain)
             judged = {}
-            for name, (df, key) in tables.items():
+            for name, (_, key) in asked.items():
                 columns = self.schemas[name].names
-                own = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schemas[name].fields]
-                rows = cut(append_once(held[name], df.select(*own), key, DIGEST))
+                df = full[name].select(*columns)
+                rows = cut(append_once(held[name], df, key, DIGEST))
                 if not rows.where("verdict IN ('conflict', 'no-key')").isEmpty():
                     raise Conflict(name)
                 keys = [key] if isinstance(key, str) else list(key)
@@ -119,9 +158,16 @@ class Store:
                 counts[name] = rows.count()
                 if counts[name]:
                     rows.write.mode("append").parquet(f"{self.root}/{name}/attempt={attempt}")
+            self._owned(token)
             self._mark(batch, attempt)
             return counts
 
+    def _full(self, name: str, df: DataFrame) -> DataFrame:
+        """The frame with all columns of its table, those that it lacks null; but for digests, which are made of the others."""
+        return df.select(*(
+            F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schemas[name].fields if f.name in df.columns or f.name != SEALS.get(name)
+        ))
+
     def _mark(self, batch: str, attempt: str, covers: bool = False) -> None:
         last = self.marks().agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
         row = last.select(F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), (F.col("last") + 1).alias("seq"), (F.col("last") if covers else F.lit(None).cast("long")).alias("covers"))
@@ -132,11 +178,12 @@ class Store:
 
         Readers of an earlier snapshot keep their files; vacuum() removes what no marker needs any more.
         """
-        with self.writing():
+        with self.writing() as token:
             attempt = uuid.uuid4().hex
             for name, rows in self.snapshot(digests=True).items():
                 if not rows.isEmpty():
                     rows.write.mode("append").parquet(f"{self.root}/{name}/attempt={attempt}")
+            self._owned(token)
             self._mark(f"compact-{attempt}", attempt, covers=True)
 
     def vacuum(self) -> int:

@@ -173,12 +173,12 @@ def completion(accepted: DataFrame, names: DataFrame, config: Config) -> dict[st
     links = signals.select(obs_id.alias("obs_id"), "run_id", F.explode(F.array_distinct("s.citation_ids")).alias("x")).select("obs_id", own("evidence", F.col("x")).alias("evidence_id"), F.lit("supporting").alias("role"))
     admissions = None
     for kind, ids, of in (("extraction_run", rows.select(F.col("run_id").alias("id"), "completed_at"), "id"), ("mention", people.select(F.col("mention_id").alias("id"), "completed_at"), "id"), ("observation", signals.select(obs_id.alias("id"), "completed_at"), "id")):
-        one = records.initial_admissions(ids, kind, config.policy, F.col("completed_at")).drop("authority").withColumn("supersedes_id", null)
+        one = records.initial_admissions(ids, kind, config.policy, F.col("completed_at")).withColumns({"supersedes_id": null, "reason": F.lit(config.policy)})
         admissions = one if admissions is None else admissions.unionByName(one)
     runs = rows.select("run_id", "version_id", "derivation", F.lit("completed").alias("outcome"), digest(frame("proposal")).alias("write_digest"), F.col("completed_at").alias("recorded_at"))
     return {
         "spans": spans, "mentions": mentions, "proposals": proposals, "proposal_evidence": evidence, "candidates": candidates, "observations": observations, "links": links,
-        "admissions": admissions.select(*schema.ADMISSION_DECISION.names), "runs": runs,
+        "admissions": admissions.select(*schema.STORED_ADMISSION.names), "runs": runs,
     }
 
 

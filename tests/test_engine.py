@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.cli import TABLES, main
 from evidentia.functions import text as tx
-from evidentia.operators import authority, checks, citations, extraction
+from evidentia.operators import authority, checks, citations, documents, extraction
 from evidentia.plans.engine import Engine, OverLimit, UnknownEntity, same_request
 from evidentia.plans.request import CAUSAL, POINT, TRAJECTORY, TREND, At, BadRequest, Between, Request, ask, instant, normalize, parse
 from evidentia.sources.store import Busy, Conflict, Store
@@ -65,8 +65,11 @@ def story(spark):
     spans = [(f"ev:{i}", f"ver:{i}", "s1", start(i), start(i) + len(quote(i).encode()), quote(i), at("2041-01-01")) for i in ids]
     sources = [(f"src:{i}", "desk", i, at("2041-01-01")) for i in ids]
     rows = {"observations": observations, "links": links, "decisions": decisions, "admissions": admissions, "entities": entities, "versions": versions, "sections": sections, "spans": spans, "sources": sources}
-    kinds = {name: schema.TABLES[name][0] for name in rows} | {"decisions": schema.RESOLUTION_DECISION}
-    return {name: spark.createDataFrame(x, kinds[name]) for name, x in rows.items()}
+    kinds = {name: schema.TABLES[name][0] for name in rows} | {"decisions": schema.RESOLUTION_DECISION, "observations": schema.OBSERVATION, "admissions": schema.ADMISSION_DECISION, "sections": schema.SECTION}
+    out = {name: spark.createDataFrame(x, kinds[name]) for name, x in rows.items()}
+    digests = documents.version_records(out["versions"].drop("digest").join(out["sources"].select("source_id", "provider", "provider_id"), "source_id"), out["sections"])
+    out["versions"] = out["versions"].drop("digest").join(digests.select("version_id", "digest"), "version_id").select(*schema.VERSION.names)
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -252,6 +255,29 @@ def test_store_and_cli(spark, tmp_path, capsys):
     assert main([str(tmp_path / "none"), "check"], spark) == 1 and "root: failed" in capsys.readouterr().out
 
 
+def test_answers_are_proved_down_to_the_bytes(spark, tmp_path):
+    """A changed byte in any row that an answer rests on is refused; rows that it does not rest on are not read for it."""
+    store = Store(spark, str(tmp_path), TABLES)
+    store.append(keyed(story(spark)))
+    held = {n: df.cache() for n, df in store.snapshot().items()}
+    ask = lambda tables: Engine(spark, tables).query(Request(POINT, P, (At("p", at("2041-08-20")),)))
+    keeper = ask(held).citations.where("predicate = 'weir.keeper'").collect()
+    assert {(r["obs_id"], r["evidence_id"], r["quote"], r["section_id"], r["version_id"]) for r in keeper} == {("keeper-2", f"ev:{i}", "ürsprünglich so.", "s1", f"ver:{i}") for i in ("keeper-1", "keeper-2")}
+    on = lambda name, where, **change: held | {name: held[name].withColumns({c: F.when(F.expr(where), v).otherwise(F.col(c)) for c, v in change.items()})}
+    mine = "version_id = 'ver:keeper-2'"
+    wrong = {
+        "section": on("sections", mine, content=F.concat("content", F.lit("."))), "leaf": on("sections", mine, leaf=F.lit("0")), "title": on("sections", mine, title=F.lit("Other")), "version": on("versions", mine, title=F.lit("Other")),
+        "locator": on("versions", mine, locator=F.lit("elsewhere")), "quote": on("spans", mine, quote=F.lit("ursprünglich so.")), "place": on("spans", mine, start_byte=F.col("start_byte") - 1), "value": on("observations", "obs_id = 'keeper-2'", object_ref=F.lit("Rune")),
+        "time": on("observations", "obs_id = 'keeper-2'", valid_start=F.lit(at("2041-08-14")).cast("timestamp_ntz")), "role": on("links", "obs_id = 'keeper-2'", role=F.lit("supporting")), "decision": on("decisions", "id = 'dec:1'", reason=F.lit("other")),
+        "admission": on("admissions", "target_id = 'keeper-2'", reason=F.lit("other")), "none": on("admissions", "target_id = 'keeper-2'", digest=F.lit(None).cast("string")), "added": held | {"sections": held["sections"].unionByName(held["sections"].where(mine).withColumn("section_id", F.lit("s2")))},
+    }
+    for name, tables in wrong.items():
+        with pytest.raises(checks.Inconsistent):
+            ask(tables)
+            pytest.fail(name)
+    ask(on("sections", "version_id = 'none'", content=F.lit("x")))
+
+
 def test_store_after_a_writer_that_died(spark, tmp_path, monkeypatch):
     """Rows written without a marker are never read; the same batch can be written again, once."""
     t = {n: df for n, df in story(spark).items() if n in ("entities", "links")}

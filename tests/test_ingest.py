@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.cli import TABLES
 from evidentia.operators import authority, directory, documents, records, review
+from evidentia.plans.commands import append_admissions, review_proposals
 from evidentia.plans.engine import Engine
 from evidentia.plans.request import POINT, At, Request
 from evidentia.sources import ledger
@@ -110,11 +111,12 @@ def test_what_sync_wrote_can_be_reviewed_and_asked(spark, synced):
         F.concat(F.lit("cmd:"), "proposal_id").alias("command_id"), "proposal_id", F.lit("accept").alias("action"), F.when(F.col("surface") == "Bo Li", "person:bo").otherwise("person:ana").alias("entity_id"),
         F.col("surface").alias("name"), F.col("proposed_email").alias("email"), now().alias("recorded_at"),
     )
-    decided = review.decide(commands, held["decisions"].select(*schema.RESOLUTION_DECISION.names), held["proposals"], people)
+    store.append({"entities": (people, "id")})
+    decided = review_proposals(store, commands.withColumn("reason", F.lit("seen")), F.lower, F.lower)
     assert {r["verdict"] for r in decided.collect()} == {"ok"}
-    decisions = review.written_decisions(decided).select(*schema.RESOLUTION_DECISION.names)
-    admitted = records.initial_admissions(decisions.select("id"), "identity_decision", "p", now()).drop("authority").withColumn("supersedes_id", F.lit(None).cast("string")).select(*schema.ADMISSION_DECISION.names)
-    engine = Engine(spark, held | {"decisions": decisions, "entities": people, "admissions": held["admissions"].unionByName(admitted)})
+    admitted = records.initial_admissions(store.snapshot()["decisions"].select("id"), "identity_decision", "p", now()).withColumns({"supersedes_id": F.lit(None).cast("string"), "reason": F.lit("p")})
+    assert {r["verdict"] for r in append_admissions(store, admitted).collect()} == {"append"}
+    engine = Engine(spark, store.snapshot())
     r = engine.query(Request(POINT, ("person:ana", "person:bo"), (At("p", datetime(2041, 5, 4)),)))
     assert [(x["subject_ref"], x["object_ref"]) for x in r.facts.collect()] == [("person:ana", "person:bo")]
     assert {x["quote"] for x in r.citations.collect()} == {"Ana Diaz <ana@x.org> thanks Bo Li."}
