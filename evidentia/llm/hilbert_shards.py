@@ -7,9 +7,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 BITS = 4  # of each of the three quantised dimensions: 4,096 cells
-#: Distinct values of a category that are put in order; of more, a value's step is its hash.
-DICTIONARY = 4096
 
 
 @lru_cache
@@ -55,16 +55,22 @@ def category_step(rows: DataFrame, column: str, out: str) -> DataFrame:
     """rows with `out`: the step (0 to 15) of a string column, null a value of its own, before all others.
 
     The values in order are cut into 16 runs of nearly equal row counts, so a step is a range of values and the
-    least and largest value of a file tell what it can't hold. A column of more than DICTIONARY values has the
-    hash of the value instead: then only equality prunes. The table joined has DICTIONARY rows at most.
+    least and largest value of a file tell what it can't hold, however many values there are: the counted values are
+    dealt by range and summed part by part, and only the first value of each step goes to the rows.
     """
     of = rows.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
-    if of.limit(DICTIONARY + 1).count() > DICTIONARY:
-        return rows.withColumn(out, F.pmod(F.xxhash64(column), F.lit(1 << BITS)).cast("int"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    of = of.select("_value", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    of = of.select("_value", F.expr(f"(_before * {1 << BITS}) div _total").cast("int").alias(out))
-    return rows.join(F.broadcast(of), F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = cut_lineage(of.repartitionByRange(parts, F.col("_value").asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = of.groupBy("_part").agg(F.sum("_n").alias("_n"))  # one row a part
+    sums = sums.select("_part", earlier(Window.orderBy("_part")).alias("_from"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    before = earlier(Window.partitionBy("_part").orderBy(F.col("_value").asc_nulls_first()))
+    steps = of.withColumn("_before", before).join(F.broadcast(sums), "_part")
+    steps = steps.select("_value", F.expr(f"((_from + _before) * {1 << BITS}) div _total").cast("int").alias("_step"))
+    firsts = steps.groupBy("_step").agg(F.min("_value").alias("_first")).where("_first is not null")
+    one = firsts.agg(F.sort_array(F.collect_list(F.struct("_step", "_first"))).alias("_steps"))  # 16 at most
+    last = F.aggregate("_steps", F.lit(0), lambda at, s: F.when(s["_first"] <= F.col(column), s["_step"]).otherwise(at))
+    return rows.crossJoin(F.broadcast(one)).withColumn(out, F.when(F.col(column).isNull(), 0).otherwise(last)).drop("_steps")
 
 
 def hilbert_shards(

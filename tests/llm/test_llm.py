@@ -259,11 +259,18 @@ def test_shards_split_a_hot_text(spark):
     assert places[-1] - places[0] + 1 == len(places) == 600
 
 
-def test_shards_of_many_values(spark, monkeypatch):
-    monkeypatch.setattr(hilbert_shards, "DICTIONARY", 5)
-    rows = [(i, f"text {i}", f"l{i}", "s") for i in range(64)]
-    out = hilbert_shards.hilbert_shards(odd(spark, rows)).collect()
-    assert sorted(Counter(r["shard"] for r in out).values()) == [8] * 8 and {r["source_step"] for r in out} == {0}
+def test_shards_of_many_values(spark):
+    """However many values a column has, a step is a range of them: the same steps as by a sort of all rows."""
+    rnd = random.Random(9)
+    rows = [(i, f"text {i}", f"l{rnd.randrange(6000):05d}" if i % 50 else None, "s" if i % 3 else "t") for i in range(9000)]
+    out = {r["doc_id"]: r for r in hilbert_shards.hilbert_shards(odd(spark, rows)).collect()}
+    assert sorted(Counter(r["shard"] for r in out.values()).values()) == [1125] * 8
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or ""))
+    before = {}
+    for place, r in enumerate(order):
+        before.setdefault(r[2], place)
+    assert {i: r["lang_step"] for i, r in out.items()} == {r[0]: before[r[2]] * 16 // len(rows) for r in rows}
+    assert {r["source_step"] for r in out.values()} == {0, sum(r[3] == "s" for r in rows) * 16 // len(rows)}
 
 
 def strange():
