@@ -250,15 +250,16 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = L
 
     The driver plans on the counts of lengths: at most limits.tokens numbers, whatever the input. The plan
     has a bounded number of entries too (classes of equal bins). A piece's rank among those of its length is
-    its hash bucket's first rank plus its rank in the bucket, so a length that most rows share is spread
-    over as many buckets as there are shuffle partitions.
+    its bucket's first rank plus its rank in the bucket; buckets are drawn by a piece's place among the read
+    rows (held by a checkpoint), so a length that most rows share, also rows that are alike in everything, is
+    spread over as many buckets as there are shuffle partitions.
     """
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small_batches(df)
     own, kind, back = carried(df, id_col)
     rows = df.select(own.alias("id"), F.col(text_col).alias("text"))
     run, schema = _pieces(tokenizer_path, end_id, limits.tokens, kind)
-    pieces = cut_lineage(rows.mapInPandas(run, schema).withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int")))
+    pieces = cut_lineage(rows.mapInPandas(run, schema).withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     plan = best_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limits)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
