@@ -29,44 +29,58 @@ QUALITY = 0.7
 KNOWN = 0.5
 #: Numbers of rows (8 bytes each) that are sent to all executors at most.
 SENT = 1 << 20
+#: Names of files that are sent to all executors at most.
+FILES = 1 << 16
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, a number of its own for each row, the same however often the rows are read.
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Ids may be null or repeat, so a row's verdict is held by this number. In files a row is known by its file
-    and its place there; the rows of any other table are numbered once and checkpointed.
-    """
-    # shuffle files of the stage before go when the driver collects what refers to them; else they wait on disk
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    names = sorted(r["file"] for r in docs.select(file.alias("file")).distinct().collect())
-    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
-    placed = docs.select("*", file.alias("_in"), place.alias("_place")).join(F.broadcast(files), F.col("_in") == F.col("_file"))
-    return placed.select(*docs.columns, F.shiftleft("_number", 40).bitwiseOR(F.col("_place")).alias("_row"))
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that numbers its rows, the same however often they are read, and that column's name.
 
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The numbered rows, with their own columns, but for those in gone.
+    Ids may be null or repeat, so a row's verdict is held by this number. In files a row is known by its file
+    and its place there, where docs has FILES of them at most (their names are sent to all executors); the rows of
+    any other table are numbered once and checkpointed.
+    """
+    row = _free(docs, "_row")
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and _free(docs, "_metadata") == "_metadata"
+    if plain:
+        meta = docs.select("*", F.col("_metadata.file_path").alias(_free(docs, "_in")), F.col("_metadata.row_index").alias(_free(docs, "_place")))
+        of_file, place = meta.columns[-2:]
+        names = sorted(r[0] for r in meta.select(of_file).distinct().limit(FILES + 1).collect())
+        if len(names) <= FILES:
+            number = _free(docs, "_number")
+            files = docs.sparkSession.createDataFrame(list(enumerate(names)), f"`{number}` long, `{of_file}` string")
+            placed = meta.join(F.broadcast(files), of_file)
+            return placed.select(*(placed[c] for c in docs.columns), F.shiftleft(placed[number], 40).bitwiseOR(placed[place]).alias(row)), row
+    return cut_lineage(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows numbered by `row`, with their own columns, but for those in gone.
 
     The numbers that go are counted first: few are sent to all executors, so that texts stay in place; of more,
     both sides are dealt by number.
     """
-    gone = cut_lineage(gone.select("_row"))
+    gone = cut_lineage(gone.select(row))
     few = gone.count() <= SENT
-    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row")
+    return rows.join(F.broadcast(gone) if few else gone, row, "left_anti").drop(row)
 
 
-def _copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """All rows of each group (_row, _group) but one: that with the smallest id, a null id only if there is no other.
+def _copies(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
+    """All rows of each group (`row`, _group) but one: that with the smallest id, a null id only if there is no other.
 
     Of rows that repeat this id the first in number stays.
     """
-    own = cut_lineage(groups.join(rows.select("_row", "doc_id"), "_row"))
-    first = own.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    return own.join(first.select("first._row"), "_row", "left_anti")
+    own = cut_lineage(groups.join(rows.select(row, F.col("doc_id").alias("_id")), row))
+    first = own.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row)).alias("_first"))
+    return own.join(first.select(F.col(f"_first.{row}").alias(row)), row, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +89,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty texts are judged as texts without any statistics; without labels of both classes all scores are alike
     (0.5 without any label, which is below the threshold: nothing stays that nothing speaks for).
     """
-    rows = _numbered(docs)
-    scores = quality_scores(rows, table(spark, sf_dir, "labels"), threshold=QUALITY, row_col="_row")
-    return _without(rows, scores.where("predicted = 0"))
+    rows, row = _numbered(docs)
+    scores = quality_scores(rows, table(spark, sf_dir, "labels"), threshold=QUALITY, row_col=row)
+    return _without(rows, row, scores.where("predicted = 0"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,8 +99,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without any text whose language is known there is nothing to judge by, and no document stays.
     """
-    rows = _numbered(docs)
-    return _without(rows, languages(rows, row_col="_row", least_known=KNOWN).where(F.col("lang_pred") == UNKNOWN))
+    rows, row = _numbered(docs)
+    return _without(rows, row, languages(rows, row_col=row, least_known=KNOWN).where(F.col("lang_pred") == UNKNOWN))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,9 +108,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row without an id stays only where its whole group has none; of rows that repeat the smallest id one stays.
     """
-    rows = _numbered(docs)
-    groups = exact_groups(rows, id_col="_row").where("group_size > 1")
-    return _without(rows, _copies(rows, groups.select("_row", F.col("keep_id").alias("_group"))))
+    rows, row = _numbered(docs)
+    groups = exact_groups(rows, id_col=row).where("group_size > 1")
+    return _without(rows, row, _copies(rows, row, groups.select(row, F.col("keep_id").alias("_group"))))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -104,9 +118,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without words are near to nothing, so each of them stays; rows without an id as in the stage before.
     """
-    rows = _numbered(docs)
-    groups = near_duplicates(rows, id_col="_row", width=5, similar=(80, 100))
-    return _without(rows, _copies(rows, groups.select("_row", F.col("component_id").alias("_group"))))
+    rows, row = _numbered(docs)
+    groups = near_duplicates(rows, id_col=row, width=5, similar=(80, 100))
+    return _without(rows, row, _copies(rows, row, groups.select(row, F.col("component_id").alias("_group"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,3 +176,42 @@ def test_funnels_of_odd_tables(spark):
 def test_shingles_of_all_widths_are_counted():
     words = decontam.Words([b"a b c", b"A"])
     assert len(words.shingles(1)) == 4 and words.hash[0] == words.hash[3] and words.joined(0, 3) == b"a b c"
+
+
+def test_pipeline_stages_take_any_columns_and_no_rows(spark, tmp_path):
+    """Columns named like the stages' own, in a stored table and a made one, come out as they went in; empty tables stay empty."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    names = ["_row", "_in", "_file", "_place", "_number", "_metadata", "_id", "_group", "row", "id", "n", "cid", "_ROW_"]
+    words = "the cat sat on the mat and the dog lay by the door of the old house near the river"
+    rows = [(1, words), (1, words), (2, f"{words} today"), (None, words), (3, None), (4, "")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), *(F.lit(f"v{i}").alias(c) for i, c in enumerate(names)))
+    made.write.parquet(str(tmp_path / "docs"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "docs"))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name != "packing":
+                assert out.columns == docs.columns, name
+                assert all(r[c] == f"v{i}" for r in out.collect() for i, c in enumerate(names)), name
+            else:
+                assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for i, _ in rows)
+            none = stage(spark, docs.limit(0), sf)
+            assert none.collect() == [] and (name == "packing" or none.columns == docs.columns), name
+
+
+def test_packing_of_rows_that_are_alike(spark):
+    """Rows without ids and with one text each have a place of their own, though nothing tells them apart."""
+    from public_tokenizers import path
+
+    from evidentia.llm.packing import Limits, pack
+
+    rows = odd(spark, [(None, "a b c")] * 400 + [(7, "a b c")] * 300 + [(None, None)] * 200)
+    out = pack(rows, path("word_bpe_49k.json"), limits=Limits(tokens=64)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter({None: 600, 7: 300})
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in bins.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:], strict=False)) and held[-1][0] + held[-1][1] <= 64
