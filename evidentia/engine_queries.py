@@ -268,10 +268,11 @@ def _reader():
 
 
 @query(
-    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' WHEN 3 THEN 'unchanged' ELSE 'completed' END AS outcome, CASE doc_id % 6 WHEN 0 THEN 'model' WHEN 1 THEN 'invalid-extraction: signal ends' WHEN 2 THEN 'invalid-source: transcripts' END AS fault, CASE WHEN doc_id % 6 >= 3 THEN 1 ELSE 0 END AS observations FROM documents"
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 6 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' WHEN 3 THEN 'unchanged' WHEN 4 THEN CASE WHEN doc_id % 12 = 4 THEN 'incomplete' ELSE 'completed' END ELSE 'completed' END AS outcome, CASE doc_id % 6 WHEN 0 THEN 'model' WHEN 1 THEN 'invalid-extraction: signal ends' WHEN 2 THEN 'invalid-source: transcripts' WHEN 4 THEN CASE WHEN doc_id % 12 = 4 THEN 'busy' END END AS fault, CASE WHEN doc_id % 6 >= 3 AND doc_id % 12 <> 4 THEN 1 ELSE 0 END AS observations FROM documents"
 )
 def sync_documents(p):
-    """Every document as a source of one talk, synced into a store of its own: some were synced before, some fail."""
+    """Every document as a source of one talk, synced into a store of its own: some were synced before, some fail, some are
+    claimed by another sync that still runs."""
     import uuid
 
     from evidentia import schema
@@ -289,6 +290,7 @@ def sync_documents(p):
     config = sync.Config("desk", "reader", "1")
     ran = lambda rows, at: sync.sync(store, rows, tabs, _reader(), names, config, ntz(at))
     ran(listing.where(F.col("doc_id").cast("long") % 6 == 3), A).count()
+    sync.prepare(store, listing.where(F.col("doc_id").cast("long") % 12 == 4), tabs, config, ntz(B), "another")
     out = ran(listing, B)
     held = store.snapshot()
     n = held["observations"].select(F.col("obs_id")).join(held["links"], "obs_id").join(held["spans"], "evidence_id").join(held["versions"].select("version_id", "source_id"), "version_id").join(held["sources"], "source_id")

@@ -35,6 +35,8 @@ PROPOSAL_EVIDENCE = _struct("proposal_id:s position:i evidence_id:s")
 CANDIDATE = _struct("proposal_id:s entity_id:s rank:i confidence:d reason:s source:s")
 ALIAS = _struct("decision_id:s kind:s value:s")
 RUN = _struct("run_id:s version_id:s derivation:s outcome:s write_digest:s recorded_at:t")
+#: A run's attempts, only appended: who claimed it until when, and how the attempt ended.
+ATTEMPT = _struct("run_id:s number:i event:s owner:s at:t lease_until:t fault:s")
 #: The directory: profiles seen, lookups made, and which entity a provider's subject was linked to by which decision.
 PROFILE = _struct("provider:s subject_id:s display_name:s emails:a observed_at:t")
 LOOKUP = _struct("lookup_id:s mention_id:s email:s outcome:s attempted_at:t retry_after:t")
@@ -53,7 +55,7 @@ TABLES = {
     "admissions": (sealed(STORED_ADMISSION), ["id"]), "entities": (ENTITY, ["id"]), "spans": (SPAN, ["evidence_id"]), "sections": (sealed(SECTION, "leaf"), ["version_id", "section_id"]),
     "versions": (VERSION, ["version_id"]), "sources": (SOURCE, ["source_id"]), "pointers": (POINTER, ["source_id", "seq"]), "revisions": (REVISION, ["revision_id"]),
     "mentions": (MENTION, ["id"]), "proposals": (PROPOSAL, ["proposal_id"]), "proposal_evidence": (PROPOSAL_EVIDENCE, ["proposal_id", "position"]),
-    "candidates": (CANDIDATE, ["proposal_id", "entity_id"]), "aliases": (ALIAS, ["decision_id", "kind", "value"]), "runs": (RUN, ["run_id"]),
+    "candidates": (CANDIDATE, ["proposal_id", "entity_id"]), "aliases": (ALIAS, ["decision_id", "kind", "value"]), "runs": (RUN, ["run_id"]), "attempts": (ATTEMPT, ["run_id", "number", "event"]),
     "profiles": (PROFILE, ["provider", "subject_id", "observed_at"]), "lookups": (LOOKUP, ["lookup_id"]), "directory_links": (DIRECTORY_LINK, ["provider", "subject_id", "entity_id", "proposal_id", "recorded_at"]),
 }
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Commands: (run_id, at, command_id, action claim|complete|fail, owner); `at` and leases are microseconds.
@@ -65,3 +66,50 @@ def stream(commands: DataFrame, lease: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["run_id", "command_id", "outcome", "attempt"])
 
     return commands.groupBy("run_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def standing(attempts: DataFrame) -> DataFrame:
+    """(run_id, number, owner, lease_until, ended): each run's last attempt, and how it ended if it has.
+
+    attempts as in schema.ATTEMPT; aggregates only, combined before their shuffle.
+    """
+    claimed = F.col("event") == "claimed"
+    each = attempts.groupBy("run_id", "number").agg(
+        F.max(F.when(claimed, F.col("owner"))).alias("owner"), F.max(F.when(claimed, F.col("lease_until"))).alias("lease_until"), F.max(F.when(~claimed, F.col("event"))).alias("ended"),
+    )
+    last = each.groupBy("run_id").agg(F.max_by(F.struct("number", "owner", "lease_until", "ended"), "number").alias("last"))
+    return last.select("run_id", "last.*")
+
+
+def claim(runs: DataFrame, attempts: DataFrame, at: Column, owner: str, lease: str) -> DataFrame:
+    """runs with `claim` and the attempt it is about: `claimed` (a new attempt, until at + lease), `held` (the owner's own
+    attempt still runs), `busy` (another's does), or `completed`.
+
+    An attempt that failed, or whose lease is over, is followed by the next one. What is claimed must be written as
+    claims() has it before another writer can look (Store.commit).
+    """
+    rows = runs.join(standing(attempts), "run_id", "left").withColumn("_at", at)
+    runs_on = F.col("ended").isNull() & (F.col("_at") < F.col("lease_until"))
+    how = F.when(F.col("ended") == "completed", "completed").when(runs_on, F.when(F.col("owner") == owner, "held").otherwise("busy")).otherwise("claimed")
+    rows = rows.withColumn("claim", how)
+    number = F.when(F.col("claim") == "claimed", F.coalesce("number", F.lit(0)) + 1).otherwise(F.col("number")).cast("int")
+    until = F.when(F.col("claim") == "claimed", F.col("_at") + F.expr(f"INTERVAL {lease}")).otherwise(F.col("lease_until"))
+    return rows.select(*runs.columns, "claim", number.alias("number"), F.when(F.col("claim") == "busy", F.col("owner")).otherwise(F.lit(owner)).alias("owner"), until.alias("lease_until"), F.col("_at").alias("claimed_at"))
+
+
+def claims(claimed: DataFrame) -> DataFrame:
+    """The rows that newly claimed runs write."""
+    rows = claimed.where("claim = 'claimed'")
+    return rows.select("run_id", "number", F.lit("claimed").alias("event"), "owner", F.col("claimed_at").alias("at"), "lease_until", F.lit(None).cast("string").alias("fault"))
+
+
+def held_still(claimed: DataFrame, attempts: DataFrame, at: Column) -> DataFrame:
+    """The claimed runs whose attempt is still the last, has not ended, and is inside its lease: only these may end."""
+    now = standing(attempts).select("run_id", F.col("number").alias("_number"), F.col("owner").alias("_owner"), F.col("lease_until").alias("_until"), F.col("ended").alias("_ended"))
+    rows = claimed.join(now, "run_id").withColumn("_at", at)
+    return rows.where((F.col("number") == F.col("_number")) & (F.col("owner") == F.col("_owner")) & F.col("_ended").isNull() & (F.col("_at") < F.col("_until"))).select(*claimed.columns)
+
+
+def ends(rows: DataFrame, at: Column) -> DataFrame:
+    """The rows that ended attempts write; rows: (run_id, number, owner, event completed or failed, fault)."""
+    return rows.select("run_id", "number", "event", "owner", at.alias("at"), F.lit(None).cast("timestamp_ntz").alias("lease_until"), "fault")

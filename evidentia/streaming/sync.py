@@ -1,11 +1,13 @@
 """Ingest as one flow: listed documents to versions, claims, extraction, validation and one committed write set each.
 
 A batch of documents goes through in one pass, each with an outcome of its own; a document that fails stops no other.
-Ids and digests follow from content, so a batch that is run again finds its versions complete and writes nothing.
+Ids and digests follow from content, so a batch that is run again finds its versions complete and writes nothing. A run
+is claimed with a lease before its model is asked, so two syncs at once share the work; one that is too slow writes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ from evidentia.functions.text import grounded_email, grounded_name, normalize_na
 from evidentia.operators import documents, extraction, identity, records
 from evidentia.plans.lineage import cut
 from evidentia.sources.store import Store
+from evidentia.streaming import leases
 
 #: A listed document: what a source tells of it before its content is read.
 LISTED = schema._struct("doc_id:s provider:s title:s locator:s provider_version:s modified_at:t")
@@ -63,7 +66,7 @@ def versions_of(listing: DataFrame, tabs: DataFrame, at: Column) -> tuple[DataFr
     body = placed.join(tabs.select("doc_id", "id", "parent_id", "title", "role", "content"), ["doc_id", "id"])
     sections = body.select(F.col("doc_id").alias("version_id"), F.col("id").alias("section_id"), "title", "parent_id", "path", F.col("section_order").cast("long").alias("section_order"), "role", "content")
     shaped = listing.select(
-        F.col("doc_id").alias("version_id"), "provider", F.col("doc_id").alias("provider_id"), "title", "locator", "provider_version", "modified_at",
+        F.col("doc_id").alias("version_id"), "provider", F.col("provider_id" if "provider_id" in listing.columns else "doc_id").alias("provider_id"), "title", "locator", "provider_version", "modified_at",
         documents_date(F.col("title")).alias("source_time"),
     )
     digests = documents.version_records(shaped, sections).withColumnRenamed("version_id", "doc_id")
@@ -72,7 +75,7 @@ def versions_of(listing: DataFrame, tabs: DataFrame, at: Column) -> tuple[DataFr
     fault = F.coalesce(F.col("fault"), F.when(~F.coalesce("accepted", F.lit(False)), "transcripts"))
     rows = cut(rows.withColumn("fault", fault).withColumn("source_id", opaque_id(F.lit("source"), F.col("provider"), F.col("provider_id"))))
     good = rows.where("fault is null").withColumn("version_id", opaque_id(F.lit("version"), F.col("source_id"), F.col("digest")))
-    versions = good.select("doc_id", "source_id", "provider", "version_id", "digest", "title", "locator", "provider_version", "modified_at", "source_time", at.alias("recorded_at"))
+    versions = good.select("doc_id", "source_id", "provider", "provider_id", "version_id", "digest", "title", "locator", "provider_version", "modified_at", "source_time", at.alias("recorded_at"))
     own = sections.withColumnRenamed("version_id", "doc_id").join(good.select("doc_id", "version_id"), "doc_id").select(*schema.SECTION.names)
     return versions, own, rows.where("fault is not null").select("doc_id", "fault")
 
@@ -144,7 +147,8 @@ def completion(accepted: DataFrame, names: DataFrame, config: Config) -> dict[st
 
     accepted: (run_id, derivation, version_id, proposal, recorded_at, completed_at); names: (entity_id, name,
     is_alias), normalised, against which mentions are ranked. Everything is admitted by policy at first; signals
-    become inferred observations between mentions, at the document's date if it has one.
+    become inferred observations between mentions, at the document's date if it has one. Every frame also has the run
+    that owns the row.
     """
     from evidentia.operators.review import PROPOSAL
 
@@ -152,86 +156,173 @@ def completion(accepted: DataFrame, names: DataFrame, config: Config) -> dict[st
     null = F.lit(None).cast("string")
     own = lambda kind, x: opaque_id(F.lit(kind), F.col("run_id"), x)
     c = rows.select("run_id", "version_id", "recorded_at", F.explode("p.citations").alias("c"))
-    spans = c.select(own("evidence", F.col("c.id")).alias("evidence_id"), "version_id", F.col("c.section_id").alias("section_id"), F.col("c.start").alias("start_byte"), F.col("c.end").alias("end_byte"), F.col("c.quote").alias("quote"), "recorded_at")
+    spans = c.select(own("evidence", F.col("c.id")).alias("evidence_id"), "version_id", F.col("c.section_id").alias("section_id"), F.col("c.start").alias("start_byte"), F.col("c.end").alias("end_byte"), F.col("c.quote").alias("quote"), "recorded_at", "run_id")
     people = rows.select("run_id", "version_id", "completed_at", "proposal", F.explode("p.people").alias("m"))
     people = cut(people.withColumn("g", _grounds("proposal", "m.id")).withColumns({"mention_id": own("mention", F.col("m.id")), "proposal_id": own("proposal", F.col("m.id")), "normal": normalize_name(F.col("m.name"))}))
     name_ev, mail_ev = own("evidence", F.col("g.name_cite")), F.when(F.col("g.email_cite").isNotNull(), own("evidence", F.col("g.email_cite")))
     mentions = people.select(F.col("mention_id").alias("id"), name_ev.alias("evidence_id"), "run_id", F.col("m.name").alias("surface"), F.col("normal").alias("normalized_name"), F.col("m.email").alias("proposed_email"), mail_ev.alias("email_evidence_id"), F.col("completed_at").alias("recorded_at"))
     proposals = people.select("proposal_id", "mention_id", "run_id", "version_id", F.col("completed_at").alias("recorded_at"))
     cites = F.array_distinct(F.filter(F.array(name_ev, mail_ev), lambda x: x.isNotNull()))
-    evidence = people.select("proposal_id", F.posexplode(cites).alias("position", "evidence_id"))
-    ranked = identity.rank_names(people.select("mention_id", F.col("normal").alias("name")), names).join(people.select("mention_id", "proposal_id"), "mention_id")
-    candidates = ranked.select("proposal_id", "entity_id", "rank", "confidence", F.concat(F.lit("name-"), "via").alias("reason"), F.concat(F.lit("mention:"), "mention_id").alias("source"))
+    evidence = people.select("proposal_id", "run_id", F.posexplode(cites).alias("position", "evidence_id"))
+    ranked = identity.rank_names(people.select("mention_id", F.col("normal").alias("name")), names).join(people.select("mention_id", "proposal_id", "run_id"), "mention_id")
+    candidates = ranked.select("run_id", "proposal_id", "entity_id", "rank", "confidence", F.concat(F.lit("name-"), "via").alias("reason"), F.concat(F.lit("mention:"), "mention_id").alias("source"))
     signals = rows.select("run_id", "derivation", "completed_at", F.col("p.meeting_date").alias("day"), F.explode("p.signals").alias("s"))
     day = F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
     obs_id = opaque_id(F.lit("observation"), F.col("derivation"), F.col("s.id"))
     observations = signals.select(
         obs_id.alias("obs_id"), F.lit("mention").alias("subject_kind"), own("mention", F.col("s.subject_id")).alias("subject_ref"), interaction_predicate(F.col("s.category"), F.col("s.direction")).alias("predicate"),
         F.lit("mention").alias("object_kind"), own("mention", F.col("s.object_id")).alias("object_ref"), F.when(day.isNull(), "unknown").otherwise("instant").alias("temporal_kind"), day.alias("valid_start"),
-        F.lit(None).cast("timestamp_ntz").alias("valid_end"), F.col("completed_at").alias("recorded_at"), F.lit("inferred").alias("status"),
+        F.lit(None).cast("timestamp_ntz").alias("valid_end"), F.col("completed_at").alias("recorded_at"), F.lit("inferred").alias("status"), "run_id",
     )
-    links = signals.select(obs_id.alias("obs_id"), "run_id", F.explode(F.array_distinct("s.citation_ids")).alias("x")).select("obs_id", own("evidence", F.col("x")).alias("evidence_id"), F.lit("supporting").alias("role"))
+    links = signals.select(obs_id.alias("obs_id"), "run_id", F.explode(F.array_distinct("s.citation_ids")).alias("x")).select("obs_id", own("evidence", F.col("x")).alias("evidence_id"), F.lit("supporting").alias("role"), "run_id")
     admissions = None
-    for kind, ids, of in (("extraction_run", rows.select(F.col("run_id").alias("id"), "completed_at"), "id"), ("mention", people.select(F.col("mention_id").alias("id"), "completed_at"), "id"), ("observation", signals.select(obs_id.alias("id"), "completed_at"), "id")):
-        one = records.initial_admissions(ids, kind, config.policy, F.col("completed_at")).withColumns({"supersedes_id": null, "reason": F.lit(config.policy)})
+    for kind, ids, of in (("extraction_run", rows.select(F.col("run_id").alias("id"), "completed_at", "run_id"), "id"), ("mention", people.select(F.col("mention_id").alias("id"), "completed_at", "run_id"), "id"), ("observation", signals.select(obs_id.alias("id"), "completed_at", "run_id"), "id")):
+        one = records.initial_admissions(ids, kind, config.policy, F.col("completed_at")).withColumns({"supersedes_id": null, "reason": F.lit(config.policy)}).join(ids.select(F.col("id").alias("target_id"), "run_id"), "target_id")
         admissions = one if admissions is None else admissions.unionByName(one)
     runs = rows.select("run_id", "version_id", "derivation", F.lit("completed").alias("outcome"), digest(frame("proposal")).alias("write_digest"), F.col("completed_at").alias("recorded_at"))
     return {
         "spans": spans, "mentions": mentions, "proposals": proposals, "proposal_evidence": evidence, "candidates": candidates, "observations": observations, "links": links,
-        "admissions": admissions.select(*schema.STORED_ADMISSION.names), "runs": runs,
+        "admissions": admissions.select(*schema.STORED_ADMISSION.names, "run_id"), "runs": runs,
     }
 
 
-def prepare(store: Store, listing: DataFrame, tabs: DataFrame, config: Config, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(open runs, sections, outcomes so far): new versions, their sections, sources and revisions are committed at once;
-    versions whose run is complete are unchanged."""
+def prepare(store: Store, listing: DataFrame, tabs: DataFrame, config: Config, at: Column, owner: str, lease: str = "1 HOUR") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(claimed runs, sections, outcomes so far): new versions, their sections, sources and revisions, and the claims on
+    their runs are committed at once; versions whose run is complete are unchanged, those of another's claim are busy."""
     versions, sections, wrong = versions_of(one_source(listing), tabs, at)
     runs = cut(runs_of(versions, config))
-    revision_id, revision_digest = documents.revision(F.col("provider"), F.col("doc_id"), F.col("provider_version"), F.col("modified_at"))
-    held = store.snapshot()
-    fresh = runs.join(held["versions"].select("version_id"), "version_id", "left_anti")
-    sources = runs.join(held["sources"].select("source_id"), "source_id", "left_anti").select("source_id", "provider", F.col("doc_id").alias("provider_id"), "recorded_at")
-    revisions = runs.select(revision_id.alias("revision_id"), "version_id", revision_digest.alias("digest"), F.col("modified_at").alias("observed_at")).join(held["revisions"].select("revision_id"), "revision_id", "left_anti")
-    store.append({
-        "sources": (sources, "source_id"), "versions": (fresh.select(*schema.VERSION.names), "version_id"), "sections": (sections.join(fresh.select("version_id"), "version_id", "left_semi"), ["version_id", "section_id"]),
-        "revisions": (revisions, "revision_id"),
-    })
-    done = held["runs"].where("outcome = 'completed'").select("run_id")
+    revision_id, revision_digest = documents.revision(F.col("provider"), F.col("provider_id"), F.col("provider_version"), F.col("modified_at"))
+    told: list[DataFrame] = []
+
+    def judge(held):
+        fresh = runs.join(held["versions"].select("version_id"), "version_id", "left_anti").dropDuplicates(["version_id"])
+        sources = runs.join(held["sources"].select("source_id"), "source_id", "left_anti").select("source_id", "provider", "provider_id", "recorded_at").distinct()
+        revisions = runs.select(revision_id.alias("revision_id"), "version_id", revision_digest.alias("digest"), F.col("modified_at").alias("observed_at")).join(held["revisions"].select("revision_id"), "revision_id", "left_anti")
+        done = held["runs"].where("outcome = 'completed'").select("run_id", F.lit(True).alias("_done"))
+        rows = leases.claim(runs, held["attempts"], at, owner, lease).join(done, "run_id", "left")
+        rows = cut(rows.withColumn("claim", F.when(F.col("_done"), "completed").otherwise(F.col("claim"))).drop("_done"))
+        told.append(rows)
+        new = {
+            "sources": sources, "versions": fresh.select(*schema.VERSION.names), "sections": sections.join(fresh.select("version_id"), "version_id", "left_semi").dropDuplicates(["version_id", "section_id"]),
+            "revisions": revisions.dropDuplicates(["revision_id"]), "attempts": leases.claims(rows).dropDuplicates(["run_id"]),
+        }
+        return _keyed(new)
+
+    store.commit(judge)
     outcomes = wrong.select("doc_id", F.lit("failed").alias("outcome"), F.concat(F.lit("invalid-source: "), "fault").alias("fault"))
-    outcomes = outcomes.unionByName(runs.join(done, "run_id", "left_semi").select("doc_id", F.lit("unchanged").alias("outcome"), F.lit(None).cast("string").alias("fault")))
-    return runs.join(done, "run_id", "left_anti"), sections, outcomes
+    none = F.lit(None).cast("string")
+    for claim, outcome, fault in (("completed", "unchanged", none), ("busy", "incomplete", F.lit("busy"))):
+        outcomes = outcomes.unionByName(told[0].where(F.col("claim") == claim).select("doc_id", F.lit(outcome).alias("outcome"), fault.alias("fault")))
+    return told[0].where("claim IN ('claimed', 'held')"), sections, outcomes
 
 
-def sync(store: Store, listing: DataFrame, tabs: DataFrame, model: Callable[[str], str], names: DataFrame, config: Config, at: Column, attempts: int = 1) -> DataFrame:
-    """One run over a listing: (doc_id, outcome, fault) of every document, after its write set has been committed.
+def _keyed(frames: dict[str, DataFrame]) -> dict:
+    return {name: (df, schema.TABLES[name][1]) for name, df in frames.items()}
+
 
-    Versions are committed first; then the model is asked for runs that are not complete; then the write sets of
-    the accepted answers, with references checked, the pointers and the completed runs in one last commit. A batch
-    that dies between the two commits is taken up again by the next one.
+def unsound(written: dict[str, DataFrame]) -> DataFrame:
+    """(run_id, fault): runs whose write set does not hold together, each with the first of its faults.
+
+    A fault of a row is told of the run that owns the row, so it stops that run alone.
     """
-    open_, sections, outcomes = prepare(store, listing, tabs, config, at)
-    answers = extracted(open_, sections, model, attempts)
-    rows = open_.join(answers, "run_id")
-    good = cut(rows.where("accepted").select("doc_id", "source_id", "run_id", "derivation", "version_id", "proposal", "recorded_at", at.alias("completed_at")))
+    links = written["links"].join(written["observations"].select("obs_id"), "obs_id")
+    rows = {
+        "evidence": written["spans"].select(F.col("evidence_id").alias("id"), "run_id"), "mentions": written["mentions"].select("id", "evidence_id", "run_id"),
+        "observations": links.select(F.concat_ws(":", "obs_id", "evidence_id").alias("id"), "evidence_id", "run_id"), "proposals": written["proposals"].select(F.col("proposal_id").alias("id"), "mention_id", "run_id"),
+    }
+    owners = None
+    for name, df in rows.items():
+        one = df.select(F.lit(name).alias("table"), "id", "run_id").distinct()
+        owners = one if owners is None else owners.unionByName(one)
+    found = records.write_set_faults({name: df.drop("run_id") for name, df in rows.items()}).join(owners, ["table", "id"])
+    return found.groupBy("run_id").agg(F.min(F.concat_ws(" ", "table", "fault")).alias("fault"))
+
+
+def finish(store: Store, claimed: DataFrame, sections: DataFrame, model: Callable[[str], str], names: DataFrame, config: Config, at: Column, attempts: int = 1) -> DataFrame:
+    """(doc_id, outcome, fault) of claimed runs, after their write sets have been committed.
+
+    The model is asked for each run. A run is completed only if its claim still holds when it is written; else it is
+    `incomplete: storage` and nothing of it is written. A run whose answer breaks a rule, or whose write set does not
+    hold together, fails alone; one whose model gives no answer is incomplete and may be claimed again.
+    """
+    rows = cut(claimed.join(extracted(claimed, sections, model, attempts), "run_id").withColumn("completed_at", at))
+    good = cut(rows.where("accepted").select("doc_id", "source_id", "run_id", "derivation", "version_id", "modified_at", "provider_version", "proposal", "recorded_at", "completed_at").dropDuplicates(["run_id"]))
     written = completion(good, names, config)
-    wrong = records.write_set_faults({
-        "evidence": written["spans"].select(F.col("evidence_id").alias("id")), "mentions": written["mentions"].select("id", "evidence_id"),
-        "observations": written["links"].join(written["observations"].select("obs_id"), "obs_id").select(F.concat_ws(":", "obs_id", "evidence_id").alias("id"), "evidence_id"),
-        "proposals": written["proposals"].select(F.col("proposal_id").alias("id"), "mention_id"),
-    })
-    if not wrong.isEmpty():
-        raise ValueError(f"a write set does not hold together: {wrong.first()}")
-    last = store.snapshot()["pointers"].groupBy("source_id").agg(F.max("seq").alias("last"))
-    pointers = good.join(last, "source_id", "left").select("source_id", "version_id", F.col("completed_at").alias("recorded_at"), (F.coalesce("last", F.lit(-1)) + 1).alias("seq"))
-    store.append({name: (df, schema.TABLES[name][1]) for name, df in (written | {"pointers": pointers}).items()})
-    outcomes = outcomes.unionByName(good.select("doc_id", F.lit("completed").alias("outcome"), F.lit(None).cast("string").alias("fault")))
-    return outcomes.unionByName(rows.where("not accepted").select("doc_id", F.lit("failed").alias("outcome"), "fault"))
-
-
-def stream(store: Store, tabs: DataFrame, model: Callable[[str], str], names: Callable[[], DataFrame], config: Config):
-    """A foreachBatch function: each micro-batch of listed documents is synced once; run again, it finds its work done."""
+    wrong = unsound(written).select("run_id", F.concat(F.lit("invalid-extraction: "), "fault").alias("_wrong"))
+    rows = cut(rows.join(wrong, "run_id", "left").withColumn("fault", F.coalesce("_wrong", "fault")).withColumn("accepted", F.col("accepted") & F.col("_wrong").isNull()).drop("_wrong"))
+    told: list[DataFrame] = []
+
+    def judge(held):
+        mine = cut(leases.held_still(rows, held["attempts"], at))
+        told.append(mine)
+        done = mine.where("accepted").select("run_id").distinct()
+        fit = good.join(done, "run_id", "left_semi")
+        new = {name: df.join(done, "run_id", "left_semi") for name, df in written.items()}
+        ended = mine.withColumn("event", F.when(F.col("accepted"), "completed").otherwise("failed")).dropDuplicates(["run_id"])
+        return _keyed(new | {"pointers": moved(fit, held), "attempts": leases.ends(ended, at)})
+
+    store.commit(judge)
+    lost = rows.join(told[0].select("doc_id"), "doc_id", "left_anti")
+    outcome = F.when(F.col("accepted"), "completed").when(F.col("fault") == "model", "incomplete").otherwise("failed")
+    return told[0].select("doc_id", outcome.alias("outcome"), "fault").unionByName(lost.select("doc_id", F.lit("incomplete").alias("outcome"), F.lit("storage").alias("fault")))
+
+
+def moved(fit: DataFrame, held: dict[str, DataFrame]) -> DataFrame:
+    """The pointers that completed versions move: each source's newest version by its time of change, a stored one included.
+
+    An older revision that comes late is stored but moves nothing; of one time the new version is taken.
+    """
+    last = held["pointers"].groupBy("source_id").agg(F.max("seq").alias("last"))
+    now = records.current_versions(held["pointers"]).join(fit.select("source_id").distinct(), "source_id", "left_semi").join(held["versions"].select("version_id", "modified_at", "provider_version"), "version_id")
+    zero = F.lit(None).cast("timestamp_ntz")
+    both = fit.select("source_id", "version_id", "modified_at", "provider_version", F.col("completed_at").alias("at"), F.lit(1).alias("fresh"))
+    both = both.unionByName(now.select("source_id", "version_id", "modified_at", "provider_version", zero.alias("at"), F.lit(0).alias("fresh")))
+    best = both.groupBy("source_id").agg(F.max_by(F.struct("version_id", "at", "fresh"), F.struct("modified_at", "fresh", "provider_version", "version_id")).alias("b")).select("source_id", "b.*").where("fresh = 1")
+    best = best.join(now.select("source_id", F.col("version_id").alias("_now")), "source_id", "left").where(~F.col("version_id").eqNullSafe(F.col("_now")))
+    return best.join(last, "source_id", "left").select("source_id", "version_id", F.col("at").alias("recorded_at"), (F.coalesce("last", F.lit(-1)) + 1).alias("seq"))
+
+
+def sync(
+    store: Store, listing: DataFrame, tabs: DataFrame, model: Callable[[str], str], names: DataFrame, config: Config, at: Column, attempts: int = 1, owner: str | None = None, lease: str = "1 HOUR",
+    done_at: Column | None = None, after: Callable[[Store, DataFrame], None] | None = None,
+) -> DataFrame:
+    """One run over a listing: (doc_id, outcome, fault) of every document, after its write set has been committed.
+
+    Versions and claims are committed first; then the model is asked for the claimed runs; then the write sets of the
+    accepted answers, with references checked, the pointers and the ended attempts in one last commit, judged at
+    `done_at` (by default `at`). A batch that dies between the two commits is taken up again when its lease is over.
+    Another sync of the same documents at the same time finds them busy. after(store, documents) is called with those
+    completed or unchanged, for what follows a complete document, such as the directory (see enriching()).
+    """
+    claimed, sections, outcomes = prepare(store, listing, tabs, config, at, owner or uuid.uuid4().hex, lease)
+    out = cut(outcomes.unionByName(finish(store, claimed, sections, model, names, config, at if done_at is None else done_at, attempts)))
+    if after is not None:
+        after(store, out.where("outcome IN ('completed', 'unchanged')").select("doc_id"))
+    return out
+
+
+def revisions(listing: DataFrame, tabs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A listing that may name a document several times, and its tabs, by document and revision: `doc_id@provider_version`.
+
+    Of rows that repeat a document and revision the last by its time of change holds. tabs with `provider_version`
+    are met by it, others are the text of every revision.
+    """
+    rows = listing.groupBy("doc_id", "provider_version").agg(F.max(F.struct("modified_at", *(c for c in listing.columns if c not in ("doc_id", "provider_version", "modified_at")))).alias("r"))
+    rows = rows.select(F.concat_ws("@", "doc_id", "provider_version").alias("_key"), F.col("doc_id").alias("provider_id"), "provider_version", "r.*")
+    own = ["provider_id", "provider_version"] if "provider_version" in tabs.columns else ["provider_id"]
+    keyed = tabs.withColumnRenamed("doc_id", "provider_id").join(rows.select("_key", *own), own).withColumnRenamed("_key", "doc_id")
+    return rows.withColumnRenamed("_key", "doc_id"), keyed.select(*TAB.names)
+
+
+def stream(store: Store, tabs: DataFrame, model: Callable[[str], str], names: Callable[[], DataFrame], config: Config, at: Callable[[], Column] | None = None, **how):
+    """A foreachBatch function: each micro-batch of listed documents is synced once; run again, it finds its work done.
+
+    A batch may hold several revisions of a document, in any order, and late ones: each becomes a version, and the
+    newest by its time of change is the current one. at: the time of a batch, by default the clock's.
+    """
 
     def run(listing: DataFrame, epoch: int) -> None:
-        sync(store, listing.dropDuplicates(["doc_id"]), tabs, model, names(), config, F.lit(None).cast("timestamp_ntz") if epoch < 0 else F.current_timestamp().cast("timestamp_ntz")).count()
+        rows, texts = revisions(listing, tabs)
+        sync(store, cut(rows), texts, model, names(), config, at() if at else F.current_timestamp().cast("timestamp_ntz"), **how)
 
     return run

@@ -69,7 +69,7 @@ def synced(spark, tmp_path_factory):
 
 def test_sync(spark, synced):
     store, names, first = synced
-    want = {"a": ("completed", ""), "b": ("failed", "invalid-extraction"), "c": ("failed", "model"), "d": ("completed", ""), "e": ("failed", "invalid-source")}
+    want = {"a": ("completed", ""), "b": ("failed", "invalid-extraction"), "c": ("incomplete", "model"), "d": ("completed", ""), "e": ("failed", "invalid-source")}
     assert first == want
     held = store.snapshot()
     assert {n: held[n].count() for n in ("sources", "versions", "sections", "spans", "mentions", "proposals", "observations", "links", "runs", "pointers")} == {
