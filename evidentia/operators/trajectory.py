@@ -12,6 +12,8 @@ from evidentia.plans.lineage import cut
 
 #: Parts that a window's times are split into for larger keys.
 PARTS = 4096
+#: Levels of blocks of time, each twice as long as the one below; a window has 2^LEVELS of the shortest at most.
+LEVELS = 16
 
 
 def _inside(start: str, end: str, kind: str, lo, hi):
@@ -116,18 +118,61 @@ def transitions(cands: DataFrame, lo, hi) -> DataFrame:
     return out.select(*KEY, "instant", "change", *(f"before_{v}" for v in VALUE), *(f"after_{v}" for v in VALUE), "before_outcome", "after_outcome")
 
 
+def _parts(t: Column, width: int) -> Column:
+    """How many whole parts lie before t."""
+    return F.call_function("div", t, F.lit(width).cast("long"))
+
+
+def cover(low: Column, high: Column, width: int, levels: int = LEVELS) -> Column:
+    """The blocks (level, block) that [low, high) is made of: at most two of each level, none twice.
+
+    A block of level k is 2^k parts of `width` long. What is left at both ends, less than a part, is told as level -1:
+    the part it lies in, of which only some times belong to the span. Times are not below 0.
+    """
+    first, last = _parts(low + width - 1, width), _parts(high, width)
+
+    def of_level(k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        a, b = F.call_function("shiftright", first + step - 1, k), F.call_function("shiftright", last, k)
+        left = F.when((a < b) & (a % 2 == 1), F.struct(k.alias("level"), a.alias("block")))
+        right = F.when((a < b) & (b % 2 == 1), F.struct(k.alias("level"), (b - 1).alias("block")))
+        return F.array(left, right)
+
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level))
+    from_, until = _parts(low, width), _parts(high - 1, width)
+    part = lambda when, at: F.when(when, F.struct(F.lit(-1).alias("level"), at.alias("block")))
+    head = part((low % width != 0) | (from_ >= last), from_)
+    tail = part((high % width != 0) & (until != from_) & (until >= last), until)
+    return F.filter(F.concat(whole, F.array(head, tail)), lambda x: x.isNotNull())
+
+
+def blocks_at(t: Column, width: int, levels: int = LEVELS) -> Column:
+    """The blocks that a time lies in: one of each level of cover(), and the part of level -1."""
+    part = _parts(t, width)
+    return F.transform(F.sequence(F.lit(-1), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", part, F.greatest(k, F.lit(0))).alias("block")))
+
+
 def material(cands: DataFrame, moves: DataFrame, lo, hi) -> DataFrame:
     """(key, instant, side, outcome, value, cls, obs_id, recorded_at): the observations that tell each transition's two sides.
 
     A side that is a fact has its supported rows, an unresolved side all rows of its candidates. moves: some
-    transitions() of the same rows; a key's rows meet only its own transitions.
+    transitions() of the same rows.
+
+    Rows meet only the transitions that they tell: each row's span is cut into a few blocks of time, each
+    transition looks into the blocks that hold it, and both are joined by key and block. A span and a time share one
+    block at most, so nothing is found twice, and a key of many rows and transitions is dealt by its blocks.
     """
+    first, last = cands.sparkSession.range(1).select(micros(_ntz(lo)), micros(_ntz(hi))).first()
+    width = max(1, -(-(last - first + 1) // (1 << LEVELS)))
     at = moves.select(*KEY, "instant", F.explode(F.array(
         F.struct(F.lit("before").alias("side"), F.col("before_outcome").alias("outcome"), (micros("instant") - 1).alias("t")),
         F.struct(F.lit("after").alias("side"), F.col("after_outcome").alias("outcome"), micros("instant").alias("t")),
     )).alias("s")).select(*KEY, "instant", "s.*").where("outcome is not null")
-    rows = spans(cands, lo, hi).join(at, KEY).where((F.col("low") <= F.col("t")) & (F.col("t") < F.col("high")))
-    return rows.where("outcome <> 'resolved' or cls = 's'").select(*KEY, "instant", "side", "outcome", *VALUE, "cls", "obs_id", "recorded_at")
+    zero = F.lit(first - 1)
+    at = at.withColumn("_b", F.explode(blocks_at(F.col("t") - zero, width))).select("*", "_b.level", "_b.block").drop("_b")
+    rows = spans(cands, lo, hi).withColumn("_b", F.explode(cover(F.col("low") - zero, F.col("high") - zero, width))).select("*", "_b.level", "_b.block").drop("_b")
+    found = rows.join(at, [*KEY, "level", "block"]).where((F.col("level") >= 0) | ((F.col("low") <= F.col("t")) & (F.col("t") < F.col("high"))))
+    return found.where("outcome <> 'resolved' or cls = 's'").select(*KEY, "instant", "side", "outcome", *VALUE, "cls", "obs_id", "recorded_at")
 
 
 def ties(told: DataFrame) -> DataFrame:
