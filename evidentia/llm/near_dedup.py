@@ -17,8 +17,8 @@ from .components import components
 CHUNK = 5
 #: Symbols of the whole signature; those outside the chunks (8 bits each) only refine the distance.
 WIDE = 256
-#: Members a comparison block of one key holds at about most; two blocks meet in a task.
-BLOCK = 256
+#: Members a comparison block of one key holds at about most (some 300 bytes each); two blocks meet in a task.
+BLOCK = 2048
 #: Pairs of two blocks that go on as rows; of more, the two blocks' sets are brought together once.
 FEW = 64
 #: Bytes of full sets that are gathered for two blocks at most; beyond it each pair brings its own two sets.
@@ -333,9 +333,10 @@ def near_duplicates(
     3. Each member of a key is compared with the key's smallest member: rows linear in the members. The
        components of the links confirmed on full sets settle most keys.
     4. Keys whose members still are in several components are compared in full, in blocks of bounded size,
-       leaving out what shares a component; only pairs within the signature distance leave a block, each
-       under one key, and are confirmed on full sets. A crowd of alike texts has many such pairs: there each
-       two blocks of the crowd meet in one task, with each set once.
+       leaving out what shares a component: members of the lead's component meet only those outside it, so they
+       are sent once for each block of outsiders, not once for each block of the crowd. Only pairs within the
+       signature distance leave a block, each under one key, and are confirmed on full sets. A crowd of alike
+       texts has many such pairs: there each two blocks of the crowd meet in one task, with each set once.
     """
     small_batches(df)
     index = Index.plan(*similar, miss=miss)
@@ -366,19 +367,23 @@ def near_duplicates(
 
     label = F.coalesce(F.col("component"), F.col("cid"))
     labelled = members.join(settled, members["cid"] == settled["node"], "left").select("key", "cid", "lead", "size", label.alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi").join(signed, "cid")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "cid").alias("main")).where("low < high")
+    rest = labelled.join(open_keys.select("key", "main"), "key").withColumn("inner", F.col("label") == F.col("main"))
+    counts = rest.groupBy("key").agg(F.count_if("inner").alias("n_main"), F.count_if(~F.col("inner")).alias("n_other"))
+    parts = [F.ceil(F.col(n) / BLOCK).cast("int").alias(p) for n, p in (("n_main", "p_main"), ("n_other", "p_other"))]
+    rest = rest.join(counts.select("key", *parts), "key").join(signed, "cid")
+    # those of the lead's component need not meet each other, only the others, who meet all
+    part = F.when(F.col("inner"), F.pmod(F.xxhash64("cid"), F.col("p_main"))).otherwise(F.col("p_main") + F.pmod(F.xxhash64("cid"), F.col("p_other"))).cast("int")
+    rest = rest.withColumn("part", part).withColumn("parts", F.shiftleft(F.col("p_main").cast("long"), 32) + F.col("p_other"))
     big_endian = [F.unhex(F.lpad(F.hex(F.col(c)), 16, "0")) for c in ("cid", "label", "n")]
     rest = rest.withColumn("member", F.concat(*big_endian, F.unhex(F.lpad(F.hex("part"), 8, "0")), "sig"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.when(F.col("inner"), F.col("p_main")).otherwise(F.lit(0)), F.col("p_main") + F.col("p_other") - 1)))
     blocks = rest.groupBy("key", "lead", "parts", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     blocks = blocks.agg(F.collect_list("member").alias("members"))
-    found = cut_lineage(blocks.mapInPandas(_block_pairs(index), "lead long, parts int, i int, j int, n int, pairs binary"))
+    found = cut_lineage(blocks.mapInPandas(_block_pairs(index), "lead long, parts long, i int, j int, n int, pairs binary"))
     pairs = found.where(F.col("n") <= FEW).mapInPandas(_pair_rows, "a long, b long")
     many = found.where(F.col("n") > FEW)
-    crowd = cut_lineage(many.mapInPandas(_pair_members, "lead long, parts int, i int, j int, cid long").distinct())
+    crowd = cut_lineage(many.mapInPandas(_pair_members, "lead long, parts long, i int, j int, cid long").distinct())
     sets = _made_sets(_ids(pairs).unionByName(crowd.select("cid")), reps, texts, width)
 
     # an id with several sets joins their classes
