@@ -11,7 +11,7 @@ from evidentia.functions import evidence as ev
 from evidentia.functions import order
 from evidentia.functions import text as tx
 from evidentia.functions import timeaxis as ta
-from evidentia.operators import authority, checks, citations, directory, records, review, state
+from evidentia.operators import authority, checks, citations, directory, identity, records, review, state
 from evidentia.queries import _TREND, _W1, A, B, B2, C, K, _cands_sql, _state_sql, _ts, cands, ntz, query
 from evidentia.record_queries import batch_of, batch_sql
 from evidentia.schema import TAB_ROLES
@@ -407,3 +407,39 @@ def projected_proposals(p):
     rows = review.projected_proposals(proposals, mentions, lines.select(F.col("l_orderkey").alias("proposal_id"), "position", "evidence_id"), spans, candidates, entities)
     quotes = F.array_join(F.transform("evidence", lambda e: e["quote"]), " ")
     return rows.select("proposal_id", "surface", F.when(F.size("evidence") > 0, quotes).alias("quotes"), F.get("candidates", F.lit(0))["display_name"].alias("first_name"))
+
+
+@query(
+    "SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 3 = 0 THEN 'none' WHEN c_custkey % 5 = 0 THEN 'automatic' ELSE 'ranked' END AS outcome, CASE WHEN c_custkey % 3 <> 0 THEN 'e' || c_custkey END AS entity_id FROM customer"
+)
+def person_outcomes(p):
+    """Only persons are ever who a mention is: a third of the entities that have the name and the address are places."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "place").otherwise("person").alias("kind")
+    entity, mail = F.concat(F.lit("e"), k).alias("entity_id"), F.concat(k.cast("string"), F.lit("@x.org")).alias("email")
+    mentions = p["customer"].select(k.alias("mention_id"), F.lower("c_name").alias("name"), F.when(k % 5 == 0, mail).otherwise("").alias("email"))
+    out = identity.resolve(mentions, p["customer"].select(entity, F.lower("c_name").alias("name"), F.lit(False).alias("is_alias"), kind), p["customer"].select(entity, mail, kind))
+    return out.select("mention_id", "outcome", "entity_id")
+
+
+@query(
+    "SELECT 'm' || c_custkey AS mention_id, CASE c_custkey % 4 WHEN 0 THEN 'reused' WHEN 2 THEN 'waiting' ELSE 'ask' END AS state, CASE WHEN c_custkey % 2 = 0 THEN 'source' ELSE 'cited' END AS binding FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 13 <> 0"
+)
+def directory_pending(p):
+    """Mentions that wait for the directory: with a fresh answer, with a retry that is not due, with an old answer or none;
+    those decided, of runs not admitted, and of versions no longer current are none of them."""
+    k, c = F.col("c_custkey"), p["customer"]
+    name = lambda x: F.concat(F.lit(x), k)
+    null, t = F.lit(None).cast("string"), ntz(A)
+    ago = lambda days: t - F.expr(f"INTERVAL {days} DAYS")
+    mail = F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@x.org"))
+    admission = lambda kind, of: c.where("c_custkey % 11 <> 0" if kind == "extraction_run" else "true").select(F.concat(F.lit(kind), k).alias("id"), F.lit(kind).alias("target_kind"), name(of).alias("target_id"), F.lit("admitted").alias("outcome"), t.alias("recorded_at"), null.alias("supersedes_id"))
+    lookups = c.where("c_custkey % 4 <> 3").select(name("m").alias("mention_id"), F.when(k % 4 == 2, "rate_limited").otherwise("matched").alias("outcome"), F.when(k % 4 == 0, ago(3)).otherwise(ago(90)).alias("attempted_at"), F.when(k % 4 == 2, t + F.expr("INTERVAL 1 HOUR")).alias("retry_after"))
+    held = {
+        "pointers": c.select(name("s").alias("source_id"), F.when(k % 13 == 0, name("w")).otherwise(name("v")).alias("version_id"), t.alias("recorded_at"), F.lit(0).cast("long").alias("seq")),
+        "runs": c.select(name("r").alias("run_id"), name("v").alias("version_id"), F.lit("completed").alias("outcome")), "admissions": admission("extraction_run", "r").unionByName(admission("mention", "m")), "lookups": lookups,
+        "mentions": c.select(name("m").alias("id"), name("q").alias("evidence_id"), name("r").alias("run_id"), F.col("c_name").alias("surface"), F.lower("c_name").alias("normalized_name"), mail.alias("proposed_email"), name("q").alias("email_evidence_id")),
+        "proposals": c.select(name("m").alias("mention_id"), name("p").alias("proposal_id")), "spans": c.select(name("q").alias("evidence_id"), F.concat("c_name", F.lit(" <"), mail, F.when(k % 2 == 0, ">").otherwise("> wrote")).alias("quote")),
+        "decisions": c.where("c_custkey % 7 = 0").select(name("d").alias("id"), name("p").alias("proposal_id"), t.alias("recorded_at"), null.alias("supersedes_id")),
+    }
+    return directory.pending(held, t, "30 DAYS").select("mention_id", "state", "binding")

@@ -12,9 +12,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions.evidence import opaque_id
-from evidentia.operators.authority import effective
+from evidentia.functions.text import normalize_email, source_mailbox, valid_email
+from evidentia.operators import records
+from evidentia.operators.authority import admitted, effective
 from evidentia.operators.review import owner_choice
 from evidentia.plans.lineage import cut
 
@@ -53,16 +56,67 @@ def questions(mentions: DataFrame, domains: list[str]) -> DataFrame:
     return rows.select("mention_id", "proposal_id", "kind", F.when(F.col("kind") == "email", F.col("email")).otherwise(F.col("name")).alias("value"), F.when(F.col("kind") == "email", F.col("binding")).otherwise("none").alias("binding"))
 
 
-def searched(asked: DataFrame, ask: Callable, attempts: int = 2, wait: float = 0.0) -> DataFrame:
+@F.pandas_udf(T.StringType())
+def _binding(name_quote: pd.Series, email_quote: pd.Series, name: pd.Series, email: pd.Series) -> pd.Series:
+    """How an address is grounded: `source` if its quote is exactly this name and mailbox, else `cited`."""
+    quotes = [e or n or "" for n, e in zip(name_quote, email_quote, strict=True)]
+    return pd.Series([None if not m else "source" if source_mailbox(q, n or "", m) else "cited" for q, n, m in zip(quotes, name, email, strict=True)], dtype=object)
+
+
+def pending(held: dict[str, DataFrame], at: Column, fresh: str, retry: str = "1 HOUR") -> DataFrame:
+    """Mentions that still have to be resolved, as questions() takes them, with `state`: `ask`, `reused` or `waiting`.
+
+    A mention counts if its run is complete, admitted and of its source's current version, if it is admitted itself,
+    and if its proposal has no effective decision. reused: its last lookup that came to something (matched, no_match,
+    ambiguous, review) is not older than `fresh`. waiting: one that may be tried again is not due yet; its
+    retry_after says when, else it is `retry` after the attempt. held: the tables of a store.
+    """
+    known = records.current_versions(held["pointers"]).select("version_id").distinct()
+    runs = held["runs"].where("outcome = 'completed'").join(known, "version_id", "left_semi").join(admitted(held["admissions"], "extraction_run").select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    rows = held["mentions"].join(runs.select("run_id"), "run_id", "left_semi").join(admitted(held["admissions"], "mention"), "id", "left_semi").withColumnRenamed("id", "mention_id")
+    rows = rows.join(held["proposals"].select("mention_id", "proposal_id"), "mention_id").join(effective(held["decisions"]).select("proposal_id").distinct(), "proposal_id", "left_anti")
+    quotes = held["spans"].select("evidence_id", "quote")
+    rows = rows.join(quotes.withColumnRenamed("quote", "_name_quote"), "evidence_id", "left")
+    rows = rows.join(quotes.select(F.col("evidence_id").alias("email_evidence_id"), F.col("quote").alias("_email_quote")), "email_evidence_id", "left")
+    done = F.col("outcome").isin("matched", "no_match", "ambiguous", "review")
+    due = F.coalesce("retry_after", F.col("attempted_at") + F.expr(f"INTERVAL {retry}"))
+    tried = held["lookups"].withColumns({"_fresh": done & (F.col("attempted_at") >= at - F.expr(f"INTERVAL {fresh}")), "_wait": F.col("outcome").isin(*RETRYABLE) & (due > at)})
+    tried = tried.groupBy("mention_id").agg(F.max("_fresh").alias("_fresh"), F.max("_wait").alias("_wait"))
+    email = normalize_email(F.col("proposed_email"))
+    rows = rows.withColumn("email", email).withColumn("binding", F.coalesce(_binding("_name_quote", "_email_quote", "surface", "email"), F.lit("none")))
+    state = F.when(F.coalesce("_fresh", F.lit(False)), "reused").when(F.coalesce("_wait", F.lit(False)), "waiting").otherwise("ask")
+    return rows.join(tried, "mention_id", "left").select("mention_id", "proposal_id", F.col("normalized_name").alias("name"), "email", valid_email(F.coalesce("email", F.lit(""))).alias("email_ok"), "binding", state.alias("state"))
+
+
+class Bucket:
+    """Tokens that fill at a rate up to a burst; take() waits only where none is left."""
+
+    def __init__(self, per_second: float, burst: int = 1, clock=time.monotonic, sleep=time.sleep):
+        self.rate, self.burst, self.clock, self.sleep = per_second, burst, clock, sleep
+        self.tokens, self.at = float(burst), clock()
+
+    def take(self) -> None:
+        now = self.clock()
+        self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.rate), now
+        if self.tokens < 1:
+            self.sleep((1 - self.tokens) / self.rate)
+            self.tokens, self.at = 1.0, self.clock()
+        self.tokens -= 1
+
+
+def searched(asked: DataFrame, ask: Callable, attempts: int = 2, wait: float = 0.0, per_second: float | None = None, tasks: int | None = None) -> DataFrame:
     """The questions with `outcome`, `profiles` and `tries`: each distinct question is put to the directory once.
 
     ask(kind, value) gives {"outcome": one of OUTCOMES or None, "profiles": [...]}; what fails is `unavailable`, what
     is no such answer `invalid_response`. A retryable outcome is tried again, at most `attempts` times in all, after
-    `wait` seconds. Profiles count only where no outcome is given.
+    `wait` seconds. Profiles count only where no outcome is given. per_second bounds the calls of each task, tasks the
+    tasks that ask, so the directory hears at most their product.
     """
 
-    def one(kind, value):
+    def one(kind, value, bucket):
         for tries in range(1, max(1, attempts) + 1):
+            if bucket:
+                bucket.take()
             try:
                 got = ask(kind, value)
                 outcome, profiles = got.get("outcome"), got.get("profiles") or []
@@ -79,11 +133,13 @@ def searched(asked: DataFrame, ask: Callable, attempts: int = 2, wait: float = 0
         return outcome, held, tries
 
     def run(batches):
+        bucket = Bucket(per_second) if per_second else None
         for pdf in batches:
-            got = [one(k, v) for k, v in zip(pdf["kind"], pdf["value"], strict=True)]
+            got = [one(k, v, bucket) for k, v in zip(pdf["kind"], pdf["value"], strict=True)]
             yield pd.DataFrame({"kind": pdf["kind"], "value": pdf["value"], "outcome": [g[0] for g in got], "profiles": [g[1] for g in got], "tries": [g[2] for g in got]})
 
-    answers = asked.select("kind", "value").distinct().mapInPandas(run, f"kind string, value string, outcome string, profiles {PROFILES}, tries int")
+    distinct = asked.select("kind", "value").distinct()
+    answers = (distinct.coalesce(tasks) if tasks else distinct).mapInPandas(run, f"kind string, value string, outcome string, profiles {PROFILES}, tries int")
     return asked.join(answers, ["kind", "value"])
 
 
@@ -219,6 +275,17 @@ def enrich(work: DataFrame, answer: Callable[[DataFrame], DataFrame], state: dic
     return rows, writes(rows, at)
 
 
+def fresh_writes(written: dict[str, DataFrame], held: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """writes() without what the store has already: entities, candidates, aliases, and links that were staged before."""
+    out = dict(written)
+    for name, key in (("entities", ["id"]), ("candidates", ["proposal_id", "entity_id"]), ("decisions", ["id"]), ("aliases", ["decision_id", "kind", "value"]), ("profiles", ["provider", "subject_id", "observed_at"])):
+        out[name] = out[name].join(held[name].select(*key), key, "left_anti")
+    key = ["provider", "subject_id", "entity_id", "proposal_id"]
+    stands = held["directory_links"].select(*key, F.coalesce("decision_id", F.lit("")).alias("_d")).distinct()
+    out["directory_links"] = out["directory_links"].withColumn("_d", F.coalesce("decision_id", F.lit(""))).join(stands, [*key, "_d"], "left_anti").drop("_d")
+    return out
+
+
 def accept_candidates(commands: DataFrame, stored_links: DataFrame, decisions: DataFrame, entities: DataFrame) -> DataFrame:
     """A reviewer's acceptance of staged candidates, with `verdict`: ok, not-staged, unknown-entity, owned (another entity
     has the provider's subject), or decided.

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def persons(df: DataFrame) -> DataFrame:
+    """Rows of named entities; where the frame tells their `kind`, of persons only: nothing else is ever who a mention is."""
+    rows = df.where("trim(entity_id) <> ''")
+    return rows.where("kind = 'person'").drop("kind") if "kind" in df.columns else rows
+
+
 def email_matches(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """mention_id, n_owners and the entity if exactly one owns the (normalised) address.
 
-    mentions: (mention_id, email); aliases: (entity_id, email).
+    mentions: (mention_id, email); aliases: (entity_id, email) and, if known, kind.
     """
-    owners = aliases.where("email <> ''").groupBy("email").agg(F.count_distinct("entity_id").alias("n_owners"), F.min("entity_id").alias("entity_id"))
+    owners = persons(aliases).where("email <> ''").groupBy("email").agg(F.count_distinct("entity_id").alias("n_owners"), F.min("entity_id").alias("entity_id"))
     hit = mentions.where("email <> ''").join(owners, "email")
     return hit.select("mention_id", "n_owners", F.when(F.col("n_owners") == 1, F.col("entity_id")).alias("entity_id"))
 
@@ -25,8 +31,8 @@ def name_confidence(mention_tokens: Column, tokens: Column) -> Column:
 def rank_names(mentions: DataFrame, names: DataFrame, top: int | None = None) -> DataFrame:
     """All entities that share a word with a mention, by confidence, then id: (mention_id, rank, entity_id, confidence, via).
 
-    mentions: (mention_id, name), names: (entity_id, name, is_alias), all normalised; names with @ take no
-    part. An alias counts only where it is strictly better than the display name. top: how many to give of each
+    mentions: (mention_id, name), names: (entity_id, name, is_alias) and, if known, kind, all normalised; names with @
+    take no part, and of kinds only persons. An alias counts only where it is strictly better than the display name. top: how many to give of each
     mention (a report); by default all.
 
     Equal names are compared once: distinct mention names meet distinct names of entities under the words that
@@ -35,7 +41,7 @@ def rank_names(mentions: DataFrame, names: DataFrame, top: int | None = None) ->
     """
     clean = lambda df: df.where("name <> '' AND NOT contains(name, '@')")
     spoken = clean(mentions).select("name").distinct().withColumn("m", F.split("name", " "))
-    held = clean(names).select("entity_id", "name", "is_alias").distinct()
+    held = clean(persons(names)).select("entity_id", "name", "is_alias").distinct()
     known = held.select(F.col("name").alias("known")).distinct().withColumn("k", F.split("known", " "))
     left = spoken.select("name", "m", F.explode(F.array_distinct("m")).alias("token"))
     right = known.select("known", "k", F.explode(F.array_distinct("k")).alias("token"))
@@ -65,7 +71,7 @@ def resolve(mentions: DataFrame, names: DataFrame, emails: DataFrame) -> DataFra
     """Each mention's one outcome: `automatic` with the entity that alone owns its address, else `ranked` candidates or `none`.
 
     mentions: (mention_id, name, email), names: (entity_id, name, is_alias), emails: (entity_id, email), all
-    normalised. (mention_id, outcome, entity_id, rank, confidence, reason): one row if automatic or none, else one
+    normalised, both with `kind` if it is known: only persons count. (mention_id, outcome, entity_id, rank, confidence, reason): one row if automatic or none, else one
     row for each candidate. An address owned by several entities makes each of them no match.
     """
     exact = email_matches(mentions.select("mention_id", "email"), emails).where("entity_id is not null").select("mention_id", "entity_id")

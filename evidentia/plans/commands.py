@@ -23,7 +23,7 @@ def _commit(store: Store, judge: Callable[[dict[str, DataFrame]], tuple[DataFram
         return {name: (df, schema.TABLES[name][1]) for name, df in rows.items()}
 
     store.commit(run, batch)
-    return told[0] if told else store.spark.createDataFrame([], "id string, verdict string")
+    return told[0] if told else store.spark.createDataFrame([], "id string, verdict string")  # the batch is committed already
 
 
 def append_decisions(store: Store, new: DataFrame, aliases: DataFrame | None = None, batch: str | None = None) -> DataFrame:
@@ -86,3 +86,25 @@ def accept_directory_candidates(store: Store, commands: DataFrame, batch: str |
         return judged, directory.accepted_writes(judged, held["proposals"])
 
     return _commit(store, judge, batch)
+
+
+def enrich_directory(store: Store, answer: Callable[[DataFrame], DataFrame], domains: list[str], at: Column, fresh: str = "7 DAYS", retry: str = "1 HOUR", batch: str | None = None) -> DataFrame:
+    """One run of the directory over what is pending: (mention_id, state, kind, value, verdict, authority, entity_id).
+
+    Mentions with a fresh answer or a retry that is not due are told and not asked (see directory.pending). The rest
+    are asked once each, before the store is held; what the answers decide is judged against the tables as they stand
+    then, and written in one commit: profiles, lookups, entities, candidates, decisions with aliases, and links.
+    answer: directory.searched() or found() with their directory bound.
+    """
+    work = cut(directory.pending(store.snapshot(), at, fresh, retry))
+    asked = directory.questions(work.where("state = 'ask'").drop("state"), domains)
+    answers = cut(answer(asked))
+
+    def judge(held):
+        open_ = answers.join(authority.effective(held["decisions"]).where("authority = 'reviewer'").select("proposal_id").distinct(), "proposal_id", "left_anti")
+        owners, links = directory.email_owners(held["aliases"], held["decisions"]), directory.provider_owners(held["directory_links"], held["decisions"])
+        rows = cut(directory.judged(directory.evaluated(open_, owners, links, domains), held["decisions"], owners, links, held["directory_links"]))
+        told = work.join(rows.select("mention_id", "kind", "value", "verdict", "authority", "entity_id"), "mention_id", "left")
+        return told.select("mention_id", "state", "kind", "value", "verdict", "authority", "entity_id"), directory.fresh_writes(directory.writes(rows, at, retry), held)
+
+    return _commit(store, judge, batch)

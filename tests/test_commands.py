@@ -157,3 +157,51 @@ def test_enrichment_asks_once(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), TABLES)
     store.append({n: (df, schema.TABLES[n][1]) for n, df in written.items()})
     assert sorted(p.name.rsplit("-", 1)[0] for p in log.iterdir()) == ["email-ana@x.org", "name-bo"]
+
+
+def test_a_directory_run(spark, tmp_path):
+    """New mentions are asked, fresh answers are reused, a retry waits until it is due; everything is one commit, and a run again adds nothing."""
+    from test_ingest import CONFIG, answers, listing, now, tabs
+
+    from evidentia.streaming import sync
+
+    store, log = Store(spark, str(tmp_path / "store"), TABLES), tmp_path / "asked"
+    log.mkdir()
+    names = spark.createDataFrame([], "entity_id string, name string, is_alias boolean")
+    sync.sync(store, listing(spark, "ad"), tabs(spark), answers(), names, CONFIG, now()).count()
+
+    def ask(kind, value):
+        (log / f"{value}-{time.time_ns()}").touch()
+        if value == "bo li":
+            return {"outcome": "rate_limited"}
+        return {"profiles": [{"provider": "d", "subject_id": value, "source": "domain_profile", "display_name": "Ana Diaz", "emails": [value]}]}
+
+    def run(days, hours=0):
+        for f in log.iterdir():
+            f.unlink()
+        at = F.lit(datetime(2041, 5, 6 + days, 12 + hours)).cast("timestamp_ntz")
+        out = commands.enrich_directory(store, lambda q: directory.searched(q, ask, attempts=1, per_second=100.0, tasks=1), ["x.org"], at, fresh="7 DAYS", retry="2 HOURS")
+        return sorted((r["state"], r["kind"] or "", r["verdict"] or "", r["authority"] or "") for r in out.collect()), sorted(f.name.rsplit("-", 1)[0] for f in log.iterdir())
+
+    first = [("ask", "email", "review", "staged")] * 2 + [("ask", "name", "rate_limited", "none")] * 2
+    assert run(0) == (first, ["ana@x.org", "bo li"])
+    held = store.snapshot()
+    assert (held["lookups"].count(), held["profiles"].count(), held["entities"].count(), held["decisions"].count(), held["directory_links"].count(), held["candidates"].count()) == (4, 1, 1, 0, 2, 2)
+    assert run(0, 1) == ([("reused", "", "", "")] * 2 + [("waiting", "", "", "")] * 2, [])
+    assert run(0, 3) == ([("ask", "name", "rate_limited", "none")] * 2 + [("reused", "", "", "")] * 2, ["bo li"])
+    assert run(9)[1] == ["ana@x.org", "bo li"]
+    held = store.snapshot()
+    assert (held["entities"].count(), held["directory_links"].count(), held["candidates"].count(), held["lookups"].count()) == (1, 2, 2, 10)
+
+
+def test_a_bucket_bounds_the_calls():
+    clock = [0.0]
+    bucket = directory.Bucket(2.0, 3, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
+    at = []
+    for _ in range(7):
+        bucket.take()
+        at.append(round(clock[0], 6))
+    assert at == [0, 0, 0, 0.5, 1.0, 1.5, 2.0]
+    clock[0] += 100
+    bucket.take()
+    assert clock[0] == 102.0 and bucket.tokens == 2.0
