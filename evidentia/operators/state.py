@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.timeaxis import reach
 from evidentia.operators.sweep import DAY, WHOLE, running, turns
+from evidentia.plans.lineage import cut
 
 KEY = ["subject_kind", "subject_ref", "predicate"]
 VALUE = ["object_kind", "object_ref"]
@@ -70,15 +71,20 @@ def values(classified: DataFrame, sel: list[str]) -> DataFrame:
     )
 
 
-def overlapping_keys(classified: DataFrame, of_values: DataFrame, sel: list[str]) -> DataFrame:
+def overlapping_keys(classified: DataFrame, of_values: DataFrame, sel: list[str], at_point: bool = False) -> DataFrame:
     """Keys of which two different supported values hold at one instant.
 
     A sweep instead of pairs: a value holds while any of its extents is open, and a key overlaps where two
     values hold. Only keys with several supported values come here. A key's rows are brought together once, if
-    there are few (WHOLE); the times of a larger key are split by days, so that it is shared among tasks.
+    there are few (WHOLE); the times of larger keys are split by days, so that they are shared among tasks, and
+    without any such key there is no second branch. At one instant (at_point) several supported values overlap.
     """
     key = [*sel, *KEY]
     several = of_values.groupBy(*key).agg(F.sum("s").alias("ns"), F.sum("n_supported_rows").alias("rows")).where("ns > 1").select(*key, "rows")
+    if at_point:
+        return several.select(*key)
+    several = cut(several)
+    largest = several.agg(F.max("rows")).first()[0] or 0
     low, high = reach()
     rows = classified.where("cls = 's'").join(several, key).select(*key, *VALUE, "rows", low.alias("low"), high.alias("high"))
 
@@ -89,6 +95,8 @@ def overlapping_keys(classified: DataFrame, of_values: DataFrame, sel: list[str]
         return running(steps, key, ["step"], span).where("step_now > 1").select(*key).distinct()
 
     small = rows.where(F.col("rows") <= WHOLE).repartition(*key)
+    if largest <= WHOLE:
+        return overlapping(small, None)
     return overlapping(small, None).unionByName(overlapping(rows.where(F.col("rows") > WHOLE), DAY))
 
 
@@ -115,12 +123,16 @@ def keys(of_values: DataFrame, overlapping: DataFrame, sel: list[str]) -> DataFr
     return one.select(*key, outcome.alias("outcome"), *held, "n_values", "n_supported", "n_counter", *first)
 
 
-def aggregate(cands: DataFrame, eligible: Column, uncertain: Column, sel: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classified rows, value table, key table) of the selection that the two columns state."""
+def aggregate(cands: DataFrame, eligible: Column, uncertain: Column, sel: list[str] | None = None, at_point: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classified rows, value table, key table) of the selection that the two columns state.
+
+    The value table is cut: overlaps and keys both start from it, so rows are aggregated once. at_point: the selection
+    is one instant.
+    """
     sel = sel or []
     rows = classify(cands, eligible, uncertain)
-    of_values = values(rows, sel)
-    return rows, of_values, keys(of_values, overlapping_keys(rows, of_values, sel), sel)
+    of_values = cut(values(rows, sel))
+    return rows, of_values, keys(of_values, overlapping_keys(rows, of_values, sel, at_point), sel)
 
 
 def provenance(classified: DataFrame, of_keys: DataFrame, links: DataFrame, sel: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -133,18 +145,6 @@ def provenance(classified: DataFrame, of_keys: DataFrame, links: DataFrame, sel:
     return rows.join(links, "obs_id", "left").select(*key, *VALUE, "outcome", "cls", "obs_id", *(carry or []), *(c for c in links.columns if c != "obs_id"))
 
 
-def fact_ids(told: DataFrame, sel: list[str] | None = None) -> DataFrame:
-    """provenance() folded: per selection, key and value the sorted ids of its observations and of its evidence by role.
-
-    A row holds all ids of its value, so this is for selections whose facts are bounded; provenance() is not.
-    """
-    ids = lambda c: F.sort_array(F.collect_set(c))
-    return told.groupBy(*(sel or []), *KEY, *VALUE, "outcome").agg(
-        ids("obs_id").alias("obs_ids"), ids(F.when(F.col("role") == "supporting", F.col("evidence_id"))).alias("supporting_ids"),
-        ids(F.when(F.col("role") == "contradicting", F.col("evidence_id"))).alias("contradicting_ids"),
-    )
-
-
 def compare(of_keys: DataFrame, before: str, after: str, label: str = "label") -> DataFrame:
     """Added, removed and changed keys between two labels; keys unresolved on either side have kind `unresolved`."""
     side = lambda name, tag: of_keys.where(F.col(label) == name).select(*KEY, F.col("outcome").alias(f"{tag}_outcome"), *(F.col(v).alias(f"{tag}_{v}") for v in VALUE))

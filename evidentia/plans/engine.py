@@ -185,7 +185,7 @@ class Engine:
     def _states(self, r: Request, read: Read):
         """(keys, values, told) of all selections, aggregated in one pass."""
         rows, eligible, uncertain = state.labelled(read.rows, {s.label: self._rules(s)[0] for s in r.selections})
-        classified, of_values, keys = state.aggregate(rows, eligible, uncertain, sel=["label"])
+        classified, of_values, keys = state.aggregate(rows, eligible, uncertain, sel=["label"], at_point=r.intent == POINT)
         keys, of_values = cut(keys), cut(of_values)
         return keys, of_values, cut(state.provenance(classified, keys, read.links, ["label"], list(render.CONTRIBUTION)))
 

@@ -192,12 +192,12 @@ def window_outcomes(p):
 
 @query(f", {_cands_sql()}, {_state_sql('p', 'cand', _point(_PEL, _ts(P)), _point(_PUN, _ts(P)))} {_KEYS.replace('{t}', 'p')}", "fx_evidence")
 def point_state(p):
-    return _keys_out(state.aggregate(cands(p), *ta.at_point(ntz(P)))[2])
+    return _keys_out(state.aggregate(cands(p), *ta.at_point(ntz(P)), at_point=True)[2])
 
 
 @query(f", {_cands_sql(K)}, {_state_sql('p', 'cand', _point(_PEL, _ts(P)), _point(_PUN, _ts(P)))} {_KEYS.replace('{t}', 'p')}", "fx_evidence")
 def point_state_asof(p):
-    return _keys_out(state.aggregate(cands(p, K), *ta.at_point(ntz(P)))[2])
+    return _keys_out(state.aggregate(cands(p, K), *ta.at_point(ntz(P)), at_point=True)[2])
 
 
 _TREND = f""", {_cands_sql()}, {_state_sql('a', 'cand', *_W1)}, {_state_sql('b', 'cand', _window(_EL, _ts(B2), _ts(C)), _window(_UN, _ts(B2), _ts(C)))},

@@ -1,6 +1,5 @@
 """Reviewer commands and the write set of an accepted extraction."""
 
-import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -34,16 +33,3 @@ def test_automatic_accepts(spark):
     candidates = spark.createDataFrame([("p1", "e1", "exact-email", "a@x"), ("p1", "e2", "name", None), ("p2", "e1", "exact-email", "a@x"), ("p2", "e2", "exact-email", "a@x"), ("p3", "e3", "exact-email", "b@x")], "proposal_id string, entity_id string, reason string, email string")
     grounded = spark.createDataFrame([("p1", "a@x"), ("p2", "a@x"), ("p3", "c@x")], "proposal_id string, email string")
     assert [tuple(r) for r in review.automatic_accepts(proposals, candidates, grounded).collect()] == [("p1", "e1", "a@x")]
-
-
-def test_fan_out(spark):
-    p = {
-        "meeting_date": "2024-05-05", "citations": [{"id": "c1", "section_id": "body", "start": 0, "end": 3, "quote": "Ana"}],
-        "people": [{"id": "p1", "name": "Ana", "email": None, "citation_ids": ["c1"]}, {"id": "p2", "name": "Bo", "email": None, "citation_ids": ["c1"]}],
-        "statements": [], "signals": [{"id": "g1", "subject_id": "p1", "object_id": "p2", "category": "support_advocacy", "direction": "mixed", "citation_ids": ["c1"]}],
-    }
-    out = review.fan_out(spark.createDataFrame([("r1", "v1", json.dumps(p), NOW)], "run_id string, version_id string, proposal string, recorded_at timestamp_ntz"))
-    o, link = out["observations"].first(), out["links"].first()
-    mentions = {r["surface"]: r["id"] for r in out["mentions"].collect()}
-    assert (o["subject_ref"], o["object_ref"], o["valid_start"], o["status"]) == (mentions["Ana"], mentions["Bo"], datetime(2024, 5, 5), "inferred")
-    assert (link["obs_id"], link["evidence_id"]) == (o["obs_id"], out["evidence"].first()["id"])
