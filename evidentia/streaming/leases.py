@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Commands: (run_id, at, command_id, action claim|complete|fail, owner); `at` and leases are microseconds.
 OUTPUT = "run_id string, command_id long, outcome string, attempt int"
@@ -68,6 +69,59 @@ def stream(commands: DataFrame, lease: int) -> DataFrame:
     return commands.groupBy("run_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class Runs(StatefulProcessor):
+    """A run's state with timers: one ends its lease, one forgets it `keep` microseconds after it was completed."""
+
+    def __init__(self, lease: int, keep: int):
+        self.lease, self.keep = lease, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("run", STATE)
+
+    def _wake(self, state: tuple) -> None:
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        if state[0] == "active":
+            self.handle.registerTimer(-(-state[4] // 1000))
+        elif state[0] == "completed":
+            self.handle.registerTimer(-(-(state[5] + self.keep) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.held.get()) if self.held.exists() else FRESH
+        out = []
+        for c in pd.concat(list(rows)).sort_values(["at", "command_id"]).itertuples():
+            state, outcome = advance(state, c.at, c.action, c.owner, self.lease)
+            out.append((key[0], c.command_id, outcome, state[1]))
+        self.held.update(state)
+        self._wake(state)
+        yield pd.DataFrame(out, columns=["run_id", "command_id", "outcome", "attempt"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, now = tuple(self.held.get()) if self.held.exists() else FRESH, expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if state[0] == "active" and state[4] <= now:
+            self.held.update(("failed", *state[1:]))
+            yield pd.DataFrame([(key[0], None, "expired", state[1])], columns=["run_id", "command_id", "outcome", "attempt"]).astype({"command_id": "Int64"})
+        elif state[0] == "completed":
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def timed_stream(commands: DataFrame, lease: int, keep: int, delay: str = "0 seconds") -> DataFrame:
+    """stream() with timers by event time: a lease that runs out gives a row `expired` (its command_id is null), and a
+    completed run is forgotten `keep` microseconds after its last command, so state doesn't grow for ever.
+
+    Commands later than `delay` behind the latest seen are left out, as Spark does with late rows. Needs the RocksDB state
+    store (spark.sql.streaming.stateStore.providerClass).
+    """
+    timed = commands.withColumn("_time", F.timestamp_micros("at")).withWatermark("_time", delay)
+    return timed.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=Runs(lease, keep), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+    )
+
+
 def standing(attempts: DataFrame) -> DataFrame:
     """(run_id, number, owner, lease_until, ended): each run's last attempt, and how it ended if it has.
 
