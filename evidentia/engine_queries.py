@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators import authority, directory, identity, records, review
+from evidentia.operators import authority, directory, documents, identity, records, review, seals
 from evidentia.plans.engine import Engine
 from evidentia.plans.request import CAUSAL, POINT, TRAJECTORY, TREND, At, Between, Request
 from evidentia.queries import _BEL, _BOUNDS, _BUN, _KEYS, _PEL, _PUN, _TRAJECTORY, A, B, B2, C, D, K, P, _point, _resolved_sql, _state_sql, _ts, _W1, _window, _EL, _UN, ntz, query
@@ -76,6 +76,37 @@ def engine_point(p):
     return told.select("subject_ref", "predicate", "object_ref", "outcome", "cls", "obs_id", "status", "recorded_at", "evidence_id", "role")
 
 
+_QUOTE = "ünited."
+
+
+def _documents(links: DataFrame) -> dict[str, DataFrame]:
+    """A document of two sections for each piece of evidence, which quotes the second; sealed as a store has them."""
+    one, at, i = links.select("evidence_id").distinct(), ntz("1990-01-01 00:00:00"), F.col("evidence_id")
+    null = F.lit(None).cast("string")
+    section = lambda n, title, text: one.select(F.concat(F.lit("v:"), i).alias("version_id"), F.lit(f"s{n}").alias("section_id"), F.lit(title).alias("title"), null.alias("parent_id"), F.array(F.lit(title)).alias("path"), F.lit(n).cast("long").alias("section_order"), F.lit("notes").alias("role"), text.alias("content"))
+    sections = section(0, "Cover", F.concat(F.lit("Cover of "), i)).unionByName(section(1, "Note", F.concat(F.lit("On "), i, F.lit(f": {_QUOTE}"))))
+    start = (F.octet_length(i) + 5).cast("long")
+    spans = one.select(i, F.concat(F.lit("v:"), i).alias("version_id"), F.lit("s1").alias("section_id"), start.alias("start_byte"), (start + len(_QUOTE.encode())).alias("end_byte"), F.lit(_QUOTE).alias("quote"), at.alias("recorded_at"))
+    sources = one.select(F.concat(F.lit("s:"), i).alias("source_id"), F.lit("desk").alias("provider"), i.alias("provider_id"), at.alias("recorded_at"))
+    versions = one.select(F.concat(F.lit("v:"), i).alias("version_id"), F.concat(F.lit("s:"), i).alias("source_id"), F.lit("desk").alias("provider"), i.alias("provider_id"), F.concat(F.lit("Log "), i).alias("title"), F.concat(F.lit("log/"), i).alias("locator"), F.lit("1").alias("provider_version"), at.alias("modified_at"), F.lit(None).cast("timestamp_ntz").alias("source_time"), at.alias("recorded_at"))
+    versions = versions.join(documents.version_records(versions, sections).select("version_id", "digest"), "version_id")
+    return {"sections": sections, "spans": spans, "sources": sources, "versions": versions}
+
+
+@query(
+    _POINT + f" SELECT c.subject_ref, c.predicate, c.obs_id, e.evidence_id, e.role, 'v:' || e.evidence_id AS version_id, 's:' || e.evidence_id AS source_id, 's1' AS section_id, 'Note' AS section_title, CAST(1 AS BIGINT) AS section_order, CAST(strlen(e.evidence_id) + 5 AS BIGINT) AS start_byte, CAST(strlen(e.evidence_id) + {5 + len(_QUOTE.encode())} AS BIGINT) AS end_byte, '{_QUOTE}' AS quote FROM pc c JOIN pk k USING (subject_kind,subject_ref,predicate) JOIN fx_evidence e ON e.obs_id=c.obs_id WHERE k.o<>'resolved' OR c.cls='s'",
+    *_VIEWS,
+)
+def engine_cited(p):
+    """The same with documents: every citation with its bytes, section, version and source, all proved by their digests."""
+    own = _engine(p).t
+    told = {"authority": F.lit("reviewer"), "reason": F.lit("seen")}
+    own = own | {n: own[n].withColumns(told) for n in ("decisions", "admissions")} | _documents(own["links"])
+    engine = Engine(p.spark, seals.sealed(own, {}))
+    out = engine.query(Request(POINT, ASKED, (At("point", datetime.fromisoformat(P)),), (), "any", datetime.fromisoformat(K))).citations
+    return out.where("evidence_id is not null").select("subject_ref", "predicate", "obs_id", "evidence_id", "role", "version_id", "source_id", "section_id", "section_title", "section_order", "start_byte", "end_byte", "quote")
+
+
 @query(
     _POINT + """, g AS (SELECT subject_ref, predicate, object_ref, string_agg(DISTINCT obs_id, ' ' ORDER BY obs_id) AS ids, string_agg(DISTINCT CASE WHEN role='supporting' THEN evidence_id END, ' ' ORDER BY CASE WHEN role='supporting' THEN evidence_id END) AS sup,
  string_agg(DISTINCT CASE WHEN role='contradicting' THEN evidence_id END, ' ' ORDER BY CASE WHEN role='contradicting' THEN evidence_id END) AS con
