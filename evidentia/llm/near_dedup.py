@@ -23,6 +23,8 @@ BLOCK = 2048
 FEW = 64
 #: Bytes of full sets that are gathered for two blocks at most; beyond it each pair brings its own two sets.
 GATHERED = 16 << 20
+#: Classes (24 bytes each) that are sent to all texts at most.
+NEEDED = 1 << 20
 #: Shingles of full sets that a worker sends on at once.
 SENT = 1 << 18
 
@@ -278,9 +280,14 @@ def _confirm_blocks(index: Index):
 
 
 def _made_sets(needed: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The full shingle sets of the classes needed, made again from a whole text of each."""
-    own = reps.join(needed.distinct(), "cid", "left_semi").select("cid", "id", "words")
-    sets = texts.join(own, ["id", "words"]).dropDuplicates(["id", "words", "cid"])
+    """The full shingle sets of the classes needed, made again from a whole text of each.
+
+    The classes needed are counted: few go to the texts, so that only their texts are dealt; of more than NEEDED all
+    texts are dealt by id.
+    """
+    own = cut_lineage(reps.join(needed.distinct(), "cid", "left_semi").select("cid", "id", "words"))
+    few = own.count() <= NEEDED
+    sets = texts.join(F.broadcast(own) if few else own, ["id", "words"]).dropDuplicates(["id", "words", "cid"])
     return cut_lineage(sets.select("cid", "text").mapInPandas(_full_sets(width), "cid long, full array<bigint>"))
 
 

@@ -661,6 +661,7 @@ def crowd(n, seed=0):
 @pytest.mark.parametrize("width,num", [(3, 85), (5, 80)])
 def test_near_duplicates_against_all_pairs(spark, texts, width, num, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "NEEDED", 0)
     monkeypatch.setattr(near_dedup, "FEW", 4)
     all_ = texts | {i + 10_000: t for i, t in crowd(120).items()} | {20_000: "a b", 20_001: "A  b", 20_002: "a", 20_003: "b a"}
     df = spark.createDataFrame(list(all_.items()), "doc_id long, text string")
