@@ -41,16 +41,22 @@ def advance(state: tuple, at: int, action: str, owner: str, lease: int) -> tuple
 
 
 def fold(commands: DataFrame, lease: int) -> DataFrame:
-    """Every command's outcome, run by run; a run's commands are few (its attempts), runs are many."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = FRESH, []
-        for c in pdf.sort_values(["at", "command_id"]).itertuples():
-            state, outcome = advance(state, c.at, c.action, c.owner, lease)
-            out.append((c.run_id, c.command_id, outcome, state[1]))
-        return pd.DataFrame(out, columns=["run_id", "command_id", "outcome", "attempt"])
-
-    return commands.groupBy("run_id").applyInPandas(run, OUTPUT)
+    """Every command's outcome, run by run: a task goes through its runs in order of time and holds one state, however many
+    runs it has and however long they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, fresh = None, FRESH, True
+        for pdf in batches:
+            out = []
+            for name, at, command, action, owner in zip(*(pdf[c].tolist() for c in ("run_id", "at", "command_id", "action", "owner")), strict=True):
+                if fresh or name != now:
+                    now, state, fresh = name, FRESH, False
+                state, outcome = advance(state, at, action, owner, lease)
+                out.append((name, command, outcome, state[1]))
+            yield pd.DataFrame(out, columns=["run_id", "command_id", "outcome", "attempt"])
+
+    rows = commands.select("run_id", "at", "command_id", "action", "owner").repartition("run_id")
+    return rows.sortWithinPartitions("run_id", F.asc_nulls_last("at"), F.asc_nulls_last("command_id")).mapInPandas(run, OUTPUT)
 
 
 def stream(commands: DataFrame, lease: int) -> DataFrame:
