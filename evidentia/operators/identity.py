@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.plans.lineage import cut
+
 
 def persons(df: DataFrame) -> DataFrame:
     """Rows of named entities; where the frame tells their `kind`, of persons only: nothing else is ever who a mention is."""
@@ -28,21 +30,14 @@ def name_confidence(mention_tokens: Column, tokens: Column) -> Column:
     return shared / F.greatest(F.size(mention_tokens), F.size(tokens))
 
 
-def rank_names(mentions: DataFrame, names: DataFrame, top: int | None = None) -> DataFrame:
-    """All entities that share a word with a mention, by confidence, then id: (mention_id, rank, entity_id, confidence, via).
+def _clean(rows: DataFrame) -> DataFrame:
+    return rows.where("name <> '' AND NOT contains(name, '@')")
 
-    mentions: (mention_id, name), names: (entity_id, name, is_alias) and, if known, kind, all normalised; names with @
-    take no part, and of kinds only persons. An alias counts only where it is strictly better than the display name. top: how many to give of each
-    mention (a report); by default all.
 
-    Equal names are compared once: distinct mention names meet distinct names of entities under the words that
-    they share. A pair meets under the rarest of these only, so of two words the common one makes no pairs that
-    another makes too; a name whose only shared word is common is met through it, as each such pair is a result.
-    """
-    clean = lambda df: df.where("name <> '' AND NOT contains(name, '@')")
-    spoken = clean(mentions).select("name").distinct().withColumn("m", F.split("name", " "))
-    held = clean(persons(names)).select("entity_id", "name", "is_alias").distinct()
-    known = held.select(F.col("name").alias("known")).distinct().withColumn("k", F.split("known", " "))
+def _name_scores(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, known, confidence): distinct names of mentions with those of entities that share a word with them."""
+    spoken = _clean(mentions).select("name").distinct().withColumn("m", F.split("name", " "))
+    known = _clean(persons(names)).select(F.col("name").alias("known")).distinct().withColumn("k", F.split("known", " "))
     left = spoken.select("name", "m", F.explode(F.array_distinct("m")).alias("token"))
     right = known.select("known", "k", F.explode(F.array_distinct("k")).alias("token"))
     # a word's place: rare ones first; a pair is made under the first word that both have
@@ -57,14 +52,48 @@ def rank_names(mentions: DataFrame, names: DataFrame, top: int | None = None) ->
     right = known.select("known", "k", F.explode("order").alias("token"))
     shared = F.get(F.filter("m_order", lambda t: F.array_contains(F.col("k"), t)), F.lit(0))
     pairs = left.join(right, "token").where(shared == F.col("token"))
-    scores = pairs.select("name", "known", F.when(F.col("name") == F.col("known"), 1.0).otherwise(name_confidence(F.col("m"), F.col("k"))).alias("confidence"))
-    of = scores.join(held.withColumnRenamed("name", "known"), "known")
-    best = of.groupBy("name", "entity_id").agg(F.max(F.struct("confidence", (~F.col("is_alias")).alias("display"))).alias("b"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.col("b.confidence").desc(), "entity_id"))
-    ranked = best.withColumn("rank", rank)
-    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
-    out = clean(mentions).join(ranked, "name")
-    return out.select("mention_id", "rank", "entity_id", F.col("b.confidence").alias("confidence"), F.when(F.col("b.display"), "display").otherwise("alias").alias("via"))
+    return pairs.select("name", "known", F.when(F.col("name") == F.col("known"), 1.0).otherwise(name_confidence(F.col("m"), F.col("k"))).alias("confidence"))
+
+
+def rank_names(mentions: DataFrame, names: DataFrame, top: int | None = None, ids: int = 50_000, rows: int = 500_000) -> DataFrame:
+    """All entities that share a word with a mention, by confidence, then id: (mention_id, rank, entity_id, confidence, via).
+
+    mentions: (mention_id, name), names: (entity_id, name, is_alias) and, if known, kind, all normalised; names with @
+    take no part, and of kinds only persons. An alias counts only where it is strictly better than the display name. top: how many to give of each
+    mention (a report); by default all.
+
+    Equal names are compared once: distinct mention names meet distinct names of entities under the words that
+    they share. A pair meets under the rarest of these only, so of two words the common one makes no pairs that
+    another makes too; a name whose only shared word is common is met through it, as each such pair is a result.
+
+    Entities of the same names are judged once. A rank is the number of entities before a range of ids (of about `ids`
+    entities) at a confidence, and the place in it, so no task holds a name's entities; a task has about `rows` rows.
+    """
+    own = F.array_sort(F.collect_set(F.struct(F.col("name").alias("known"), "is_alias"))).alias("own")
+    held = _clean(persons(names)).groupBy("entity_id").agg(own).withColumn("alike", F.unhex(F.sha2(F.to_json("own"), 256)))
+    held = cut(held)
+    alike = held.select("alike", "own").distinct().select("alike", F.inline("own"))
+    shown = F.max(F.when(~F.col("is_alias"), F.col("confidence")))
+    best = alike.join(_name_scores(mentions, names), "known").groupBy("name", "alike").agg(F.max("confidence").alias("confidence"), shown.alias("shown"))
+    # a confidence as a whole number: a double as key is shuffled once more, as it is normalised
+    level = (F.col("confidence") * 1e15).cast("long").alias("level")
+    best = best.select("name", "alike", "confidence", level, F.coalesce(F.col("shown") == F.col("confidence"), F.lit(False)).alias("display"))
+    # entities by ranges of their ids; a range has its part of each name's ranks
+    parts = -(-held.count() // ids)
+    held = held.select("entity_id", "alike")
+    held = cut(held.repartitionByRange(parts, "entity_id").withColumn("part", F.spark_partition_id())) if parts > 1 else held.withColumn("part", F.lit(0))
+    here = cut(held.groupBy("part", "alike").agg(F.count("*").alias("n")).join(best, "alike"))
+    tasks = -(-(here.agg(F.sum("n")).first()[0] or 1) // rows)
+    group = ["part", "name", "level"]
+    before = F.sum("n").over(Window.partitionBy("name").orderBy(F.col("level").desc(), "part").rowsBetween(Window.unboundedPreceding, -1))
+    before = here.groupBy(*group).agg(F.sum("n").alias("n"), F.max("confidence").alias("confidence")).select(*group, "confidence", F.coalesce(before, F.lit(0)).alias("before"))
+    told = _clean(mentions).select("mention_id", "name").join(before, "name")
+    met = held.repartition(tasks, "part", "alike").join(here.drop("n", "confidence").repartition(tasks, "part", "alike"), ["part", "alike"]).drop("alike")
+    met = met.repartition(tasks, *group).withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("entity_id")))
+    met = met if top is None else met.where(F.col("place") <= top)
+    out = met.join(told.repartition(tasks, *group), group).withColumn("rank", (F.col("before") + F.col("place")).cast("int"))
+    out = out if top is None else out.where(F.col("rank") <= top)
+    return out.select("mention_id", "rank", "entity_id", "confidence", F.when(F.col("display"), "display").otherwise("alias").alias("via"))
 
 
 def resolve(mentions: DataFrame, names: DataFrame, emails: DataFrame) -> DataFrame:
@@ -79,7 +108,8 @@ def resolve(mentions: DataFrame, names: DataFrame, emails: DataFrame) -> DataFra
     rest = mentions.join(exact.select("mention_id"), "mention_id", "left_anti")
     ranked = rank_names(rest.select("mention_id", "name"), names)
     many = ranked.select("mention_id", F.lit("ranked").alias("outcome"), "entity_id", "rank", "confidence", F.concat(F.lit("name-"), "via").alias("reason"))
-    none = rest.select("mention_id").join(ranked.select("mention_id").distinct(), "mention_id", "left_anti")
+    met = _clean(rest).join(_name_scores(rest, names).select("name").distinct(), "name", "left_semi")
+    none = rest.select("mention_id").join(met.select("mention_id"), "mention_id", "left_anti")
     null = lambda kind: F.lit(None).cast(kind)
     none = none.select("mention_id", F.lit("none").alias("outcome"), null("string").alias("entity_id"), null("int").alias("rank"), null("double").alias("confidence"), null("string").alias("reason"))
     return one.unionByName(many).unionByName(none)
