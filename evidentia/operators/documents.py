@@ -51,9 +51,11 @@ def version_records(versions: DataFrame, sections: DataFrame) -> DataFrame:
     versions: (version_id, provider, provider_id, title, locator, provider_version, modified_at, source_time);
     sections: (version_id, section_id, title, parent_id, path, section_order, role, content). The digest covers
     what the source says (sections in order, contents by their hash), neither the provider's ids nor the time of
-    recording. fault: provenance, no-sections, section-ids, or NULL; a faulty version has no digest.
+    recording. fault: provenance, no-sections, section-ids, or NULL; a faulty version has no digest. Sections may
+    have `content_hash` instead of their content.
     """
-    own = sections.select("version_id", "section_id", F.struct("section_order", section_leaf().alias("e")).alias("s"))
+    leaf = section_leaf(F.col("content_hash")) if "content_hash" in sections.columns else section_leaf()
+    own = sections.select("version_id", "section_id", F.struct("section_order", leaf.alias("e")).alias("s"))
     held = own.groupBy("version_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["e"]), "").alias("entries"), F.count("*").alias("n"),
         (F.count_distinct("section_id") + F.max(F.when(_blank(F.col("section_id")), -1).otherwise(0))).alias("ids"),
@@ -66,10 +68,15 @@ def version_records(versions: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.select("version_id", F.when(fault.isNull(), _version_root()).alias("digest"), fault.alias("fault"))
 
 
-def section_leaf() -> Column:
+def content_hash() -> Column:
+    return F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256)
+
+
+def section_leaf(content: Column | None = None) -> Column:
     """The digest of a section: its place and titles, and its content by its hash. A version's digest is over its leaves."""
+    content = content_hash() if content is None else content
     path = F.concat(frame(F.size("path").cast("long"), NUMBER), F.aggregate("path", F.lit(b""), lambda a, x: F.concat(a, frame(x))))
-    return F.sha2(F.concat(_text("section_id"), _text("title"), _text("parent_id"), path, frame("section_order", NUMBER), _text("role"), frame(F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))), 256)
+    return F.sha2(F.concat(_text("section_id"), _text("title"), _text("parent_id"), path, frame("section_order", NUMBER), _text("role"), frame(content)), 256)
 
 
 def _version_root() -> Column:

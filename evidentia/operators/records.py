@@ -72,14 +72,14 @@ def append_once(existing: DataFrame, new: DataFrame, key: str | list[str], store
 
     key: one column or several. Rows that repeat a key among the new ones: the first in order of content is
     judged, equal ones are replays, different ones conflicts. Only the existing rows of the new keys are looked
-    at; where existing has a column `stored` it is taken for their digest, else it is made.
+    at; where existing or new have a column `stored` it is taken for their digest, else it is made.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in new.columns if c not in keys] or keys
+    rest = [c for c in new.columns if c not in (*keys, stored)] or keys
     old = existing.join(new.select(*keys).distinct(), keys, "left_semi")
     old = old.select(*keys, (F.col(stored) if stored in existing.columns else row_digest(rest)).alias("_old"))
     by = Window.partitionBy(*keys)
-    rows = new.withColumn("_body", row_digest(rest))
+    rows = new.withColumn("_body", F.col(stored) if stored in new.columns else row_digest(rest))
     rows = rows.withColumn("_rank", F.row_number().over(by.orderBy("_body"))).withColumn("_first", F.min("_body").over(by))
     rows = rows.join(old, keys, "left")
     held = F.coalesce("_old", "_first")
