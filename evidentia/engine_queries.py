@@ -81,16 +81,21 @@ _QUOTE = "ünited."
 
 def _documents(links: DataFrame) -> dict[str, DataFrame]:
     """A document of two sections for each piece of evidence, which quotes the second; sealed as a store has them."""
-    one, at, i = links.select("evidence_id").distinct(), ntz("1990-01-01 00:00:00"), F.col("evidence_id")
-    null = F.lit(None).cast("string")
-    section = lambda n, title, text: one.select(F.concat(F.lit("v:"), i).alias("version_id"), F.lit(f"s{n}").alias("section_id"), F.lit(title).alias("title"), null.alias("parent_id"), F.array(F.lit(title)).alias("path"), F.lit(n).cast("long").alias("section_order"), F.lit("notes").alias("role"), text.alias("content"))
-    sections = section(0, "Cover", F.concat(F.lit("Cover of "), i)).unionByName(section(1, "Note", F.concat(F.lit("On "), i, F.lit(f": {_QUOTE}"))))
+    i, at, null = F.col("evidence_id"), ntz("1990-01-01 00:00:00"), F.lit(None).cast("string")
+    # ids are columns of what is grouped, digests are made with the other columns: who asks for few ids has only these grouped and made
+    one = links.select("evidence_id", F.concat(F.lit("v:"), i).alias("version_id"), F.concat(F.lit("s:"), i).alias("source_id")).distinct()
+    named = lambda columns: [c.alias(n) for n, c in columns.items()]
+    section = lambda n, title, text: {"section_id": F.lit(f"s{n}"), "title": F.lit(title), "parent_id": null, "path": F.array(F.lit(title)), "section_order": F.lit(n).cast("long"), "role": F.lit("notes"), "content": text}
+    held = [section(0, "Cover", F.concat(F.lit("Cover of "), i)), section(1, "Note", F.concat(F.lit("On "), i, F.lit(f": {_QUOTE}")))]
+    leaves = [documents.section_leaf(documents.content_hash(x["content"]), x.get) for x in held]
+    sections = [one.select("version_id", *named(x), leaf.alias("leaf")) for x, leaf in zip(held, leaves, strict=True)]
     start = (F.octet_length(i) + 5).cast("long")
-    spans = one.select(i, F.concat(F.lit("v:"), i).alias("version_id"), F.lit("s1").alias("section_id"), start.alias("start_byte"), (start + len(_QUOTE.encode())).alias("end_byte"), F.lit(_QUOTE).alias("quote"), at.alias("recorded_at"))
-    sources = one.select(F.concat(F.lit("s:"), i).alias("source_id"), F.lit("desk").alias("provider"), i.alias("provider_id"), at.alias("recorded_at"))
-    versions = one.select(F.concat(F.lit("v:"), i).alias("version_id"), F.concat(F.lit("s:"), i).alias("source_id"), F.lit("desk").alias("provider"), i.alias("provider_id"), F.concat(F.lit("Log "), i).alias("title"), F.concat(F.lit("log/"), i).alias("locator"), F.lit("1").alias("provider_version"), at.alias("modified_at"), F.lit(None).cast("timestamp_ntz").alias("source_time"), at.alias("recorded_at"))
-    versions = versions.join(documents.version_records(versions, sections).select("version_id", "digest"), "version_id")
-    return {"sections": sections, "spans": spans, "sources": sources, "versions": versions}
+    spans = one.select("evidence_id", "version_id", F.lit("s1").alias("section_id"), start.alias("start_byte"), (start + len(_QUOTE.encode())).alias("end_byte"), F.lit(_QUOTE).alias("quote"), at.alias("recorded_at"))
+    sources = one.select("source_id", F.lit("desk").alias("provider"), i.alias("provider_id"), at.alias("recorded_at"))
+    own = {"provider": F.lit("desk"), "provider_id": i, "title": F.concat(F.lit("Log "), i), "locator": F.concat(F.lit("log/"), i), "provider_version": F.lit("1"), "modified_at": at, "source_time": F.lit(None).cast("timestamp_ntz"), "recorded_at": at}
+    root = documents.version_root((own | {"n": F.lit(len(held)).cast("long"), "entries": F.concat(*leaves)}).get)
+    versions = one.select("version_id", "source_id", *named(own), root.alias("digest"))
+    return {"sections": sections[0].unionByName(sections[1]), "spans": spans, "sources": sources, "versions": versions}
 
 
 @query(

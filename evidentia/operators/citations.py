@@ -10,7 +10,6 @@ from evidentia.functions.order import CITATION
 from evidentia.operators.authority import known_by
 from evidentia.operators.documents import version_faults
 from evidentia.operators.seals import own_faults
-from evidentia.plans.lineage import cut
 
 
 def cited_sections(spans: DataFrame, sections: DataFrame) -> DataFrame:
@@ -45,10 +44,10 @@ def proof_faults(links: DataFrame, spans: DataFrame, versions: DataFrame, sectio
 
     A span must quote its section, a section give the leaf that is stored for it, and a version's digest follow from
     its columns and all its leaves. Only the cited sections' contents are read; of a version's other sections their
-    leaves, 64 characters each. sections: with `leaf`.
+    leaves, 64 characters each. sections: with `leaf`. Each frame is read several times: start from cut ones.
     """
-    own = cut(spans.join(links.select("evidence_id").distinct(), "evidence_id", "left_semi"))
-    cited = cut(sections.join(own.select("version_id", "section_id").distinct(), ["version_id", "section_id"], "left_semi"))
+    own = spans.join(links.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    cited = sections.join(own.select("version_id", "section_id").distinct(), ["version_id", "section_id"], "left_semi")
     ids = own.select("version_id").distinct()
     leaves = sections.select("version_id", "section_order", "leaf").join(ids, "version_id", "left_semi")
     out = span_faults(own, cited).select(F.col("evidence_id").alias("id"), "fault")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,32 +60,35 @@ def version_records(versions: DataFrame, sections: DataFrame) -> DataFrame:
     own = sections.select("version_id", "section_id", F.struct("section_order", leaf.alias("e")).alias("s"))
     held = own.groupBy("version_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["e"]), "").alias("entries"), F.count("*").alias("n"),
-        (F.count_distinct("section_id") + F.max(F.when(_blank(F.col("section_id")), -1).otherwise(0))).alias("ids"),
+        (F.size(F.collect_set("section_id")) + F.max(F.when(_blank(F.col("section_id")), -1).otherwise(0))).alias("ids"),
     )
     rows = versions.join(held, "version_id", "left")
     lacks = F.col("modified_at").isNull()
     for c in ("provider", "provider_id", "title", "locator", "provider_version"):
         lacks |= _blank(F.col(c))
     fault = F.when(lacks, "provenance").when(F.col("n").isNull(), "no-sections").when(F.col("ids") != F.col("n"), "section-ids")
-    return rows.select("version_id", F.when(fault.isNull(), _version_root()).alias("digest"), fault.alias("fault"))
+    return rows.select("version_id", F.when(fault.isNull(), version_root()).alias("digest"), fault.alias("fault"))
+
 
+def content_hash(content: Column | str = "content") -> Column:
+    return F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)
 
-def content_hash() -> Column:
-    return F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256)
 
+def section_leaf(content: Column | None = None, of: Callable[[str], Column] = F.col) -> Column:
+    """The digest of a section: its place and titles, and its content by its hash. A version's digest is over its leaves.
 
-def section_leaf(content: Column | None = None) -> Column:
-    """The digest of a section: its place and titles, and its content by its hash. A version's digest is over its leaves."""
+    of: a section's column by its name, where it is not one of the frame's.
+    """
     content = content_hash() if content is None else content
-    path = F.concat(frame(F.size("path").cast("long"), NUMBER), F.aggregate("path", F.lit(b""), lambda a, x: F.concat(a, frame(x))))
-    return F.sha2(F.concat(_text("section_id"), _text("title"), _text("parent_id"), path, frame("section_order", NUMBER), _text("role"), frame(content)), 256)
+    path = F.concat(frame(F.size(of("path")).cast("long"), NUMBER), F.aggregate(of("path"), F.lit(b""), lambda a, x: F.concat(a, frame(x))))
+    return F.sha2(F.concat(_text(of("section_id")), _text(of("title")), _text(of("parent_id")), path, frame(of("section_order"), NUMBER), _text(of("role")), frame(content)), 256)
 
 
-def _version_root() -> Column:
-    """A version's digest from its own columns and (n, entries): its leaves in order, joined."""
+def version_root(of: Callable[[str], Column] = F.col) -> Column:
+    """A version's digest from its own columns and (n, entries): its leaves in order, joined. of: as in section_leaf()."""
     return digest(
-        *(_text(F.trim(c)) for c in ("title", "locator", "provider_version")), frame(micros("modified_at"), TIME),
-        _maybe(F.col("source_time"), frame(micros("source_time"), TIME)), frame("n", NUMBER), frame("entries"),
+        *(_text(F.trim(of(c))) for c in ("title", "locator", "provider_version")), frame(micros(of("modified_at")), TIME),
+        _maybe(of("source_time"), frame(micros(of("source_time")), TIME)), frame(of("n"), NUMBER), frame(of("entries")),
     )
 
 
@@ -95,7 +100,7 @@ def version_faults(versions: DataFrame, leaves: DataFrame) -> DataFrame:
     """
     held = leaves.groupBy("version_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_order", "leaf"))), lambda x: x["leaf"]), "").alias("entries"), F.count("*").alias("n"))
     rows = versions.join(held, "version_id", "left")
-    return rows.where(~F.col("digest").eqNullSafe(_version_root())).select("version_id", F.lit("version-digest").alias("fault"))
+    return rows.where(~F.col("digest").eqNullSafe(version_root())).select("version_id", F.lit("version-digest").alias("fault"))
 
 
 def revision(provider, provider_id, provider_version, observed_at) -> tuple[Column, Column]:

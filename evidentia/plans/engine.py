@@ -11,7 +11,7 @@ from evidentia.functions import timeaxis as ta
 from evidentia.functions.order import CITATION, key_order
 from evidentia.operators import authority, causal, checks, citations, gaps, seals, state, trajectory
 from evidentia.plans import render
-from evidentia.plans.lineage import cut
+from evidentia.plans.lineage import cut, few, met
 from evidentia.plans.request import CAUSAL, MAX_ROWS, POINT, TRAJECTORY, TREND, At, Request, ask, normalize
 from evidentia.schema import EVIDENCE_LINK
 
@@ -75,21 +75,19 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], verify: bool = True):
         self.spark, self.t, self.verify = spark, tables, verify
 
-    def _near(self, ids: list[str], cutoff) -> DataFrame:
+    def _near(self, requested: DataFrame, ids: list[str], cutoff) -> DataFrame:
         """Observations that name a requested entity, or a mention that any decision ever gave to one; once each.
 
-        The ids (64 at most) are part of the filter that reaches the scan; only these rows are shuffled.
+        The terms asked for are met in one pass for each end; only the rows that name one are shuffled while they are few().
         """
         known = authority.known_by(self.t["observations"], cutoff)
-        given = cut(self.t["decisions"].where(F.col("entity_id").isin(ids)).select("mention_id").distinct())
-        direct = F.lit(False)
+        given = self.t["decisions"].where(F.col("entity_id").isin(ids)).select(F.lit("mention").alias("kind"), F.col("mention_id").alias("ref"))
+        terms = cut(requested.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("ref")).unionByName(given).distinct())
+        near = []
         for end in ("subject", "object"):
-            direct |= (F.col(f"{end}_kind") == "entity") & F.col(f"{end}_ref").isin(ids)
-        near = known.where(direct)
-        for end in ("subject", "object"):
-            mention = given.select(F.lit("mention").alias(f"{end}_kind"), F.col("mention_id").alias(f"{end}_ref"))
-            near = near.unionByName(known.join(mention, [f"{end}_kind", f"{end}_ref"], "left_semi"))
-        return cut(state.dedupe_observations(near))
+            named = known.where(F.col(f"{end}_kind").isin("entity", "mention"))
+            near.append(met(named, terms.select(F.col("kind").alias(f"{end}_kind"), F.col("ref").alias(f"{end}_ref")), [f"{end}_kind", f"{end}_ref"]))
+        return cut(state.dedupe_observations(near[0].unionByName(near[1])))
 
     def read(self, r: Request) -> Read:
         """The rows in the request's scope, classified; valid time is not looked at yet."""
@@ -100,22 +98,23 @@ class Engine:
         missing = [x["entity_id"] for x in known.where("not known").collect()]  # at most as many as were asked for
         if missing:
             raise UnknownEntity(", ".join(sorted(missing)))
-        rows = self._near(ids, cutoff)
+        rows = self._near(requested, ids, cutoff)
         ends = F.explode(F.array(*(F.struct(F.col(f"{e}_kind").alias("kind"), F.col(f"{e}_ref").alias("ref")) for e in ("subject", "object"))))
         terms = rows.select(ends.alias("e")).select("e.*").distinct()
         mentions = terms.where("kind = 'mention'").select(F.col("ref").alias("mention_id"))
-        decisions = cut(t["decisions"].join(mentions, "mention_id", "left_semi"))
+        decisions = cut(met(t["decisions"], mentions, ["mention_id"]))
         targets = rows.select(F.lit("observation").alias("target_kind"), F.col("obs_id").alias("target_id"))
         targets = targets.unionByName(mentions.select(F.lit("mention").alias("target_kind"), F.col("mention_id").alias("target_id")))
         targets = targets.unionByName(decisions.select(F.lit("identity_decision").alias("target_kind"), F.col("id").alias("target_id")))
-        admissions = cut(t["admissions"].join(targets, ["target_kind", "target_id"], "left_semi"))
+        admissions = cut(met(t["admissions"], targets, ["target_kind", "target_id"]))
         named = terms.where("kind = 'entity'").select(F.col("ref").alias("id")).unionByName(decisions.where("entity_id is not null").select(F.col("entity_id").alias("id")))
-        entities = cut(t["entities"].join(named.distinct(), "id", "left_semi"))
-        links = cut(t["links"].select(*EVIDENCE_LINK.names).join(rows.select("obs_id"), "obs_id", "left_semi"))
+        entities = cut(met(t["entities"], named, ["id"]))
+        links = cut(met(t["links"].select(*EVIDENCE_LINK.names), rows, ["obs_id"]))
         if self.verify:
             self._trusted(decisions, admissions, cutoff)
         resolved = authority.resolve_terms(rows, authority.resolved_mentions(decisions, admissions, entities, cutoff), entities, cutoff, F.broadcast(requested))
-        seen = authority.evidence_visible(links, t.get("spans"), t.get("versions"), t.get("sources"), cutoff)
+        told = self._told(links)
+        seen = authority.evidence_visible(links, told.get("spans"), told.get("versions"), told.get("sources"), cutoff)
         q = cut(authority.qualify(resolved, authority.admitted(admissions, "observation", cutoff), seen, len(ids), list(r.predicates) or None, r.match))
         kept = q.where("class = 'retained'")
         # a mention that resolves is the entity: the resolved term is the key, the mention its grounding
@@ -126,14 +125,16 @@ class Engine:
         kept = cut(kept.join(support, "obs_id", "left").withColumn("supported", F.coalesce("supported", F.lit(False))))
         cover = cut(authority.coverage(q))
         own = links.join(kept.select("obs_id"), "obs_id", "left_semi")
-        cited = cut(self._cited(own, cutoff))
+        if told:
+            told["sections"] = self._sections(told["spans"].join(own, "evidence_id", "left_semi"))
+        cited = cut(self._cited(own, told, cutoff))
         if self.verify:
             found = [checks.qualification_faults(q, cover, requested), checks.candidate_faults(kept, rows)]
             if "digest" in rows.columns:
                 found.append(checks._fault(seals.observation_faults(rows, links), "observation", F.col("obs_id"), F.col("fault")))
-            if "spans" in t and "leaf" in t["sections"].columns:
-                found.append(checks._fault(citations.proof_faults(own, t["spans"], t["versions"], t["sections"]), "evidence", F.col("id"), F.col("fault")))
-            if "spans" in t:
+            if told and "leaf" in t["sections"].columns:
+                found.append(checks._fault(citations.proof_faults(own, told["spans"], told["versions"], told["sections"]), "evidence", F.col("id"), F.col("fault")))
+            if told:
                 found.append(checks.faults(*(checks._fault(f, "evidence", F.coalesce("obs_id", "evidence_id"), F.col("fault")) for f in (citations.link_faults(own, cited),))))
             checks.require(*found)
         return Read(kept, cover, requested, cited)
@@ -146,10 +147,31 @@ class Engine:
                 found.append(checks.chain_faults(authority.digest_violations(df, columns, cutoff), name))
         checks.require(*found)
 
-    def _cited(self, links: DataFrame, cutoff) -> DataFrame:
+    def _told(self, links: DataFrame) -> dict[str, DataFrame]:
+        """The spans that the links cite, their versions and sources; none if spans are not kept. Each table is gone through
+        once, for all that asks about it later."""
+        t = self.t
+        if "spans" not in t:
+            return {}
+        told = {"spans": cut(met(t["spans"], links, ["evidence_id"]))}
+        told["versions"] = cut(met(t["versions"], told["spans"], ["version_id"]))
+        if "sources" in t:
+            told["sources"] = cut(met(t["sources"], told["versions"], ["source_id"]))
+        return told
+
+    def _sections(self, spans: DataFrame) -> DataFrame:
+        """All sections of the versions that the spans cite, contents only of those that a span cites."""
+        rows = met(self.t["sections"], spans, ["version_id"])
+        if "content" in rows.columns:
+            pair = ["version_id", "section_id"]
+            rows = rows.join(few(spans.select(*pair).distinct().withColumn("_cited", F.lit(True))), pair, "left")
+            rows = rows.withColumn("content", F.when(F.col("_cited"), F.col("content"))).select(*self.t["sections"].columns)
+        return cut(rows)
+
+    def _cited(self, links: DataFrame, told: dict[str, DataFrame], cutoff) -> DataFrame:
         """The links with what they cite."""
-        if "spans" in self.t:
-            return citations.citations(links, self.t["spans"], self.t["versions"], self.t["sections"], self.t.get("sources"), cutoff)
+        if told:
+            return citations.citations(links, told["spans"], told["versions"], told["sections"], told.get("sources"), cutoff)
         kinds = {"section_order": "long", "start_byte": "long", "end_byte": "long", "section_path": "array<string>"}
         return links.select("obs_id", *(F.col(c) if c in ("evidence_id", "role") else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in CITATION))
 
