@@ -12,6 +12,7 @@ from evidentia.functions import order
 from evidentia.functions import text as tx
 from evidentia.functions import timeaxis as ta
 from evidentia.operators import authority, checks, citations, directory, identity, records, review, state
+from evidentia.plans.lineage import cut
 from evidentia.queries import _TREND, _W1, A, B, B2, C, K, _cands_sql, _state_sql, _ts, cands, ntz, query
 from evidentia.record_queries import batch_of, batch_sql
 from evidentia.schema import TAB_ROLES
@@ -95,6 +96,7 @@ _SUMMARY = f", {_cands_sql()}, {_state_sql('w', 'cand', *_W1)}"
 def _broken_keys(p):
     """The window's keys; those of one predicate occur twice, one has no known outcome, one lost its values."""
     _, of_values, of_keys = state.aggregate(cands(p), *ta.in_window(ntz(A), ntz(B)))
+    of_keys = cut(of_keys)  # read twice
     twice = of_keys.where("predicate = 'attr.1'")
     odd = of_keys.withColumn("outcome", F.when(F.col("predicate") == "attr.2", "odd").otherwise(F.col("outcome")))
     return odd.unionByName(twice), of_values.where("predicate <> 'attr.3'")

@@ -72,15 +72,21 @@ def summary_faults(of_keys: DataFrame, of_values: DataFrame, sel: list[str] | No
     """A key occurs once in a selection, resolved with a value or unresolved for a known reason, with distinct candidates,
     at least one, and two where values conflict."""
     key = [*(sel or []), *KEY]
-    twice = of_keys.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    reason = F.coalesce(F.col("outcome").isin("resolved", *UNRESOLVED_REASONS), F.lit(False))
-    odd = of_keys.where(~reason | ((F.col("outcome") == "resolved") & F.col("object_kind").isNull()))
-    n = of_values.groupBy(*key, *VALUE).agg(F.count("*").alias("same")).groupBy(*key).agg(F.count("*").alias("held"), F.max("same").alias("same"))
-    few = of_keys.join(n, key, "left")
-    held = F.coalesce("held", F.lit(0))
-    wrong = F.when(held == 0, "no candidates").when((F.col("outcome") == "conflicting-values") & (held < 2), "conflict of one value").when(F.col("same") > 1, "a value twice")
-    few = few.withColumn("_f", wrong).where("_f is not null")
-    return faults(_fault(twice, "summary", _key(), "key twice"), _fault(odd, "summary", _key(), "no known outcome"), _fault(few, "summary", _key(), F.col("_f")))
+    resolved, conflict = F.col("outcome") == "resolved", F.col("outcome") == "conflicting-values"
+    known = F.coalesce(F.col("outcome").isin("resolved", *UNRESOLVED_REASONS), F.lit(False))
+    odd = ~known | (resolved & F.col("object_kind").isNull())
+    # both frames are gone through once and counted together: numbers only, added up before they are shuffled
+    told = of_keys.select(*key, F.lit(1).alias("n"), odd.cast("int").alias("odd"), F.coalesce(conflict, F.lit(False)).cast("int").alias("open"), *(F.lit(0).alias(c) for c in ("held", "same")))
+    values = of_values.groupBy(*key, *VALUE).agg(F.count("*").alias("same")).select(*key, *(F.lit(0).alias(c) for c in ("n", "odd", "open")), F.lit(1).alias("held"), "same")
+    of = told.unionByName(values).groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("n", "odd", "open", "held")), F.max("same").alias("same")).where("n > 0")
+    held, n = F.col("held"), F.col("n")
+    single = F.when(held < 2, F.col("open")).otherwise(0)
+    times = {
+        "key twice": (n > 1).cast("int"), "no known outcome": F.col("odd"), "no candidates": F.when(held == 0, n).otherwise(0), "conflict of one value": F.when(held > 0, single).otherwise(0),
+        "a value twice": F.when((held > 0) & (F.col("same") > 1), n - single).otherwise(0),
+    }
+    found = of.withColumn("_f", F.explode(F.flatten(F.array(*(F.array_repeat(F.lit(fault), k.cast("int")) for fault, k in times.items())))))
+    return _fault(found, "summary", _key(), F.col("_f"))
 
 
 def fact_faults(told: DataFrame, sel: list[str] | None = None) -> DataFrame:
